@@ -30,11 +30,21 @@ def _pairs() -> tuple[str, str]:
 _FROM, _TO = _pairs()
 
 
+def unmark_text(c: Column) -> Column:
+    """Lower case, with precomposed letters without their accents."""
+    s = F.translate(F.lower(c), _FROM, _TO)
+    return F.replace(F.replace(F.replace(s, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
+
+
+def words_norm(s: Column) -> Column:
+    """Letters and digits of ``unmark_text`` with one space between words; combining marks vanish."""
+    bare = F.when(s.rlike(r"[^\x00-\x7f]"), F.regexp_replace(s, r"\p{M}+", "")).otherwise(s)
+    return F.trim(F.regexp_replace(bare, r"[^a-z0-9]+", " "))
+
+
 def unmark(c: Column) -> Column:
     """Lower case without accents; composed and decomposed writing give the same."""
-    s = F.translate(F.lower(c), _FROM, _TO)
-    s = F.replace(F.replace(F.replace(s, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
-    return F.when(s.rlike(r"[^\x00-\x7f]"), F.regexp_replace(s, r"\p{M}+", "")).otherwise(s)
+    return F.regexp_replace(unmark_text(c), r"\p{M}+", "")
 
 
 def squeeze(c: Column) -> Column:
@@ -47,41 +57,54 @@ def present(c: Column) -> Column:
     return F.when(F.lower(s).isin(FILLER_WORDS), None).otherwise(s)
 
 
-def email_norm(c: Column) -> Column:
-    """Lower-cased mailbox; null for blanks and nobody's mailbox."""
-    s = F.lower(F.regexp_replace(c, r"[\p{Z}\s]+", ""))
+# Values of which an expression needs several reads are made in two steps, ``*_text`` and then ``*_norm``
+# over that column: the steps stay apart as two projections, so nothing is worked out twice.
+def email_text(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"[\p{Z}\s]+", ""))
+
+
+def email_norm(s: Column) -> Column:
+    """A mailbox (``email_text``); null for blanks and nobody's mailbox."""
     local, domain = F.split_part(s, F.lit("@"), F.lit(1)), F.split_part(s, F.lit("@"), F.lit(2))
     return F.when(s.isin(FILLER_WORDS) | ~s.contains("@") | local.isin(NOBODY_LOCAL) | domain.isin(NOBODY_DOMAIN), None).otherwise(s)
 
 
-def phone_norm(c: Column) -> Column:
-    """National digits of a phone number; null for blanks, too short values and default numbers."""
-    d = F.regexp_replace(c, r"[^0-9]+", "")
-    d = F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
-    same = d.rlike(r"^(\d)\1*$")
-    return F.when((F.length(d) < 7) | same | d.isin(DEFAULT_DIGITS), None).otherwise(d)
+def phone_text(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"[^0-9]+", ""), r"^1(?=\d{10}$)", "")
+
+
+def phone_norm(d: Column) -> Column:
+    """National digits of a phone number (``phone_text``); null for blanks, too short values and default numbers."""
+    return F.when((F.length(d) < 7) | d.rlike(r"^(\d)\1*$") | d.isin(DEFAULT_DIGITS), None).otherwise(d)
 
 
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
-def date_norm(c: Column) -> Column:
-    """yyyy-mm-dd text of a date written year first, month/day/year, or with the month's name.
-
-    Null for blanks, unreadable text and default dates. d.m.y is read with the day first.
-    """
-    s = F.lower(squeeze(c))
-    part = lambda p, i: F.regexp_extract(s, p, i)
-    two = lambda x: F.lpad(x, 2, "0")
-    month = lambda x: two(F.expr("0").cast("string") if x is None else F.array_position(F.array(*map(F.lit, _MONTHS)), F.substring(x, 1, 3)).cast("string"))
-    iso, us, eu = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
-    dmy, mdy = r"^(\d{1,2})(?:st|nd|rd|th)?[ .-]+([a-z]{3,9})\.?,?[ -]+(\d{4})$", r"^([a-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})$"
-    out = (
-        F.when(s.rlike(iso), F.concat_ws("-", part(iso, 1), two(part(iso, 2)), two(part(iso, 3))))
-        .when(s.rlike(us), F.concat_ws("-", part(us, 3), two(part(us, 1)), two(part(us, 2))))
-        .when(s.rlike(eu), F.concat_ws("-", part(eu, 3), two(part(eu, 2)), two(part(eu, 1))))
-        .when(s.rlike(dmy), F.concat_ws("-", part(dmy, 3), month(part(dmy, 2)), two(part(dmy, 1))))
-        .when(s.rlike(mdy), F.concat_ws("-", part(mdy, 3), month(part(mdy, 1)), two(part(mdy, 2))))
-        .when(s.rlike(r"^(19|20)\d{6}$"), F.concat_ws("-", F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2)))
-    )
-    return F.when(out.isin(DEFAULT_DATES), None).otherwise(out)
+_DATE = {
+    "iso": (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)),
+    "us": (r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", (3, 1, 2)),
+    "dotted": (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", (3, 2, 1)),
+    "day first": (r"^(\d{1,2})(?:st|nd|rd|th)?[ .-]+([a-z]{3})[a-z]*\.?,?[ -]+(\d{4})$", (3, 2, 1)),
+    "month first": (r"^([a-z]{3})[a-z]*\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})$", (3, 1, 2)),
+    "digits": (r"^((?:19|20)\d\d)(\d\d)(\d\d)$", (1, 2, 3)),
+}
+_MONTH_NO = {m: f"{i:02d}" for i, m in enumerate(_MONTHS, 1)}
+
+
+def date_text(c: Column) -> Column:
+    """yyyy-mm-dd, still with default dates, of a date written year first, month/day/year, day.month.year
+    or with the month's name; null for what can't be read."""
+    out = None
+    for p, (pattern, (yi, mi, di)) in _DATE.items():
+        parts = [F.regexp_extract(c, pattern, i) for i in (yi, mi, di)]
+        parts = [parts[0], *(F.lpad(x, 2, "0") for x in parts[1:])]
+        if "month" in p or "day" in p:
+            parts[1] = F.coalesce(*(F.when(F.regexp_extract(c, pattern, mi) == k, v) for k, v in _MONTH_NO.items()))
+        out = F.when(c.rlike(pattern), F.concat_ws("-", *parts)) if out is None else out.when(c.rlike(pattern), F.concat_ws("-", *parts))
+    return out
+
+
+def date_norm(s: Column) -> Column:
+    """A date (``date_text``) unless it is one that systems fill in."""
+    return F.when(s.isin(DEFAULT_DATES), None).otherwise(s)

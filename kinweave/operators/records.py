@@ -90,33 +90,16 @@ def delivered(raw: DataFrame, keep: Iterable[str | Column] = (), fields: dict[st
     names = sorted({f for fs in fields.values() for f in fs})
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = rows.select(*keep, F.from_json("payload", schema).alias("__p"))
-    out = {}
-    for a in ATTRIBUTES:
-        got = [unwrapped(F.col("__p").getField(f)) for f in fields.get(a, [])]
-        out[f"v_{a}"] = F.coalesce(*(X.present(c) for c in got)) if len(got) > 1 else X.present(got[0]) if got else F.lit(None).cast("string")
-    return rows.select(*[c for c in rows.columns if c != "__p"], *(c.alias(n) for n, c in out.items()))
-
-
-def normalized(rows: DataFrame, keep: Iterable[str | Column] = ()) -> DataFrame:
-    """``delivered`` rows with e-mail, phone, birth date, postal code and region in one writing.
-
-    Names, street and town keep their words, lower-cased and without accents. Blanks, stand-ins,
-    nobody's mailboxes, default numbers and default dates are null.
-    """
-    word = lambda c: X.present(F.regexp_replace(X.unmark(F.col(c)), r"[^a-z0-9]+", " "))
-    postal = F.regexp_replace(F.upper("v_postal"), r"[^A-Z0-9]+", "")
-    return rows.select(
-        *keep,
-        word("v_given").alias("given"),
-        word("v_family").alias("family"),
-        X.email_norm(F.col("v_email")).alias("email"),
-        X.phone_norm(F.col("v_phone")).alias("phone"),
-        F.col("v_street").alias("line"),
-        F.col("v_city").alias("city"),
-        F.lower(F.regexp_replace("v_region", r"[^\p{L}\p{N}]+", "")).alias("region"),
-        F.when(~postal.rlike(r"^0*$"), postal).alias("postal"),
-        X.date_norm(F.col("v_birth")).alias("birth"),
-    )
+    kept = [c for c in rows.columns if c != "__p"]
+    # each step reads the one before more than once, so the steps stay apart and nothing is worked out twice
+    inner = T.StructType([T.StructField(k, T.StringType()) for k in INNER_KEYS])
+    at = {f: F.col("__p").getField(f) for f in names}
+    rows = rows.select(*kept, "__p", *(F.from_json(F.when(c.startswith("{"), c), inner).alias(f"__j{i}") for i, c in enumerate(at.values())))
+    objects = [F.coalesce(*(F.col(f"__j{i}").getField(k) for k in INNER_KEYS)) for i in range(len(names))]
+    rows = rows.select(*kept, *(F.trim(F.when(c.startswith("{"), o).when(c.startswith("["), F.get_json_object(c, "$[0]")).otherwise(c)).alias(f"__{i}") for i, (c, o) in enumerate(zip(at.values(), objects))))
+    filled = {f: F.when(~F.lower(F.col(f"__{i}")).isin(X.FILLER_WORDS), F.col(f"__{i}")) for i, f in enumerate(names)}
+    value = {a: F.coalesce(*(filled[f] for f in fields.get(a, []))) if fields.get(a) else F.lit(None).cast("string") for a in ATTRIBUTES}
+    return rows.select(*kept, *(c.alias(f"v_{a}") for a, c in value.items()))
 
 
 def batch_order(profile_runs: DataFrame) -> DataFrame:
