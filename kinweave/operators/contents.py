@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -15,6 +16,7 @@ from kinweave.functions import values as V
 from kinweave.operators import records as R
 
 VALUES = ["given", "family", "email", "phone", "birth", "region", "postal", "number", "street", "kind", "direction", "unit", "town"]
+TYPED = "typed_name"
 _INNER = tuple(R.INNER_KEYS)
 
 
@@ -45,17 +47,33 @@ def values_of(payload: str | None, attribute: Callable[[str], str | None]) -> li
     ]
 
 
-def contents(raw: DataFrame, keep: Iterable[str]) -> DataFrame:
-    """``keep`` columns and VALUES of each non-deleted row with a payload."""
+def typed_name(payload: str | None, attribute: Callable[[str], str | None]) -> str:
+    """Given and family name as typed: NFC, lower case, single spaces, a null part left out."""
+    try:
+        got = json.loads(payload) if payload else None
+    except ValueError:
+        got = None
+    parts: dict[str, str] = {}
+    for k, v in got.items() if isinstance(got, dict) else ():
+        if v is not None and (a := attribute(k)) in ("given", "family") and a not in parts and (t := V.text_of(v, _INNER)) is not None:
+            parts[a] = t
+    return " ".join(unicodedata.normalize("NFC", " ".join(parts[a] for a in ("given", "family") if a in parts)).lower().split())
+
+
+def contents(raw: DataFrame, keep: Iterable[str], typed: bool = False) -> DataFrame:
+    """``keep`` columns and VALUES of each non-deleted row with a payload; with ``typed`` also the full name as typed."""
     keep = list(keep)
     rows = R.live(raw).select(*keep, "payload")
-    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, T.StringType()) for n in VALUES)])
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, T.StringType()) for n in (*VALUES, *([TYPED] if typed else [])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attribute = lru_cache(maxsize=None)(R.attribute_of)
         for b in batches:
-            got = [values_of(p, attribute) for p in b.column(len(keep)).to_pylist()]
-            cols = zip(*got) if got else [[] for _ in VALUES]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.string()) for c in cols)], [*keep, *VALUES])
+            payloads = b.column(len(keep)).to_pylist()
+            got = [values_of(p, attribute) for p in payloads]
+            cols = [*zip(*got)] if got else [[] for _ in VALUES]
+            if typed:
+                cols.append([typed_name(p, attribute) for p in payloads])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.string()) for c in cols)], [*keep, *VALUES, *([TYPED] if typed else [])])
 
     return rows.mapInArrow(run, schema)

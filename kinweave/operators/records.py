@@ -38,8 +38,8 @@ NAME_HINTS = [
     ("city", r"city|town|locality|municip"),
     ("region", r"(^|_)(state|region|province|county|prov)(_|$)"),
     ("street", r"street|(^|_)(addr|address|addr1|address1)(_|$)|(^|_)line_?1(_|$)"),
-    ("family", r"(^|_)(last|lname|surname|family|fam)(_|$)|lastname|familyname"),
-    ("given", r"(^|_)(first|fname|given|forename|fore)(_|$)|firstname|givenname"),
+    ("family", r"last_?name|name_?last|family|(^|_)(lname|surname|sname)(_|$)"),
+    ("given", r"first_?name|name_?first|given|fore_?name|(^|_)fname(_|$)"),
 ]
 #: Keys under which an object holds the value itself.
 INNER_KEYS = ["value", "number", "address", "text", "name"]
