@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import components, history
+from kinweave.llm import components, history, matching, names
 from kinweave.session import table
 
 
@@ -16,7 +16,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.grouped_records(table(spark, sf_dir, "match_scores"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.matches(table(spark, sf_dir, "raw_records_golden")).select("rec_a_key", "rec_b_key")
+
+
+def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.matches(table(spark, sf_dir, "raw_records_golden"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variants(table(spark, sf_dir, "raw_records_golden"), table(spark, sf_dir, "profile_runs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_confidence, p5_found)}
 
 SQL = {
     "p3_found": """
