@@ -100,6 +100,9 @@ def parse(line: str | None, towns: frozenset | set | None = None) -> Address:
         if re.search(r"[a-z]{2}", rest):
             unit, s = _unit(m[1]), rest
     parts = [p for p in ([*_TOKEN.findall(x.replace("'", ""))] for x in s.split(",")) if p]
+    for p in [p for p in parts if len(p) == 2 and len(p[0]) == 2 and p[0].isalpha() and len(p[1]) == 5 and p[1].isdigit() and len(parts) > 1]:
+        region, postal = region or p[0], postal or p[1]  # region and postal code before the street
+        parts.remove(p)
     if not parts:
         return NOTHING
     # the part with the street: the first that has a house number and a word, or the first with a word

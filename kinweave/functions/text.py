@@ -14,7 +14,7 @@ FILLER_WORDS = [
 NOBODY_LOCAL = ["test", "nobody", "none", "na", "n.a", "no", "null", "unknown", "noemail", "no-email", "nomail", "noreply", "no-reply", "donotreply", "anonymous", "blank", "missing", "xxx"]
 NOBODY_DOMAIN = ["invalid.example", "none.example", "invalid", "none", "nowhere.example", "example.invalid"]
 # Dates and digits that systems fill in by default.
-DEFAULT_DATES = ["1900-01-01", "1901-01-01", "1970-01-01", "0001-01-01", "1111-11-11", "9999-12-31", "9999-09-09"]
+DEFAULT_DATES = ["1900-01-01", "1901-01-01", "1970-01-01", "0001-01-01", "1111-11-11", "9999-12-31", "9999-09-09", "2099-12-31"]
 DEFAULT_DIGITS = ["1234567890", "0123456789", "9876543210"]
 # Letters with marks and what they are without.
 MARKED = "àáâãäåāăąçćĉčďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįıĵķĺļľłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżžð"
