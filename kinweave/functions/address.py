@@ -133,8 +133,8 @@ def parse(line: str | None, towns: frozenset | set | None = None) -> Address:
                     break
     if after:
         town = town_norm(" ".join(after))
-    elif at and towns and len(parts[at - 1]) <= 3:  # a town before the street
-        town = near_town(" ".join(parts[at - 1]), towns)
+    elif at and towns:  # a town before the street
+        town = next((t for p in parts[:at] if len(p) <= 3 and (t := near_town(" ".join(p), towns)) in towns), None)
     lead = trail = None
     if len(words) > 1 and words[0] in _DIR:
         lead, words = _DIR[words[0]], words[1:]
