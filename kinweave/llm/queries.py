@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import components, history, matching, names
+from kinweave.llm import components, history, leakage, matching, names, packing, places, spam, survivors
 from kinweave.session import table
 
 
@@ -28,7 +28,35 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variants(table(spark, sf_dir, "raw_records_golden"), table(spark, sf_dir, "profile_runs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_confidence, p5_found)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(table(spark, sf_dir, "entity_membership"), table(spark, sf_dir, "int_std_records")).select("entity_id", "attribute", "record_key")
+
+
+def p6_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.judged(survivors.cut(survivors.claims(survivors.members(table(spark, sf_dir, "entity_membership"), table(spark, sf_dir, "int_std_records")))))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.same_door(table(spark, sf_dir, "address_golden"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_targets"))
+
+
+def p8_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.filling(packing.cut(p8_containers(spark, sf_dir)), table(spark, sf_dir, "pack_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_confidence, p5_found, p6_found, p6_values, p7_found, p8_containers, p8_filling, p9_found, p10_found)}
 
 SQL = {
     "p3_found": """
