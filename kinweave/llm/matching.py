@@ -33,7 +33,7 @@ from kinweave.session import cut
 
 WINDOW = 8
 #: Rows of a sorted partition, and so of one task.
-PARTITION_ROWS = 200_000
+PARTITION_ROWS = 100_000
 
 
 def versions(raw: DataFrame) -> DataFrame:

@@ -143,6 +143,20 @@ def evidence(a: Sequence, b: Sequence) -> float:
     return out
 
 
+_POP = np.array([bin(i).count("1") for i in range(1 << 13)], dtype=np.int8)
+
+
+@lru_cache(maxsize=200_000)
+def _letters(s: str | None) -> int:
+    return sum({1 << (ord(c) - 97) for c in s if "a" <= c <= "z"}) if s else 0
+
+
+def _unlike_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Letters that only one of two words has; two slips make four at most."""
+    x = a ^ b
+    return _POP[x & 0x1FFF] + _POP[x >> 13]
+
+
 class Block:
     """Records as columns of codes, for bounds over many pairs at once."""
 
@@ -150,11 +164,22 @@ class Block:
         self.cols = {c: table.column(c).to_pylist() for c in COLUMNS}
         given = [canon_given(s) for s in self.cols["given"]]
         family = [" ".join(tokens(s)) or None for s in self.cols["family"]]
-        self.codes = {c: self._code(table.column(c)) for c in ("email", "phone", "birth", "postal")}
-        self.codes["given"], self.codes["family"] = self._code(pa.chunked_array([pa.array(given, pa.string())])), self._code(pa.chunked_array([pa.array(family, pa.string())]))
+        self.codes = {c: self._code(table.column(c)) for c in ("email", "phone", "birth", "postal", "number")}
+        names = self._code(pa.chunked_array([pa.array(given + family, pa.string())]))
+        self.codes["given"], self.codes["family"] = names[: len(given)], names[len(given) :]
         door = pc.binary_join_element_wise(table.column("number"), table.column("street"), pc.fill_null(table.column("unit"), ""), "|")
         self.codes["door"] = self._code(door)
-        self.odd = np.array([g is None or f is None or len(g) == 1 for g, f in zip(given, family)])
+        # short, cut, many-worded and ambiguous names can be near without like letters
+        loose = lambda w: w is not None and (len(w) < 5 or " " in w)
+        plain_given = [tokens(s) for s in self.cols["given"]]
+        self.loose = {
+            "given": np.array([loose(w) or len(t) > 1 or any(x in _FULL or x in NICKNAMES for x in t) for w, t in zip(given, plain_given)], dtype=bool),
+            "family": np.array([loose(w) for w in family], dtype=bool),
+        }
+        self.letters = {"given": np.array([_letters(w) for w in given], dtype=np.int32), "family": np.array([_letters(w) for w in family], dtype=np.int32), "street": np.array([_letters(w) for w in self.cols["street"]], dtype=np.int32)}
+        self.initial = {k: np.array([ord(w[0]) if w else 0 for w in v], dtype=np.int32) for k, v in (("given", given), ("family", family))}
+        day = [(d.replace("-", "") + "        ")[:8] if d else " " * 8 for d in self.cols["birth"]]
+        self.digits = np.frombuffer("".join(day).encode("latin-1", "replace"), dtype=np.uint8).reshape(len(day), 8)
 
     @staticmethod
     def _code(col: pa.ChunkedArray) -> np.ndarray:
@@ -162,26 +187,60 @@ class Block:
         d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
         return pc.fill_null(d.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
+    def _name_bounds(self, kind: str, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and most evidence of one half of the names."""
+        yes, near, no = EVIDENCE[kind]
+        a, b = self.codes[kind][i], self.codes[kind][j]
+        both, same = (a >= 0) & (b >= 0), a == b
+        other = self.codes["family" if kind == "given" else "given"]
+        loose, first = self.loose[kind], self.initial[kind]
+        may = _unlike_letters(self.letters[kind][i], self.letters[kind][j]) <= 4
+        # a pet form has another initial now and then; short and cut names need the same one
+        may |= (loose[i] | loose[j]) & (first[i] == first[j])
+        if kind == "given":
+            may |= loose[i] & loose[j]
+        may |= (self.codes[kind][i] == other[j]) | (other[i] == self.codes[kind][j])
+        many = self.loose["family"][i] | self.loose["family"][j]  # double names
+        if kind == "family":
+            may |= many
+        low = np.where(both, np.where(same, yes, no), no)
+        high = np.where(both, np.where(same, yes, np.where(may, yes, no)), yes)
+        return low, high
+
     def scores(self, i: np.ndarray, j: np.ndarray, least: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
         """(positions of the pairs with enough evidence, their evidence)."""
-        low, high = np.zeros(len(i)), np.zeros(len(i))
-        for kind in ("email", "phone", "birth", "given", "family", "door"):
+        base = np.zeros(len(i))
+        for kind in ("email", "phone"):
             a, b = self.codes[kind][i], self.codes[kind][j]
-            both, same = (a >= 0) & (b >= 0), a == b
-            yes, near, no = EVIDENCE[kind]
-            low += np.where(both, np.where(same, yes, no), min(0, no) if kind in ("given", "family") else 0)
-            soft = {"email": no, "phone": no, "birth": near, "given": near, "family": near, "door": near}[kind]
-            high += np.where(both, np.where(same, yes, soft), 3.5 if kind in ("given", "family") else 0)
+            base += np.where((a >= 0) & (b >= 0), np.where(a == b, EVIDENCE[kind][0], EVIDENCE[kind][2]), 0)
+        a, b = self.codes["birth"][i], self.codes["birth"][j]
+        x, y = self.digits[i], self.digits[j]
+        near = ((x != y).sum(axis=1) <= 1) | ((x[:, :4] == y[:, :4]).all(axis=1) & (x[:, 4:6] == y[:, 6:]).all(axis=1) & (x[:, 6:] == y[:, 4:6]).all(axis=1))
+        yes, some, no = EVIDENCE["birth"]
+        base += np.where((a >= 0) & (b >= 0), np.where(a == b, yes, np.where(near, some, no)), 0)
+        a, b = self.codes["door"][i], self.codes["door"][j]
+        both, same = (a >= 0) & (b >= 0), a == b
+        like = (self.codes["number"][i] == self.codes["number"][j]) & (_unlike_letters(self.letters["street"][i], self.letters["street"][j]) <= 4)
+        yes, _, no = EVIDENCE["door"]
+        low = base + np.where(both, np.where(same, yes, no), min(0, no))
+        high = base + np.where(both, np.where(same | like, yes, no), np.where(like, yes, 0))
         a, b = self.codes["postal"][i], self.codes["postal"][j]
-        low += np.where((a >= 0) & (b >= 0) & (a == b), EVIDENCE["town"][0], EVIDENCE["town"][2])
-        high += EVIDENCE["town"][0]
+        known = (a >= 0) & (b >= 0)
+        low += np.where(known & (a == b), EVIDENCE["town"][0], EVIDENCE["town"][2])
+        high += np.where(known, np.where(a == b, EVIDENCE["town"][0], EVIDENCE["town"][2]), EVIDENCE["town"][0])
+        for kind in ("given", "family"):
+            lo, hi = self._name_bounds(kind, i, j)
+            low, high = low + lo, high + hi
         sure = low >= least
         ask = np.flatnonzero(~sure & (high >= least))
-        rows = list(zip(*(self.cols[c] for c in COLUMNS))) if len(ask) else []
-        exact = np.array([evidence(rows[x], rows[y]) for x, y in zip(i[ask], j[ask])]) if len(ask) else np.zeros(0)
-        out = low.copy()
+        exact = np.zeros(0)
+        if len(ask):
+            cols = [self.cols[c] for c in COLUMNS]
+            pick = {x: tuple(c[x] for c in cols) for x in np.unique(np.concatenate([i[ask], j[ask]])).tolist()}
+            exact = np.array([evidence(pick[x], pick[y]) for x, y in zip(i[ask].tolist(), j[ask].tolist())])
+        out = low
         out[ask] = exact
-        hit = np.flatnonzero(sure | np.isin(np.arange(len(i)), ask[exact >= least]))
+        hit = np.flatnonzero(out >= least)
         return hit, out[hit]
 
 
