@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from kinweave.plans import drift_queries
+from kinweave.plans import drift_queries, linkage_queries  # noqa: F401
+from kinweave.plans.registry import QUERIES, SQL
 
-_MODULES = [drift_queries]
-
-QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
-SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
+QUERIES |= drift_queries.QUERIES
+SQL |= drift_queries.SQL
