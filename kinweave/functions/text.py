@@ -47,6 +47,13 @@ def unmark(c: Column) -> Column:
     return F.regexp_replace(unmark_text(c), r"\p{M}+", "")
 
 
+def strip_accents(c: Column) -> Column:
+    """Text without accents; letters that no accent is part of, such as ø and ł, stay."""
+    keep = [(a, b) for a, b in zip(_FROM, _TO) if a not in "đħıłøŧð"]
+    s = F.translate(c, "".join(a for a, _ in keep), "".join(b for _, b in keep))
+    return F.regexp_replace(s, r"\p{M}+", "")
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\p{Z}\s]+", " "))
 

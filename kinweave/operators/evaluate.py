@@ -13,15 +13,15 @@ from kinweave.operators import linkage as L
 def truth_space(labelled: DataFrame, positives_missed: Column | None = None) -> DataFrame:
     """Confusion counts and rates at each threshold on ``match_weight``: a pair is predicted to match from
     the threshold on. ``labelled``: match_weight, is_match."""
-    g = labelled.groupBy(F.round("match_weight", 4).alias("threshold")).agg(F.count_if("is_match").alias("p"), F.count_if(~F.col("is_match")).alias("n"))
+    g = labelled.groupBy(F.round("match_weight", 4).alias("threshold")).agg(F.count_if(F.col("is_match")).alias("p"), F.count_if(~F.col("is_match")).alias("n"))
     up = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = g.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    whole = g.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     x = g.crossJoin(F.broadcast(whole)).withColumn("tp", F.sum("p").over(up)).withColumn("fp", F.sum("n").over(up))
-    x = x.select("threshold", "P", "N", "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"), (F.col("N") - F.col("fp")).alias("tn"))
+    x = x.select("threshold", "all_p", "all_n", "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("fp")).alias("tn"))
     share = lambda a, b: F.try_divide(F.expr(a), F.expr(b))
     return x.select(
-        "*", share("tp", "P").alias("recall"), share("tn", "N").alias("specificity"), share("tp", "tp + fp").alias("precision"), share("tn", "tn + fn").alias("npv"),
-        share("fp", "N").alias("fp_rate"), share("fn", "P").alias("fn_rate"), share("tp + tn", "P + N").alias("accuracy"), share("2 * tp", "2 * tp + fp + fn").alias("f1"), share("5 * tp", "5 * tp + fp + 4 * fn").alias("f2"),
+        "*", share("tp", "all_p").alias("recall"), share("tn", "all_n").alias("specificity"), share("tp", "tp + fp").alias("precision"), share("tn", "tn + fn").alias("npv"),
+        share("fp", "all_n").alias("fp_rate"), share("fn", "all_p").alias("fn_rate"), share("tp + tn", "all_p + all_n").alias("accuracy"), share("2 * tp", "2 * tp + fp + fn").alias("f1"), share("5 * tp", "5 * tp + fp + 4 * fn").alias("f2"),
         share("1.25D * tp", "1.25D * tp + fp + 0.25D * fn").alias("f0_5"), F.try_divide(F.expr("cast(tp AS double) * tn - cast(fp AS double) * fn"), F.sqrt(F.expr("cast(tp + fp AS double) * (tp + fn) * (tn + fp) * (tn + fn)"))).alias("mcc"),
     )
 
@@ -70,7 +70,7 @@ def closure_pairs(membership: DataFrame) -> DataFrame:
 def pairwise(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(tp, fp, fn, precision, recall, f1) of pairs (a, b); nothing found is fully precise, nothing to find is found."""
     x = found.select("a", "b", F.lit(1).alias("f")).join(truth.select("a", "b", F.lit(1).alias("t")), ["a", "b"], "full")
-    c = x.agg(F.count_if("f = 1 AND t = 1").alias("tp"), F.count_if("f = 1 AND t IS NULL").alias("fp"), F.count_if("f IS NULL AND t = 1").alias("fn"))
+    c = x.agg(F.count_if(F.expr("f = 1 AND t = 1")).alias("tp"), F.count_if(F.expr("f = 1 AND t IS NULL")).alias("fp"), F.count_if(F.expr("f IS NULL AND t = 1")).alias("fn"))
     c = c.withColumn("precision", F.expr("CASE WHEN tp + fp = 0 THEN 1D ELSE tp / (tp + fp) END")).withColumn("recall", F.expr("CASE WHEN tp + fn = 0 THEN 1D ELSE tp / (tp + fn) END"))
     return c.withColumn("f1", F.expr("CASE WHEN precision + recall = 0 THEN 0D ELSE 2 * precision * recall / (precision + recall) END"))
 

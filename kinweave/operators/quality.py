@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def snapshot(std: DataFrame, membership: DataFrame, scores: DataFrame, auto: float = 0.95, review: float = 0.6) -> DataFrame:
     """One row: records, entities, duplicate records and groups, largest group, pairs by band."""
     sizes = membership.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    m = sizes.agg(F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_records"), F.count_if("n > 1").alias("duplicate_groups"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_group"))
+    m = sizes.agg(F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_records"), F.count_if(F.expr("n > 1")).alias("duplicate_groups"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_group"))
     p = F.col("match_probability")
     b = scores.filter("is_active").agg(F.count_if(p >= auto).alias("auto_merge"), F.count_if((p >= review) & (p < auto)).alias("review"), F.count_if(p < review).alias("reject"))
     return std.agg(F.count(F.lit(1)).alias("records")).crossJoin(m).crossJoin(b)
@@ -22,7 +22,7 @@ def by_source(membership: DataFrame) -> DataFrame:
     """(source_system, records, duplicate_records, groups): of each source, records that share an entity and groups it contributes to."""
     sizes = membership.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     x = membership.join(sizes, "entity_id")
-    return x.groupBy("source_system").agg(F.count(F.lit(1)).alias("records"), F.count_if("n > 1").alias("duplicate_records"), F.countDistinct(F.when(F.col("n") > 1, F.col("entity_id"))).alias("groups"))
+    return x.groupBy("source_system").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.expr("n > 1")).alias("duplicate_records"), F.countDistinct(F.when(F.col("n") > 1, F.col("entity_id"))).alias("groups"))
 
 
 def record_quality(std: DataFrame, columns: Sequence[str], now: Column, days: int = 365) -> DataFrame:
@@ -66,7 +66,7 @@ def screening(records: DataFrame, scores: DataFrame, auto: float = 0.95, review:
     s = scores.filter("is_active")
     ends = s.select(F.col("rec_a_key").alias("record_key"), "match_probability").unionByName(s.select(F.col("rec_b_key").alias("record_key"), "match_probability"))
     best = records.select("record_key").distinct().join(ends.groupBy("record_key").agg(F.max("match_probability").alias("p")), "record_key", "left")
-    return best.agg(F.count_if("p >= %f" % auto).alias("matched"), F.count_if(F.expr(f"p >= {review} AND p < {auto}")).alias("review"), F.count_if(F.expr(f"p IS NULL OR p < {review}")).alias("unmatched"))
+    return best.agg(F.count_if(F.col("p") >= auto).alias("matched"), F.count_if(F.expr(f"p >= {review} AND p < {auto}")).alias("review"), F.count_if(F.expr(f"p IS NULL OR p < {review}")).alias("unmatched"))
 
 
 def duplicate_groups(membership: DataFrame, least: int = 2, after: str | None = None, k: int = 50) -> DataFrame:

@@ -30,7 +30,7 @@ def null_semantics(c: Column) -> Column:
 
 
 def name_norm(c: Column) -> Column:
-    s = F.regexp_replace(X.unmark(F.trim(c)), "[-_]", " ")
+    s = F.regexp_replace(X.strip_accents(F.lower(F.trim(c))), "[-_]", " ")
     s = F.trim(F.regexp_replace(F.regexp_replace(s, "[.'’,]", ""), " +", " "))
     return null_semantics(s)
 

@@ -21,4 +21,10 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_alternatives": p2_alternatives, "p2_unified": p2_unified}
-SQL: dict[str, str] = {}
+_TYPE = "CASE json_type(payload, '$.' || field) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END"
+SQL: dict[str, str] = {
+    "p2_alternatives": f"""WITH o AS (SELECT ingest_batch_id, min(snapshot) AS no FROM profile_runs WHERE subject = 'raw' AND ingest_batch_id IS NOT NULL GROUP BY 1),
+        f AS (SELECT source_system, ingest_batch_id, unnest(json_keys(payload)) AS field, payload FROM raw_records_golden WHERE NOT coalesce(is_deleted, false) AND payload IS NOT NULL),
+        t AS (SELECT source_system, ingest_batch_id, field, {_TYPE} AS type FROM f), g AS (SELECT source_system, field, type, ingest_batch_id, coalesce(no, 4611686018427387904) AS no, count(*) AS n FROM t LEFT JOIN o USING (ingest_batch_id) WHERE type IS NOT NULL GROUP BY ALL)
+        SELECT source_system, field, type, min_by(ingest_batch_id, (no, ingest_batch_id)) AS first_batch, count(*) AS n_batches, sum(n)::BIGINT AS n_values FROM g GROUP BY 1, 2, 3""",
+}
