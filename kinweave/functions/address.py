@@ -190,10 +190,11 @@ def slips(a: str, b: str, most: int = 2) -> int:
     if not a or not b:
         d = len(a) + len(b)
         return d if d <= most else most + 1
-    two, one = None, list(range(len(b) + 1))
-    for x in range(1, len(a) + 1):
-        row = [x] + [0] * len(b)
-        for y in range(1, len(b) + 1):
+    far = most + 1
+    two, one = None, [min(y, far) for y in range(len(b) + 1)]
+    for x in range(1, len(a) + 1):  # only cells within ``most`` of the diagonal can matter
+        row = [min(x, far)] + [far] * len(b)
+        for y in range(max(1, x - most), min(len(b), x + most) + 1):
             c = a[x - 1] != b[y - 1]
             v = min(one[y] + 1, row[y - 1] + 1, one[y - 1] + c)
             if two and y > 1 and a[x - 1] == b[y - 2] and a[x - 2] == b[y - 1]:

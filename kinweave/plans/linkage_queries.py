@@ -322,3 +322,32 @@ def em_session(spark, d):
     got = T.em_session(C.people(spark, d), C.PLAIN, L.Rule(("email",)))
     m = T.trained(C.PLAIN, {k: list(zip(*v)) for k, v in got["levels"].items()}, got["prior"])
     return T.report(spark, m).withColumn("prior", F.lit(float(got["prior"])))
+
+
+@query()
+def run_all(spark, d):
+    """Deliveries to golden records in one plan."""
+    from kinweave.plans import pipeline
+
+    return pipeline.run_all(table(spark, d, "raw_records_golden"), C.PLAIN, C.RANK, ["completeness", "recency", "source_priority"])
+
+
+_REST = "source_system <> 'crm'"
+
+
+@query(f"WITH {STD}, mem AS (SELECT record_key, entity_id FROM entity_membership QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY assigned_at DESC NULLS LAST, id DESC) = 1), old AS (SELECT * FROM std WHERE {_REST}), new AS (SELECT * FROM std WHERE source_system = 'crm'), {C.pairs_sql('old', 'new', 'true')}, {C.weights_sql()} SELECT record_key_r AS probe, record_key_l AS record_key, entity_id, floor(100 * mp)::BIGINT AS confidence, CASE WHEN mp >= 0.95 THEN 'auto_merge' WHEN mp >= 0.6 THEN 'review' ELSE 'reject' END AS band FROM (SELECT *, 1 / (1 + pow(2, -mw)) AS mp FROM scored) LEFT JOIN mem ON mem.record_key = record_key_l WHERE mp >= 0.6")
+def resolve_records(spark, d):
+    """Which entities the records of one source may be, given those of the others."""
+    from kinweave.plans import pipeline
+
+    df = C.people(spark, d)
+    return pipeline.resolve_one(df.filter("source_system = 'crm'"), df.filter(_REST), C.membership(spark, d), C.PLAIN)
+
+
+@query(f"WITH {STD}, {C.pairs_sql()}, {C.weights_sql()}, a AS (SELECT record_key_l AS a, record_key_r AS b, 0 AS member FROM scored WHERE match_key = '1' OR (match_key = '0' AND gamma_email = 2)), x AS (SELECT l.record_key AS a, r.record_key AS b FROM std l JOIN std r ON l.phone_e164 = r.phone_e164 WHERE l.record_key < r.record_key) SELECT a, b, member FROM a UNION ALL SELECT a, b, 1 FROM x WHERE (a, b) NOT IN (SELECT (a, b) FROM a)")
+def ensemble_cascade(spark, d):
+    """Two models in a cascade: pairs by e-mail, then pairs by phone that the first didn't take."""
+    from kinweave.plans import pipeline
+
+    first, second = (L.Model("record_key", (L.Rule((k,)),), C.PLAIN.comparisons, C.PLAIN.prior) for k in ("email", "phone_e164"))
+    return pipeline.ensemble(C.people(spark, d), [(first, 0.0), (second, 0.0)]).select("a", "b", "member")

@@ -10,7 +10,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
     """A CSV file with a header. Without a schema columns are BIGINT, DOUBLE or text; dates stay text."""
     if schema is not None:
         return spark.read.csv(path, header=True, schema=schema)
-    df = spark.read.csv(path, header=True, inferSchema=True, preferDate=False)
+    df = spark.read.csv(path, header=True, inferSchema=True)
     narrow = {"int": "bigint", "smallint": "bigint", "tinyint": "bigint", "float": "double"}
     text = [c for c, t in df.dtypes if t not in ("bigint", "double", *narrow)]
     if text:  # read those again as text: a date turned back into text isn't what the file says
