@@ -113,10 +113,10 @@ def holds(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> bool:
         best.append(keep)
         for s, c in keep:
             words = i + n - s
-            for k in range(0, c + 1):  # an altered word may also stand at either end
-                if words + k >= least and c + k <= (words + k) // ALTERED and s + words + k <= len(item) + s:
-                    if k == 0 or words + k <= len(item):
-                        return True
+            before, behind = min(s, j - (i - s)), min(len(item) - i - n, len(doc) - j - n)
+            # altered words may also stand at either end
+            if any(words + k >= least and c + k <= (words + k) // ALTERED for k in range(max(0, min(before + behind, least)) + 1)):
+                return True
     return False
 
 

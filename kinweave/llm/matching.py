@@ -11,7 +11,7 @@ the rest of the key. Exact copies and unchanged versions are folded before. The
 edge of each sorted partition (window - 1 at either end) meet in one small task bounded by the
 number of partitions.
 
-Defined results: records without any usable value match nothing; nulls are no evidence; ties go to
+Defined results: records without any usable value match nothing; nulls are no evidence; rows without a source or record id have no key and are left out; ties go to
 the smaller keys; repeated rows change nothing; an empty table gives no rows; further columns are
 ignored.
 """
@@ -39,7 +39,8 @@ PARTITION_ROWS = 100_000
 def versions(raw: DataFrame) -> DataFrame:
     """Distinct versions of each record key: key, source_system and the compared values. A record
     without any usable value keeps one row of nulls."""
-    rows = C.contents(raw.withColumn("key", F.concat("source_system", F.lit(":"), "source_record_id")), ["key", "source_system"])
+    key = F.concat("source_system", F.lit(":"), "source_record_id")
+    rows = C.contents(raw.select(key.alias("key"), "source_system", "payload", "is_deleted").filter("key IS NOT NULL"), ["key", "source_system"])
     return rows.select("key", "source_system", *P.COLUMNS).distinct()
 
 

@@ -89,11 +89,17 @@ def _best(a: Sequence[str], b: Sequence[str]) -> float | None:
     return max((token_alike(x, y) for x in a for y in b), default=None)
 
 
+#: A name of more words than this is compared as a whole.
+MOST_WORDS = 40
+
+
 @lru_cache(maxsize=400_000)
 def name_alike(ga: str | None, fa: str | None, gb: str | None, fb: str | None) -> tuple[float | None, float | None]:
     """(likeness of given names, of family names), None where a side has none; swapped parts and
     names written whole into one field are taken apart."""
     a1, a2, b1, b2 = tokens(ga), tokens(fa), tokens(gb), tokens(fb)
+    if max(map(len, (a1, a2, b1, b2))) > MOST_WORDS:
+        return (None if not a1 or not b1 else float(a1 == b1)), (None if not a2 or not b2 else float(a2 == b2))
     g, f = _best(a1, b1), _best(a2, b2)
     if (g is None or g < 0.7) or (f is None or f < 0.7):
         g2, f2 = _best(a1, b2), _best(a2, b1)

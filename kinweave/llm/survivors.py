@@ -118,6 +118,8 @@ def judged(made: DataFrame) -> DataFrame:
     sources = sorted(r.source_system for r in made.select("source_system").distinct().limit(MOST_SOURCES + 1).collect() if r.source_system)
     if len(sources) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
+    if not sources:  # no claim at all
+        return made.select("entity_id", "attribute", "value", F.lit(0).cast("long").alias("records"), F.lit(None).cast("double").alias("p_true")).limit(0)
     stated = cut(_stated(made, sources))
     counts: dict[str, list] = {}
     for r in stated.groupBy("attribute", "seen").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 3^sources for each attribute
