@@ -39,11 +39,11 @@ _WORDS = {w: i for i, w in enumerate(sorted({w for ws in FUNCTION_WORDS.values()
 _KINDS = ["edge", "again", "lower", "capital", "number", "mixed", "link", "tag", "stop", "comma", "colon", "bracket", "rule", "other", "line"]
 _KIND = {k: len(_WORDS) + i for i, k in enumerate(_KINDS)}
 N_CLASSES = len(_WORDS) + len(_KINDS)
-_TOKEN = re.compile(r"(?P<link></?[aA](?:\s[^<>]*)?>|(?:[hH][tT][tT][pP][sS]?://|www\.)[^\s<>\"')\]]+)|(?P<tag>\#[^\W\d]\w*)|(?P<word>[^\W_]+(?:[_'’][^\W_]+)*)|(?P<line>\n\s*)|(?P<mark>[^\w\s])")
+_TOKEN = re.compile(r"</?[aA](?:\s[^<>]*)?>|(?:[hH][tT][tT][pP][sS]?://|www\.)[^\s<>\"')\]]+|\#[^\W\d]\w*|[^\W_]+(?:[_'’][^\W_]+)*|\n\s*|[^\w\s]")
 _MARK = {".": "stop", "!": "stop", "?": "stop", "…": "stop", ",": "comma", ";": "colon", ":": "colon", "(": "bracket", ")": "bracket", "[": "bracket", "]": "bracket", "<": "bracket", ">": "bracket", "|": "rule", "/": "rule", "•": "rule", "-": "rule", "*": "rule", "·": "rule"}
 WIDTH = 2.0
-#: Surprise from which on a share of function words like that of prose doesn't save a page.
-FAR = 8.0
+#: Surprise from which on a share of function words up to FAR_SHARE, as prose may have, doesn't save a page.
+FAR, FAR_SHARE = 8.0, 0.4
 SPAM_SHARE = 0.5
 #: A content word counts as said again if it is among so many before it.
 RECENT = 12
@@ -53,28 +53,54 @@ PROSE_SHARE = 0.25
 REPEATS = 3
 
 
+def _class(s: str) -> tuple[int, str | None]:
+    """(class, the content word in lower case or None) of one token."""
+    c = s[0]
+    if c == "\n":
+        return _KIND["line"], None
+    if len(s) > 1 and (c == "<" or "://" in s or s.startswith("www.")):
+        return _KIND["link"], None
+    if c == "#" and len(s) > 1:
+        return _KIND["tag"], None
+    if not c.isalnum():
+        return _KIND[_MARK.get(s, "other")], None
+    low = s.lower()
+    if (w := _WORDS.get(low)) is not None:
+        return w, None
+    if s.isdigit():
+        return _KIND["number"], None
+    if any(ch.isdigit() for ch in s):
+        return _KIND["mixed"], None
+    return _KIND["capital" if c.isupper() else "lower"], low
+
+
+class _Known(dict):
+    """Classes of the tokens met so far; words recur, so most lookups are a dictionary's."""
+
+    def __missing__(self, s: str) -> tuple[int, str | None]:
+        got = _class(s)
+        if len(self) < 500_000:
+            self[s] = got
+        return got
+
+
+_KNOWN = _Known()
+
+
 def classes(text: str) -> np.ndarray:
     """Class of each token, with an edge at either end. Text wholly in capitals counts as lower case."""
     if text.isupper():
         text = text.lower()
-    out, recent, at = [_KIND["edge"]], [""] * RECENT, 0
-    for m in _TOKEN.finditer(text):
-        kind, s = m.lastgroup, m[0]
-        if kind == "word":
-            c = _WORDS.get(s.lower())
-            if c is None:
-                kind = "number" if s.isdigit() else "mixed" if any(ch.isdigit() for ch in s) else "capital" if s[0].isupper() else "lower"
-                if kind in ("lower", "capital"):
-                    w = s.lower()
-                    if w in recent:
-                        kind = "again"
-                    recent[at % RECENT] = w
-                    at += 1
-                c = _KIND[kind]
-        else:
-            c = _KIND[_MARK.get(s, "other") if kind == "mark" else kind]
+    edge, again = _KIND["edge"], _KIND["again"]
+    out, recent, at = [edge], [""] * RECENT, 0
+    for c, word in map(_KNOWN.__getitem__, _TOKEN.findall(text)):
+        if word is not None:
+            if word in recent:
+                c = again
+            recent[at % RECENT] = word
+            at += 1
         out.append(c)
-    out.append(_KIND["edge"])
+    out.append(edge)
     return np.array(out, dtype=np.int64)
 
 
@@ -141,9 +167,18 @@ class Model:
 
 
 _RECORD = re.compile(
-    r"^\s*(?:[\[(]?\d{1,2}:\d\d|\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|(?:\w+: ?)?\[[^\]]*\]\s*$|[\w.-]+:\s*\[[^\]]*\]\s*$|[\w.-]+:\s*$|[\w.-]+\s*[=:]\s*\S+\s*$|\d+(?:\.\d+)+\s|#\s)|(?:[^,\n]*[^,\s],(?=\S)){3,}|\.{4,}\s*\d+\s*$|(?:^[^\n]*\t){2,}"
+    r"\s*(?:[\[(]?\d{1,2}:\d\d|\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|(?:[\w.-]{1,80}: ?)?\[[^\]]{0,300}\]\s*$|[\w.-]{1,80}:\s*$|[\w.-]{1,80}\s?[=:]\s*\S+\s*$|\d+(?:\.\d+)+\s|#\s)"
 )
-_LINKED = re.compile(r"<a\s[^>]*>(.*?)</a>|\[([^\]\n]*)\]\(\s*(?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)[^\s<>\"')\]]+", re.I | re.S)
+_CELL = re.compile(r"[^,\s],(?=\S)")
+_LEADER = re.compile(r"\.{4}\s{0,20}\d{1,6}\s{0,20}$")
+_LINKED = re.compile(r"<a\s[^<>]{0,2000}>([^<]{0,500})</a>|\[([^\]\[\n]{0,300})\]\(\s{0,5}(?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
+
+
+def _is_record(line: str) -> bool:
+    """A line of a table, log, configuration or list of contents."""
+    return bool(_RECORD.match(line)) or line.count("\t") >= 2 or len(_CELL.findall(line)) >= 3 or bool(_LEADER.search(line))
+
+
 _TAG = re.compile(r"#[^\W\d]\w*")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -163,7 +198,7 @@ def stuffed_share(text: str) -> float:
             total += inside
             stuffed += inside
             words = _WORD.findall(rest)
-        elif _RECORD.search(line):
+        elif _is_record(line):
             total += len(_WORD.findall(line))
             continue
         else:
@@ -204,7 +239,7 @@ def _score(shared):
     return run
 
 
-def scored(documents: DataFrame, low: float = 0.3, high: float = 0.6) -> DataFrame:
+def scored(documents: DataFrame, low: float = 0.3, high: float = 0.75) -> DataFrame:
     """(doc_id, bits, function_share, stuffed, z): each page's surprise under the prose model, with its
     robust distance from the prose. low, high: shares of function words between which a page is prose."""
     spark = documents.sparkSession
@@ -221,4 +256,4 @@ def scored(documents: DataFrame, low: float = 0.3, high: float = 0.6) -> DataFra
 
 def spam(documents: DataFrame) -> DataFrame:
     """(doc_id) of keyword-stuffed and link-list pages."""
-    return scored(documents).filter((F.col("stuffed") > SPAM_SHARE) & (((F.abs("z") > WIDTH) & (F.col("function_share") < PROSE_SHARE)) | (F.col("z") > FAR))).select("doc_id").distinct()
+    return scored(documents).filter((F.col("stuffed") > SPAM_SHARE) & (((F.abs("z") > WIDTH) & (F.col("function_share") < PROSE_SHARE)) | ((F.col("z") > FAR) & (F.col("function_share") < FAR_SHARE)))).select("doc_id").distinct()
