@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinweave.functions import text as X
 from kinweave.llm import components, history, leakage, matching, names, packing, places, spam, survivors
 from kinweave.session import table
 
@@ -58,7 +59,32 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_confidence, p5_found, p6_found, p6_values, p7_found, p8_containers, p8_filling, p9_found, p10_found)}
 
+def _list(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+_FILLER = _list(X.FILLER_WORDS)
+_PHONE = "regexp_replace(regexp_replace(phone_e164, '[^0-9]', '', 'g'), '^1([0-9]{10})$', '\\1')"
+_LETTERS = "(length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g')) > 1)::INT"
+_CLAIMS = {
+    "given_name": ("lower(trim(given_name)) NOT IN " + _FILLER, _LETTERS.format("given_name")),
+    "family_name": ("lower(trim(family_name)) NOT IN " + _FILLER, _LETTERS.format("family_name")),
+    "email": (f"coalesce(email_valid, true) AND lower(email) NOT IN {_FILLER} AND contains(email, '@') AND split_part(lower(email), '@', 1) NOT IN {_list(X.NOBODY_LOCAL)} AND split_part(lower(email), '@', 2) NOT IN {_list(X.NOBODY_DOMAIN)}", "1"),
+    "phone_e164": (f"coalesce(phone_valid, true) AND length({_PHONE}) >= 7 AND {_PHONE} <> repeat(left({_PHONE}, 1), length({_PHONE})) AND {_PHONE} NOT IN {_list(X.DEFAULT_DIGITS)}", "1"),
+    "address": ("lower(trim(addr_street)) NOT IN " + _FILLER, " + ".join(f"({c} IS NOT NULL)::INT" for c in survivors.ADDRESS)),
+    "birth_date": (f"birth_date::VARCHAR NOT IN {_list(X.DEFAULT_DATES)}", "1"),
+}
+_P6 = " UNION ALL ".join(f"SELECT entity_id, record_key, source_system, coalesce(updated_at_source, ingested_at) AS upd, '{a}' AS attribute, {whole} AS whole FROM live WHERE {ok}" for a, (ok, whole) in _CLAIMS.items())
+
 SQL = {
+    "p6_found": f"""
+        WITH m AS (SELECT record_key, max_by(entity_id, (assigned_at, id)) AS entity_id FROM entity_membership WHERE record_key IS NOT NULL GROUP BY 1),
+        s AS (SELECT * FROM int_std_records WHERE record_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY ingested_at DESC NULLS LAST, id DESC) = 1),
+        x AS (SELECT s.*, entity_id FROM s JOIN m USING (record_key)),
+        live AS (SELECT * FROM x QUALIFY count(*) OVER (PARTITION BY entity_id) > 1), c AS ({_P6})
+        SELECT entity_id, attribute, record_key FROM c QUALIFY row_number() OVER (PARTITION BY entity_id, attribute ORDER BY whole DESC, upd DESC NULLS LAST,
+            CASE source_system WHEN 'crm' THEN 1 WHEN 'billing' THEN 2 WHEN 'webforms' THEN 3 ELSE 4 END, record_key) = 1
+    """,
     "p3_found": """
         WITH RECURSIVE last AS (
             SELECT least(rec_a_key, rec_b_key) AS a, greatest(rec_a_key, rec_b_key) AS b,
