@@ -159,7 +159,10 @@ def containers(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER,
         ids = pa.array([f"{at}{w}" for w in window], pa.string())
         return pa.table([t.column("target_id"), ids, t.column("doc_id"), t.column("piece"), t.column("start_token"), t.column("n_tokens")], names=_OUT.names)
 
-    packed = dealt.select("target_id", "capacity", "block", "doc_id", "piece", "start_token", "n_tokens").groupBy("target_id", "block").applyInArrow(run, _OUT)
+    # blocks are small but take a second of CPU each, so they are not put together by their bytes
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), documents.sparkSession.sparkContext.defaultParallelism)
+    spread = dealt.select("target_id", "capacity", "block", "doc_id", "piece", "start_token", "n_tokens").repartition(tasks, "target_id", "block")
+    packed = spread.groupBy("target_id", "block").applyInArrow(run, _OUT)
     return packed.unionByName(whole)
 
 
