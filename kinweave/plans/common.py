@@ -72,11 +72,11 @@ def weights_sql(tf: bool = False) -> str:
     cases = []
     for c in COMPARISONS:
         (m2, u2), (m1, u1), (m0, u0) = L._mu(c)
-        cases.append(f"CASE gamma_{c.column} WHEN 2 THEN {L.bits(m2, u2)!r} WHEN 1 THEN {L.bits(m1, u1)!r} WHEN 0 THEN {L.bits(m0, u0)!r} ELSE 0 END")
-    w = " + ".join([repr(math.log2(0.001 / 0.999)), *cases])
+        cases.append(f"CASE gamma_{c.column} WHEN 2 THEN {L.bits(m2, u2)!r}::DOUBLE WHEN 1 THEN {L.bits(m1, u1)!r}::DOUBLE WHEN 0 THEN {L.bits(m0, u0)!r}::DOUBLE ELSE 0::DOUBLE END")
+    w = " + ".join([f"{math.log2(0.001 / 0.999)!r}::DOUBLE", *cases])
     if tf:
         u = L._mu(COMPARISONS[0])[0][1]
-        w += f" + CASE WHEN gamma_given_name = 2 AND coalesce(tl.tf, tr.tf) IS NOT NULL THEN {math.log2(u)!r} - log2(greatest(coalesce(tl.tf, tr.tf), coalesce(tr.tf, tl.tf), 1e-9)) ELSE 0 END"
+        w += f" + CASE WHEN gamma_given_name = 2 AND coalesce(tl.tf, tr.tf) IS NOT NULL THEN {math.log2(u)!r}::DOUBLE - log2(greatest(coalesce(tl.tf, tr.tf), coalesce(tr.tf, tl.tf), 1e-9)) ELSE 0 END"
         src = "pairs LEFT JOIN tf tl ON tl.given_name = given_l LEFT JOIN tf tr ON tr.given_name = given_r"
         head = "tf AS (SELECT given_name, count(*) / (SELECT count(given_name) FROM std) AS tf FROM std WHERE given_name IS NOT NULL GROUP BY 1), "
     else:
