@@ -396,14 +396,14 @@ _LONG = "v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::VARCHAR
 
 
 @query(f"""WITH {_LONG} SELECT "column", sum(n)::BIGINT AS rows, coalesce(sum(n) FILTER (value IS NULL), 0)::BIGINT AS nulls, count(value) AS "distinct", count(*) FILTER (n = 1 AND value IS NOT NULL) AS singles, max(n) FILTER (value IS NOT NULL) AS mode_count, min(value) AS least, max(value) AS greatest,
-    min(length(value)) AS shortest, max(length(value)) AS longest, round(sum(length(value) * n) / sum(n) FILTER (value IS NOT NULL), 6) AS mean_length, coalesce(sum(n) FILTER (regexp_full_match(value, '[+-]?[0-9]+')), 0)::BIGINT AS integers, coalesce(sum(n) FILTER (regexp_full_match(value, '\\d{{4}}-\\d{{2}}-\\d{{2}}')), 0)::BIGINT AS dates,
+    min(length(value))::INT AS shortest, max(length(value))::INT AS longest, round(sum(length(value) * n) / sum(n) FILTER (value IS NOT NULL), 6) AS mean_length, coalesce(sum(n) FILTER (regexp_full_match(value, '[+-]?[0-9]+')), 0)::BIGINT AS integers, coalesce(sum(n) FILTER (regexp_full_match(value, '\\d{{4}}-\\d{{2}}-\\d{{2}}')), 0)::BIGINT AS dates,
     round(log2(sum(n) FILTER (value IS NOT NULL)) - sum(n * log2(n)) FILTER (value IS NOT NULL) / sum(n) FILTER (value IS NOT NULL), 6) AS entropy FROM g GROUP BY 1""")
 def column_shape(spark, d):
     x = P.shape(table(spark, d, "int_std_records"), _PC)
     return x.select("column", "rows", "nulls", "distinct", "singles", "mode_count", "least", "greatest", "shortest", "longest", r6("mean_length").alias("mean_length"), "integers", "dates", r6("entropy").alias("entropy"))
 
 
-@query(f'WITH {_LONG}, t AS (SELECT *, sum(n) OVER (PARTITION BY "column") AS total, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank FROM g WHERE value IS NOT NULL) SELECT "column", value, n AS count, round(n / total, 6) AS share, rank FROM t WHERE rank <= 5')
+@query(f'WITH {_LONG}, t AS (SELECT *, sum(n) OVER (PARTITION BY "column") AS total, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)::INT AS rank FROM g WHERE value IS NOT NULL) SELECT "column", value, n AS count, round(n / total, 6) AS share, rank FROM t WHERE rank <= 5')
 def top_values(spark, d):
     return P.top_values(table(spark, d, "int_std_records"), _PC, 5).withColumn("share", r6("share"))
 

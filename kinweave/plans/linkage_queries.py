@@ -103,7 +103,7 @@ def _key_sql(n, cols):
         FROM (SELECT count(*) AS n FROM std WHERE {ok} GROUP BY {", ".join(cols)})"""
 
 
-@query(f"WITH {STD} SELECT *, row_number() OVER (ORDER BY expected_pairs, key) AS rank FROM (" + " UNION ALL ".join(_key_sql(n, c) for n, c in _KEYS.items()) + ")")
+@query(f"WITH {STD} SELECT *, row_number() OVER (ORDER BY expected_pairs, key)::INT AS rank FROM (" + " UNION ALL ".join(_key_sql(n, c) for n, c in _KEYS.items()) + ")")
 def candidate_keys(spark, d):
     out = E.rank_keys(C.people(spark, d), _KEYS)
     return out.select("key", "expected_pairs", "largest_block", *(r6(c).alias(c) for c in ("coverage", "entropy", "null_pair_loss")), "rank")
