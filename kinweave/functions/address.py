@@ -21,7 +21,7 @@ STREET_TYPES = {
 DIRECTIONS = {"north": "n no", "south": "s so", "east": "e", "west": "w", "northeast": "ne", "northwest": "nw", "southeast": "se", "southwest": "sw"}
 ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth"]
 UNIT_WORDS = "apartment|apartmt|appartment|apmt|aptmt|apt|unit|suite|ste|room|rm|flat|floor|fl|number|numb|nbr|num|no|nr|#|door|lot|office|ofc"
-TOWN_WORDS = {"st": "saint", "ste": "saint", "mt": "mount", "mnt": "mount", "ft": "fort", "pt": "port", "prt": "port", "lk": "lake", "n": "north", "s": "south", "e": "east", "w": "west", "nw": "new"}
+TOWN_WORDS = {"st": "saint", "ste": "saint", "mt": "mount", "mnt": "mount", "ft": "fort", "pt": "port", "prt": "port", "lk": "lake", "north": "n", "new": "n", "nw": "n", "s": "south", "e": "east", "w": "west"}
 
 _TYPE = {w: t for t, ws in STREET_TYPES.items() for w in (t, *ws.split())}
 _DIR = {w: d for d, ws in DIRECTIONS.items() for w in (d, *ws.split()) if w not in ("no", "so")}
@@ -62,7 +62,7 @@ def plain(s: str | None) -> str:
 
 @lru_cache(maxsize=20000)
 def town_norm(s: str | None) -> str | None:
-    """A town's name with its short words written out."""
+    """A town's name with its short words written out; n. may be short for either north or new, so both become n."""
     words = _TOKEN.findall(plain(s).replace("'", ""))
     if not words:
         return None
