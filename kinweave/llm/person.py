@@ -5,6 +5,7 @@ lower and an upper bound, and, only where the bounds fall on both sides of the t
 by value with tolerance for slips, nicknames, initials, cut names and swapped parts.
 """
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -149,6 +150,7 @@ def evidence(a: Sequence, b: Sequence) -> float:
     return out
 
 
+_ISO = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 _POP = np.array([bin(i).count("1") for i in range(1 << 13)], dtype=np.int8)
 
 
@@ -175,15 +177,21 @@ class Block:
         self.codes["given"], self.codes["family"] = names[: len(given)], names[len(given) :]
         door = pc.binary_join_element_wise(table.column("number"), table.column("street"), pc.fill_null(table.column("unit"), ""), "|")
         self.codes["door"] = self._code(door)
-        # short, cut, many-worded and ambiguous names can be near without like letters
-        loose = lambda w: w is not None and (len(w) < 5 or " " in w)
-        plain_given = [tokens(s) for s in self.cols["given"]]
-        self.loose = {
-            "given": np.array([loose(w) or len(t) > 1 or any(x in _FULL or x in NICKNAMES for x in t) for w, t in zip(given, plain_given)], dtype=bool),
-            "family": np.array([loose(w) for w in family], dtype=bool),
-        }
-        self.letters = {"given": np.array([_letters(w) for w in given], dtype=np.int32), "family": np.array([_letters(w) for w in family], dtype=np.int32), "street": np.array([_letters(w) for w in self.cols["street"]], dtype=np.int32)}
-        self.initial = {k: np.array([ord(w[0]) if w else 0 for w in v], dtype=np.int32) for k, v in (("given", given), ("family", family))}
+        words = {k: [[t for t in tokens(s) if len(t) > 1] or tokens(s) for s in self.cols[k]] for k in ("given", "family")}
+        one = {k: [w[0] if w else "" for w in v] for k, v in words.items()}
+        flags = lambda xs: np.array(list(xs), dtype=bool)
+        self.many = {k: flags(len(w) > 1 for w in v) for k, v in words.items()}  # any of the words may fit
+        self.two = {k: flags(len(tokens(s)) > 1 for s in self.cols[k]) for k in words}  # may be a whole name
+        self.huge = flags(max(len(tokens(s)) for s in x) > MOST_WORDS for x in zip(self.cols["given"], self.cols["family"]))
+        self.known = {k: flags(w in _FULL or w in NICKNAMES for w in v) for k, v in one.items()}
+        # a pet form that a slip of its full name fits; for given names only where it stands for several
+        self.pet = {k: flags(w in _FULL and len(w) >= 5 for w in v) for k, v in one.items()}
+        self.unsure = self.pet["given"] & flags(w == c for w, c in zip(one["given"], given))
+        self.size = {k: np.array([len(w) for w in v], dtype=np.int32) for k, v in one.items()}
+        self.letters = {k: np.array([_letters(w) for w in v], dtype=np.int32) for k, v in (*one.items(), ("full", given), ("street", self.cols["street"]))}
+        self.initial = {k: np.array([ord(w[0]) if w else 0 for w in v], dtype=np.int32) for k, v in one.items()}
+        self.street = flags(bool(s) for s in self.cols["street"])
+        self.odd = flags(d is not None and not _ISO.fullmatch(d) for d in self.cols["birth"])
         day = [(d.replace("-", "") + "        ")[:8] if d else " " * 8 for d in self.cols["birth"]]
         self.digits = np.frombuffer("".join(day).encode("latin-1", "replace"), dtype=np.uint8).reshape(len(day), 8)
 
@@ -193,50 +201,68 @@ class Block:
         d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
         return pc.fill_null(d.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def _name_bounds(self, kind: str, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and most evidence of one half of the names."""
-        yes, near, no = EVIDENCE[kind]
-        a, b = self.codes[kind][i], self.codes[kind][j]
-        both, same = (a >= 0) & (b >= 0), a == b
-        other = self.codes["family" if kind == "given" else "given"]
-        loose, first = self.loose[kind], self.initial[kind]
-        may = _unlike_letters(self.letters[kind][i], self.letters[kind][j]) <= 4
-        # a pet form has another initial now and then; short and cut names need the same one
-        may |= (loose[i] | loose[j]) & (first[i] == first[j])
-        if kind == "given":
-            may |= loose[i] & loose[j]
-        may |= (self.codes[kind][i] == other[j]) | (other[i] == self.codes[kind][j])
-        many = self.loose["family"][i] | self.loose["family"][j]  # double names
-        if kind == "family":
-            may |= many
-        low = np.where(both, np.where(same, yes, no), no)
-        high = np.where(both, np.where(same, yes, np.where(may, yes, no)), yes)
+    def _may(self, kind: str, i: np.ndarray, other: str, j: np.ndarray) -> np.ndarray:
+        """Whether a word of one half of a name may be alike to one of another half; never false where token_alike isn't 0."""
+        x, y, m, n = self.letters[kind][i], self.letters[other][j], self.size[kind][i], self.size[other][j]
+        may = (_unlike_letters(x, y) <= np.where(np.minimum(m, n) >= 5, 4, 2)) & (np.abs(m - n) <= 2)
+        may |= (self.initial[kind][i] == self.initial[other][j]) & (((x & y) == x) | ((x & y) == y))  # initial or cut short
+        may |= (self.known[kind][i] & self.known[other][j]) | self.many[kind][i] | self.many[other][j]
+        if kind == other == "given":
+            return may | (_unlike_letters(self.letters["full"][i], self.letters["full"][j]) <= 2) | self.unsure[i] | self.unsure[j]
+        return may | self.pet[kind][i] | self.pet[other][j]
+
+    def _name_bounds(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and most evidence of the names."""
+        have = {k: self.codes[k] >= 0 for k in ("given", "family")}
+        # a half left out beside a whole name in the other
+        whole = np.zeros(len(i), dtype=bool)
+        for x in (i, j):
+            whole |= (~have["family"][x] & self.two["given"][x]) | (~have["given"][x] & self.two["family"][x])
+        swapped = self._may("given", i, "family", j) & self._may("family", i, "given", j)
+        low, high = np.zeros(len(i)), np.zeros(len(i))
+        for kind in ("given", "family"):
+            yes, _, no = EVIDENCE[kind]
+            both, same = have[kind][i] & have[kind][j], self.codes[kind][i] == self.codes[kind][j]
+            may = same | whole | swapped | self._may(kind, i, kind, j)
+            low += np.where(both, np.where(same & ~self.huge[i] & ~self.huge[j], yes, no), np.where(whole, no, 0))
+            high += np.where(both, np.where(may, yes, no), np.where(whole, yes, 0))
         return low, high
 
-    def scores(self, i: np.ndarray, j: np.ndarray, least: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-        """(positions of the pairs with enough evidence, their evidence)."""
+    def bounds(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence that each pair has at least and at most."""
         base = np.zeros(len(i))
         for kind in ("email", "phone"):
             a, b = self.codes[kind][i], self.codes[kind][j]
             base += np.where((a >= 0) & (b >= 0), np.where(a == b, EVIDENCE[kind][0], EVIDENCE[kind][2]), 0)
         a, b = self.codes["birth"][i], self.codes["birth"][j]
         x, y = self.digits[i], self.digits[j]
-        near = ((x != y).sum(axis=1) <= 1) | ((x[:, :4] == y[:, :4]).all(axis=1) & (x[:, 4:6] == y[:, 6:]).all(axis=1) & (x[:, 6:] == y[:, 4:6]).all(axis=1))
+        differ = x != y
+        n = differ.sum(axis=1)
+        near = n <= 1
+        for p in (0, 1, 2, 4, 6):  # neighbours swapped; the others have a hyphen between them
+            near |= (n == 2) & differ[:, p] & differ[:, p + 1] & (x[:, p] == y[:, p + 1]) & (x[:, p + 1] == y[:, p])
+        near |= ((x[:, :4] == y[:, :4]).all(axis=1) & (x[:, 4:6] == y[:, 6:]).all(axis=1) & (x[:, 6:] == y[:, 4:6]).all(axis=1))
         yes, some, no = EVIDENCE["birth"]
-        base += np.where((a >= 0) & (b >= 0), np.where(a == b, yes, np.where(near, some, no)), 0)
+        odd, both, same = self.odd[i] | self.odd[j], (a >= 0) & (b >= 0), a == b  # a digit lost or put in, say
+        low = base + np.where(both, np.where(same, yes, np.where(near & ~odd, some, no)), 0)
+        high = base + np.where(both, np.where(same, yes, np.where(near | odd, some, no)), 0)
         a, b = self.codes["door"][i], self.codes["door"][j]
         both, same = (a >= 0) & (b >= 0), a == b
         like = (self.codes["number"][i] == self.codes["number"][j]) & (_unlike_letters(self.letters["street"][i], self.letters["street"][j]) <= 4)
         yes, _, no = EVIDENCE["door"]
-        low = base + np.where(both, np.where(same, yes, no), min(0, no))
-        high = base + np.where(both, np.where(same | like, yes, no), np.where(like, yes, 0))
+        known = self.street[i] & self.street[j]
+        low += np.where(known, np.where(both & same, yes, no), 0)
+        high += np.where(known, np.where(same & both | like, yes, no), 0)
         a, b = self.codes["postal"][i], self.codes["postal"][j]
         known = (a >= 0) & (b >= 0)
         low += np.where(known & (a == b), EVIDENCE["town"][0], EVIDENCE["town"][2])
         high += np.where(known, np.where(a == b, EVIDENCE["town"][0], EVIDENCE["town"][2]), EVIDENCE["town"][0])
-        for kind in ("given", "family"):
-            lo, hi = self._name_bounds(kind, i, j)
-            low, high = low + lo, high + hi
+        lo, hi = self._name_bounds(i, j)
+        return low + lo, high + hi
+
+    def scores(self, i: np.ndarray, j: np.ndarray, least: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of the pairs with enough evidence, their evidence)."""
+        low, high = self.bounds(i, j)
         sure = low >= least
         ask = np.flatnonzero(~sure & (high >= least))
         exact = np.zeros(0)

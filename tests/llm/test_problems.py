@@ -128,6 +128,33 @@ def test_evidence_bounds_hold():
     assert len(lost) <= 0.01 * len(want) and len(extra) <= 0.01 * len(want)
 
 
+def test_bounds_hold_for_every_pair():
+    rng = random.Random(5)
+    base = ["christopherson", "chris", "christopher", "albert", "albret", "bertie", "bert", "robert", "bobby", "bobbyy", "rob", "anna katharina", "katharina", "w " * 50, "j", "j q", "williamm", "billy", "harry", "harald", "haarold", "stan moor", "stanmoor", "li", "kate", "jate", None, None, "dr", "\u00f6z"]
+
+    def typed(x):
+        if x and len(x) > 2 and rng.random() < 0.4:  # a slip
+            k = rng.randrange(len(x) - 1)
+            x = rng.choice([x[:k] + x[k + 1 :], x[:k] + "z" + x[k:], x[:k] + x[k + 1] + x[k] + x[k + 2 :], x[: k + 1], x[:k] + "q" + x[k + 1 :]])
+        return x
+
+    births = ["1985-03-12", "1985-03-21", "1985-12-03", "1958-03-12", "185-03-12", "1985-3-12", "19855-03-12", "1985-04-22", "1980-53-12", None]
+    rows = [(typed(rng.choice(base)), typed(rng.choice(base)), rng.choice(["a@b", "c@d", None]), rng.choice(["1", "2", None]), rng.choice(births), rng.choice(["1", None]), typed(rng.choice(["oakfield", "elm", None])), rng.choice(["4", None]), typed(rng.choice(["anwell", None])), rng.choice(["10", "11", None])) for _ in range(500)]
+    t = pa.table({c: pa.array([r[k] for r in rows], pa.string()) for k, c in enumerate(person.COLUMNS)})
+    i, j = (np.array(x) for x in zip(*itertools.combinations(range(len(rows)), 2)))
+    low, high = person.Block(t).bounds(i, j)
+    exact = np.array([person.evidence(rows[x], rows[y]) for x, y in zip(i.tolist(), j.tolist())])
+    wrong = np.flatnonzero((high < exact - 1e-9) | (low > exact + 1e-9))
+    assert not len(wrong), [(rows[i[k]], rows[j[k]], low[k], exact[k], high[k]) for k in wrong[:3]]
+
+
+def test_neighbours_swapped_in_a_birth_date_are_near():
+    a = ("ann", "stanmoor", "a@b", "1", "1985-03-12", "1", "oakfield", None, "anwell", "10")
+    b = (*a[:4], "1985-03-21", "2", "elm", None, "penham", "16")  # moved
+    hit, score = person.Block(pa.table({c: pa.array([a[k], b[k]], pa.string()) for k, c in enumerate(person.COLUMNS)})).scores(np.array([0]), np.array([1]))
+    assert hit.tolist() == [0] and score[0] >= person.THRESHOLD
+
+
 PEOPLE = [
     ("1", "crm", "A", payload("crm", ANN), "b1"),
     ("2", "billing", "B", payload("billing", put(ANN, given="Annn", phone="unknown")), "b1"),
