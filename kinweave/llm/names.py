@@ -8,9 +8,10 @@ whose names have Jaccard similarity NAME_LIKENESS are found with RECALL. A pair
 Monge-Elkan likeness of its name parts together with what the other attributes say, and star
 clustering makes persons of the pairs.
 
-A context shared by more than MOST_HOLDERS records identifies nobody: its evidence counts nothing,
-so leaving it out of the search loses no pair (such a pair is found through another context or
-isn't one). Contexts are counted with a map-side part before anything is compared.
+A context is compared whole whatever its size: one of more than TILE rows is cut into groups by
+hash and each two groups meet in a block of their own, so no block is large and none is left out.
+Its work grows with the square of its rows. Contexts are counted with a map-side part before
+anything is compared.
 
 Defined results: a record without any name or without a record id pairs with none; a null part of a name is left out; the
 name is that of the row of the earliest batch, ties by time, then id; repeated rows change nothing;
@@ -37,7 +38,8 @@ Q = 2
 #: A surname changed by marriage or a pet form leaves about this much of the q-grams.
 NAME_LIKENESS, RECALL, ROWS = 0.15, 0.97, 1
 BANDS = K.bands_for(NAME_LIKENESS, ROWS, RECALL)
-MOST_HOLDERS = 200
+#: Rows of a group of a context, and pairs scored at once.
+TILE, MOST_PAIRS = 1_000, 500_000
 
 
 def people(raw: DataFrame, order: DataFrame) -> DataFrame:
@@ -51,72 +53,85 @@ def people(raw: DataFrame, order: DataFrame) -> DataFrame:
     return rows.select("key", *P.COLUMNS).distinct().join(names, "key").filter("name <> ''")
 
 
-def in_contexts(rows: DataFrame) -> DataFrame:
-    """Each version once for each context that not too many records share."""
+def in_contexts(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """Each version once for each context it shares and each block of that context: columns context, block,
+    the version's group and whether the block is for pairs of two groups."""
     c = F.col
     ctx = lambda no, *parts: F.when(~F.isnull(parts[0]) & ~F.isnull(parts[-1]), F.xxhash64(F.lit(no), *parts))
     first = F.substring(F.split_part("given", F.lit(" "), F.lit(1)), 1, 1)
     last = F.substring(F.element_at(F.split("family", " "), -1), 1, 3)
     contexts = F.array(ctx(1, c("email")), ctx(2, c("phone")), ctx(3, c("street"), c("number")), ctx(4, c("birth"), first), ctx(5, c("birth"), last))
     each = rows.select("*", F.explode(F.array_compact(contexts)).alias("context"))
-    held = each.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("n") <= MOST_HOLDERS)).select("context")
-    return each.join(held, "context")
+    held = each.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("context", F.ceil(F.col("n") / tile).cast("int").alias("groups"))
+    each = each.join(held, "context").withColumn("group", F.pmod(F.xxhash64("key", *P.COLUMNS), "groups").cast("int"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0), c("groups") - 1)).alias("other"))
+    block = F.when(c("groups") == 1, c("context")).otherwise(F.xxhash64("context", F.least("group", "other"), F.greatest("group", "other")))
+    return each.withColumn("block", block).withColumn("two", c("group") != c("other")).drop("groups", "other")
 
 
 _PAIR = T.StructType([T.StructField("key_a", T.StringType()), T.StructField("key_b", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-def _compare(t: pa.Table) -> pa.RecordBatch:
-    """Scored pairs of records that share a band of a context; rows are sorted by context."""
+def _compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Scored pairs of records that share a band of a context; rows are sorted by block and context."""
     full = [" ".join(x for x in (P.canon_given(g), f) if x) for g, f in zip(t.column("given").to_pylist(), t.column("family").to_pylist())]
     padded = pc.binary_join_element_wise(pa.array(["^"] * len(t)), pa.array(full), pa.array(["^^"] * len(t)), "")
-    context = t.column("context").to_numpy()
+    block, context, group, two = (t.column(c).to_numpy() for c in ("block", "context", "group", "two"))
     h, starts = K.gram_hashes(padded, Q)
     sig = K.band_keys(K.minwise(h, starts, BANDS * ROWS, context.view(np.uint64)), BANDS, ROWS)
-    key = P.Block._code(t.column("key"))
-    i, j, n = [], [], len(t)
-    s = 1
-    alive = np.arange(n)  # later rows whose context still holds the row s places before
+    key, records = P.Block._code(t.column("key")), P.Block(t)
+    keys = np.array(t.column("key").to_pylist(), dtype=object)
+
+    def scored(i: list[np.ndarray], j: list[np.ndarray]) -> pa.RecordBatch:
+        i, j = np.concatenate(i), np.concatenate(j)
+        hit, score = records.scores(i, j)
+        a, b = keys[i[hit]], keys[j[hit]]
+        swap = a > b
+        return pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a), pa.string()), pa.array(np.where(swap, a, b), pa.string()), pa.array(score.astype(float))], _PAIR.names)
+
+    i, j, n, s = [], [], 0, 1
+    alive = np.arange(len(t))  # later rows whose block still holds the row s places before
     while True:
         alive = alive[alive >= s]
-        alive = alive[context[alive] == context[alive - s]]
+        alive = alive[block[alive] == block[alive - s]]
         if not len(alive):
             break
-        ok = alive[key[alive] != key[alive - s]]
+        ok = alive[(key[alive] != key[alive - s]) & (context[alive] == context[alive - s])]
+        ok = ok[~two[ok] | (group[ok] != group[ok - s])]  # a block of two groups leaves each group's own pairs to its own block
         ok = ok[(sig[ok] == sig[ok - s]).any(axis=1)]
         i.append(ok - s)
         j.append(ok)
+        n += len(ok)
         s += 1
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i, j))
-    hit, score = P.Block(t).scores(i, j) if len(i) else (np.zeros(0, np.int64), np.zeros(0))
-    keys = np.array(t.column("key").to_pylist(), dtype=object)
-    a, b = keys[i[hit]], keys[j[hit]]
-    swap = a > b
-    return pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a), pa.string()), pa.array(np.where(swap, a, b), pa.string()), pa.array(score.astype(float))], _PAIR.names)
+        if n >= MOST_PAIRS:
+            yield scored(i, j)
+            i, j, n = [], [], 0
+    if n:
+        yield scored(i, j)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches regrouped so that no context is cut; a context has at most MOST_HOLDERS rows."""
+    """Arrow batches regrouped so that no block is cut; a block has about two groups' rows at most."""
     rest = None
     for b in batches:
         if not len(b):
             continue
         t = pa.Table.from_batches([b])
         t = t if rest is None else pa.concat_tables([rest, t])
-        ctx = t.column("context").to_numpy()
-        cut_at = int(np.searchsorted(ctx, ctx[-1], side="left"))
+        at = t.column("block").to_numpy()
+        cut_at = int(np.searchsorted(at, at[-1], side="left"))
         rest = t.slice(cut_at)
         if cut_at:
-            yield _compare(t.slice(0, cut_at))
+            yield from _compare(t.slice(0, cut_at))
     if rest is not None and len(rest):
-        yield _compare(rest)
+        yield from _compare(rest)
 
 
-def person_pairs(rows: DataFrame) -> DataFrame:
+def person_pairs(rows: DataFrame, tile: int = TILE) -> DataFrame:
     """(key_a, key_b, score) of records that mean one person, best score of any context and version."""
-    near = in_contexts(rows.drop("name"))
+    near = in_contexts(rows.drop("name"), tile)
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
-    found = near.repartition(n, "context").sortWithinPartitions("context").mapInArrow(_blocks, _PAIR)
+    found = near.repartition(n, "block").sortWithinPartitions("block", "context").mapInArrow(_blocks, _PAIR)
     return found.groupBy("key_a", "key_b").agg(F.max("score").alias("score"))
 
 

@@ -191,6 +191,21 @@ def test_variants(spark):
     assert names.variants(raw(spark, []), runs(spark)).count() == 0
 
 
+def test_contexts_of_any_size_are_compared(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(4))
+    rows, want = [], set()
+    for k in range(150):  # a mailbox of 300 records, of each person one in either source
+        name = word()
+        for source, given in (("crm", name), ("billing", name + "s")):
+            rows.append((f"{source}:{k:03d}", given, None, "office@post.example", *[None] * 7))
+        want.add((f"billing:{k:03d}", f"crm:{k:03d}"))
+    df = spark.createDataFrame(rows, "key string, " + ", ".join(f"{c} string" for c in person.COLUMNS))
+    whole = {tuple(r) for r in names.person_pairs(df).collect()}
+    assert want <= {r[:2] for r in whole}
+    assert {tuple(r) for r in names.person_pairs(df, 40).collect()} == whole  # groups of 40
+
+
 def test_bands_follow_the_curve():
     assert K.collision(names.NAME_LIKENESS, names.BANDS, names.ROWS) >= names.RECALL > K.collision(names.NAME_LIKENESS, names.BANDS - 1, names.ROWS)
 
