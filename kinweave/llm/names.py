@@ -2,7 +2,7 @@
 
 A record's name is the set of its padded q-grams. Names say who, not which of the namesakes, so
 the set is made once for each context the record has (mailbox, phone, door, birth date with one
-half of the name), each gram salted by the context. MinHash bands over these sets meet where the
+half of the name, birth date with the initials of both halves in either order), each gram salted by the context. MinHash bands over these sets meet where the
 same context and a like name meet. The number of bands follows from the collision curve: pairs
 whose names have Jaccard similarity NAME_LIKENESS are found with RECALL. A pair is verified by the
 Monge-Elkan likeness of its name parts together with what the other attributes say, and star
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,15 +53,24 @@ def people(raw: DataFrame, order: DataFrame) -> DataFrame:
     return rows.select("key", *P.COLUMNS).distinct().join(names, "key").filter("name <> ''")
 
 
+def _initials(word: Column) -> Column:
+    """First letters of a word and, for a pet form, of the names it stands for."""
+    pets = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for w, full in sorted(P._FULL.items()) for x in (w, sorted({f[0] for f in full}))))
+    return F.array_distinct(F.concat(F.array(F.substring(word, 1, 1)), F.coalesce(F.try_element_at(pets, word), F.array().cast("array<string>"))))
+
+
 def in_contexts(rows: DataFrame, tile: int = TILE) -> DataFrame:
     """Each version once for each context it shares and each block of that context: columns context, block,
     the version's group and whether the block is for pairs of two groups."""
     c = F.col
     ctx = lambda no, *parts: F.when(~F.isnull(parts[0]) & ~F.isnull(parts[-1]), F.xxhash64(F.lit(no), *parts))
-    first = F.substring(F.split_part("given", F.lit(" "), F.lit(1)), 1, 1)
-    last = F.substring(F.element_at(F.split("family", " "), -1), 1, 3)
-    contexts = F.array(ctx(1, c("email")), ctx(2, c("phone")), ctx(3, c("street"), c("number")), ctx(4, c("birth"), first), ctx(5, c("birth"), last))
-    each = rows.select("*", F.explode(F.array_compact(contexts)).alias("context"))
+    first, end = (lambda n: F.split_part(n, F.lit(" "), F.lit(1))), (lambda n: F.element_at(F.split(n, " "), -1))
+    last = F.substring(end("family"), 1, 3)
+    contexts = F.array(ctx(1, c("email")), ctx(2, c("phone")), ctx(3, c("street"), c("number")), ctx(5, c("birth"), last))
+    by_given = F.transform(_initials(first("given")), lambda x: ctx(4, c("birth"), x))
+    g, f = _initials(first(F.coalesce("given", "family"))), _initials(end(F.coalesce("family", "given")))
+    by_both = F.flatten(F.transform(g, lambda x: F.transform(f, lambda y: ctx(6, c("birth"), F.least(x, y), F.greatest(x, y)))))
+    each = rows.select("*", F.explode(F.array_distinct(F.array_compact(F.concat(contexts, by_given, by_both)))).alias("context"))
     held = each.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("context", F.ceil(F.col("n") / tile).cast("int").alias("groups"))
     each = each.join(held, "context").withColumn("group", F.pmod(F.xxhash64("key", *P.COLUMNS), "groups").cast("int"))
     each = each.select("*", F.explode(F.sequence(F.lit(0), c("groups") - 1)).alias("other"))

@@ -206,6 +206,15 @@ def test_contexts_of_any_size_are_compared(spark):
     assert {tuple(r) for r in names.person_pairs(df, 40).collect()} == whole  # groups of 40
 
 
+def test_reordered_and_pet_names_meet_by_birth_date(spark):
+    at = lambda key, given, family, birth: (key, given, family, None, None, birth, *[None] * 5)
+    rows = [at("a:1", "john", "smith", "1980-02-03"), at("b:1", "smith", "john", "1980-02-03"), at("c:1", "john smith", None, "1980-02-03")]
+    rows += [at("a:2", "bob", "penham", "1971-05-06"), at("b:2", "robert", "pnham", "1971-05-06"), at("a:3", "bert", "oakley", "1972-05-06"), at("b:3", "albert", "aokley", "1972-05-06")]
+    df = spark.createDataFrame(rows, "key string, " + ", ".join(f"{c} string" for c in person.COLUMNS))
+    got = {tuple(r)[:2] for r in names.person_pairs(df).collect()}
+    assert {("a:1", "b:1"), ("b:1", "c:1"), ("a:2", "b:2"), ("a:3", "b:3")} <= got
+
+
 def test_bands_follow_the_curve():
     assert K.collision(names.NAME_LIKENESS, names.BANDS, names.ROWS) >= names.RECALL > K.collision(names.NAME_LIKENESS, names.BANDS - 1, names.ROWS)
 
