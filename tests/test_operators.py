@@ -253,3 +253,13 @@ def test_chunks_and_increments_equal_the_whole(spark, sf):
     old, new = df.filter("source_system = 'crm'"), df.filter("source_system <> 'crm'")
     parts = [tuple(sorted(p)) for x in (L.predict(old, P.PLAIN), L.predict(new, P.PLAIN), L.predict_between(old, new, P.PLAIN)) for p in pairs(x)]
     assert sorted(parts) == whole
+
+
+def test_u_full_takes_all_pairs_of_any_number_of_suppliers(spark, tmp_path):
+    from kinweave.plans import linkage_queries as Q
+
+    n = 4_600  # more pairs than 1e7
+    spark.range(n).selectExpr("id AS s_suppkey", "id % 25 AS s_nationkey", "cast(id AS double) AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r.comparison, r.gamma): r.n for r in Q.u_full(spark, str(tmp_path)).collect()}
+    assert sum(v for (c, _), v in got.items() if c == "s_nationkey") == n * (n - 1) // 2
+    assert got["s_nationkey", 1] == 25 * 184 * 183 // 2 and got["s_acctbal", 2] == sum(n - k for k in range(1, 101))
