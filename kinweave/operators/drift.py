@@ -117,6 +117,25 @@ def likeness() -> Column:
     return F.when(~filled, 0.0).when(wordy, 0.4 * shape + 0.6 * F.sqrt(again)).otherwise(0.85 * shape + 0.15 * F.sqrt(again))
 
 
+def renames(pairs: DataFrame) -> DataFrame:
+    """(source_system, seq, old_field, new_field): of ``pairs`` with their likeness those that are each other's
+    best, then the best among what is left, until nothing is left. Ties go to the smaller name, so each round takes a pair."""
+    from kinweave.session import cut
+
+    renamed, rest = None, cut(pairs)
+    while not rest.isEmpty():
+        a = Window.partitionBy("source_system", "seq", "old_field").orderBy(F.desc("like"), "new_field")
+        b = Window.partitionBy("source_system", "seq", "new_field").orderBy(F.desc("like"), "old_field")
+        best = cut(rest.withColumn("ra", F.row_number().over(a)).withColumn("rb", F.row_number().over(b)).filter("ra = 1 AND rb = 1").select("source_system", "seq", "old_field", "new_field"))
+        renamed = best if renamed is None else renamed.unionByName(best)
+        rest = cut(
+            rest.join(best.select("source_system", "seq", "old_field"), ["source_system", "seq", "old_field"], "left_anti").join(
+                best.select("source_system", "seq", "new_field"), ["source_system", "seq", "new_field"], "left_anti"
+            )
+        )
+    return renamed if renamed is not None else rest.select("source_system", "seq", "old_field", "new_field")
+
+
 def changes(raw: DataFrame, profile_runs: DataFrame, likeness_at: float = RENAME_LIKENESS) -> DataFrame:
     """(source_system, ingest_batch_id, change_kind, old_field, new_field) of each batch against the
     one before it of the same source. A rename takes the removed and the added field most alike in
@@ -135,17 +154,7 @@ def changes(raw: DataFrame, profile_runs: DataFrame, likeness_at: float = RENAME
     come = both.filter(~F.col("in_old")).select("source_system", "seq", F.col("field").alias("new_field"), *(f"b_{c}" for c in cols))
     pairs = gone.join(come, ["source_system", "seq"]).withColumn("like", likeness()).filter(F.col("like") >= likeness_at)
     pairs = pairs.select("source_system", "seq", "old_field", "new_field", "like")
-    renamed = None
-    rest = pairs
-    for _ in range(3):  # mutual best, then the best among what is left; fields of one batch step are few
-        a = Window.partitionBy("source_system", "seq", "old_field").orderBy(F.desc("like"), "new_field")
-        b = Window.partitionBy("source_system", "seq", "new_field").orderBy(F.desc("like"), "old_field")
-        best = rest.withColumn("ra", F.row_number().over(a)).withColumn("rb", F.row_number().over(b)).filter("ra = 1 AND rb = 1").select("source_system", "seq", "old_field", "new_field")
-        renamed = best if renamed is None else renamed.unionByName(best)
-        rest = rest.join(best.select("source_system", "seq", "old_field"), ["source_system", "seq", "old_field"], "left_anti").join(
-            best.select("source_system", "seq", "new_field"), ["source_system", "seq", "new_field"], "left_anti"
-        )
-    renamed = cut(renamed)
+    renamed = renames(pairs)
     say = lambda df, kind, o, n: df.select("source_system", "seq", F.lit(kind).alias("change_kind"), o.alias("old_field"), n.alias("new_field"))
     at = ["source_system", "seq"]
     out = (

@@ -263,3 +263,9 @@ def test_u_full_takes_all_pairs_of_any_number_of_suppliers(spark, tmp_path):
     got = {(r.comparison, r.gamma): r.n for r in Q.u_full(spark, str(tmp_path)).collect()}
     assert sum(v for (c, _), v in got.items() if c == "s_nationkey") == n * (n - 1) // 2
     assert got["s_nationkey", 1] == 25 * 184 * 183 // 2 and got["s_acctbal", 2] == sum(n - k for k in range(1, 101))
+
+
+def test_renames_of_a_long_chain_of_preferences(spark):
+    likes = [("crm", 1, f"o{i}", f"n{i - k}", 0.99 - 0.02 * i + 0.01 * k) for i in range(1, 7) for k in (0, 1) if i > k]
+    got = D.renames(spark.createDataFrame(likes, "source_system string, seq int, old_field string, new_field string, like double"))
+    assert {(r.old_field, r.new_field) for r in got.collect()} == {(f"o{i}", f"n{i}") for i in range(1, 7)}
