@@ -165,35 +165,61 @@ def _unlike_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _POP[x & 0x1FFF] + _POP[x >> 13]
 
 
+class _Half:
+    """What the bounds need to know of each distinct given or family name, worked out once a name."""
+
+    def __init__(self, names: list[str | None], given: bool) -> None:
+        flags = lambda xs: np.array(list(xs), dtype=bool)
+        told = [tokens(s) for s in names]
+        words = [[t for t in ts if len(t) > 1] or ts for ts in told]
+        one = [w[0] if w else "" for w in words]
+        full = [canon_given(s) if given else " ".join(ts) or None for s, ts in zip(names, told)]
+        number = {None: -1}
+        self.code = np.array([number.setdefault(f, len(number)) for f in full], dtype=np.int64)
+        self.many = flags(len(w) > 1 for w in words)  # any of the words may fit
+        self.two = flags(len(ts) > 1 for ts in told)  # may be a whole name
+        self.huge = flags(len(ts) > MOST_WORDS for ts in told)
+        self.known = flags(w in _FULL or w in NICKNAMES for w in one)
+        # a pet form that a slip of its full name fits; for given names only where it stands for several
+        self.pet = flags(w in _FULL and len(w) >= 5 for w in one)
+        self.unsure = self.pet & flags(w == f for w, f in zip(one, full))
+        self.size = np.array([len(w) for w in one], dtype=np.int32)
+        self.letters = np.array([_letters(w) for w in one], dtype=np.int32)
+        self.full = np.array([_letters(f) for f in full], dtype=np.int32)
+        self.initial = np.array([ord(w[0]) if w else 0 for w in one], dtype=np.int32)
+
+
+def _distinct(col: pa.ChunkedArray) -> tuple[list[str | None], np.ndarray]:
+    """(distinct values with None last, each row's place among them)."""
+    d = col.combine_chunks().dictionary_encode()
+    d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+    return [*d.dictionary.to_pylist(), None], pc.fill_null(d.indices, len(d.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 class Block:
     """Records as columns of codes, for bounds over many pairs at once."""
 
     def __init__(self, table: pa.Table) -> None:
-        self.cols = {c: table.column(c).to_pylist() for c in COLUMNS}
-        given = [canon_given(s) for s in self.cols["given"]]
-        family = [" ".join(tokens(s)) or None for s in self.cols["family"]]
-        self.codes = {c: self._code(table.column(c)) for c in ("email", "phone", "birth", "postal", "number")}
-        names = self._code(pa.chunked_array([pa.array(given + family, pa.string())]))
-        self.codes["given"], self.codes["family"] = names[: len(given)], names[len(given) :]
-        door = pc.binary_join_element_wise(table.column("number"), table.column("street"), pc.fill_null(table.column("unit"), ""), "|")
-        self.codes["door"] = self._code(door)
-        words = {k: [[t for t in tokens(s) if len(t) > 1] or tokens(s) for s in self.cols[k]] for k in ("given", "family")}
-        one = {k: [w[0] if w else "" for w in v] for k, v in words.items()}
-        flags = lambda xs: np.array(list(xs), dtype=bool)
-        self.many = {k: flags(len(w) > 1 for w in v) for k, v in words.items()}  # any of the words may fit
-        self.two = {k: flags(len(tokens(s)) > 1 for s in self.cols[k]) for k in words}  # may be a whole name
-        self.huge = flags(max(len(tokens(s)) for s in x) > MOST_WORDS for x in zip(self.cols["given"], self.cols["family"]))
-        self.known = {k: flags(w in _FULL or w in NICKNAMES for w in v) for k, v in one.items()}
-        # a pet form that a slip of its full name fits; for given names only where it stands for several
-        self.pet = {k: flags(w in _FULL and len(w) >= 5 for w in v) for k, v in one.items()}
-        self.unsure = self.pet["given"] & flags(w == c for w, c in zip(one["given"], given))
-        self.size = {k: np.array([len(w) for w in v], dtype=np.int32) for k, v in one.items()}
-        self.letters = {k: np.array([_letters(w) for w in v], dtype=np.int32) for k, v in (*one.items(), ("full", given), ("street", self.cols["street"]))}
-        self.initial = {k: np.array([ord(w[0]) if w else 0 for w in v], dtype=np.int32) for k, v in one.items()}
-        self.street = flags(bool(s) for s in self.cols["street"])
-        self.odd = flags(d is not None and not _ISO.fullmatch(d) for d in self.cols["birth"])
-        day = [(d.replace("-", "") + "        ")[:8] if d else " " * 8 for d in self.cols["birth"]]
-        self.digits = np.frombuffer("".join(day).encode("latin-1", "replace"), dtype=np.uint8).reshape(len(day), 8)
+        self.table = table.select(COLUMNS)
+        self.codes = {c: self._code(table.column(c)) for c in ("email", "phone", "postal", "number")}
+        halves = {}
+        for kind in ("given", "family"):
+            values, at = _distinct(table.column(kind))
+            halves[kind] = {k: v[at] for k, v in vars(_Half(values, kind == "given")).items()}
+        each = lambda k: {kind: h[k] for kind, h in halves.items()}
+        self.codes |= each("code")
+        self.many, self.two, self.known, self.pet, self.size, self.letters, self.initial = map(each, ("many", "two", "known", "pet", "size", "letters", "initial"))
+        self.letters["full"], self.unsure = halves["given"]["full"], halves["given"]["unsure"]
+        self.huge = halves["given"]["huge"] | halves["family"]["huge"]
+        self.codes["door"] = self._code(pc.binary_join_element_wise(table.column("number"), table.column("street"), pc.fill_null(table.column("unit"), ""), "|"))
+        values, at = _distinct(table.column("street"))
+        self.letters["street"] = np.array([_letters(s) for s in values], dtype=np.int32)[at]
+        self.street = np.array([bool(s) for s in values], dtype=bool)[at]
+        values, at = _distinct(table.column("birth"))
+        self.codes["birth"] = np.where(at == len(values) - 1, -1, at)
+        self.odd = np.array([d is not None and not _ISO.fullmatch(d) for d in values], dtype=bool)[at]
+        day = [(d.replace("-", "") + "        ")[:8] if d else " " * 8 for d in values]
+        self.digits = np.frombuffer("".join(day).encode("latin-1", "replace"), dtype=np.uint8).reshape(len(day), 8)[at]
 
     @staticmethod
     def _code(col: pa.ChunkedArray) -> np.ndarray:
@@ -267,8 +293,8 @@ class Block:
         ask = np.flatnonzero(~sure & (high >= least))
         exact = np.zeros(0)
         if len(ask):
-            cols = [self.cols[c] for c in COLUMNS]
-            pick = {x: tuple(c[x] for c in cols) for x in np.unique(np.concatenate([i[ask], j[ask]])).tolist()}
+            rows = np.unique(np.concatenate([i[ask], j[ask]]))
+            pick = dict(zip(rows.tolist(), zip(*(c.to_pylist() for c in self.table.take(pa.array(rows)).columns))))
             exact = np.array([evidence(pick[x], pick[y]) for x, y in zip(i[ask].tolist(), j[ask].tolist())])
         out = low
         out[ask] = exact
