@@ -3,13 +3,14 @@
 Sorted neighbourhood: every distinct version of a record is put in order by several composite sort
 keys at once (one range-partitioned sort over all keys), a window slides over each order and scores
 each pair inside by weighted likeness of fields; records of one source found to be one person
-become one unit; units of two sources are assigned one to one, best total confidence first.
+become one unit; units of two sources are assigned one to one so that the total confidence is greatest.
 
 The window bounds the work whatever the data: rows x keys x window, without any group ever being
-paired off, and a value that a third of all rows share only makes its neighbours be ordered by
-the rest of the key. Exact copies and unchanged versions are folded before. The few rows at the
-edge of each sorted partition (window - 1 at either end) meet in one small task bounded by the
-number of partitions.
+paired off. Where neighbours have the same mailbox, phone or door it widens to WIDE rows, so the
+versions of a household don't push each other out; a value that a third of all rows share only
+makes its neighbours be ordered by the rest of the key. Exact copies and unchanged versions are
+folded before. The rows at the edges of the sorted partitions (WIDE - 1 at either end) are numbered
+by one row for each partition and compared in blocks of their numbers, in as many tasks as there are blocks.
 
 Defined results: records without any usable value match nothing; nulls are no evidence; rows without a source or record id have no key and are left out; ties go to
 the smaller keys; repeated rows change nothing; an empty table gives no rows; further columns are
@@ -20,20 +21,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm import person as P
+from kinweave.llm.assignment import assign
 from kinweave.llm.components import components
 from kinweave.operators import contents as C
 from kinweave.operators import records as R
 from kinweave.session import cut
 
 WINDOW = 8
+#: Rows apart up to which records of one mailbox, phone or door are compared.
+WIDE = 32
+#: Edge rows whose numbers fall into one block of this size meet in one task.
+EDGE_BLOCK = 4_096
 #: Rows of a sorted partition, and so of one task.
 PARTITION_ROWS = 100_000
+#: Composite sort keys of a row.
+N_KEYS = 6
 
 
 def versions(raw: DataFrame) -> DataFrame:
@@ -45,115 +54,142 @@ def versions(raw: DataFrame) -> DataFrame:
 
 
 def sort_keys(rows: DataFrame) -> DataFrame:
-    """Each row once for each composite sort key it can fill, with the key's number ``k`` and text ``at``."""
+    """Each row once for each composite sort key it can fill, with the key's number ``k``, its text
+    ``at`` and ``lead``, a hash of the mailbox, phone or door it begins with (0 for other keys)."""
     c = F.col
     first = F.split_part("given", F.lit(" "), F.lit(1))
-    key = lambda need, *parts: F.when(c(need).isNotNull(), F.concat_ws("|", *(F.coalesce(p, F.lit("~")) for p in parts)))
+    named = F.lit(0).cast("long")
+
+    def key(need: str, *parts: Column, lead: Column = named) -> Column:
+        return F.when(c(need).isNotNull(), F.struct(F.concat_ws("|", *(F.coalesce(p, F.lit("~")) for p in parts)).alias("at"), lead.alias("lead")))
+
     keys = [
-        key("email", c("email"), c("birth"), first),
-        key("phone", c("phone"), c("birth"), first),
+        key("email", c("email"), c("birth"), first, lead=F.xxhash64("email")),
+        key("phone", c("phone"), c("birth"), first, lead=F.xxhash64("phone")),
         key("birth", c("birth"), F.substring(c("family"), 1, 3), first),
         key("birth", c("birth"), F.substring(first, 1, 2), c("family")),
-        key("street", c("street"), c("number"), c("town"), c("birth"), first),
+        key("street", c("street"), c("number"), c("town"), c("birth"), first, lead=F.xxhash64("street", "number", "town")),
         key("family", c("family"), first, c("birth"), c("town")),
     ]
-    return rows.select("*", F.posexplode(F.array(*keys)).alias("k", "at")).filter("at IS NOT NULL")
+    return rows.select("*", F.posexplode(F.array(*keys)).alias("k", "x")).filter("x IS NOT NULL").select("*", "x.at", "x.lead").drop("x")
 
 
 _PAIR = T.StructType([T.StructField("key_a", T.StringType()), T.StructField("key_b", T.StringType()), T.StructField("cross", T.BooleanType()), T.StructField("score", T.DoubleType())])
-_EDGE = ["part", "pos", "k", "key", "source_system", *P.COLUMNS]
+_ROW = ["k", "lead", "key", "source_system", *P.COLUMNS]
+_EDGE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("lead", T.LongType()), *(T.StructField(c, T.StringType()) for c in _ROW[2:])])
+_ARROW = {T.StringType(): pa.string(), T.BooleanType(): pa.bool_(), T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32(), T.LongType(): pa.int64()}
+_BOTH = pa.schema([pa.field(f.name, _ARROW[f.dataType]) for f in (*_PAIR.fields, *_EDGE.fields)])
 
 
-def _window_pairs(t: pa.Table, new_from: int, window: int) -> pa.RecordBatch:
-    """Scored pairs of rows less than ``window`` apart of which the later is at ``new_from`` or behind."""
+def _scored(t: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """The pairs (i, j) of rows with enough evidence, the best of those between the same two keys."""
+    hit, score = P.Block(t).scores(i, j)
+    best = np.argsort(-score, kind="stable")
+    hit, score = hit[best], score[best]
+    i, j = i[hit], j[hit]
+    code = P.Block._code(t.column("key"))
+    x, y = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
+    _, first = np.unique(x * (code.max(initial=0) + 1) + y, return_index=True)
+    i, j, score = i[first], j[first], score[first]
+    pick = lambda c, n: t.column(c).take(pa.array(n)).combine_chunks()
+    a, b = pick("key", i), pick("key", j)
+    swap = pc.greater(a, b)
+    cross = pc.not_equal(pick("source_system", i), pick("source_system", j))
+    return pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b), cross, pa.array(score.astype(float))], _PAIR.names)
+
+
+def _window_pairs(t: pa.Table, new_from: int, window: int, wide: int, at: np.ndarray | None = None, part: np.ndarray | None = None) -> pa.RecordBatch:
+    """Scored pairs of rows less than ``window`` apart, or less than ``wide`` with the same lead, of which
+    the later is at ``new_from`` or behind. ``at``: rows' numbers, where they aren't consecutive; then
+    only pairs of different ``part`` count."""
     n = len(t)
-    k = t.column("k").to_numpy()
-    key = P.Block._code(t.column("key"))
+    k, lead, key = t.column("k").to_numpy(), t.column("lead").to_numpy(), P.Block._code(t.column("key"))
     i, j = [], []
-    for s in range(1, min(window, n)):
+    for s in range(1, min(wide, n)):
         b = np.arange(max(new_from, s), n)
-        ok = (k[b] == k[b - s]) & (key[b] != key[b - s])
+        apart = s if at is None else at[b] - at[b - s]
+        ok = (k[b] == k[b - s]) & (key[b] != key[b - s]) & ((apart < window) | ((apart < wide) & (lead[b] == lead[b - s]) & (lead[b] != 0)))
+        if part is not None:
+            ok &= (part[b] != part[b - s]) & (apart > 0)
         i.append(b[ok] - s)
         j.append(b[ok])
     i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i, j))
-    hit, score = P.Block(t).scores(i, j)
-    i, j = i[hit], j[hit]
-    keys, src = np.array(t.column("key").to_pylist(), dtype=object), np.array(t.column("source_system").to_pylist(), dtype=object)
-    a, b = keys[i], keys[j]
-    swap = a > b
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array((src[i] != src[j]).astype(bool)), pa.array(score.astype(float))], ["key_a", "key_b", "cross", "score"])
+    return _scored(t, i, j)
 
 
-def _slide(window: int):
-    names = ["k", "key", "source_system", *P.COLUMNS]
+def _slide(window: int, wide: int):
+    """Pairs of each sorted partition, and its first and last rows for ``_across``."""
+    keep = wide - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, carry, pos, head = TaskContext.get().partitionId(), None, 0, None
-        schema = pa.schema([("key_a", pa.string()), ("key_b", pa.string()), ("cross", pa.bool_()), ("score", pa.float64()), ("part", pa.int32()), ("pos", pa.int64()), ("k", pa.int32()), *((c, pa.string()) for c in names[1:])])
 
         def edge(t: pa.Table, at: int) -> pa.RecordBatch:
             n = len(t)
-            cols = [pa.nulls(n, f.type) for f in schema][:4] + [pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *(t.column(c).combine_chunks() for c in names)]
+            cols = [*(pa.nulls(n, f.type) for f in list(_BOTH)[:4]), pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *(t.column(c).combine_chunks() for c in _ROW)]
             cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
-            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, _BOTH)], schema=_BOTH)
 
         for b in batches:
             if not len(b):
                 continue
-            t = pa.Table.from_batches([b]).select(names)
-            if head is None or len(head) < window - 1:
-                head = t.slice(0, window - 1) if head is None else pa.concat_tables([head, t.slice(0, window - 1 - len(head))])
+            t = pa.Table.from_batches([b]).select(_ROW)
+            if head is None or len(head) < keep:
+                head = t.slice(0, keep) if head is None else pa.concat_tables([head, t.slice(0, keep - len(head))])
             whole = t if carry is None else pa.concat_tables([carry, t])
-            got = _window_pairs(whole, len(whole) - len(t), window)
-            n = len(got)
-            yield pa.RecordBatch.from_arrays([*got.columns, *(pa.nulls(n, f.type) for f in list(schema)[4:])], schema=schema)
+            got = _window_pairs(whole, len(whole) - len(t), window, wide)
+            cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in got.columns]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(got), f.type) for f in list(_BOTH)[4:])], schema=_BOTH)
             pos += len(t)
-            carry = whole.slice(max(0, len(whole) - window + 1))
+            carry = whole.slice(max(0, len(whole) - keep))
         if head is not None:
             yield edge(head, 0)
             if pos > len(head):
-                tail = carry.slice(max(0, len(carry) - min(window - 1, pos - len(head))))
+                tail = carry.slice(max(0, len(carry) - min(keep, pos - len(head))))
                 yield edge(tail, pos - len(tail))
 
     return run
 
 
-def window_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+def _across(window: int, wide: int):
+    """Pairs across the edges of partitions; rows come sorted by block and number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for b in batches:
+            if not len(b):
+                continue
+            t = pa.Table.from_batches([b])
+            whole = t if carry is None else pa.concat_tables([carry, t])
+            # rows of another block are as far apart as their blocks
+            at = whole.column("at").to_numpy() + whole.column("block").to_numpy() * np.int64(4 * (wide + EDGE_BLOCK))
+            yield _window_pairs(whole, len(whole) - len(t), window, wide, at, whole.column("part").to_numpy())
+            carry = whole.slice(max(0, len(whole) - wide + 1))
+
+    return run
+
+
+def window_pairs(rows: DataFrame, window: int = WINDOW, wide: int = WIDE) -> DataFrame:
     """(key_a, key_b, cross, score): pairs found in any window with enough evidence, best score kept."""
     spark = rows.sparkSession
+    wide = max(wide, window)
     keyed = sort_keys(rows)
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), keyed.count() // PARTITION_ROWS + 1)
-    ordered = keyed.repartitionByRange(n, "k", "at", "key").sortWithinPartitions("k", "at", "key").drop("at")
-    kept = [f for f in ordered.schema.fields if f.name != "k"]
-    schema = T.StructType([*_PAIR.fields, T.StructField("part", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("k", T.IntegerType()), *sorted(kept, key=lambda f: _EDGE.index(f.name))])
-    out = cut(ordered.select("k", "key", "source_system", *P.COLUMNS).mapInArrow(_slide(window), schema))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(tasks, rows.count() * N_KEYS // PARTITION_ROWS + 1)
+    ordered = keyed.repartitionByRange(n, "k", "at", "key").sortWithinPartitions("k", "at", "key").select(*_ROW)
+    out = cut(ordered.mapInArrow(_slide(window, wide), T.StructType([*_PAIR.fields, *_EDGE.fields])))
     pairs = out.filter("key_a IS NOT NULL").select(*_PAIR.names)
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [pa.Table.from_batches([b]) for b in batches if len(b)]
-        if got:
-            yield _window_pairs(pa.concat_tables(got), 0, window)
-
-    edges = out.filter("key_a IS NULL").select(*_EDGE).coalesce(1).sortWithinPartitions("part", "pos")
-    both = pairs.unionByName(edges.mapInArrow(across, _PAIR))
-    return both.groupBy("key_a", "key_b").agg(F.first("cross").alias("cross"), F.max("score").alias("score"))
-
-
-def assign(pairs: DataFrame) -> DataFrame:
-    """One-to-one assignment between the units of each two sources (columns a, b, side, score): pairs
-    that are each other's best of what is left are taken, until nothing is left. Heavier pairs go
-    first, so no pair outside weighs more than both that displaced it together."""
-    left, taken = cut(pairs), None
-    while not left.isEmpty():
-        best_a = left.groupBy("side", "a").agg(F.max_by("b", F.struct("score", "b")).alias("b"))
-        best_b = left.groupBy("side", "b").agg(F.max_by("a", F.struct("score", "a")).alias("a"))
-        got = cut(best_a.join(best_b, ["side", "a", "b"]).select("side", "a", "b"))
-        if got.isEmpty():  # ties that go round in a circle: the least pair opens it
-            got = cut(left.orderBy(F.desc("score"), "side", "a", "b").limit(1).select("side", "a", "b"))
-        taken = got if taken is None else taken.unionByName(got)
-        left = cut(left.join(got.select("side", "a"), ["side", "a"], "left_anti").join(got.select("side", "b"), ["side", "b"], "left_anti"))
-    return taken if taken is not None else left.select("side", "a", "b")
+    edges = out.filter("part IS NOT NULL").select(*_EDGE.names)
+    # one row for each partition, whatever its size
+    sizes = edges.groupBy("part").agg((F.max("pos") + 1).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    at = (F.col("before") + F.col("pos")).alias("at")
+    numbered = edges.join(before, "part").select("part", at, *_ROW)
+    block = F.floor(F.col("at") / EDGE_BLOCK)
+    both = F.when((F.col("at") % EDGE_BLOCK < wide - 1) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    blocked = numbered.withColumn("block", F.explode(both)).repartition(tasks, "block").sortWithinPartitions("block", "at")
+    found = pairs.unionByName(blocked.mapInArrow(_across(window, wide), _PAIR))
+    return found.groupBy("key_a", "key_b").agg(F.first("cross").alias("cross"), F.max("score").alias("score"))
 
 
 def _third_side(one: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ the set is made once for each context the record has (mailbox, phone, door, birt
 half of the name, birth date with the initials of both halves in either order), each gram salted by the context. MinHash bands over these sets meet where the
 same context and a like name meet. The number of bands follows from the collision curve: pairs
 whose names have Jaccard similarity NAME_LIKENESS are found with RECALL. A pair is verified by the
-Monge-Elkan likeness of its name parts together with what the other attributes say, and star
-clustering makes persons of the pairs.
+Monge-Elkan likeness of its name parts together with what the other attributes say; star
+clustering makes persons of the pairs, and the records of a star are what comes out: a pair across two
+stars is given up, two spokes of one star that never met are found.
 
 A context is compared whole whatever its size: one of more than TILE rows is cut into groups by
 hash and each two groups meet in a block of their own, so no block is large and none is left out.
@@ -165,14 +166,12 @@ def star_clusters(pairs: DataFrame) -> DataFrame:
 
 
 def variants(raw: DataFrame, profile_runs: DataFrame) -> DataFrame:
-    """(rec_a_key, rec_b_key): records of one person whose full names as typed differ. A star's records
-    pair off with each other; a star is one person's records, few whatever the input's size."""
+    """(rec_a_key, rec_b_key): records of one star, that is one person, whose full names as typed differ."""
     rows = cut(people(raw, R.batch_order(profile_runs)))
     pairs = cut(person_pairs(rows))
     stars = cut(star_clusters(pairs))
     a, b = stars.select(F.col("key").alias("x"), "star"), stars.select(F.col("key").alias("y"), "star")
     both = a.join(b, "star").filter("x < y").select(F.col("x").alias("key_a"), F.col("y").alias("key_b"))
-    both = both.unionByName(pairs.select("key_a", "key_b")).distinct()
     names = rows.select("key", "name").distinct()
     named = both.join(names.select(F.col("key").alias("key_a"), F.col("name").alias("na")), "key_a").join(names.select(F.col("key").alias("key_b"), F.col("name").alias("nb")), "key_b")
     return named.filter("na <> nb").select(F.col("key_a").alias("rec_a_key"), F.col("key_b").alias("rec_b_key"))
