@@ -36,14 +36,14 @@ def values_of(payload: str | None, attribute: Callable[[str], str | None]) -> li
         return [None] * len(VALUES)
     raw: dict[str, str] = {}
     for k, v in got.items():
-        if v is not None and (a := attribute(k)) and a not in raw and (t := V.text_of(v, _INNER)) is not None and (t := V.present(t)) is not None:
+        if v is not None and (a := attribute(k)) and a not in raw and (t := v if v.__class__ is str else V.text_of(v, _INNER)) is not None and (t := V.present(t)) is not None:
             raw[a] = t
     g = raw.get
-    a = _line(g("street")) if g("street") else A.NOTHING
-    f = lambda a, fn: fn(raw[a]) if a in raw else None
+    given, family, email, phone, birth, region, postal, line, city = g("given"), g("family"), g("email"), g("phone"), g("birth"), g("region"), g("postal"), g("street"), g("city")
+    a = _line(line) if line else A.NOTHING
     return [
-        f("given", V.words), f("family", V.words), f("email", V.email), f("phone", V.phone), f("birth", V.birth), f("region", V.words), f("postal", V.postal) or a.postal,
-        a.number, a.street, a.kind, a.direction, a.unit, f("city", A.town_norm) or a.town,
+        given and V.words(given), family and V.words(family), email and V.email(email), phone and V.phone(phone), birth and V.birth(birth), region and V.words(region), postal and V.postal(postal) or a.postal,
+        a.number, a.street, a.kind, a.direction, a.unit, city and A.town_norm(city) or a.town,
     ]
 
 

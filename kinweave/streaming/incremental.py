@@ -7,7 +7,7 @@ of the content.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,16 +37,17 @@ def retired_models(scores: DataFrame, model_version: str) -> DataFrame:
     return scores.withColumn("is_active", F.col("is_active") & (F.col("model_version") == model_version))
 
 
-def deliver(stream: DataFrame, store: Store, table: str, keys: list[str], checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, **trigger):
+def deliver(stream: DataFrame, store: Store, table: str, keys: list[str], checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, order: Sequence[str] = ("ingested_at", "ingest_batch_id"), **trigger):
     """Write a stream of deliveries to a versioned table, each micro-batch merged on ``keys``.
 
-    A batch that is replayed after a failure replaces its own rows, so the table is the same.
+    Of the rows of a key the last by ``order`` stays, however late an older one arrives; columns of
+    ``order`` the stream lacks are left out. A batch that is replayed after a failure gives the same table.
     """
+    by = [c for c in order if c in stream.columns]
 
     def each(batch: DataFrame, n: int) -> None:
-        rows = batch.dropDuplicates(keys)
-        store.merge(table, rows, keys)
+        store.merge(table, batch if by else batch.dropDuplicates(keys), keys, by)
         if then:
-            then(rows, n)
+            then(batch, n)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
