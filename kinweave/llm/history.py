@@ -1,17 +1,25 @@
-"""Deduplicating new batches against all history (problem 1).
+"""Deduplicating new batches against all history (problem 1) by a persisted minwise index.
 
-Every accepted content leaves minwise band keys in an index partitioned by the keys' hash. A new
-batch reads only the partitions and buckets its own keys fall into, verifies each candidate value
-by value, and adds the keys of what it newly accepts. ``HistoryIndex`` does this batch by batch on
-files; ``repeats`` is the same over a whole history at once, for a first load.
+``HistoryIndex`` keeps, for each content ever delivered, its minwise band keys with the values they were
+made of and the earliest row that it repeats, in files partitioned by a hash. A batch is folded into its
+distinct contents; only the partitions its contents fall into are read; candidates that share a band
+key are verified value by value; then the keys of what is new are appended. ``found`` runs a
+whole delivery history through the index, batch after batch of each source.
 
 A content's minwise set is the padded q-grams of the values in which a slip of the pen is allowed
 (given and family name, street, town); the values that must agree (e-mail, phone, birth date,
 house number, unit, region, postal code) salt each gram, so contents that differ there share no
-element. Exact copies are first folded into one content with a count, so a content that holds a
-third of all rows is one row in every later step. A bucket is never paired off: its contents are
-compared with the bucket's earliest, what doesn't match it is compared with the earliest of the
-rest, and so on.
+element, and their hash places the content in the index: all its band keys lie in one partition.
+The band counts follow from the collision curve: sets of Jaccard similarity LIKENESS share a
+key with chance RECALL.
+
+Exact copies are folded before anything is compared, so a content that holds a third of all rows is
+one row. Where more than HOT contents agree in all values that must agree (mostly because these
+are blank), a content is kept under bands of more rows, as many of them as keep the same recall, whose
+buckets hold all but equal contents; the HOT contents kept before stay under bands of one row.
+
+A content that repeats an earlier one is kept as well, with the row it repeats, so what is like it but
+less like the original still finds the original. Adding a batch again changes nothing.
 
 Defined results: null, blank and stand-in values are one kind of blank; a row with no usable value
 has no content and is no case; rows with a null payload and deleted rows are no case; ties in
@@ -19,7 +27,10 @@ time go to the smaller id; a row written twice in its own batch is none by that;
 gives no rows; further columns are ignored.
 """
 
+import math
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,14 +45,20 @@ from kinweave.functions import kernels as K
 from kinweave.functions.address import slips
 from kinweave.operators import contents as C
 from kinweave.operators import records as R
-from kinweave.session import cut
+from kinweave.session import checkpoint_root, cut, reclaim
+from kinweave.sources.manifest import Manifests
 
 STRICT = ["email", "phone", "birth", "region", "postal", "number", "unit"]
 LOOSE = ["given", "family", "street", "kind", "direction", "town"]
 Q = 2
 #: Two slips in one of four values leave a Jaccard similarity of 0.6 or more of their padded bigrams.
-BANDS, ROWS = K.bands_for(0.6, 2, 0.9999), 2
+LIKENESS, RECALL = 0.6, 0.9999
+#: (rows, bands) of the keys of a content, and of one among more than HOT that agree in all of STRICT.
+COARSE, FINE = ((r, K.bands_for(LIKENESS, r, RECALL)) for r in (1, 4))
+HOT = 1_000
 MOST_SLIPS = 2
+#: Contents of one partition of the index, about, and runs of it from which on the smaller half is merged.
+PARTITION_ROWS, MOST_RUNS = 500_000, 24
 
 
 def contents(raw: DataFrame, order: DataFrame) -> DataFrame:
@@ -59,24 +76,27 @@ def contents(raw: DataFrame, order: DataFrame) -> DataFrame:
     )
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_KEYS = T.ArrayType(T.LongType())
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their coarse and, where ``finely``, fine band keys; a key's kind is part of it."""
     for b in batches:
         if not len(b):
             continue
-        cols = [pc.fill_null(b.column(b.schema.names.index(c)), "") for c in ("given", "family", "street", "town")]
-        text = pc.binary_join_element_wise("^", *[pc.utf8_replace_slice(c, 0, 0, f"{i}") for i, c in enumerate(cols)], "^", "^")
-        h, starts = K.gram_hashes(text, Q)
-        strict = b.column(b.schema.names.index("strict"))
+        at = b.schema.names.index
+        text = pc.binary_join_element_wise("^", *[pc.utf8_replace_slice(b.column(at(c)), 0, 0, f"{i}") for i, c in enumerate(("given", "family", "street", "town"))], "^", "^")
+        strict = b.column(at("strict"))
         salt = np.asarray(strict.field("a")).view(np.uint64) ^ K.mix(np.asarray(strict.field("b")).view(np.uint64))
-        keys = K.band_keys(K.minwise(h, starts, BANDS * ROWS, salt), BANDS, ROWS).view(np.int64)
-        n = np.repeat(np.arange(len(b)), BANDS)
-        out = b.take(pa.array(n))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *out.columns], ["band", *b.schema.names])
-
-
-def banded(classes: DataFrame) -> DataFrame:
-    """Each content once for each of its minwise band keys."""
-    return classes.mapInArrow(_bands, T.StructType([T.StructField("band", T.LongType()), *classes.schema.fields]))
+        finely = np.asarray(b.column(at("finely")).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
+        cols = []
+        for n, ((rows, bands), which) in enumerate(((COARSE, np.ones(len(b), bool)), (FINE, finely))):
+            some = np.flatnonzero(which)
+            h, starts = K.gram_hashes(text.take(pa.array(some)), Q)
+            keys = K.mix(K.band_keys(K.minwise(h, starts, rows * bands, salt[some]), bands, rows), n).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.where(which, bands, 0))]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1), pa.int64())))
+        yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "coarse", "fine"])
 
 
 def _near(x: str, y: str) -> bool:
@@ -107,82 +127,132 @@ def _loose(prefix: str = "") -> Column:
     return F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in LOOSE))
 
 
-def _first(prefix: str = "") -> Column:
-    return F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in ("batch_no", "ingested_at", "id")))
+def classes_of(rows: DataFrame, *more: str) -> DataFrame:
+    """One row for each content of each batch: content, batch_no, strict, the values, first row."""
+    first = F.min(F.struct("batch_no", "ingested_at", "id")).alias("first")
+    return rows.groupBy("content", "batch_no").agg(first, *(F.first(c).alias(c) for c in ("strict", *LOOSE, *more)))
+
+
+class HistoryIndex:
+    """Contents of all batches added so far, on files of the shared store at ``path``.
 
+    Each batch is a run of files, partitioned by the hash of the values that must agree into a number
+    of folders that grows with the run; numbered manifests list the runs. When there are more than
+    MOST_RUNS, the smaller half is merged into one, so a content is written again a logarithmic number of
+    times. One writer at a time: a second one's commit fails and may be repeated.
+    """
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """One row for each content, with its earliest row and how many rows have it."""
-    return rows.groupBy("source_system", "content").agg(F.min(_first()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("strict").alias("strict"), *(F.first(c).alias(c) for c in LOOSE))
+    def __init__(self, spark: SparkSession, path: str, hot: int = HOT, partition_rows: int = PARTITION_ROWS, most_runs: int = MOST_RUNS) -> None:
+        self.spark, self.path, self.hot, self.partition_rows, self.most_runs = spark, path.rstrip("/"), hot, partition_rows, most_runs
+        self.manifests = Manifests(spark, path)
+
+    def _read(self, strict: DataFrame, leave: str | None = None) -> DataFrame | None:
+        """Rows whose ``strict`` is one of those given. Folders none of them falls into are not read."""
+        runs = [r for r in self.manifests.last()[1] if r["name"] != leave and r["rows"]]
+        if not runs:
+            return None
+        most = max(r["partitions"] for r in runs)
+        hit = [r[0] for r in strict.select(_part(most)).distinct().collect()]  # at most the number of partitions
+        out = None
+        for r in runs:
+            rows = self.spark.read.schema(_ROW).parquet(f"{self.path}/{r['folder']}")
+            parts = {h % r["partitions"] for h in hit}
+            rows = rows.filter(F.col("part").isin(sorted(parts))) if len(parts) < r["partitions"] else rows
+            out = rows if out is None else out.unionByName(rows)
+        return out.drop("part").join(strict, "strict", "left_semi")
+
+    def _write(self, name: str, rows: DataFrame, n: int, add: bool) -> None:
+        """Write a run of at most ``n`` rows and list it, in place of one of the same name or, if not ``add``, of those merged into it."""
+        number, runs = self.manifests.last()
+        partitions = 1 << max(0, math.ceil(math.log2(n / self.partition_rows))) if n else 1
+        folder = f"run-{uuid.uuid4().hex}"
+        if n:
+            placed = rows.withColumn("part", _part(partitions))
+            placed = placed.repartition(partitions, "part") if partitions > 1 else placed.coalesce(1)
+            placed.sortWithinPartitions("part", "strict").write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        keep = [r for r in runs if r["name"] != name] if add else [r for r in runs if r["name"] not in name.split("+")]
+        self.manifests.commit(number, [*keep, {"name": name, "folder": folder, "rows": n, "partitions": partitions}])
+
+    def compact(self) -> None:
+        """Merge the smaller half of the runs into one, if there are too many."""
+        runs = [r for r in self.manifests.last()[1]]
+        if len(runs) > self.most_runs:
+            few = sorted(runs, key=lambda r: (r["rows"], r["name"]))[: len(runs) // 2]
+            parts = [self.spark.read.schema(_ROW).parquet(f"{self.path}/{r['folder']}").drop("part") for r in few if r["rows"]]
+            if parts:
+                self._write("+".join(r["name"] for r in few), reduce(DataFrame.unionByName, parts), sum(r["rows"] for r in few), add=False)
+
+    def add(self, classes: DataFrame, name: str) -> DataFrame:
+        """(content, batch_no, root): contents of a batch that repeat a row of an earlier batch, with the
+        earliest such row; what the index hasn't yet is added to it under the batch's name."""
+        mine = cut(classes)
+        strict = mine.select("strict").distinct()
+        old = self._read(strict, name)
+        old = cut(old) if old is not None else self.spark.createDataFrame([], T.StructType(_ROW.fields[:-1]))
+        again = mine.join(old.select("content", "root"), "content").select("content", "batch_no", "root")
+        new = mine.join(old.select("content"), "content", "left_anti")
+        held = old.groupBy("strict").agg(F.count(F.lit(1)).alias("old"), F.max("finely").alias("any_fine"))
+        here = new.groupBy("strict").agg(F.count(F.lit(1)).alias("here"))
+        new = new.join(here.join(held, "strict", "left"), "strict").withColumn("rivals", F.coalesce("old", F.lit(0)) + F.col("here"))
+        new = new.withColumn("kept_finely", F.col("rivals") > self.hot).withColumn("finely", F.col("kept_finely") | F.coalesce("any_fine", F.lit(False))).drop("old", "any_fine", "here")
+        keyed = cut(new.mapInArrow(_keys, T.StructType([*new.schema.fields, T.StructField("coarse", _KEYS), T.StructField("fine", _KEYS)])))
+        bands = F.when(F.col("kept_finely"), F.col("fine")).otherwise(F.col("coarse")).alias("bands")
+        ask = keyed.filter("rivals > 1").select("content", "first", F.explode(F.concat("coarse", "fine")).alias("band"))
+        have = old.select("content", "root", F.explode("bands").alias("band"))
+        have = have.unionByName(keyed.filter("rivals > 1").select("content", F.col("first").alias("root"), F.explode(bands).alias("band")))
+        # only what came earlier can be repeated
+        pairs = ask.join(have.select(F.col("content").alias("to"), "root", "band"), "band").filter(F.col("root") < F.col("first")).select("content", "to", "root").distinct()
+        values = lambda df: df.select("content", "strict", *LOOSE)
+        both = pairs.join(values(keyed).select("content", "strict", _loose().alias("mine")), "content")
+        both = both.join(values(old).unionByName(values(keyed.filter("rivals > 1"))).select(F.col("content").alias("to"), F.col("strict").alias("its"), _loose().alias("theirs")), "to")
+        like = both.filter(F.col("strict") == F.col("its")).filter(_alike("theirs", "mine"))
+        linked = like.groupBy("content").agg(F.min("root").alias("root"))
+        linked = cut(keyed.select("content", "batch_no", "first", "strict", *LOOSE, F.col("kept_finely").alias("finely"), bands).join(linked, "content", "left"))
+        rows = linked.groupBy("content").agg(F.min(F.coalesce("root", "first")).alias("root"), *(F.first(c).alias(c) for c in ("strict", *LOOSE, "finely", "bands")))
+        self._write(name, rows.select(*(f.name for f in _ROW.fields[:-1])), linked.count(), add=True)
+        self.compact()
+        found = cut(again.unionByName(linked.filter("root IS NOT NULL").select("content", "batch_no", "root")).filter(F.col("root.batch_no") < F.col("batch_no")))
+        for df in (mine, old, keyed, linked):
+            reclaim(df)
+        return found
+
+    def accept(self, raw_batch: DataFrame, order: DataFrame, name: str) -> DataFrame:
+        """(id, prior_id) of a delivered batch's rows that repeat an earlier batch's; the batch is added."""
+        rows = cut(contents(raw_batch, order))
+        return prior(rows, self.add(classes_of(rows), name))
 
 
-def _links(keyed: DataFrame) -> DataFrame:
-    """(content, first): contents beside the earliest row of another content that matches, found by
-    comparing each bucket's contents with the bucket's earliest until none is left to compare."""
-    w = Window.partitionBy("band").orderBy("first", "content")
-    todo, found = cut(keyed), None
-    while True:
-        centre = todo.withColumn("c", F.first(F.struct("content", "strict", "first", *LOOSE)).over(w)).filter(F.col("content") != F.col("c.content"))
-        same = _alike(_loose("c."), _loose()) & (F.col("c.strict") == F.col("strict"))
-        judged = cut(centre.withColumn("same", same))
-        links = judged.filter("same").select("content", F.col("c.first").alias("first"), F.col("c.content").alias("to"))
-        found = links if found is None else found.unionByName(links)
-        # another band has told already what becomes of a content that is linked
-        todo = judged.filter("NOT same").drop("same", "c").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("k > 1").drop("k")
-        todo = cut(todo)
-        if todo.isEmpty():
-            return found
+def _part(partitions: int) -> Column:
+    return F.pmod(F.col("strict.a"), F.lit(partitions)).cast("int").alias("part")
 
 
-def repeats(raw: DataFrame, profile_runs: DataFrame) -> DataFrame:
-    """(id, prior_id): rows whose content an earlier batch of their source has brought, with the earliest such row."""
-    rows = cut(contents(raw, R.batch_order(profile_runs)))
-    classes = cut(_classes(rows))
-    rival = classes.groupBy("strict").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("strict")
-    keyed = banded(classes.join(rival, "strict", "left_semi").select("content", "strict", "first", *LOOSE))
-    links = _links(keyed).groupBy("content").agg(F.min(F.struct("first", "to")).alias("x")).select("content", F.col("x.first").alias("root"), F.col("x.to").alias("to"))
-    links = cut(links)
-    # what a content repeats may itself repeat an earlier one
-    up = links.select(F.col("content").alias("to"), F.col("root").alias("up"))
-    links = links.join(up, "to", "left").select("content", F.least("root", "up").alias("root"))
-    known = classes.join(links, "content", "left").filter((F.col("n") > 1) | F.col("root").isNotNull()).select("content", F.least("first", "root").alias("root"))
-    return rows.select("id", "content", "batch_no").join(known, "content").filter(F.col("batch_no") > F.col("root.batch_no")).select("id", F.col("root.id").alias("prior_id")).distinct()
+_HASH = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_FIRST = T.StructType([T.StructField("batch_no", T.LongType()), T.StructField("ingested_at", T.TimestampNTZType()), T.StructField("id", T.StringType())])
+_ROW = T.StructType([
+    T.StructField("content", _HASH), T.StructField("strict", _HASH), T.StructField("root", _FIRST), *(T.StructField(c, T.StringType()) for c in LOOSE),
+    T.StructField("finely", T.BooleanType()), T.StructField("bands", _KEYS), T.StructField("part", T.IntegerType()),
+])
 
 
-class HistoryIndex:
-    """Accepted contents on files: band keys partitioned by the keys' hash.
+def prior(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, prior_id) of rows whose content in their batch repeats an earlier batch's row."""
+    out = rows.select("id", "content", "batch_no").join(found, ["content", "batch_no"])
+    return out.select("id", F.col("root.id").alias("prior_id")).distinct()
 
-    ``probe`` finds what a batch repeats; ``accept`` probes, then appends the keys of the contents
-    that repeat nothing. Only partitions that hold a key of the batch are read.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, partitions: int = 64) -> None:
-        self.spark, self.path, self.partitions = spark, path, partitions
-
-    def _keyed(self, classes: DataFrame) -> DataFrame:
-        return banded(classes.select("content", "strict", "first", *LOOSE)).withColumn("part", F.pmod(F.xxhash64("band"), F.lit(self.partitions)).cast("int"))
-
-    def probe(self, rows: DataFrame) -> DataFrame:
-        """(content, root): contents of the batch with the earliest accepted row that each repeats."""
-        keyed = self._keyed(_classes(rows))
-        empty = keyed.select("content", F.col("first").alias("root")).limit(0)
-        try:
-            index = self.spark.read.parquet(self.path)
-        except Exception as e:  # nothing accepted yet
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return empty
-            raise
-        parts = [r.part for r in keyed.select("part").distinct().collect()]  # at most self.partitions
-        old = index.filter(F.col("part").isin(parts)).select("part", "band", F.struct("content", "strict", "first", *LOOSE).alias("c"))
-        same = (F.col("c.strict") == F.col("strict")) & _alike(_loose("c."), _loose())
-        hit = keyed.join(old, ["part", "band"]).filter(same)
-        return hit.groupBy("content").agg(F.min("c.first").alias("root"))
-
-    def accept(self, raw_batch: DataFrame, order: DataFrame) -> DataFrame:
-        """(id, prior_id) of the batch's repeats; the rest is added to the index."""
-        rows = cut(contents(raw_batch, order))
-        hits = cut(self.probe(rows))
-        out = cut(rows.join(hits, "content").filter(F.col("batch_no") > F.col("root.batch_no")).select("id", F.col("root.id").alias("prior_id")).distinct())
-        new = _classes(rows.join(hits, "content", "left_anti"))
-        self._keyed(new).repartition("part").write.mode("append").partitionBy("part").parquet(self.path)
-        return out
+def found(raw: DataFrame, profile_runs: DataFrame, path: str | None = None, hot: int = HOT) -> DataFrame:
+    """(id, prior_id): rows whose content an earlier batch of their source has brought, with the earliest
+    such row. The n-th batches of all sources go through the index together, as no row repeats another source's."""
+    spark = raw.sparkSession
+    rows = cut(contents(raw, R.batch_order(profile_runs)))
+    nth = rows.select("source_system", "batch_no").distinct().withColumn("step", F.dense_rank().over(Window.partitionBy("source_system").orderBy("batch_no")))
+    steps = cut(nth)  # one row for each batch
+    placed = classes_of(rows.join(F.broadcast(steps), ["source_system", "batch_no"]).select("content", "batch_no", "ingested_at", "id", "strict", *LOOSE, "step"), "step")
+    folder = f"{checkpoint_root(spark)}/kinweave/history-{uuid.uuid4().hex}"
+    placed.hint("rebalance", "step").write.partitionBy("step").parquet(f"{folder}/classes")
+    index = HistoryIndex(spark, path or f"{folder}/index", hot)
+    classes, out = spark.read.schema(placed.schema).parquet(f"{folder}/classes"), None
+    for step in sorted(r[0] for r in steps.select("step").distinct().collect()):
+        got = index.add(classes.filter(F.col("step") == step).drop("step"), f"{step:06d}")
+        out = got if out is None else out.unionByName(got)
+    return prior(rows, out) if out is not None else rows.select("id", F.col("id").alias("prior_id")).limit(0)

@@ -54,8 +54,9 @@ def versions(raw: DataFrame) -> DataFrame:
 
 
 def sort_keys(rows: DataFrame) -> DataFrame:
-    """Each row once for each composite sort key it can fill, with the key's number ``k``, its text
-    ``at`` and ``lead``, a hash of the mailbox, phone or door it begins with (0 for other keys)."""
+    """Each row, its values and key packed into one text ``v``, once for each composite sort key it can
+    fill, with the key's number ``k``, its text ``at`` and ``lead``, a hash of the mailbox, phone or door
+    it begins with (0 for other keys)."""
     c = F.col
     first = F.split_part("given", F.lit(" "), F.lit(1))
     named = F.lit(0).cast("long")
@@ -71,16 +72,31 @@ def sort_keys(rows: DataFrame) -> DataFrame:
         key("street", c("street"), c("number"), c("town"), c("birth"), first, lead=F.xxhash64("street", "number", "town")),
         key("family", c("family"), first, c("birth"), c("town")),
     ]
-    return rows.select("*", F.posexplode(F.array(*keys)).alias("k", "x")).filter("x IS NOT NULL").select("*", "x.at", "x.lead").drop("x")
+    packed = F.concat_ws(_GAP, *(F.coalesce(c(n), F.lit("")) for n in P.COLUMNS), "key").alias("v")
+    return rows.select("source_system", packed, F.posexplode(F.array(*keys)).alias("k", "x")).filter("x IS NOT NULL").select("k", "source_system", "v", "x.at", "x.lead")
 
 
 _PAIR = T.StructType([T.StructField("key_a", T.StringType()), T.StructField("key_b", T.StringType()), T.StructField("cross", T.BooleanType()), T.StructField("score", T.DoubleType())])
-_ROW = ["k", "lead", "key", "source_system", *P.COLUMNS]
+_ROW = ["k", "lead", "source_system", "v"]
 _EDGE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("lead", T.LongType()), *(T.StructField(c, T.StringType()) for c in _ROW[2:])])
+#: Stands between packed values; the normalised values hold no control character, and the key comes last.
+_GAP = "\x1f"
 _ARROW = {T.StringType(): pa.string(), T.BooleanType(): pa.bool_(), T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32(), T.LongType(): pa.int64()}
 _BOTH = pa.schema([pa.field(f.name, _ARROW[f.dataType]) for f in (*_PAIR.fields, *_EDGE.fields)])
 
 
+def _unpacked(t: pa.Table) -> pa.Table:
+    """``t`` with the packed values as columns of their own; an empty value is a null."""
+    n, width = len(t), len(P.COLUMNS) + 1
+    flat = pc.split_pattern(t.column("v").combine_chunks(), _GAP, max_splits=width - 1).flatten()
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    at = np.arange(n) * width
+    for c, name in enumerate([*P.COLUMNS, "key"]):
+        col = flat.take(pa.array(at + c))
+        t = t.append_column(name, col if name == "key" else pc.if_else(pc.equal(col, ""), pa.scalar(None, col.type), col))
+    return t
+
+
 def _scored(t: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     """The pairs (i, j) of rows with enough evidence, the best of those between the same two keys."""
     hit, score = P.Block(t).scores(i, j)
@@ -133,7 +149,7 @@ def _slide(window: int, wide: int):
         for b in batches:
             if not len(b):
                 continue
-            t = pa.Table.from_batches([b]).select(_ROW)
+            t = _unpacked(pa.Table.from_batches([b]).select(_ROW))
             if head is None or len(head) < keep:
                 head = t.slice(0, keep) if head is None else pa.concat_tables([head, t.slice(0, keep - len(head))])
             whole = t if carry is None else pa.concat_tables([carry, t])
@@ -159,7 +175,7 @@ def _across(window: int, wide: int):
         for b in batches:
             if not len(b):
                 continue
-            t = pa.Table.from_batches([b])
+            t = _unpacked(pa.Table.from_batches([b]))
             whole = t if carry is None else pa.concat_tables([carry, t])
             # rows of another block are as far apart as their blocks
             at = whole.column("at").to_numpy() + whole.column("block").to_numpy() * np.int64(4 * (wide + EDGE_BLOCK))
@@ -176,7 +192,7 @@ def window_pairs(rows: DataFrame, window: int = WINDOW, wide: int = WIDE) -> Dat
     keyed = sort_keys(rows)
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = max(tasks, rows.count() * N_KEYS // PARTITION_ROWS + 1)
-    ordered = keyed.repartitionByRange(n, "k", "at", "key").sortWithinPartitions("k", "at", "key").select(*_ROW)
+    ordered = keyed.repartitionByRange(n, "k", "at", "v").sortWithinPartitions("k", "at", "v").select(*_ROW)
     out = cut(ordered.mapInArrow(_slide(window, wide), T.StructType([*_PAIR.fields, *_EDGE.fields])))
     pairs = out.filter("key_a IS NOT NULL").select(*_PAIR.names)
     edges = out.filter("part IS NOT NULL").select(*_EDGE.names)

@@ -10,7 +10,7 @@ from kinweave.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.repeats(table(spark, sf_dir, "raw_records_golden"), table(spark, sf_dir, "profile_runs"))
+    return history.found(table(spark, sf_dir, "raw_records_golden"), table(spark, sf_dir, "profile_runs"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,27 +57,54 @@ ROWS = [
 WANT = {("a2", "a1"), ("a3", "a1"), ("a6", "a5"), ("b2", "b1")}
 
 
-def test_repeats(spark):
-    got = {tuple(r) for r in history.repeats(raw(spark, ROWS), runs(spark, "b1", "b2", "b3", "b4")).collect()}
+def test_found(spark):
+    got = {tuple(r) for r in history.found(raw(spark, ROWS), runs(spark, "b1", "b2", "b3", "b4")).collect()}
     assert got == WANT
 
 
-def test_repeats_empty(spark):
-    assert history.repeats(raw(spark, []), runs(spark)).count() == 0
+def test_found_empty(spark):
+    assert history.found(raw(spark, []), runs(spark)).count() == 0
 
 
-def test_index_equals_bulk(spark, tmp_path):
+@pytest.mark.parametrize("options", [{}, {"hot": 0}, {"partition_rows": 1, "most_runs": 2}])
+def test_index_batch_by_batch(spark, tmp_path, options):
     order = R.batch_order(runs(spark, "b1", "b2", "b3", "b4"))
-    index = history.HistoryIndex(spark, f"file://{tmp_path}/index", partitions=4)
     got = set()
-    for b in ("b1", "b2", "b3", "b4"):
-        got |= {tuple(r) for r in index.accept(raw(spark, [r for r in ROWS if r[4] == b]), order).collect()}
+    for b in ("b1", "b2", "b2", "b3", "b4"):  # one batch is delivered again
+        index = history.HistoryIndex(spark, f"file://{tmp_path}/index", **options)
+        got |= {tuple(r) for r in index.accept(raw(spark, [r for r in ROWS if r[4] == b]), order, b).collect()}
     assert got == WANT
+    assert sum(r["rows"] for r in index.manifests.last()[1]) == 6
+
+
+def test_index_equals_brute_force(spark):
+    """Contents that agree in what must agree, compared in pairs; a hot group and slips throughout."""
+    rng = random.Random(7)
+    slip = lambda w: w[: (k := rng.randrange(1, len(w)))] + rng.choice("aeiou") + w[k + 1 :] if rng.random() < 0.5 else w
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(4))
+    people = [(word(), word(), word()) for _ in range(40)]
+    rows = []
+    for i in range(400):
+        g, f, t = rng.choice(people)
+        rows.append((f"r{i:03d}", "crm", str(i), payload("crm", (slip(g), f, "", None, f"{slip(t)} street" if rng.random() < 0.3 else None, "-absent-", None, None, None)), f"b{rng.randrange(4)}"))
+    df, order = raw(spark, rows), runs(spark, "b0", "b1", "b2", "b3")
+    c = [r.asDict(recursive=True) for r in history.contents(df, R.batch_order(order)).collect()]
+    like = lambda x, y: x["strict"] == y["strict"] and all(history._near(x[k], y[k]) for k in ("given", "family", "town")) and history._same_street(*(z[k] for z in (x, y) for k in ("street", "kind", "direction")))
+    first, root = {}, {}
+    for x in sorted(c, key=lambda x: (x["batch_no"], x["id"])):
+        key = tuple(x["content"].values())
+        if key not in first:
+            root[key] = min([root[k] for k, y in first.items() if like(y, x)] + [(x["batch_no"], x["id"])])
+            first[key] = x
+    want = {(x["id"], root[k][1]) for x in c if root[k := tuple(x["content"].values())][0] < x["batch_no"]}
+    assert len(want) > 100
+    for hot in (1000, 5):
+        assert {tuple(r) for r in history.found(df, order, hot=hot).collect()} == want
 
 
 def test_hot_content(spark):
     rows = [(f"h{i:05d}", "crm", str(i), payload("crm", put(ANN, family="Stanmoor" if i % 2 else "Stanmoorr")), f"b{i % 3 + 1}") for i in range(3000)]
-    got = {tuple(r) for r in history.repeats(raw(spark, rows), runs(spark, "b1", "b2", "b3")).collect()}
+    got = {tuple(r) for r in history.found(raw(spark, rows), runs(spark, "b1", "b2", "b3")).collect()}
     assert got == {(f"h{i:05d}", "h00000") for i in range(3000) if i % 3}
 
 
