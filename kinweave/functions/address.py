@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -75,7 +76,7 @@ def _unit(m: str) -> str:
     return re.sub(r"[\s-]", "", m)
 
 
-def parse(line: str | None, towns: frozenset | set | None = None) -> Address:
+def parse(line: str | None, towns: Towns | None = None) -> Address:
     """Parts of one address line; all None where no house number with a street is found.
 
     towns: names of towns that may end a line without a comma before them.
@@ -164,14 +165,33 @@ def parse(line: str | None, towns: frozenset | set | None = None) -> Address:
     return Address(number, street, kind, lead or trail, unit, town, region, postal)
 
 
-def near_town(s: str, towns) -> str | None:
+class Towns:
+    """Names of towns by first letter and length, for looking up a name with a slip or two."""
+
+    def __init__(self, names: Iterable[str]) -> None:
+        self.names = frozenset(names)
+        self._like: dict[tuple[str, int], list[str]] = {}
+        for t in sorted(self.names):
+            self._like.setdefault((t[0], len(t)), []).append(t)
+
+    def __contains__(self, t: object) -> bool:
+        return t in self.names
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def near(self, t: str) -> str | None:
+        """The town fewest slips away, two at most; ties to the smaller name."""
+        best = min(((d, x) for n in range(len(t) - 2, len(t) + 3) for x in self._like.get((t[0], n), ()) if (d := slips(x, t, 2)) <= 2), default=None)
+        return best and best[1]
+
+
+def near_town(s: str, towns: Towns) -> str | None:
     """The town of this name, or the one town a slip or two away from it."""
     t = town_norm(s)
     if t is None or t in towns:
         return t
-    if len(t) < 5:
-        return None
-    return next((x for x in towns if abs(len(x) - len(t)) <= 2 and x[0] == t[0] and slips(x, t, 2) <= 2), None)
+    return towns.near(t) if len(t) >= 5 else None
 
 
 def slips(a: str, b: str, most: int = 2) -> int:

@@ -60,6 +60,24 @@ def typed_name(payload: str | None, attribute: Callable[[str], str | None]) -> s
     return " ".join(unicodedata.normalize("NFC", " ".join(parts[a] for a in ("given", "family") if a in parts)).lower().split())
 
 
+#: Stands between packed values; a normalised value holds no control character.
+GAP = "\x1f"
+
+
+def packed_contents(raw: DataFrame, keep: Iterable[str], values: Iterable[str]) -> DataFrame:
+    """``keep`` columns and some of VALUES packed into one text ``v`` of each non-deleted row with a payload; a null counts as empty."""
+    keep, at = list(keep), [VALUES.index(v) for v in values]
+    rows = R.live(raw).select(*keep, "payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attribute = lru_cache(maxsize=None)(R.attribute_of)
+        for b in batches:
+            got = [values_of(p, attribute) for p in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([GAP.join([row[i] or "" for i in at]) for row in got], pa.string())], [*keep, "v"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("v", T.StringType())]))
+
+
 def contents(raw: DataFrame, keep: Iterable[str], typed: bool = False) -> DataFrame:
     """``keep`` columns and VALUES of each non-deleted row with a payload; with ``typed`` also the full name as typed."""
     keep = list(keep)
