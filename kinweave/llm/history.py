@@ -15,8 +15,9 @@ key with chance RECALL.
 
 Exact copies are folded before anything is compared, so a content that holds a third of all rows is
 one row. Where more than HOT contents agree in all values that must agree (mostly because these
-are blank), a content is kept under bands of more rows, as many of them as keep the same recall, whose
-buckets hold all but equal contents; the HOT contents kept before stay under bands of one row.
+are blank), the place of such a group would hold them all; from then on its contents are kept in a second
+table, a row for each key of bands of more rows, as many bands as keep the same recall, placed
+by the hash of the key: such buckets hold all but equal contents, and only those a batch hits are read.
 
 A content that repeats an earlier one is kept as well, with the row it repeats, so what is like it but
 less like the original still finds the original. Adding a batch again changes nothing.
@@ -57,8 +58,9 @@ LIKENESS, RECALL = 0.6, 0.9999
 COARSE, FINE = ((r, K.bands_for(LIKENESS, r, RECALL)) for r in (1, 4))
 HOT = 1_000
 MOST_SLIPS = 2
-#: Contents of one partition of the index, about, and runs of it from which on the smaller half is merged.
-PARTITION_ROWS, MOST_RUNS = 500_000, 24
+#: Contents of one bucket of a run, about; runs from which on the smaller half is merged; hashes of a batch
+#: up to which only their buckets are read.
+BUCKET_ROWS, MOST_RUNS, FEW = 500_000, 24, 1_000
 
 
 def contents(raw: DataFrame, order: DataFrame) -> DataFrame:
@@ -123,10 +125,6 @@ def _alike(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     return pd.Series([_near(g, g2) and _near(f, f2) and _near(t, t2) and _same_street(s, k, d, s2, k2, d2) for g, f, s, k, d, t, g2, f2, s2, k2, d2, t2 in rows], dtype=bool)
 
 
-def _loose(prefix: str = "") -> Column:
-    return F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in LOOSE))
-
-
 def classes_of(rows: DataFrame, *more: str) -> DataFrame:
     """One row for each content of each batch: content, batch_no, strict, the values, first row."""
     first = F.min(F.struct("batch_no", "ingested_at", "id")).alias("first")
@@ -136,101 +134,127 @@ def classes_of(rows: DataFrame, *more: str) -> DataFrame:
 class HistoryIndex:
     """Contents of all batches added so far, on files of the shared store at ``path``.
 
-    Each batch is a run of files, partitioned by the hash of the values that must agree into a number
-    of folders that grows with the run; numbered manifests list the runs. When there are more than
-    MOST_RUNS, the smaller half is merged into one, so a content is written again a logarithmic number of
-    times. One writer at a time: a second one's commit fails and may be repeated.
+    Each batch is a run: a table bucketed and sorted by the hash of the values that must agree, in a number
+    of buckets that grows with the run, so a batch is brought to the index's buckets and the index itself is
+    never shuffled; a batch of up to FEW such hashes reads only their buckets and row groups. Numbered manifests
+    list the runs. When there are more than MOST_RUNS, the smaller half is merged into one, so a content is
+    written again a logarithmic number of times. One writer at a time: a second one's commit fails and may
+    be repeated. The session's catalog names the runs while the index is open; ``close`` takes the names back.
     """
 
-    def __init__(self, spark: SparkSession, path: str, hot: int = HOT, partition_rows: int = PARTITION_ROWS, most_runs: int = MOST_RUNS) -> None:
-        self.spark, self.path, self.hot, self.partition_rows, self.most_runs = spark, path.rstrip("/"), hot, partition_rows, most_runs
+    def __init__(self, spark: SparkSession, path: str, hot: int = HOT, bucket_rows: int = BUCKET_ROWS, most_runs: int = MOST_RUNS) -> None:
+        self.spark, self.path, self.hot, self.bucket_rows, self.most_runs = spark, path.rstrip("/"), hot, bucket_rows, most_runs
         self.manifests = Manifests(spark, path)
-
-    def _read(self, strict: DataFrame, leave: str | None = None) -> DataFrame | None:
-        """Rows whose ``strict`` is one of those given. Folders none of them falls into are not read."""
-        runs = [r for r in self.manifests.last()[1] if r["name"] != leave and r["rows"]]
+        self.named: set[str] = set()
+
+    def _run(self, r: dict) -> DataFrame:
+        """A run as a table whose buckets Spark knows."""
+        name = r["folder"].replace("-", "_")
+        if name not in self.named:
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _ROW)
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {r['buckets']} BUCKETS LOCATION '{self.path}/{r['folder']}'")
+            self.named.add(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        for name in self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.named = set()
+
+    def _read(self, kind: str, asked: DataFrame, leave: str) -> DataFrame:
+        """Rows of one kind (coarse, fine) with one of the (h, strict) asked for, but not those of the batch ``leave``."""
+        runs = [r for r in self.manifests.last()[1] if r["kind"] == kind and r["name"] != leave]
+        out = self.spark.createDataFrame([], _ROW)
         if not runs:
-            return None
-        most = max(r["partitions"] for r in runs)
-        hit = [r[0] for r in strict.select(_part(most)).distinct().collect()]  # at most the number of partitions
-        out = None
+            return out
+        few = [r.h for r in asked.select("h").limit(FEW + 1).collect()]
         for r in runs:
-            rows = self.spark.read.schema(_ROW).parquet(f"{self.path}/{r['folder']}")
-            parts = {h % r["partitions"] for h in hit}
-            rows = rows.filter(F.col("part").isin(sorted(parts))) if len(parts) < r["partitions"] else rows
-            out = rows if out is None else out.unionByName(rows)
-        return out.drop("part").join(strict, "strict", "left_semi")
-
-    def _write(self, name: str, rows: DataFrame, n: int, add: bool) -> None:
-        """Write a run of at most ``n`` rows and list it, in place of one of the same name or, if not ``add``, of those merged into it."""
-        number, runs = self.manifests.last()
-        partitions = 1 << max(0, math.ceil(math.log2(n / self.partition_rows))) if n else 1
+            rows = self._run(r)
+            rows = rows.filter(F.col("h").isin(few)) if len(few) <= FEW else rows
+            out = out.unionByName(rows.join(asked, ["h", "strict"], "left_semi").select(*_ROW.names))
+        return out
+
+    def _write(self, name: str, kind: str, rows: DataFrame, n: int) -> list[dict]:
+        """Write a run of at most ``n`` rows; its entry for the manifest."""
+        if not n:
+            return []
+        buckets = 1 << max(0, math.ceil(math.log2(n / self.bucket_rows)))
         folder = f"run-{uuid.uuid4().hex}"
-        if n:
-            placed = rows.withColumn("part", _part(partitions))
-            placed = placed.repartition(partitions, "part") if partitions > 1 else placed.coalesce(1)
-            placed.sortWithinPartitions("part", "strict").write.partitionBy("part").parquet(f"{self.path}/{folder}")
-        keep = [r for r in runs if r["name"] != name] if add else [r for r in runs if r["name"] not in name.split("+")]
-        self.manifests.commit(number, [*keep, {"name": name, "folder": folder, "rows": n, "partitions": partitions}])
+        table = folder.replace("-", "_")
+        placed = rows.select(*_ROW.names).repartition(buckets, "h").sortWithinPartitions("h")
+        placed.write.bucketBy(buckets, "h").sortBy("h").option("path", f"{self.path}/{folder}").format("parquet").saveAsTable(table)
+        self.named.add(table)
+        return [{"name": name, "kind": kind, "folder": folder, "rows": n, "buckets": buckets}]
 
     def compact(self) -> None:
-        """Merge the smaller half of the runs into one, if there are too many."""
-        runs = [r for r in self.manifests.last()[1]]
-        if len(runs) > self.most_runs:
-            few = sorted(runs, key=lambda r: (r["rows"], r["name"]))[: len(runs) // 2]
-            parts = [self.spark.read.schema(_ROW).parquet(f"{self.path}/{r['folder']}").drop("part") for r in few if r["rows"]]
-            if parts:
-                self._write("+".join(r["name"] for r in few), reduce(DataFrame.unionByName, parts), sum(r["rows"] for r in few), add=False)
+        """Merge the smaller half of the runs of a kind into one, if there are too many."""
+        number, runs = self.manifests.last()
+        for kind in ("coarse", "fine"):
+            mine = [r for r in runs if r["kind"] == kind]
+            if len(mine) > self.most_runs:
+                few = sorted(mine, key=lambda r: (r["rows"], r["name"]))[: len(mine) // 2]
+                made = self._write("+".join(r["name"] for r in few), kind, reduce(DataFrame.unionByName, [self._run(r) for r in few]), sum(r["rows"] for r in few))
+                runs = [*(r for r in runs if r not in few), *made]
+                self.manifests.commit(number, runs)
+                number += 1
 
     def add(self, classes: DataFrame, name: str) -> DataFrame:
         """(content, batch_no, root): contents of a batch that repeat a row of an earlier batch, with the
         earliest such row; what the index hasn't yet is added to it under the batch's name."""
-        mine = cut(classes)
-        strict = mine.select("strict").distinct()
-        old = self._read(strict, name)
-        old = cut(old) if old is not None else self.spark.createDataFrame([], T.StructType(_ROW.fields[:-1]))
-        again = mine.join(old.select("content", "root"), "content").select("content", "batch_no", "root")
-        new = mine.join(old.select("content"), "content", "left_anti")
-        held = old.groupBy("strict").agg(F.count(F.lit(1)).alias("old"), F.max("finely").alias("any_fine"))
+        held = cut(self._read("coarse", classes.select(F.col("strict.a").alias("h"), "strict").distinct(), name))
+        hot, old = held.filter("content IS NULL").select("strict").distinct().withColumn("was_hot", F.lit(True)), held.filter("content IS NOT NULL")
+        mine = classes.join(old.select("content", F.col("root").alias("known")), "content", "left")
+        new = mine.filter("known IS NULL").drop("known")
         here = new.groupBy("strict").agg(F.count(F.lit(1)).alias("here"))
-        new = new.join(here.join(held, "strict", "left"), "strict").withColumn("rivals", F.coalesce("old", F.lit(0)) + F.col("here"))
-        new = new.withColumn("kept_finely", F.col("rivals") > self.hot).withColumn("finely", F.col("kept_finely") | F.coalesce("any_fine", F.lit(False))).drop("old", "any_fine", "here")
+        had = old.groupBy("strict").agg(F.count(F.lit(1)).alias("had"))
+        new = new.join(here.join(had, "strict", "left").join(hot, "strict", "left"), "strict").withColumn("rivals", F.coalesce("had", F.lit(0)) + F.col("here"))
+        was = F.coalesce("was_hot", F.lit(False))
+        new = new.withColumn("finely", was | (F.col("rivals") > self.hot)).withColumn("was_hot", was).drop("had", "here")
         keyed = cut(new.mapInArrow(_keys, T.StructType([*new.schema.fields, T.StructField("coarse", _KEYS), T.StructField("fine", _KEYS)])))
-        bands = F.when(F.col("kept_finely"), F.col("fine")).otherwise(F.col("coarse")).alias("bands")
-        ask = keyed.filter("rivals > 1").select("content", "first", F.explode(F.concat("coarse", "fine")).alias("band"))
-        have = old.select("content", "root", F.explode("bands").alias("band"))
-        have = have.unionByName(keyed.filter("rivals > 1").select("content", F.col("first").alias("root"), F.explode(bands).alias("band")))
+        rival = keyed.filter("rivals > 1 OR was_hot")
+        # a content's own hash is one more key, by which an equal one is found
+        fine = F.concat("fine", F.array("content.a"))
+        ask = rival.select("content", "strict", "first", F.explode("coarse").alias("h"))
+        ask_fine = rival.filter("finely").select("content", "strict", "first", "was_hot", F.explode(fine).alias("h"))
+        asked = ask_fine.filter("was_hot").select("h", "strict").distinct()
+        held_fine = cut(self._read("fine", asked, name))
+        seen = old.select("content", "strict", "root", F.explode("bands").alias("h"))
+        seen = seen.unionByName(rival.filter("NOT finely").select("content", "strict", F.col("first").alias("root"), F.explode("coarse").alias("h")))
+        seen_fine = held_fine.select("content", "strict", "root", "h").unionByName(ask_fine.select("content", "strict", F.col("first").alias("root"), "h"))
+        there = lambda df: df.select(F.col("content").alias("to"), "strict", "root", "h")
+        hits = ask.join(there(seen), ["h", "strict"]).unionByName(ask_fine.drop("was_hot").join(there(seen_fine), ["h", "strict"]))
         # only what came earlier can be repeated
-        pairs = ask.join(have.select(F.col("content").alias("to"), "root", "band"), "band").filter(F.col("root") < F.col("first")).select("content", "to", "root").distinct()
-        values = lambda df: df.select("content", "strict", *LOOSE)
-        both = pairs.join(values(keyed).select("content", "strict", _loose().alias("mine")), "content")
-        both = both.join(values(old).unionByName(values(keyed.filter("rivals > 1"))).select(F.col("content").alias("to"), F.col("strict").alias("its"), _loose().alias("theirs")), "to")
-        like = both.filter(F.col("strict") == F.col("its")).filter(_alike("theirs", "mine"))
-        linked = like.groupBy("content").agg(F.min("root").alias("root"))
-        linked = cut(keyed.select("content", "batch_no", "first", "strict", *LOOSE, F.col("kept_finely").alias("finely"), bands).join(linked, "content", "left"))
-        rows = linked.groupBy("content").agg(F.min(F.coalesce("root", "first")).alias("root"), *(F.first(c).alias(c) for c in ("strict", *LOOSE, "finely", "bands")))
-        self._write(name, rows.select(*(f.name for f in _ROW.fields[:-1])), linked.count(), add=True)
+        pairs = hits.filter(F.col("root") < F.col("first")).select("content", "to", "root").distinct()
+        values = lambda df, c, v: df.select(F.col("content").alias(c), F.struct(*LOOSE).alias(v))
+        theirs = values(old, "to", "theirs").unionByName(values(held_fine, "to", "theirs")).unionByName(values(rival, "to", "theirs")).dropDuplicates(["to"])
+        like = pairs.join(values(rival, "content", "mine"), "content").join(theirs, "to").filter(_alike("theirs", "mine"))
+        root = like.groupBy("content").agg(F.min("root").alias("root"))
+        there_already = held_fine.select("content").distinct().withColumn("kept", F.lit(True))
+        rows = keyed.select("content", "batch_no", "first", "strict", *LOOSE, "finely", "was_hot", F.when(F.col("finely"), fine).otherwise(F.col("coarse")).alias("bands"))
+        linked = cut(rows.join(root, "content", "left").join(there_already, "content", "left"))
+        fresh = linked.filter("kept IS NULL").groupBy("content").agg(F.min(F.coalesce("root", "first")).alias("root"), *(F.first(c).alias(c) for c in ("strict", *LOOSE, "finely", "bands")))
+        n = linked.selectExpr("count_if(NOT finely)", "count_if(finely AND kept IS NULL)", "count_if(finely AND NOT was_hot)").first()
+        marks = linked.filter("finely AND NOT was_hot").select("strict").distinct().select(F.col("strict.a").alias("h"), "strict")
+        coarse = fresh.filter("NOT finely").withColumn("h", F.col("strict.a")).drop("finely").unionByName(marks, allowMissingColumns=True)
+        finer = fresh.filter("finely").drop("finely").withColumn("h", F.explode("bands")).withColumn("bands", F.lit(None).cast(_KEYS))
+        made = self._write(name, "coarse", coarse, n[0] + n[2]) + self._write(name, "fine", finer, n[1] * (FINE[1] + 1))
+        number, runs = self.manifests.last()
+        self.manifests.commit(number, [*(r for r in runs if r["name"] != name), *made])
         self.compact()
-        found = cut(again.unionByName(linked.filter("root IS NOT NULL").select("content", "batch_no", "root")).filter(F.col("root.batch_no") < F.col("batch_no")))
-        for df in (mine, old, keyed, linked):
-            reclaim(df)
-        return found
+        again = mine.filter("known IS NOT NULL").select("content", "batch_no", F.col("known").alias("root"))
+        return again.unionByName(linked.filter("root IS NOT NULL").select("content", "batch_no", "root")).filter(F.col("root.batch_no") < F.col("batch_no"))
 
     def accept(self, raw_batch: DataFrame, order: DataFrame, name: str) -> DataFrame:
         """(id, prior_id) of a delivered batch's rows that repeat an earlier batch's; the batch is added."""
         rows = cut(contents(raw_batch, order))
-        return prior(rows, self.add(classes_of(rows), name))
-
-
-def _part(partitions: int) -> Column:
-    return F.pmod(F.col("strict.a"), F.lit(partitions)).cast("int").alias("part")
+        return prior(rows, self.add(cut(classes_of(rows)), name))
 
 
 _HASH = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _FIRST = T.StructType([T.StructField("batch_no", T.LongType()), T.StructField("ingested_at", T.TimestampNTZType()), T.StructField("id", T.StringType())])
 _ROW = T.StructType([
-    T.StructField("content", _HASH), T.StructField("strict", _HASH), T.StructField("root", _FIRST), *(T.StructField(c, T.StringType()) for c in LOOSE),
-    T.StructField("finely", T.BooleanType()), T.StructField("bands", _KEYS), T.StructField("part", T.IntegerType()),
+    T.StructField("h", T.LongType()), T.StructField("content", _HASH), T.StructField("strict", _HASH), T.StructField("root", _FIRST), *(T.StructField(c, T.StringType()) for c in LOOSE),
+    T.StructField("bands", _KEYS),  # of a coarse row; a fine row stands under one key, and a row without content says that its group is hot
 ])
 
 
@@ -255,4 +279,5 @@ def found(raw: DataFrame, profile_runs: DataFrame, path: str | None = None, hot:
     for step in sorted(r[0] for r in steps.select("step").distinct().collect()):
         got = index.add(classes.filter(F.col("step") == step).drop("step"), f"{step:06d}")
         out = got if out is None else out.unionByName(got)
+    index.close()
     return prior(rows, out) if out is not None else rows.select("id", F.col("id").alias("prior_id")).limit(0)
