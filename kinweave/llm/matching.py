@@ -46,18 +46,25 @@ N_KEYS = 6
 
 
 def versions(raw: DataFrame) -> DataFrame:
-    """Distinct versions of each record key: key, source_system and the compared values. A record
-    without any usable value keeps one row of nulls."""
+    """(key, source_system, v): distinct versions of each record key, the compared values packed into
+    ``v``. A record without any usable value keeps one row of empty ones."""
     key = F.concat("source_system", F.lit(":"), "source_record_id")
-    rows = C.contents(raw.select(key.alias("key"), "source_system", "payload", "is_deleted").filter("key IS NOT NULL"), ["key", "source_system"])
-    return rows.select("key", "source_system", *P.COLUMNS).distinct()
+    rows = raw.select(key.alias("key"), "source_system", "payload", "is_deleted").filter("key IS NOT NULL")
+    return C.packed_contents(rows, ["key", "source_system"], P.COLUMNS).distinct()
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows with the compared values as columns in the form of ``versions``."""
+    return rows.select("key", "source_system", F.concat_ws(C.GAP, *(F.coalesce(n, F.lit("")) for n in P.COLUMNS)).alias("v"))
 
 
 def sort_keys(rows: DataFrame) -> DataFrame:
-    """Each row, its values and key packed into one text ``v``, once for each composite sort key it can
-    fill, with the key's number ``k``, its text ``at`` and ``lead``, a hash of the mailbox, phone or door
+    """Each row of ``versions``, its key packed behind its values, once for each composite sort key it
+    can fill, with the key's number ``k``, its text ``at`` and ``lead``, a hash of the mailbox, phone or door
     it begins with (0 for other keys)."""
     c = F.col
+    parts = rows.select("source_system", F.concat_ws(C.GAP, "v", "key").alias("v"), F.split("v", C.GAP).alias("p"))
+    rows = parts.select("source_system", "v", *(F.nullif(F.col("p")[i], F.lit("")).alias(n) for i, n in enumerate(P.COLUMNS)))
     first = F.split_part("given", F.lit(" "), F.lit(1))
     named = F.lit(0).cast("long")
 
@@ -72,15 +79,12 @@ def sort_keys(rows: DataFrame) -> DataFrame:
         key("street", c("street"), c("number"), c("town"), c("birth"), first, lead=F.xxhash64("street", "number", "town")),
         key("family", c("family"), first, c("birth"), c("town")),
     ]
-    packed = F.concat_ws(_GAP, *(F.coalesce(c(n), F.lit("")) for n in P.COLUMNS), "key").alias("v")
-    return rows.select("source_system", packed, F.posexplode(F.array(*keys)).alias("k", "x")).filter("x IS NOT NULL").select("k", "source_system", "v", "x.at", "x.lead")
+    return rows.select("source_system", "v", F.posexplode(F.array(*keys)).alias("k", "x")).filter("x IS NOT NULL").select("k", "source_system", "v", "x.at", "x.lead")
 
 
 _PAIR = T.StructType([T.StructField("key_a", T.StringType()), T.StructField("key_b", T.StringType()), T.StructField("cross", T.BooleanType()), T.StructField("score", T.DoubleType())])
 _ROW = ["k", "lead", "source_system", "v"]
 _EDGE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("lead", T.LongType()), *(T.StructField(c, T.StringType()) for c in _ROW[2:])])
-#: Stands between packed values; the normalised values hold no control character, and the key comes last.
-_GAP = "\x1f"
 _ARROW = {T.StringType(): pa.string(), T.BooleanType(): pa.bool_(), T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32(), T.LongType(): pa.int64()}
 _BOTH = pa.schema([pa.field(f.name, _ARROW[f.dataType]) for f in (*_PAIR.fields, *_EDGE.fields)])
 
@@ -88,7 +92,7 @@ _BOTH = pa.schema([pa.field(f.name, _ARROW[f.dataType]) for f in (*_PAIR.fields,
 def _unpacked(t: pa.Table) -> pa.Table:
     """``t`` with the packed values as columns of their own; an empty value is a null."""
     n, width = len(t), len(P.COLUMNS) + 1
-    flat = pc.split_pattern(t.column("v").combine_chunks(), _GAP, max_splits=width - 1).flatten()
+    flat = pc.split_pattern(t.column("v").combine_chunks(), C.GAP, max_splits=width - 1).flatten()
     flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
     at = np.arange(n) * width
     for c, name in enumerate([*P.COLUMNS, "key"]):
@@ -186,7 +190,7 @@ def _across(window: int, wide: int):
 
 
 def window_pairs(rows: DataFrame, window: int = WINDOW, wide: int = WIDE) -> DataFrame:
-    """(key_a, key_b, cross, score): pairs found in any window with enough evidence, best score kept."""
+    """(key_a, key_b, cross, score): pairs of ``versions`` found in any window with enough evidence, best score kept."""
     spark = rows.sparkSession
     wide = max(wide, window)
     keyed = sort_keys(rows)

@@ -254,24 +254,28 @@ class Block:
             high += np.where(both, np.where(may, yes, no), np.where(whole, yes, 0))
         return low, high
 
-    def bounds(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Evidence that each pair has at least and at most."""
+    def _other_bounds(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and most evidence of all but the names."""
         base = np.zeros(len(i))
         for kind in ("email", "phone"):
             a, b = self.codes[kind][i], self.codes[kind][j]
             base += np.where((a >= 0) & (b >= 0), np.where(a == b, EVIDENCE[kind][0], EVIDENCE[kind][2]), 0)
         a, b = self.codes["birth"][i], self.codes["birth"][j]
-        x, y = self.digits[i], self.digits[j]
+        yes, some, no = EVIDENCE["birth"]
+        both, same = (a >= 0) & (b >= 0), a == b
+        low = base + np.where(both, np.where(same, yes, no), 0)
+        high = low.copy()
+        other = np.flatnonzero(both & ~same)
+        x, y = self.digits[i[other]], self.digits[j[other]]
         differ = x != y
         n = differ.sum(axis=1)
         near = n <= 1
         for p in (0, 1, 2, 4, 6):  # neighbours swapped; the others have a hyphen between them
             near |= (n == 2) & differ[:, p] & differ[:, p + 1] & (x[:, p] == y[:, p + 1]) & (x[:, p + 1] == y[:, p])
         near |= ((x[:, :4] == y[:, :4]).all(axis=1) & (x[:, 4:6] == y[:, 6:]).all(axis=1) & (x[:, 6:] == y[:, 4:6]).all(axis=1))
-        yes, some, no = EVIDENCE["birth"]
-        odd, both, same = self.odd[i] | self.odd[j], (a >= 0) & (b >= 0), a == b  # a digit lost or put in, say
-        low = base + np.where(both, np.where(same, yes, np.where(near & ~odd, some, no)), 0)
-        high = base + np.where(both, np.where(same, yes, np.where(near | odd, some, no)), 0)
+        odd = self.odd[i[other]] | self.odd[j[other]]  # a digit lost or put in, say
+        low[other[near & ~odd]] += some - no
+        high[other[near | odd]] += some - no
         a, b = self.codes["door"][i], self.codes["door"][j]
         both, same = (a >= 0) & (b >= 0), a == b
         like = (self.codes["number"][i] == self.codes["number"][j]) & (_unlike_letters(self.letters["street"][i], self.letters["street"][j]) <= 4)
@@ -283,12 +287,21 @@ class Block:
         known = (a >= 0) & (b >= 0)
         low += np.where(known & (a == b), EVIDENCE["town"][0], EVIDENCE["town"][2])
         high += np.where(known, np.where(a == b, EVIDENCE["town"][0], EVIDENCE["town"][2]), EVIDENCE["town"][0])
+        return low, high
+
+    def bounds(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence that each pair has at least and at most."""
+        low, high = self._other_bounds(i, j)
         lo, hi = self._name_bounds(i, j)
         return low + lo, high + hi
 
     def scores(self, i: np.ndarray, j: np.ndarray, least: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
         """(positions of the pairs with enough evidence, their evidence)."""
-        low, high = self.bounds(i, j)
+        low, high = self._other_bounds(i, j)
+        may = np.flatnonzero(high + EVIDENCE["given"][0] + EVIDENCE["family"][0] >= least)  # like names could still suffice
+        i, j = i[may], j[may]
+        lo, hi = self._name_bounds(i, j)
+        low, high = low[may] + lo, high[may] + hi
         sure = low >= least
         ask = np.flatnonzero(~sure & (high >= least))
         exact = np.zeros(0)
@@ -299,7 +312,7 @@ class Block:
         out = low
         out[ask] = exact
         hit = np.flatnonzero(out >= least)
-        return hit, out[hit]
+        return may[hit], out[hit]
 
 
 def confidence(score: float) -> float:
