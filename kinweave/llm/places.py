@@ -1,17 +1,22 @@
 """Same postal address written differently (problem 7): a set-containment join on rare tokens.
 
-A line becomes a set of tokens: grams of its street's name, each bound to the house number, so that
-a slip spoils a few tokens and not the set. Every address is indexed by its rarest tokens and probed
-by the rarest tokens of the others; as many are taken (PREFIX) as two slips can spoil plus one, so
-two addresses whose street names are two slips apart always meet. What meets is verified: the
-street's tokens of the shorter line must be contained in the fuller one up to the slips, and no
-part may contradict: house number, unit and direction agree exactly, street type and town where
-both have them.
+A line becomes a set of tokens: grams of its street's name, each bound to the house number, the unit
+and the town, so that a slip spoils a few tokens and not the set. Every address is indexed by its
+rarest tokens, as many (PREFIX) as two slips can spoil plus one; fuller addresses probe the index with all
+of theirs. An address without a town is indexed by tokens without one, and all probe those too, so
+lines of different towns never meet, however many towns have the street. What meets is
+verified: the shorter line's grams, weighted by their rarity, must be contained in the fuller one's
+(CONTAINED), street names must agree up to the slips, and no part may contradict: house number and unit agree
+exactly; street type, direction and town where both have them.
 
 A part left out is filled before the last comparison: the town from the postal code (the town most
-lines of that code name), then type and town from what most of the matching lines say. Lines that
+lines of that code name), then type, direction and town from what most of the matching lines say. Lines that
 read the same are folded into one before any join, so a line that a third of all rows repeat is
-one row until the end, where ids are attached again.
+one row until the end, where the pairs of ids asked for are made.
+
+Towns are read off the table's own town column: every name that three lines or more give, without a
+limit. They are handed to the readers in blocks of TOWN_BLOCK names, which bounds what is broadcast; with
+more than one block a line is read once for each and the reading that knows its town is kept.
 
 Defined results: null, blank and unreadable lines and lines without house number and street are no
 case; ties of a filling go to the smaller text; repeated rows of an address_id count once; an empty
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -35,45 +40,82 @@ MOST_SLIPS = 2
 GRAM = 3
 #: Padded trigrams that two slips can spoil (four for a swap of neighbours), plus one.
 PREFIX = MOST_SLIPS * (GRAM + 1) + 1
-#: Town names used to read towns inside lines; a rarer town is still compared, just not recognised without a comma.
-MOST_TOWNS = 20_000
+#: Share of the weight of the shorter line's grams that the fuller one must hold.
+CONTAINED = 0.1
+#: Names of towns in one block, some 10 MB on an executor.
+TOWN_BLOCK = 200_000
+#: Parts that a line may leave out, in the order in which they are filled.
+FILLED = ["kind", "direction", "town"]
 PARTS = ["number", "street", "kind", "direction", "unit", "town", "postal"]
 
 
-def gazetteer(lines: DataFrame) -> frozenset[str]:
-    """Towns that at least three lines name in their own column, the MOST_TOWNS most frequent."""
-    named = lines.groupBy("addr_city").agg(F.count(F.lit(1)).alias("n")).filter("addr_city IS NOT NULL AND n >= 3").orderBy(F.desc("n"), "addr_city").limit(MOST_TOWNS)
-    count: dict[str, int] = {}
-    for r in named.collect():
-        if t := A.town_norm(r.addr_city):
-            count[t] = count.get(t, 0) + r.n
-    out: list[str] = []
-    for t in sorted(count, key=lambda t: (-count[t], t)):  # a frequent slip isn't a town
-        if len(t) < 5 or not any(abs(len(t) - len(x)) <= 2 and count[x] > 20 * count[t] and A.slips(t, x, 2) <= 2 for x in out):
-            out.append(t)
-    return frozenset(out)
+def _spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each town under itself and every text that leaves up to MOST_SLIPS of its letters out."""
+    for b in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        for town, n in zip(*(c.to_pylist() for c in b.columns)):
+            keys = {town}
+            for _ in range(MOST_SLIPS if len(town) >= 5 else 0):
+                keys |= {k[:i] + k[i + 1 :] for k in keys for i in range(len(k))}
+            for k in keys:
+                for col, v in zip(out, (k, town, n)):
+                    col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["spelling", "town", "n"])
 
 
-def doors(lines: DataFrame, towns: frozenset[str]) -> DataFrame:
-    """(address_id, number, street, kind, direction, unit, town, postal) of lines that are a street address."""
-    schema = T.StructType([T.StructField("address_id", T.LongType()), *(T.StructField(p, T.StringType()) for p in PARTS)])
+def gazetteer(lines: DataFrame) -> DataFrame:
+    """(town): names that at least three lines give in their own column, without the slips of frequent ones."""
+
+    @pandas_udf(T.StringType())
+    def norm(s: pd.Series) -> pd.Series:
+        return s.map(A.town_norm)
+
+    @pandas_udf(T.BooleanType())
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([A.slips(x, y, MOST_SLIPS) <= MOST_SLIPS for x, y in zip(a, b)], dtype=bool)
+
+    named = lines.filter("addr_city IS NOT NULL").groupBy("addr_city").agg(F.count(F.lit(1)).alias("k"))
+    town = named.select(norm("addr_city").alias("town"), "k").filter("town IS NOT NULL").groupBy("town").agg(F.sum("k").alias("n")).filter("n >= 3")
+    spelt = cut(town.mapInArrow(_spellings, "spelling string, town string, n long"))
+    # of the towns a spelling may stand for the most frequent; two slips apart means a spelling in common
+    first = spelt.groupBy("spelling").agg(F.max(F.struct("n", "town")).alias("x")).select("spelling", F.col("x.n").alias("most"), F.col("x.town").alias("its"))
+    slip = spelt.join(first, "spelling").filter((F.col("most") > 20 * F.col("n")) & (F.length("town") >= 5)).filter(near("town", "its")).select("town").distinct()
+    return spelt.select("town").distinct().join(slip, "town", "left_anti")
+
+
+def _read(lines: DataFrame, towns: A.Towns) -> DataFrame:
+    schema = T.StructType([T.StructField("address_id", T.LongType()), *(T.StructField(p, T.StringType()) for p in PARTS), T.StructField("known", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, line, city, postal, unit in zip(*(c.to_pylist() for c in b.columns)):
+            for i, line, city, postal in zip(*(c.to_pylist() for c in b.columns)):
                 line = V.present(line) if line else None
                 a = A.parse(line, towns) if line else A.NOTHING
                 if i is None or not a.number or not a.street:
                     continue
                 town = A.town_norm(V.present(city)) if city and V.present(city) else a.town
-                town = (A.near_town(town, towns) or town) if town else None
+                near = A.near_town(town, towns) if town else None
                 code = V.postal(V.present(postal)) if postal and V.present(postal) else None
-                out.append((i, a.number, a.street, a.kind, a.direction, a.unit, town, code or a.postal))
-            cols = [*zip(*out)] if out else [[] for _ in range(8)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["address_id", *PARTS])
+                out.append((i, a.number, a.street, a.kind, a.direction, a.unit, near or town, code or a.postal, near is not None))
+            cols = [*zip(*out)] if out else [[] for _ in range(9)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:8]), pa.array(cols[8], pa.bool_())], ["address_id", *PARTS, "known"])
 
-    return lines.select("address_id", "input", "addr_city", "addr_postal", "addr_unit").mapInArrow(run, schema).distinct()
+    return lines.select("address_id", "input", "addr_city", "addr_postal").mapInArrow(run, schema)
+
+
+def doors(lines: DataFrame, towns: DataFrame, block: int = TOWN_BLOCK) -> DataFrame:
+    """(address_id, number, street, kind, direction, unit, town, postal) of lines that are a street address."""
+    towns = cut(towns)
+    blocks = -(-towns.count() // block) or 1
+    part = lambda i: A.Towns(r.town for r in towns.filter(F.pmod(F.xxhash64("town"), F.lit(blocks)) == i).collect())  # noqa: E731 - a block
+    if blocks == 1:
+        return _read(lines, part(0)).drop("known").distinct()
+    each = _read(lines, part(0))
+    for i in range(1, blocks):
+        each = each.unionByName(_read(lines, part(i)))
+    best = each.groupBy("address_id").agg(F.max(F.struct("known", *PARTS)).alias("x"))  # a known town before none, then the larger
+    return best.select("address_id", *(f"x.{p}" for p in PARTS))
 
 
 def _with_town(d: DataFrame) -> DataFrame:
@@ -84,7 +126,7 @@ def _with_town(d: DataFrame) -> DataFrame:
 
 
 @pandas_udf(T.BooleanType())
-def _contained(a: pd.Series, b: pd.Series) -> pd.Series:
+def _same_street(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two street names are one up to slips, compared without spaces."""
 
     def same(x: str, y: str) -> bool:
@@ -100,36 +142,70 @@ def _no_contradiction(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x is None or y is None or x == y or len(x) > 4 and len(y) > 4 and A.slips(x, y, 2) <= 2 for x, y in zip(a, b)], dtype=bool)
 
 
+def grams(street: Column) -> Column:
+    """Distinct padded grams of a street's name without spaces."""
+    name = F.concat(F.lit("^^"), F.replace(street, F.lit(" "), F.lit("")), F.lit("$$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - GRAM + 1), lambda i: F.substr(name, i, F.lit(GRAM))))
+
+
+def weighed(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``grams``, an array of (gram, weight), and ``parts``, how full the line is.
+    A gram's weight is the logarithm of how rare it is among all street names."""
+    names = cut(classes.select("street").distinct().withColumn("g", grams(F.col("street"))))
+    total = F.lit(float(max(1, names.count())))
+    df = names.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    weight = names.select("street", F.explode("g").alias("gram")).join(df, "gram").groupBy("street").agg(F.array_sort(F.collect_list(F.struct("gram", F.log(1 + total / F.col("n")).alias("weight")))).alias("grams"))
+    full = sum((F.col(p).isNotNull().cast("int") for p in ("kind", "direction", "town")), F.lit(0)) * 1000 + F.least(F.size("grams"), F.lit(999))
+    return classes.join(weight, "street").withColumn("parts", full)
+
+
 def _candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that share one of their rarest tokens."""
-    name = F.concat(F.lit("^^"), F.replace("street", F.lit(" "), F.lit("")), F.lit("$$"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - GRAM + 1), lambda i: F.substr(name, i, F.lit(GRAM))))
-    tokens = classes.select("c", F.explode(grams).alias("g"), "number", "unit", "direction").select(
-        "c", F.xxhash64("number", F.coalesce("unit", F.lit("")), F.coalesce("direction", F.lit("")), "g").alias("token")
-    )
-    tokens = cut(tokens)
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rare = tokens.join(df, "token").groupBy("c").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, PREFIX).alias("t"))
-    index = rare.select("c", F.explode("t").alias("x")).filter("x.n > 1").select("c", F.col("x.token").alias("token"))
-    return index.select(F.col("c").alias("a"), "token").join(index.select(F.col("c").alias("b"), "token"), "token").filter("a < b").select("a", "b").distinct()
+    """(a, b): classes of which b, at least as full, holds one of the rarest tokens of a."""
+    bound = lambda town: F.xxhash64("number", F.coalesce("unit", F.lit("")), town, "gram")
+    each = classes.select("c", "parts", "number", "unit", "town", F.explode("grams.gram").alias("gram"))
+    own = each.select("c", "parts", bound(F.coalesce("town", F.lit(""))).alias("token"), F.lit(True).alias("own"))
+    without = each.filter("town IS NOT NULL").select("c", "parts", bound(F.lit("")).alias("token"), F.lit(False).alias("own"))
+    tokens = cut(own.unionByName(without))
+    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("indexed")).filter("n > 1 AND indexed > 0")
+    shared = tokens.join(df.select("token", "n"), "token")
+    # tokens nobody else has are the rarest; they take their places in the prefix and need no row in the index
+    size = tokens.filter("own").groupBy("c").agg(F.count(F.lit(1)).alias("all"))
+    rare = shared.filter("own").groupBy("c", "parts").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")).join(size, "c")
+    index = rare.select(F.col("c").alias("a"), F.col("parts").alias("pa"), F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(0), PREFIX - (F.col("all") - F.size("t"))).cast("int"))).alias("x"))
+    probe = shared.select(F.col("c").alias("b"), F.col("parts").alias("pb"), "token")
+    hit = index.select("a", "pa", F.col("x.token").alias("token")).join(probe, "token").filter("pb > pa OR (pb = pa AND a < b)")
+    return hit.select("a", "b").distinct()
 
 
 def _filled(classes: DataFrame, pairs: DataFrame, part: str) -> DataFrame:
-    """``classes`` with a missing part set to what most lines of the matching classes say."""
+    """``classes`` with a missing part set to what most lines of the matching classes say. A direction is
+    part of many a street's name and left out as a rule only by mistake, so it is filled only where more lines
+    name it than do not."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    need = classes.filter(F.col(part).isNull()).select(F.col("c").alias("a"))
-    say = both.join(need, "a", "left_semi").join(classes.filter(F.col(part).isNotNull()).select(F.col("c").alias("b"), F.col(part).alias("p"), "lines"), "b")
-    most = say.groupBy("a", "p").agg(F.sum("lines").alias("n")).groupBy("a").agg(F.min(F.struct(-F.col("n"), "p"))["p"].alias("p"))
+    need = classes.filter(F.col(part).isNull()).select(F.col("c").alias("a"), F.col("lines").alias("own"))
+    say = both.join(need, "a").join(classes.select(F.col("c").alias("b"), F.col(part).alias("p"), "lines"), "b")
+    votes = say.groupBy("a", "p").agg(F.sum("lines").alias("n"), F.max("own").alias("own"))
+    most = votes.groupBy("a").agg(F.min(F.when(F.col("p").isNotNull(), F.struct((-F.col("n")).alias("n"), "p"))).alias("x"), (F.max("own") + F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("n"))), F.lit(0))).alias("none"))
+    most = most.filter("x IS NOT NULL" + (" AND -x.n > none" if part == "direction" else "")).select("a", F.col("x.p").alias("p"))
     return classes.join(most.select(F.col("a").alias("c"), "p"), "c", "left").withColumn(part, F.coalesce(part, "p")).drop("p")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    x = pairs.join(classes.select(F.col("c").alias("a"), *(F.col(p).alias(f"a_{p}") for p in PARTS[:-1])), "a")
-    x = x.join(classes.select(F.col("c").alias("b"), *(F.col(p).alias(f"b_{p}") for p in PARTS[:-1])), "b")
-    exact = [F.col(f"a_{p}").eqNullSafe(F.col(f"b_{p}")) for p in ("number", "unit", "direction")]
-    kind = F.col("a_kind").isNull() | F.col("b_kind").isNull() | (F.col("a_kind") == F.col("b_kind"))
-    x = x.filter(exact[0] & exact[1] & exact[2] & kind)
-    return x.filter(_contained("a_street", "b_street") & _no_contradiction("a_town", "b_town")).select("a", "b")
+def _verified(pairs: DataFrame, classes: DataFrame, contained: float | None = None, exactly: bool = False) -> DataFrame:
+    """Pairs without a contradiction; with ``contained`` also that share of the weight of a's grams in b;
+    ``exactly``: a direction that is still missing, once all are filled, is no direction."""
+    cols = [*PARTS[:-1], *(["grams"] if contained is not None else [])]
+    x = pairs.join(classes.select(F.col("c").alias("a"), *(F.col(p).alias(f"a_{p}") for p in cols)), "a")
+    x = x.join(classes.select(F.col("c").alias("b"), *(F.col(p).alias(f"b_{p}") for p in cols)), "b")
+    x = x.filter(F.col("a_number").eqNullSafe(F.col("b_number")) & F.col("a_unit").eqNullSafe(F.col("b_unit")))
+    if exactly:
+        x = x.filter(F.col("a_direction").eqNullSafe(F.col("b_direction")))
+    for p in ("kind", "direction"):
+        x = x.filter(F.col(f"a_{p}").isNull() | F.col(f"b_{p}").isNull() | (F.col(f"a_{p}") == F.col(f"b_{p}")))
+    if contained is not None:
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, g: s + g["weight"])
+        held = F.filter("a_grams", lambda g: F.array_contains(F.col("b_grams.gram"), g["gram"]))
+        x = x.filter(total(held) >= contained * total(F.col("a_grams")))
+    return x.filter(_same_street("a_street", "b_street") & _no_contradiction("a_town", "b_town")).select("a", "b")
 
 
 def same_door(lines: DataFrame) -> DataFrame:
@@ -138,10 +214,12 @@ def same_door(lines: DataFrame) -> DataFrame:
     parts = PARTS[:-1]
     key = F.xxhash64(*(F.coalesce(p, F.lit("")) for p in parts))
     d = d.withColumn("c", key)
-    classes = cut(d.groupBy("c").agg(F.count(F.lit(1)).alias("lines"), *(F.first(p).alias(p) for p in parts)))
-    pairs = cut(_verified(_candidates(classes), classes))
-    full = cut(_filled(_filled(classes, pairs, "kind"), pairs, "town"))
-    pairs = _verified(pairs, full)
+    classes = cut(weighed(d.groupBy("c").agg(F.count(F.lit(1)).alias("lines"), *(F.first(p).alias(p) for p in parts))))
+    pairs = cut(_verified(_candidates(classes), classes, CONTAINED))
+    full = classes.drop("grams")
+    for part in FILLED:
+        full = _filled(full, pairs, part)
+    pairs = _verified(pairs, cut(full), exactly=True)
     ids = d.select("address_id", "c")
     within = pairs.unionByName(classes.filter("lines > 1").select(F.col("c").alias("a"), F.col("c").alias("b")))
     out = within.join(ids.select(F.col("address_id").alias("x"), F.col("c").alias("a")), "a").join(ids.select(F.col("address_id").alias("y"), F.col("c").alias("b")), "b")

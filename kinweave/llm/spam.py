@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.session import cut
+from kinweave.session import cut, reclaim
 
 # Function words of the corpus' languages.
 FUNCTION_WORDS = {
@@ -39,6 +39,7 @@ _WORDS = {w: i for i, w in enumerate(sorted({w for ws in FUNCTION_WORDS.values()
 _KINDS = ["edge", "again", "lower", "capital", "number", "mixed", "link", "tag", "stop", "comma", "colon", "bracket", "rule", "other", "line"]
 _KIND = {k: len(_WORDS) + i for i, k in enumerate(_KINDS)}
 N_CLASSES = len(_WORDS) + len(_KINDS)
+_CODE = np.uint16
 _TOKEN = re.compile(r"</?[aA](?:\s[^<>]*)?>|(?:[hH][tT][tT][pP][sS]?://|www\.)[^\s<>\"')\]]+|\#[^\W\d]\w*|[^\W_]+(?:[_'’][^\W_]+)*|\n\s*|[^\w\s]")
 _MARK = {".": "stop", "!": "stop", "?": "stop", "…": "stop", ",": "comma", ";": "colon", ":": "colon", "(": "bracket", ")": "bracket", "[": "bracket", "]": "bracket", "<": "bracket", ">": "bracket", "|": "rule", "/": "rule", "•": "rule", "-": "rule", "*": "rule", "·": "rule"}
 WIDTH = 2.0
@@ -114,21 +115,15 @@ def _trigrams(codes: np.ndarray) -> np.ndarray:
     return (padded[:-2] * N_CLASSES + padded[1:-1]) * N_CLASSES + padded[2:]
 
 
-def _count(low: float, high: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[int] = Counter()
-        for b in batches:
-            grams = []
-            for t in b.column(0).to_pylist():
-                c = classes(t)
-                if low <= function_share(c) <= high:
-                    grams.append(_trigrams(c))
-            if grams:
-                k, n = np.unique(np.concatenate(grams), return_counts=True)
-                total.update(dict(zip(k.tolist(), n.tolist())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams of coded pages with their counts."""
+    total: Counter[int] = Counter()
+    for b in batches:
+        grams = [_trigrams(np.frombuffer(c, dtype=_CODE).astype(np.int64)) for c in b.column(0).to_pylist()]
+        if grams:
+            k, n = np.unique(np.concatenate(grams), return_counts=True)
+            total.update(dict(zip(k.tolist(), n.tolist())))
+    yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
 
 class Model:
@@ -224,17 +219,27 @@ def stuffed_share(text: str) -> float:
     return stuffed / total
 
 
+_CODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("function_share", T.DoubleType()), T.StructField("stuffed", T.DoubleType())])
+
+
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as class codes, the only time their texts are read."""
+    for b in batches:
+        codes, share, stuffed = [], [], []
+        for t in b.column(1).to_pylist():
+            c = classes(t)
+            codes.append(c.astype(_CODE).tobytes())
+            share.append(function_share(c))
+            stuffed.append(stuffed_share(t) if share[-1] < FAR_SHARE else 0.0)  # no other page can be spam
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), pa.array(share, pa.float64()), pa.array(stuffed, pa.float64())], _CODED.names)
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            bits, share, stuffed = [], [], []
-            for t in b.column(1).to_pylist():
-                c = classes(t)
-                bits.append(model.surprise(c))
-                share.append(function_share(c))
-                stuffed.append(stuffed_share(t))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.float64()), pa.array(share, pa.float64()), pa.array(stuffed, pa.float64())], ["doc_id", "bits", "function_share", "stuffed"])
+            bits = [model.surprise(np.frombuffer(c, dtype=_CODE).astype(np.int64)) for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.float64()), b.column(2), b.column(3)], ["doc_id", "bits", "function_share", "stuffed"])
 
     return run
 
@@ -243,11 +248,14 @@ def scored(documents: DataFrame, low: float = 0.3, high: float = 0.75) -> DataFr
     """(doc_id, bits, function_share, stuffed, z): each page's surprise under the prose model, with its
     robust distance from the prose. low, high: shares of function words between which a page is prose."""
     spark = documents.sparkSession
-    docs = documents.filter("text IS NOT NULL AND text <> ''")
-    counts = docs.select("text").mapInArrow(_count(low, high), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most N_CLASSES cubed
+    docs = documents.filter("text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long"), "text")
+    coded = cut(docs.mapInArrow(_code, _CODED))
+    prose = coded.filter(F.col("function_share").between(low, high))
+    counts = prose.select("codes").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most N_CLASSES cubed
     shared = spark.sparkContext.broadcast(Model(counts["gram"].to_numpy(dtype=np.int64), counts["n"].to_numpy(dtype=np.int64)))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("bits", "function_share", "stuffed"))])
-    rows = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(shared), schema))
+    rows = cut(coded.mapInArrow(_score(shared), schema))
+    reclaim(coded)
     prose = rows.filter(F.col("function_share").between(low, high))
     q = prose.agg(F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000).alias("q")).first()["q"] or [0.0, 0.0, 0.0]
     spread = max((q[2] - q[0]) / 1.349, 1e-6)

@@ -59,7 +59,7 @@ def test_edges_of_partitions_lose_no_pair(spark):
     for n in ("1", "5", "150"):  # partitions of fewer rows than the window, too
         spark.conf.set("spark.sql.shuffle.partitions", n)
         try:
-            got.append({tuple(r) for r in matching.window_pairs(df, 4, 9).collect()})
+            got.append({tuple(r) for r in matching.window_pairs(matching.packed(df), 4, 9).collect()})
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] and got[0] == got[1] == got[2]
@@ -70,4 +70,4 @@ def test_the_window_widens_within_a_mailbox(spark):
     rows += [(f"crm:{i:02d}", "crm", f"b{chr(97 + i)}rt", "penham", "home@post.example", None, "1990-01-02", *[None] * 5) for i in range(14)]
     rows += [("billing:a", "billing", "ann", "stanmoor", "home@post.example", None, "1980-02-03", *[None] * 5)]
     df = spark.createDataFrame(rows, "key string, source_system string, " + ", ".join(f"{c} string" for c in person.COLUMNS))
-    assert ("billing:a", "crm:a") in {tuple(r)[:2] for r in matching.window_pairs(df).collect()}
+    assert ("billing:a", "crm:a") in {tuple(r)[:2] for r in matching.window_pairs(matching.packed(df)).collect()}
