@@ -61,6 +61,8 @@ MOST_SLIPS = 2
 #: Contents of one bucket of a run, about; runs from which on the smaller half is merged; hashes of a batch
 #: up to which only their buckets are read.
 BUCKET_ROWS, MOST_RUNS, FEW = 500_000, 24, 1_000
+#: Rows of 32 bytes that are broadcast at most; loads in which a whole history is read.
+BROADCAST_ROWS, LOADS = 1_000_000, 3
 
 
 def contents(raw: DataFrame, order: DataFrame) -> DataFrame:
@@ -125,10 +127,10 @@ def _alike(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     return pd.Series([_near(g, g2) and _near(f, f2) and _near(t, t2) and _same_street(s, k, d, s2, k2, d2) for g, f, s, k, d, t, g2, f2, s2, k2, d2, t2 in rows], dtype=bool)
 
 
-def classes_of(rows: DataFrame, *more: str) -> DataFrame:
+def classes_of(rows: DataFrame) -> DataFrame:
     """One row for each content of each batch: content, batch_no, strict, the values, first row."""
     first = F.min(F.struct("batch_no", "ingested_at", "id")).alias("first")
-    return rows.groupBy("content", "batch_no").agg(first, *(F.first(c).alias(c) for c in ("strict", *LOOSE, *more)))
+    return rows.groupBy("content", "batch_no").agg(first, *(F.first(c).alias(c) for c in ("strict", *LOOSE)))
 
 
 class HistoryIndex:
@@ -199,27 +201,30 @@ class HistoryIndex:
                 number += 1
 
     def add(self, classes: DataFrame, name: str) -> DataFrame:
-        """(content, batch_no, root): contents of a batch that repeat a row of an earlier batch, with the
-        earliest such row; what the index hasn't yet is added to it under the batch's name."""
-        held = cut(self._read("coarse", classes.select(F.col("strict.a").alias("h"), "strict").distinct(), name))
-        hot, old = held.filter("content IS NULL").select("strict").distinct().withColumn("was_hot", F.lit(True)), held.filter("content IS NOT NULL")
-        mine = classes.join(old.select("content", F.col("root").alias("known")), "content", "left")
-        new = mine.filter("known IS NULL").drop("known")
-        here = new.groupBy("strict").agg(F.count(F.lit(1)).alias("here"))
-        had = old.groupBy("strict").agg(F.count(F.lit(1)).alias("had"))
-        new = new.join(here.join(had, "strict", "left").join(hot, "strict", "left"), "strict").withColumn("rivals", F.coalesce("had", F.lit(0)) + F.col("here"))
-        was = F.coalesce("was_hot", F.lit(False))
-        new = new.withColumn("finely", was | (F.col("rivals") > self.hot)).withColumn("was_hot", was).drop("had", "here")
+        """(content, batch_no, root): contents of a load that repeat a row of an earlier batch, with the
+        earliest such row; what the index hasn't yet is added to it under the load's name. A load is a
+        batch, or several when a history is first read; ``classes`` is a written table."""
+        asked = classes.groupBy(F.col("strict.a").alias("h"), "strict").agg(F.count(F.lit(1)).alias("here"))
+        asked = cut(asked)
+        held = cut(self._read("coarse", asked.select("h", "strict"), name))
+        had = held.groupBy("strict").agg(F.count_if(F.col("content").isNotNull()).alias("had"), F.max(F.col("content").isNull()).alias("was_hot"))
+        # only where several contents agree in what must agree is there anything to compare
+        several = cut(asked.join(had, "strict", "left").filter("here > 1 OR had IS NOT NULL").select("strict", (F.coalesce("had", F.lit(0)) + F.col("here")).alias("rivals"), F.coalesce("was_hot", F.lit(False)).alias("was_hot")))
+        small = several.count() <= BROADCAST_ROWS
+        old = held.filter("content IS NOT NULL")
+        new = classes.join(F.broadcast(several) if small else several, "strict", "left").withColumn("rivals", F.coalesce("rivals", F.lit(1))).withColumn("was_hot", F.coalesce("was_hot", F.lit(False)))
+        new = new.withColumn("finely", F.col("was_hot") | (F.col("rivals") > self.hot))
         keyed = cut(new.mapInArrow(_keys, T.StructType([*new.schema.fields, T.StructField("coarse", _KEYS), T.StructField("fine", _KEYS)])))
-        rival = keyed.filter("rivals > 1 OR was_hot")
+        lone, every = keyed.filter("rivals = 1 AND NOT was_hot"), keyed.filter("rivals > 1 OR was_hot")
         # a content's own hash is one more key, by which an equal one is found
-        fine = F.concat("fine", F.array("content.a"))
+        every = every.withColumn("fine", F.concat("fine", F.array("content.a")))
+        every = every.join(old.select("content", F.col("root").alias("known")), "content", "left")
+        every = cut(every.select("content", "batch_no", "first", "strict", *LOOSE, "finely", "was_hot", "known", "coarse", "fine"))
+        rival = every.filter("known IS NULL")
         ask = rival.select("content", "strict", "first", F.explode("coarse").alias("h"))
-        ask_fine = rival.filter("finely").select("content", "strict", "first", "was_hot", F.explode(fine).alias("h"))
-        asked = ask_fine.filter("was_hot").select("h", "strict").distinct()
-        held_fine = cut(self._read("fine", asked, name))
-        seen = old.select("content", "strict", "root", F.explode("bands").alias("h"))
-        seen = seen.unionByName(rival.filter("NOT finely").select("content", "strict", F.col("first").alias("root"), F.explode("coarse").alias("h")))
+        ask_fine = rival.filter("finely").select("content", "strict", "first", "was_hot", F.explode("fine").alias("h"))
+        held_fine = cut(self._read("fine", ask_fine.filter("was_hot").select("h", "strict").distinct(), name))
+        seen = old.select("content", "strict", "root", F.explode("bands").alias("h")).unionByName(rival.filter("NOT finely").select("content", "strict", F.col("first").alias("root"), F.explode("coarse").alias("h")))
         seen_fine = held_fine.select("content", "strict", "root", "h").unionByName(ask_fine.select("content", "strict", F.col("first").alias("root"), "h"))
         there = lambda df: df.select(F.col("content").alias("to"), "strict", "root", "h")
         hits = ask.join(there(seen), ["h", "strict"]).unionByName(ask_fine.drop("was_hot").join(there(seen_fine), ["h", "strict"]))
@@ -227,22 +232,26 @@ class HistoryIndex:
         pairs = hits.filter(F.col("root") < F.col("first")).select("content", "to", "root").distinct()
         values = lambda df, c, v: df.select(F.col("content").alias(c), F.struct(*LOOSE).alias(v))
         theirs = values(old, "to", "theirs").unionByName(values(held_fine, "to", "theirs")).unionByName(values(rival, "to", "theirs")).dropDuplicates(["to"])
-        like = pairs.join(values(rival, "content", "mine"), "content").join(theirs, "to").filter(_alike("theirs", "mine"))
-        root = like.groupBy("content").agg(F.min("root").alias("root"))
+        mine = values(rival, "content", "mine").dropDuplicates(["content"])
+        like = cut(pairs.join(mine, "content").join(theirs, "to").filter(_alike("theirs", "mine")).select("content", "to", "root"))
+        root = _earliest(like)
         there_already = held_fine.select("content").distinct().withColumn("kept", F.lit(True))
-        rows = keyed.select("content", "batch_no", "first", "strict", *LOOSE, "finely", "was_hot", F.when(F.col("finely"), fine).otherwise(F.col("coarse")).alias("bands"))
-        linked = cut(rows.join(root, "content", "left").join(there_already, "content", "left"))
-        fresh = linked.filter("kept IS NULL").groupBy("content").agg(F.min(F.coalesce("root", "first")).alias("root"), *(F.first(c).alias(c) for c in ("strict", *LOOSE, "finely", "bands")))
+        linked = cut(rival.drop("known").join(root, "content", "left").join(there_already, "content", "left"))
+        fresh = linked.filter("kept IS NULL").groupBy("content").agg(F.min(F.coalesce("root", "first")).alias("root"), *(F.first(c).alias(c) for c in ("strict", *LOOSE, "finely", "coarse", "fine")))
         n = linked.selectExpr("count_if(NOT finely)", "count_if(finely AND kept IS NULL)", "count_if(finely AND NOT was_hot)").first()
         marks = linked.filter("finely AND NOT was_hot").select("strict").distinct().select(F.col("strict.a").alias("h"), "strict")
-        coarse = fresh.filter("NOT finely").withColumn("h", F.col("strict.a")).drop("finely").unionByName(marks, allowMissingColumns=True)
-        finer = fresh.filter("finely").drop("finely").withColumn("h", F.explode("bands")).withColumn("bands", F.lit(None).cast(_KEYS))
-        made = self._write(name, "coarse", coarse, n[0] + n[2]) + self._write(name, "fine", finer, n[1] * (FINE[1] + 1))
+        plain = lone.select("content", F.col("first").alias("root"), "strict", *LOOSE, F.col("coarse").alias("bands")).unionByName(fresh.filter("NOT finely").select("content", "root", "strict", *LOOSE, F.col("coarse").alias("bands")))
+        coarse = plain.withColumn("h", F.col("strict.a")).unionByName(marks, allowMissingColumns=True)
+        finer = fresh.filter("finely").withColumn("h", F.explode("fine")).withColumn("bands", F.lit(None).cast(_KEYS))
+        made = self._write(name, "coarse", coarse, lone.count() + n[0] + n[2]) + self._write(name, "fine", finer, n[1] * (FINE[1] + 1))
         number, runs = self.manifests.last()
         self.manifests.commit(number, [*(r for r in runs if r["name"] != name), *made])
         self.compact()
-        again = mine.filter("known IS NOT NULL").select("content", "batch_no", F.col("known").alias("root"))
-        return again.unionByName(linked.filter("root IS NOT NULL").select("content", "batch_no", "root")).filter(F.col("root.batch_no") < F.col("batch_no"))
+        again = every.filter("known IS NOT NULL").select("content", "batch_no", F.col("known").alias("root"))
+        found = again.unionByName(linked.filter("root IS NOT NULL").select("content", "batch_no", "root")).filter(F.col("root.batch_no") < F.col("batch_no"))
+        for done in (asked, held, several, keyed, held_fine, like):
+            reclaim(done)
+        return found
 
     def accept(self, raw_batch: DataFrame, order: DataFrame, name: str) -> DataFrame:
         """(id, prior_id) of a delivered batch's rows that repeat an earlier batch's; the batch is added."""
@@ -264,20 +273,31 @@ def prior(rows: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("id", F.col("root.id").alias("prior_id")).distinct()
 
 
-def found(raw: DataFrame, profile_runs: DataFrame, path: str | None = None, hot: int = HOT) -> DataFrame:
+def _earliest(like: DataFrame) -> DataFrame:
+    """(content, root) from (content, to, root): what a content repeats may itself repeat something earlier."""
+    best = cut(like.groupBy("content").agg(F.min("root").alias("root")))
+    while True:
+        up = like.join(best.select(F.col("content").alias("to"), F.col("root").alias("up")), "to").groupBy("content").agg(F.min("up").alias("up"))
+        step = cut(best.join(up, "content", "left").select("content", F.least("root", "up").alias("root"), (F.col("up") < F.col("root")).alias("moved")))
+        if step.filter("moved").isEmpty():
+            return step.select("content", "root")
+        best = step.select("content", "root")
+
+
+def found(raw: DataFrame, profile_runs: DataFrame, path: str | None = None, hot: int = HOT, loads: int = LOADS) -> DataFrame:
     """(id, prior_id): rows whose content an earlier batch of their source has brought, with the earliest
-    such row. The n-th batches of all sources go through the index together, as no row repeats another source's."""
+    such row. The history goes through the index in ``loads`` runs of batches, in their order; a batch that
+    is delivered later is a load of its own (``HistoryIndex.accept``)."""
     spark = raw.sparkSession
-    rows = cut(contents(raw, R.batch_order(profile_runs)))
-    nth = rows.select("source_system", "batch_no").distinct().withColumn("step", F.dense_rank().over(Window.partitionBy("source_system").orderBy("batch_no")))
-    steps = cut(nth)  # one row for each batch
-    placed = classes_of(rows.join(F.broadcast(steps), ["source_system", "batch_no"]).select("content", "batch_no", "ingested_at", "id", "strict", *LOOSE, "step"), "step")
-    folder = f"{checkpoint_root(spark)}/kinweave/history-{uuid.uuid4().hex}"
-    placed.hint("rebalance", "step").write.partitionBy("step").parquet(f"{folder}/classes")
-    index = HistoryIndex(spark, path or f"{folder}/index", hot)
-    classes, out = spark.read.schema(placed.schema).parquet(f"{folder}/classes"), None
-    for step in sorted(r[0] for r in steps.select("step").distinct().collect()):
-        got = index.add(classes.filter(F.col("step") == step).drop("step"), f"{step:06d}")
+    order = R.batch_order(profile_runs).withColumn("load", F.ntile(max(1, loads)).over(Window.orderBy("batch_no")))  # one row for each batch
+    # batches that share a number belong to one load
+    order = cut(order.join(order.groupBy("batch_no").agg(F.min("load").alias("l")), "batch_no").select("ingest_batch_id", "batch_no", F.col("l").alias("load")))
+    rows = cut(contents(raw, order.drop("load")))
+    classes = cut(classes_of(rows).join(F.broadcast(order.select("batch_no", "load").distinct()), "batch_no"))
+    index = HistoryIndex(spark, path or f"{checkpoint_root(spark)}/kinweave/history-{uuid.uuid4().hex}", hot)
+    out = None
+    for load in sorted(r[0] for r in order.select("load").distinct().collect()):
+        got = index.add(classes.filter(F.col("load") == load).drop("load"), f"{load:06d}")
         out = got if out is None else out.unionByName(got)
     index.close()
     return prior(rows, out) if out is not None else rows.select("id", F.col("id").alias("prior_id")).limit(0)

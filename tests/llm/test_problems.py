@@ -99,8 +99,8 @@ def test_index_equals_brute_force(spark):
             first[key] = x
     want = {(x["id"], root[k][1]) for x in c if root[k := tuple(x["content"].values())][0] < x["batch_no"]}
     assert len(want) > 100
-    for hot in (1000, 5):
-        assert {tuple(r) for r in history.found(df, order, hot=hot).collect()} == want
+    for hot, loads in ((1000, 1), (1000, 4), (5, 2)):
+        assert {tuple(r) for r in history.found(df, order, hot=hot, loads=loads).collect()} == want
 
 
 def test_hot_content(spark):
