@@ -10,22 +10,42 @@ from pyspark.sql import functions as F
 from kinweave.operators import linkage as L
 
 
-def truth_space(labelled: DataFrame, positives_missed: Column | None = None) -> DataFrame:
-    """Confusion counts and rates at each threshold on ``match_weight``: a pair is predicted to match from
-    the threshold on. ``labelled``: match_weight, is_match."""
-    g = labelled.groupBy(F.round("match_weight", 4).alias("threshold")).agg(F.count_if(F.col("is_match")).alias("p"), F.count_if(~F.col("is_match")).alias("n"))
-    up = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = g.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    x = g.crossJoin(F.broadcast(whole)).withColumn("tp", F.sum("p").over(up)).withColumn("fp", F.sum("n").over(up))
-    x = x.select("threshold", "all_p", "all_n", "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("fp")).alias("tn"))
-    share = lambda a, b: F.try_divide(F.expr(a), F.expr(b))
-    return x.select(
-        "*", share("tp", "all_p").alias("recall"), share("tn", "all_n").alias("specificity"), share("tp", "tp + fp").alias("precision"), share("tn", "tn + fn").alias("npv"),
-        share("fp", "all_n").alias("fp_rate"), share("fn", "all_p").alias("fn_rate"), share("tp + tn", "all_p + all_n").alias("accuracy"), share("2 * tp", "2 * tp + fp + fn").alias("f1"), share("5 * tp", "5 * tp + fp + 4 * fn").alias("f2"),
-        share("1.25D * tp", "1.25D * tp + fp + 0.25D * fn").alias("f0_5"), F.try_divide(F.expr("cast(tp AS double) * tn - cast(fp AS double) * fn"), F.sqrt(F.expr("cast(tp + fp AS double) * (tp + fn) * (tn + fp) * (tn + fn)"))).alias("mcc"),
+def truth_space(labelled: DataFrame, total_labels: Column | float | None = None, missed_as_zero: bool = True, nearest: float | None = None) -> DataFrame:
+    """Confusion counts and rates at each threshold on ``match_weight``: a pair is predicted to match from the
+    threshold on. ``labelled``: match_weight, is_match, found_by_blocking.
+
+    total_labels: all pairs there could be; those never made are negatives below every threshold.
+    missed_as_zero: pairs that blocking didn't find lie below every threshold. nearest: step to which weights are rounded.
+    """
+    weight = F.col("match_weight") if nearest is None else F.round(F.col("match_weight") / nearest) * nearest
+    at = F.when(F.col("found_by_blocking"), weight).otherwise(F.lit(-999.0)) if missed_as_zero else weight
+    g = labelled.groupBy(at.alias("truth_threshold")).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("is_match")).alias("pos"))
+    up, down = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("truth_threshold"), F.desc("truth_threshold")))
+    whole = g.agg(F.sum("pos").alias("P"), F.sum("k").alias("labels"))
+    x = g.crossJoin(F.broadcast(whole))  # one row
+    total = F.col("labels") if total_labels is None else (total_labels if isinstance(total_labels, Column) else F.lit(float(total_labels)))
+    d = lambda c: c.cast("double")
+    neg = F.col("k") - F.col("pos")
+    x = x.select("truth_threshold", d(total).alias("t"), d(F.col("P")).alias("P"), d(F.col("labels")).alias("labels"), d(F.sum("pos").over(down)).alias("TP"), d(F.sum("k").over(down)).alias("above"), d(F.sum(neg).over(up) - neg).alias("TN0"), d(F.sum("k").over(up) - F.col("k")).alias("below"))
+    x = x.select("truth_threshold", "t", "P", (F.col("t") - F.col("P")).alias("N"), "TP", (F.col("above") - F.col("TP")).alias("FP"), (F.col("below") - F.col("TN0")).alias("FN"), (F.col("TN0") + F.col("t") - F.col("labels")).alias("TN"))
+    e = F.expr
+    share = lambda a, b: F.try_divide(e(a), e(b))
+    odds = F.pow(F.lit(2.0), F.col("truth_threshold"))
+    return x.filter("truth_threshold >= -998").select(
+        "truth_threshold", (odds / (1 + odds)).alias("match_probability"), F.col("t").alias("total_clerical_labels"), F.col("P").alias("p"), F.col("N").alias("n"), F.col("TP").alias("tp"), F.col("TN").alias("tn"), F.col("FP").alias("fp"), F.col("FN").alias("fn"),
+        share("P", "t").alias("p_rate"), share("N", "t").alias("n_rate"), share("TP", "P").alias("tp_rate"), share("TN", "N").alias("tn_rate"), share("FP", "N").alias("fp_rate"), share("FN", "P").alias("fn_rate"),
+        F.coalesce(share("TP", "TP + FP"), F.lit(1.0)).alias("precision"), share("TP", "P").alias("recall"), share("TN", "N").alias("specificity"), F.coalesce(share("TN", "TN + FN"), F.lit(1.0)).alias("npv"), share("TP + TN", "P + N").alias("accuracy"),
+        share("2 * TP", "2 * TP + FN + FP").alias("f1"), share("5 * TP", "5 * TP + 4 * FN + FP").alias("f2"), share("1.25D * TP", "1.25D * TP + 0.25D * FN + FP").alias("f0_5"), share("4 * TP * TN", "4 * TP * TN + (TP + TN) * (FP + FN)").alias("p4"),
+        F.when(e("TN + FN = 0 OR TP + FP = 0 OR P = 0 OR N = 0"), 0.0).otherwise(e("(TP * TN - FP * FN) / sqrt((TP + FP) * P * N * (TN + FN))")).alias("phi"),
     )
 
 
+def possible_pairs(n: DataFrame) -> Column:
+    """Pairs that the rows of a table could make, as a one-row expression."""
+    k = float(n.count())
+    return F.lit(k * (k - 1) / 2)
+
+
 def labelled_by_column(df: DataFrame, model: L.Model, label: str) -> DataFrame:
     """Scored pairs of the model's rules and of equal labels, with is_match and found_by_blocking."""
     rules = (*model.rules, L.Rule((label,)))

@@ -171,10 +171,13 @@ def single_best_links(edges: DataFrame, source: Column | None = None, sources: S
         state = cut(state.join(pair.select(F.col("w").alias("cluster"), F.col("v").alias("to")), "cluster", "left").select("node", "src", F.coalesce("to", "cluster").alias("cluster")))
 
 
-def drop_ties(edges: DataFrame) -> DataFrame:
-    """Edges without those by which a record has its best score with several records of one source (a, b, p, sb)."""
-    best = F.max("p").over(Window.partitionBy("a", "sb"))
-    return edges.withColumn("__m", best).withColumn("__n", F.sum((F.col("p") == F.col("__m")).cast("int")).over(Window.partitionBy("a", "sb"))).filter("NOT (p = __m AND __n > 1)").drop("__m", "__n")
+def drop_ties(edges: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """Edges (a, b, p, sa, sb) without those that tie: a record of either side that has several neighbours in
+    one of the duplicate-free ``sources`` at the same score has none of them."""
+    ends = edges.select(F.col("a").alias("v"), F.col("b").alias("w"), F.col("sb").alias("sw"), "p").unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"), F.col("sa").alias("sw"), "p"))
+    ties = cut(ends.filter(F.col("sw").isin(list(sources))).groupBy("v", "sw", "p").agg(F.countDistinct("w").alias("n")).filter("n > 1").drop("n"))
+    out = edges.join(ties.select(F.col("v").alias("a"), F.col("sw").alias("sb"), "p"), ["a", "sb", "p"], "left_anti")
+    return out.join(ties.select(F.col("v").alias("b"), F.col("sw").alias("sa"), "p"), ["b", "sa", "p"], "left_anti").select(*edges.columns)
 
 
 def closure(links: DataFrame, depth: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,3 +125,28 @@ def resolved(redirects: DataFrame, hops: int = 32) -> DataFrame:
 def merge(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """``target`` with the rows of ``source`` put in place of those with the same keys, or added."""
     return target.join(source.select(*keys).distinct(), keys, "left_anti").unionByName(source, allowMissingColumns=True)
+
+
+# Steward tables in the store ------------------------------------------------------------------------
+REVIEW_KEY = ["rec_a_key", "rec_b_key", "reason"]
+
+
+def gray_band(scores: DataFrame, review: float, auto: float) -> DataFrame:
+    """(rec_a_key, rec_b_key, reason, p): pairs whose best active score lies between the thresholds."""
+    best = scores.filter("is_active").groupBy("rec_a_key", "rec_b_key").agg(F.max("match_probability").alias("p"))
+    return best.filter((F.col("p") >= review) & (F.col("p") < auto)).select("rec_a_key", "rec_b_key", F.lit("gray_band").alias("reason"), "p")
+
+
+def upsert_reviews(store, table: str, found: DataFrame) -> int:
+    """Merge found reviews (REVIEW_KEY, p) into a table of the store: new ones are open, a known one keeps its
+    status and takes the new probability."""
+    known = store.read(table).select(*REVIEW_KEY, "status")
+    return store.merge(table, found.join(known, REVIEW_KEY, "left").withColumn("status", F.coalesce("status", F.lit("open"))), REVIEW_KEY)
+
+
+def prune_ledger(store, table: str, std: DataFrame, models: Sequence[str]) -> int:
+    """Delete ledger rows of records that no longer exist and of models that are not live."""
+    led = store.read(table)
+    gone = led.select("record_key").distinct().join(std.select("record_key"), "record_key", "left_anti")
+    rows = led.filter(F.col("model_version").isin(list(models))).join(gone, "record_key", "left_anti")
+    return store.replace(table, rows)

@@ -37,6 +37,8 @@ class Comparison:
     levels: tuple[Level, ...]
     m_else: float | None = None
     u_else: float | None = None
+    #: Columns that are compared with each other, any with any, instead of one column.
+    members: tuple[str, ...] = ()
 
     @property
     def name(self) -> str:
@@ -68,7 +70,7 @@ class Model:
         """The model of a settings document; keys it doesn't know are kept and written again."""
         d = json.loads(text)
         rules = tuple(Rule(tuple(r["keys"]), r.get("also"), r.get("explode", False)) for r in d.pop("rules"))
-        comparisons = tuple(Comparison(c["column"], tuple(Level(**x) for x in c["levels"]), c.get("m_else"), c.get("u_else")) for c in d.pop("comparisons"))
+        comparisons = tuple(Comparison(c["column"], tuple(Level(**x) for x in c["levels"]), c.get("m_else"), c.get("u_else"), tuple(c.get("members", ()))) for c in d.pop("comparisons"))
         return Model(d.pop("uid"), rules, comparisons, d.pop("prior", 0.0001), d)
 
 
@@ -169,13 +171,22 @@ def with_frequencies(df: DataFrame, model: Model, frozen: dict[str, DataFrame] |
 
 
 def gamma(c: Comparison) -> Column:
-    """Number of the level a pair falls into: -1 with a null, n for the best of n levels, 0 for none."""
-    a, b = F.col(f"{c.column}_l"), F.col(f"{c.column}_r")
-    out = F.when(a.isNull() | b.isNull(), -1)
+    """Number of the level a pair falls into: -1 with a null, n for the best of n levels, 0 for none. Of a
+    comparison with members a side is null if all of them are. A first level blank:both or blank:either
+    stands before the null level."""
+    left, right = ([F.col(f"{m}_{s}") for m in c.members or (c.column,)] for s in "lr")
+    na, nb = (reduce(lambda x, y: x & y, (v.isNull() for v in side)) for side in (left, right))
+    out = None
     for i, x in enumerate(c.levels):
-        test = F.expr(x.token) if "_l" in x.token else predicate(x.token)(a, b)
-        out = out.when(test, len(c.levels) - i)
-    return out.otherwise(0)
+        n = len(c.levels) - i
+        if x.token.startswith("blank:"):
+            out = F.when(na & nb if x.token == "blank:both" else na | nb, n)
+            continue
+        if i == 0 or c.levels[i - 1].token.startswith("blank:"):
+            out = F.when(na | nb, -1) if out is None else out.when(na | nb, -1)
+        test = F.expr(x.token) if "_l" in x.token else reduce(lambda p, q: p | q, (F.coalesce(predicate(x.token)(a, b), F.lit(False)) if c.members else predicate(x.token)(a, b) for a in left for b in right))
+        out = out.when(test, n)
+    return (F.when(na | nb, -1) if out is None else out).otherwise(0)
 
 
 def vectors(pairs: DataFrame, model: Model) -> DataFrame:

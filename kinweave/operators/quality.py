@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,40 +25,64 @@ def by_source(membership: DataFrame) -> DataFrame:
     return x.groupBy("source_system").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.expr("n > 1")).alias("duplicate_records"), F.countDistinct(F.when(F.col("n") > 1, F.col("entity_id"))).alias("groups"))
 
 
-def record_quality(std: DataFrame, columns: Sequence[str], now: Column, days: int = 365) -> DataFrame:
-    """(record_key, completeness, validity, freshness, quality): validity only where a flag is known,
-    freshness falls from 1 to 0 over ``days``; quality is the weighted mean of what applies."""
-    complete = reduce(lambda a, b: a + b, (F.col(c).isNotNull().cast("int") for c in columns)) / len(columns)
-    known = [F.col(c) for c in ("email_valid", "phone_valid")]
-    n = reduce(lambda a, b: a + b, (c.isNotNull().cast("int") for c in known))
-    valid = F.try_divide(reduce(lambda a, b: a + b, (F.coalesce(c.cast("int"), F.lit(0)) for c in known)), n)
+def record_quality(std: DataFrame, completeness: Mapping[str, float], now: Column, fresh_days: int = 0, stale_days: int = 365, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """(record_key, completeness, validity, freshness, score). Completeness is the weighted share of filled
+    columns; validity the share of flagged values that passed, null without any; freshness falls from 1 at
+    ``fresh_days`` to 0 at ``stale_days``, null without a source's time. The score is the weighted mean, in
+    per cent, of those that apply."""
+    total = sum(completeness.values())
+    if total <= 0:
+        raise ValueError("the weights of completeness must add up to more than nothing")
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    one = lambda c, w: F.when(c, F.lit(float(w))).otherwise(0.0)
+    filled = add(one(F.col(c).isNotNull() & (F.length(F.trim(F.col(c).cast("string"))) > 0), w) for c, w in completeness.items()) / total
+    flags = [("email", "email_valid"), ("phone_e164", "phone_valid")]
+    told, passed = (add(one(F.col(v).isNotNull() & x, 1) for (v, _), x in zip(flags, xs)) for xs in ([F.col(f).isNotNull() for _, f in flags], [F.col(f) for _, f in flags]))
+    fresh = max(fresh_days, 0)
+    stale = max(stale_days, fresh + 1)
     age = F.datediff(now, F.col("updated_at_source"))
-    fresh = F.when(age.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age / days)))
-    x = std.select("record_key", complete.alias("completeness"), valid.alias("validity"), fresh.alias("freshness"))
-    w = {"completeness": 0.5, "validity": 0.3, "freshness": 0.2}
-    top = reduce(lambda a, b: a + b, (F.coalesce(F.col(c) * k, F.lit(0.0)) for c, k in w.items()))
-    low = reduce(lambda a, b: a + b, (F.when(F.col(c).isNotNull(), k).otherwise(0.0) for c, k in w.items()))
-    return x.withColumn("quality", 100 * top / low)
+    x = std.select(
+        "record_key", filled.alias("completeness"), F.when(told > 0, passed / told).alias("validity"),
+        F.when(age.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(float(stale)) - age) / F.lit(float(max(1, stale - fresh)))))).alias("freshness"),
+    )
+    w = {"completeness": 0.5, "validity": 0.3, "freshness": 0.2} | dict(weights or {})
+    top = add(F.coalesce(F.col(c) * float(k), F.lit(0.0)) for c, k in w.items())
+    low = add(F.when(F.col(c).isNull(), 0.0).otherwise(float(k)) for c, k in w.items())
+    return x.withColumn("score", 100.0 * top / low)
 
 
 def distribution(quality: DataFrame) -> DataFrame:
-    q = F.col("quality")
-    return quality.agg(F.count_if(q < 50).alias("poor"), F.count_if((q >= 50) & (q < 80)).alias("fair"), F.count_if(q >= 80).alias("good"))
+    """One row: how many scores, their mean and ends, how many in each of three bands, and the means of what they are made of."""
+    s = F.col("score")
+    return quality.agg(
+        F.count(F.lit(1)).alias("scored"), F.avg(s).alias("mean_score"), F.min(s).alias("min_score"), F.max(s).alias("max_score"),
+        F.count_if(s < 50).alias("below_50"), F.count_if((s >= 50) & (s < 80)).alias("between_50_80"), F.count_if(s >= 80).alias("at_least_80"),
+        *(F.avg(c).alias(f"mean_{c}") for c in ("completeness", "validity", "freshness")),
+    )
 
 
 def junk_and_stale(std: DataFrame, now: Column, days: int = 365) -> DataFrame:
-    """(records, junk, stale): rows with no usable contact, and rows not updated for ``days``."""
-    junk = F.coalesce("email", "phone_e164", "addr_street").isNull()
-    return std.agg(F.count(F.lit(1)).alias("records"), F.count_if(junk).alias("junk"), F.count_if(F.datediff(now, F.col("updated_at_source")) > days).alias("stale"))
-
-
-def data_quality(std: DataFrame, membership: DataFrame, columns: Sequence[str], now: Column, days: int = 365) -> DataFrame:
-    """(completeness, not_junk, not_stale, not_duplicate, score): the corpus' figures and their mean."""
-    complete = F.avg(reduce(lambda a, b: a + b, (F.col(c).isNotNull().cast("int") for c in columns)) / len(columns))
-    a = std.agg(complete.alias("completeness")).crossJoin(junk_and_stale(std, now, days))
-    d = membership.agg(F.count(F.lit(1)).alias("m"), F.countDistinct("entity_id").alias("e"))
-    x = a.crossJoin(d).select("completeness", (1 - F.col("junk") / F.col("records")).alias("not_junk"), (1 - F.col("stale") / F.col("records")).alias("not_stale"), (F.col("e") / F.col("m")).alias("not_duplicate"))
-    return x.withColumn("score", F.expr("(completeness + not_junk + not_stale + not_duplicate) / 4"))
+    """(n, junk, stale): rows with a contact flagged invalid, and rows whose source's time, or else that of
+    ingestion, is more than ``days`` before ``now``."""
+    bad = lambda v, f: F.col(v).isNotNull() & ~F.col(f)
+    old = F.coalesce("updated_at_source", "ingested_at") < now.cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
+    return std.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad("email", "email_valid") | bad("phone_e164", "phone_valid")).alias("junk"), F.count_if(old).alias("stale"))
+
+
+def data_quality(golden: DataFrame, std: DataFrame, membership: DataFrame, attributes: Sequence[str], now: Column, days: int = 365) -> DataFrame:
+    """(completeness, junk_rate, stale_rate, duplicate_rate, dq_score, c_<attribute>...): the share of filled
+    attributes of golden rows, of junk, of stale rows, and of records in entities of two or more; a rate of
+    nothing is 0. The score is the mean of completeness and what is not junk, stale and duplicate."""
+    share = lambda n, of: F.coalesce(F.try_divide(n, of), F.lit(0.0))
+    c = golden.agg(*(share(F.count(a).cast("double"), F.count(F.lit(1))).alias(f"c_{a}") for a in attributes))
+    j = junk_and_stale(std, now, days)
+    sizes = membership.groupBy("entity_id").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias("dup"))
+    x = c.crossJoin(j).crossJoin(sizes)  # one row each
+    x = x.select(
+        "*", (reduce(lambda a, b: a + b, (F.col(f"c_{a}") for a in attributes)) / len(attributes)).alias("completeness"),
+        share(F.col("junk").cast("double"), F.col("n")).alias("junk_rate"), share(F.col("stale").cast("double"), F.col("n")).alias("stale_rate"), share(F.col("dup").cast("double"), F.col("n")).alias("duplicate_rate"),
+    )
+    return x.withColumn("dq_score", F.expr("(completeness + 1 - junk_rate + 1 - stale_rate + 1 - duplicate_rate) / 4")).drop("n", "junk", "stale", "dup")
 
 
 def screening(records: DataFrame, scores: DataFrame, auto: float = 0.95, review: float = 0.6) -> DataFrame:

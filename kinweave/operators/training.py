@@ -99,15 +99,67 @@ def em(counts: np.ndarray, n: np.ndarray, model: L.Model, rounds: int = 25, tole
     return {"prior": lam, "levels": mu, "rounds": len(history)}
 
 
-def em_session(df: DataFrame, model: L.Model, rule: L.Rule, rounds: int = 25) -> dict:
-    """EM over the pairs one rule blocks; comparisons on the rule's own columns are left out."""
+def starting_prior(model: L.Model, columns: Sequence[str]) -> float:
+    """The prior among pairs that a rule on ``columns`` blocks: multiplied by the Bayes factor of each exact
+    level those columns cover."""
+    left, odds = list(columns), model.prior / (1 - model.prior)
+    for c in model.comparisons:
+        exact = next((i for i, x in enumerate(c.levels) if x.token == "exact"), None)
+        if exact is not None and not c.members and c.column in left:
+            left.remove(c.column)
+            m, u = L._mu(c)[exact]
+            odds *= m / u
+    return odds / (1 + odds)
+
+
+def em_session(df: DataFrame, model: L.Model, rule: L.Rule, rounds: int = 25, fix_u: bool = True) -> dict:
+    """EM over the pairs one rule blocks, from the prior among such pairs; comparisons on the rule's own
+    columns are left out, and u stays as it is unless asked for otherwise."""
     import re
 
-    used = {w for k in (*rule.keys, rule.also or "") for w in re.findall(r"\w+", k)}
-    part = L.Model(model.uid, (rule,), tuple(c for c in model.comparisons if c.column not in used), model.prior)
+    used = [w for k in (*rule.keys, rule.also or "") for w in re.findall(r"\w+", k)]
+    rest = tuple(c for c in model.comparisons if not {c.column, *c.members} & set(used))
+    part = L.Model(model.uid, (rule,), rest, starting_prior(model, used))
     rows = patterns(L.vectors(L.block(df, part), part), part).collect()
     g = np.array([[r[f"gamma_{c.column}"] for c in part.comparisons] for r in rows], dtype=int).reshape(len(rows), len(part.comparisons))
-    return em(g, np.array([r.n for r in rows], dtype=float), part, rounds)
+    known = {c.column: [u for _, u in reversed(L._mu(c))] for c in rest} if fix_u else None
+    return em(g, np.array([r.n for r in rows], dtype=float), part, rounds, fix_u=known)
+
+
+def with_u(model: L.Model, shares: Sequence) -> L.Model:
+    """``model`` with u from rows (comparison, gamma, u); a level no pair fell into keeps what it has."""
+    got = {(r["comparison"], r["gamma"]): r["u"] for r in shares}
+    out = []
+    for c in model.comparisons:
+        n = len(c.levels)
+        levels = tuple(L.Level(x.token, x.m, got.get((c.column, n - i), x.u), x.tf) for i, x in enumerate(c.levels))
+        out.append(L.Comparison(c.column, levels, c.m_else, got.get((c.column, 0), c.u_else), c.members))
+    return L.Model(model.uid, model.rules, tuple(out), model.prior, model.extra)
+
+
+def train(df: DataFrame, model: L.Model, sure_rules: Sequence[L.Rule], recall: float, em_rules: Sequence[L.Rule], u_pairs: float = 1e6, labels: DataFrame | None = None) -> tuple[L.Model, list[dict]]:
+    """The trained model and its EM sessions: prior from rules that are sure to find matches and their recall,
+    u from random pairs, m by EM over each rule's pairs, combined by the median. With ``labels``
+    (<uid>_l, <uid>_r), pairs known to match, m comes from these where they tell it."""
+    found = prior(df, sure_rules, model.uid, recall).first()["prior"]
+    model = L.Model(model.uid, model.rules, model.comparisons, min(max(found, 1e-12), 1 - 1e-12), model.extra)
+    model = with_u(model, estimate_u(df, model, u_pairs).collect())  # levels of the model, not rows
+    sessions = [em_session(df, model, r) for r in em_rules]
+    model = trained(model, combined(sessions))
+    if labels is not None:
+        told = {(r["comparison"], r["gamma"]): r["m"] for r in m_from_pairs(df, model, labels).collect()}
+        out = []
+        for c in model.comparisons:
+            n = len(c.levels)
+            levels = tuple(L.Level(x.token, told.get((c.column, n - i), x.m), x.u, x.tf) for i, x in enumerate(c.levels))
+            out.append(L.Comparison(c.column, levels, told.get((c.column, 0), c.m_else), c.u_else, c.members))
+        model = L.Model(model.uid, model.rules, tuple(out), model.prior, model.extra)
+    return model, sessions
+
+
+def full_agreement_bits(model: L.Model) -> float:
+    """Evidence of a pair that agrees at the best level of every comparison, the prior left aside."""
+    return sum(L.bits(*L._mu(c)[0]) for c in model.comparisons)
 
 
 def m_from_column(df: DataFrame, model: L.Model, label: str) -> DataFrame:
@@ -142,7 +194,7 @@ def trained(model: L.Model, levels: dict[str, list[tuple[float, float]]], lam: f
             continue
         (em_, eu), *rest = levels[c.column]
         new = tuple(L.Level(x.token, m, u, x.tf) for x, (m, u) in zip(c.levels, reversed(rest)))
-        out.append(L.Comparison(c.column, new, em_, eu))
+        out.append(L.Comparison(c.column, new, em_, eu, c.members))
     return L.Model(model.uid, model.rules, tuple(out), model.prior if lam is None else lam, model.extra)
 
 

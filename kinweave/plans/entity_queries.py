@@ -75,9 +75,15 @@ def single_best_links(spark, d):
     return G.single_best_links(_sided(spark, d), sources=["crm"])
 
 
-@query(f"WITH e0 AS (SELECT least(rec_a_key, rec_b_key) AS a, greatest(rec_a_key, rec_b_key) AS b, max(match_probability) AS p FROM match_scores WHERE is_active AND match_probability >= 0.95 AND rec_a_key <> rec_b_key GROUP BY 1, 2), e AS (SELECT *, split_part(b, ':', 1) AS sb FROM e0), m AS (SELECT *, max(p) OVER (PARTITION BY a, sb) AS top FROM e), k AS (SELECT *, count(*) FILTER (p = top) OVER (PARTITION BY a, sb) AS n FROM m) SELECT a, b, p FROM k WHERE NOT (p = top AND n > 1)")
+_SIDED = "e AS (SELECT least(rec_a_key, rec_b_key) AS a, greatest(rec_a_key, rec_b_key) AS b, max(match_probability) AS p FROM match_scores WHERE is_active AND match_probability >= 0.95 AND rec_a_key <> rec_b_key GROUP BY 1, 2)"
+_NEAR = "n AS (SELECT a AS node_id, b AS neighbour, split_part(a, ':', 1) AS source_dataset_l, split_part(b, ':', 1) AS source_dataset_r, p AS match_probability FROM e UNION ALL SELECT b, a, split_part(b, ':', 1), split_part(a, ':', 1), p FROM e)"
+
+
+@query(f"""WITH {_SIDED}, {_NEAR}, l AS (SELECT node_id, source_dataset_l, source_dataset_r, match_probability, CASE WHEN count(DISTINCT neighbour) > 1 AND source_dataset_r IN ('crm', 'webforms') THEN 1 ELSE 0 END AS tie_l FROM n GROUP BY node_id, source_dataset_l, source_dataset_r, match_probability),
+    r AS (SELECT neighbour, source_dataset_l, source_dataset_r, match_probability, CASE WHEN count(DISTINCT node_id) > 1 AND source_dataset_l IN ('crm', 'webforms') THEN 1 ELSE 0 END AS tie_r FROM n GROUP BY neighbour, source_dataset_l, source_dataset_r, match_probability)
+    SELECT n.node_id AS a, n.neighbour AS b, n.match_probability AS p FROM n JOIN l USING (node_id, source_dataset_l, source_dataset_r, match_probability) JOIN r ON n.neighbour = r.neighbour AND n.source_dataset_l = r.source_dataset_l AND n.source_dataset_r = r.source_dataset_r AND n.match_probability = r.match_probability WHERE tie_l = 0 AND tie_r = 0 AND n.node_id < n.neighbour""")
 def drop_ties(spark, d):
-    return G.drop_ties(_sided(spark, d)).select("a", "b", "p")
+    return G.drop_ties(_sided(spark, d), ["crm", "webforms"]).select("a", "b", "p")
 
 
 @query(f"WITH RECURSIVE {_E.format(t=0.99)}, {_REACH}, {STD} SELECT record_key, coalesce(cluster, record_key) AS cluster FROM std LEFT JOIN cl ON node = record_key")
@@ -167,61 +173,57 @@ def membership_merge(spark, d):
 
 # Golden records ---------------------------------------------------------------------------------
 _X = f"WITH {STD}, {MEMBERS}, x AS (SELECT std.*, mem.entity_id FROM std JOIN mem USING (record_key)), r AS (SELECT *, CASE source_system WHEN 'crm' THEN 1 WHEN 'billing' THEN 2 WHEN 'webforms' THEN 3 ELSE 4 END AS rank"
-_TERM = {
-    "source_priority": "rank", "recency": "updated_at_source DESC NULLS LAST", "frequency": "count(*) OVER (PARTITION BY entity_id, {a}) DESC", "completeness": "({a} IS NOT NULL AND {a}::VARCHAR <> '')::INT DESC",
-    "validated": "coalesce(email_valid, false)::INT DESC", "longest": "length({a}) DESC NULLS LAST", "shortest": "length({a}) NULLS LAST", "numeric_max": "try_cast({a} AS DOUBLE) DESC NULLS LAST", "numeric_min": "try_cast({a} AS DOUBLE) NULLS LAST",
-}
-_ON = {"numeric_max": "addr_number", "numeric_min": "addr_number", "validated": "email"}
-
-
-def _survivor(rule):
-    a = _ON.get(rule, "given_name")
+_ON = {"numeric_max": "addr_number", "numeric_min": "addr_number", "validated": "email", "prioritized:xc|xa": "addr_region"}
 
-    def run(spark, d):
-        return N.decide(C.members(spark, d), a, [rule], C.RANK, valid="email_valid" if rule == "validated" else None).select("entity_id", "record_key", "value")
 
-    return a, run
+def _terms_sql(rule: str) -> list[tuple[str, str]]:
+    """The terms of a rule as the contract writes them."""
+    return {
+        "source_priority": [("rank", "ASC NULLS LAST")], "recency": [("coalesce(updated_at_source, ingested_at)", "DESC NULLS LAST")], "frequency": [("count(*) OVER (PARTITION BY entity_id, value)", "DESC")],
+        "most_common": [("count(*) OVER (PARTITION BY entity_id, value)", "DESC")], "completeness": [("(value IS NOT NULL)", "DESC"), ("length(value)", "DESC NULLS LAST")], "validated": [("email_valid", "DESC NULLS LAST")],
+        "longest": [("length(value)", "DESC NULLS LAST")], "shortest": [("length(value)", "ASC NULLS LAST")], "numeric_max": [("try_cast(value AS DOUBLE)", "DESC NULLS LAST")], "numeric_min": [("try_cast(value AS DOUBLE)", "ASC NULLS LAST")],
+        "prioritized:xc|xa": [("CASE value WHEN 'xc' THEN 0 WHEN 'xa' THEN 1 ELSE 2147483647 END", "ASC")],
+    }[rule]
 
 
-for _rule, _t in _TERM.items():
-    _a, _run = _survivor(_rule)
-    if _rule == "frequency":
-        _sql = _X + f", count(*) OVER (PARTITION BY entity_id, {_a}) AS f FROM x) SELECT entity_id, record_key, {_a} AS value FROM r QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY f DESC, record_key) = 1"
-    else:
-        _sql = _X + f" FROM x) SELECT entity_id, record_key, {_a} AS value FROM r QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY {_t.format(a=_a)}, record_key) = 1"
-    query(_sql, f"survivorship_{_rule}")(_run)
+def _decision_sql(attribute: str, rules: list[str], value: str | None = None) -> str:
+    """Winner, value and deciding rule of one attribute over the common table r."""
+    keys = [(r, f"k{i}_{j}", *t) for i, r in enumerate(rules) for j, t in enumerate(_terms_sql(r))]
+    project = "".join(f", {e} AS {k}" for _, k, e, _ in keys)
+    order = ", ".join([*(f"{k} {o}" for _, k, _, o in keys), "record_key"])
+    arms = " ".join("WHEN " + " OR ".join(f"w.{k} IS DISTINCT FROM s.{k}" for q, k, _, _ in keys if q == r) + f" THEN '{r}'" for r in rules)
+    return f"""SELECT w.entity_id, '{attribute}' AS attribute, w.record_key, w.value, CASE WHEN s.record_key IS NULL THEN 'tiebreak_deterministic' {arms} ELSE 'tiebreak_deterministic' END AS rule
+        FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY {order}) AS rn FROM (SELECT *{project} FROM (SELECT *, {value or attribute + '::VARCHAR'} AS value FROM r))) w
+        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY {order}) AS rn FROM (SELECT *{project} FROM (SELECT *, {value or attribute + '::VARCHAR'} AS value FROM r))) s ON s.entity_id = w.entity_id AND s.rn = 2 WHERE w.rn = 1"""
 
 
-@query(_X + " FROM x) SELECT entity_id, record_key, addr_region AS value FROM r QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY CASE addr_region WHEN 'xc' THEN 0 WHEN 'xa' THEN 1 ELSE 2 END, record_key) = 1")
-def survivorship_prioritized(spark, d):
-    return N.decide(C.members(spark, d), "addr_region", ["prioritized:xc|xa"], C.RANK).select("entity_id", "record_key", "value")
+_RULES = ["source_priority", "recency", "frequency", "most_common", "completeness", "validated", "longest", "shortest", "numeric_max", "numeric_min", "prioritized:xc|xa"]
+for _rule in _RULES:
+    query(f"{_X} FROM x) {_decision_sql(_ON.get(_rule, 'given_name'), [_rule])}", f"survivorship_{_rule.partition(':')[0]}")(
+        lambda spark, d, r=_rule: N.decide(C.members(spark, d), _ON.get(r, "given_name"), [r], C.RANK, valid="email_valid" if r == "validated" else None)
+    )
 
 
-@query(f"WITH {STD}, {MEMBERS} SELECT entity_id, coalesce(string_agg(DISTINCT nullif(email, ''), '; ' ORDER BY nullif(email, '')), '') AS value FROM std JOIN mem USING (record_key) GROUP BY 1")
+@query(f"WITH {STD}, {MEMBERS} SELECT entity_id, min(record_key) AS record_key, array_to_string(list_sort(list_distinct(list(email) FILTER (WHERE email IS NOT NULL AND email <> ''))), '; ') AS value, 'combined_list' AS rule FROM std JOIN mem USING (record_key) GROUP BY 1")
 def combined_list(spark, d):
-    return N.combined_list(C.members(spark, d), "email")
+    return N.decide(C.members(spark, d), "email", ["combined_list"], C.RANK).select("entity_id", "record_key", "value", "rule")
 
 
-@query(f"WITH {STD}, {MEMBERS} SELECT entity_id, sum(try_cast(addr_number AS DOUBLE))::BIGINT AS value FROM std JOIN mem USING (record_key) GROUP BY 1")
+@query(f"WITH {STD}, {MEMBERS} SELECT entity_id, min(record_key) AS record_key, sum(try_cast(addr_number AS DOUBLE))::BIGINT AS value FROM std JOIN mem USING (record_key) GROUP BY 1")
 def survivorship_sum(spark, d):
-    return N.total(C.members(spark, d), "addr_number").withColumn("value", F.col("value").cast("double").cast("long"))
+    x = N.decide(C.members(spark, d), "addr_number", ["sum"], C.RANK)
+    return x.select("entity_id", "record_key", F.col("value").cast("double").cast("long").alias("value"))
 
 
 _CHAIN = ["completeness", "recency", "source_priority"]
-
-
-def _line_sql(a: str) -> str:
-    return f"""SELECT entity_id, '{a}' AS attribute, max(CASE WHEN rn = 1 THEN record_key END) AS record_key, max(CASE WHEN rn = 1 THEN v END) AS value,
-        CASE WHEN count(*) < 2 OR max(CASE WHEN rn = 1 THEN k0 END) IS DISTINCT FROM max(CASE WHEN rn = 2 THEN k0 END) THEN 'completeness' WHEN max(CASE WHEN rn = 1 THEN k1 END) IS DISTINCT FROM max(CASE WHEN rn = 2 THEN k1 END) THEN 'recency'
-        WHEN max(CASE WHEN rn = 1 THEN rank END) IS DISTINCT FROM max(CASE WHEN rn = 2 THEN rank END) THEN 'source_priority' ELSE 'tiebreak_deterministic' END AS rule
-        FROM (SELECT entity_id, record_key, {a}::VARCHAR AS v, rank, ({a} IS NOT NULL AND {a}::VARCHAR <> '')::INT AS k0, updated_at_source AS k1, row_number() OVER (PARTITION BY entity_id ORDER BY ({a} IS NOT NULL AND {a}::VARCHAR <> '')::INT DESC, updated_at_source DESC NULLS LAST, rank, record_key) AS rn FROM r) WHERE rn <= 2 GROUP BY 1"""
-
-
-_LINES = " UNION ALL ".join(_line_sql(a) for a in ("given_name", "email", "birth_date"))
+_ALL = ["given_name", "family_name", "email", "phone_e164", "birth_date"]
+_ADDRESS = ["addr_number", "addr_street", "addr_unit", "addr_city", "addr_region", "addr_postal"]
+_ADDRESS_SQL = f"CASE WHEN coalesce({', '.join(_ADDRESS)}) IS NOT NULL THEN concat_ws(chr(31), " + ", ".join(f"coalesce({c}, '')" for c in _ADDRESS) + ") END"
+_LINES = " UNION ALL ".join([*(_decision_sql(a, _CHAIN) for a in _ALL), _decision_sql("address", _CHAIN, _ADDRESS_SQL)])
 
 
 def _lineage(spark, d):
-    return N.lineage(C.members(spark, d), {a: _CHAIN for a in ("given_name", "email", "birth_date")}, C.RANK)
+    return N.lineage(C.members(spark, d), {a: _CHAIN for a in (*_ALL, "address")}, C.RANK, groups={"address": _ADDRESS})
 
 
 @query(f"{_X} FROM x) {_LINES}")
@@ -229,9 +231,9 @@ def golden_lineage(spark, d):
     return _lineage(spark, d)
 
 
-@query(f"{_X} FROM x), g AS ({_LINES}) SELECT entity_id, " + ", ".join(f"max(value) FILTER (attribute = '{a}') AS {a}" for a in ("given_name", "email", "birth_date")) + " FROM g GROUP BY 1")
+@query(f"{_X} FROM x), g AS ({_LINES}) SELECT entity_id, " + ", ".join(f"max(value) FILTER (attribute = '{a}') AS {a}" for a in (*_ALL, "address")) + " FROM g GROUP BY 1")
 def golden_records(spark, d):
-    return N.records(_lineage(spark, d), ["given_name", "email", "birth_date"])
+    return N.records(_lineage(spark, d), [*_ALL, "address"])
 
 
 @query()
@@ -239,7 +241,7 @@ def nested_metadata(spark, d):
     return N.nested_metadata(C.members(spark, d))
 
 
-@query(f"{_X} FROM x), g AS ({_line_sql('email')}), o AS (SELECT entity_id, max_by(record_key, (created_at, id)) AS v FROM golden_lineage WHERE attribute = 'email' GROUP BY 1) SELECT g.entity_id, CASE WHEN o.entity_id IS NOT NULL THEN o.v ELSE value END AS email FROM g LEFT JOIN o USING (entity_id)")
+@query(f"{_X} FROM x), g AS ({_decision_sql('email', _CHAIN)}), o AS (SELECT entity_id, max_by(record_key, (created_at, id)) AS v FROM golden_lineage WHERE attribute = 'email' GROUP BY 1) SELECT g.entity_id, CASE WHEN o.entity_id IS NOT NULL THEN o.v ELSE value END AS email FROM g LEFT JOIN o USING (entity_id)")
 def golden_overrides(spark, d):
     """E-mails with the last override of each entity (here the donors named by an earlier assembly)."""
     g = N.records(N.lineage(C.members(spark, d), {"email": _CHAIN}, C.RANK), ["email"])
@@ -247,17 +249,21 @@ def golden_overrides(spark, d):
     return N.overridden(g, o, "email")
 
 
-_FILLED = "(given_name IS NOT NULL)::INT + (family_name IS NOT NULL)::INT + (email IS NOT NULL)::INT + (phone_e164 IS NOT NULL)::INT"
-_ATTRS = ["given_name", "family_name", "email", "phone_e164"]
-_POLICY = {"most_attributes": f"{_FILLED} DESC", "source_priority": "rank", "most_recent": "updated_at_source DESC NULLS LAST", "oldest": "updated_at_source NULLS LAST", "most_complete": f"{_FILLED} DESC, updated_at_source DESC NULLS LAST"}
+_COMPLETE = "(" + " + ".join(f"(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END)" for c in N.SURVIVABLE) + ")"
+_POLICY = {"source_priority": "coalesce(CASE source_system WHEN 'crm' THEN 1 WHEN 'billing' THEN 2 WHEN 'webforms' THEN 3 END, 2147483647) ASC", "most_recent": "coalesce(updated_at_source, ingested_at) DESC NULLS LAST", "oldest": "coalesce(updated_at_source, ingested_at) ASC NULLS LAST", "most_complete": f"{_COMPLETE} DESC"}
 for _p, _o in _POLICY.items():
-    query(f"{_X} FROM x) SELECT entity_id, record_key FROM r QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY {_o}, record_key) = 1", f"master_{_p}")(lambda spark, d, p=_p: N.masters(C.members(spark, d), p, C.RANK, _ATTRS))
+    query(f"{_X} FROM x) SELECT entity_id, record_key FROM r QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY {_o}, record_key) = 1", f"master_{_p}")(lambda spark, d, p=_p: N.masters(C.members(spark, d), p, C.RANK))
+
+
+@query("SELECT entity_id, record_key FROM (SELECT entity_id, record_key, count(*) AS won FROM golden_lineage WHERE entity_id IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY won DESC, record_key NULLS LAST) = 1")
+def master_most_attributes(spark, d):
+    return N.masters(C.members(spark, d), "most_attributes", C.RANK, table(spark, d, "golden_lineage"))
 
 
 @query(f"{_X} FROM x), m AS (SELECT entity_id, record_key AS master_key FROM r QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY rank, record_key) = 1) SELECT entity_id, master_key, record_key FROM x JOIN m USING (entity_id) WHERE record_key <> master_key")
 def merge_plans(spark, d):
     x = C.members(spark, d)
-    return N.merge_plans(x, N.masters(x, "source_priority", C.RANK, _ATTRS))
+    return N.merge_plans(x, N.masters(x, "source_priority", C.RANK))
 
 
 # Quality ----------------------------------------------------------------------------------------
@@ -280,32 +286,38 @@ def source_metrics(spark, d):
     return Q.by_source(C.membership(spark, d))
 
 
-_QC = ["given_name", "family_name", "email", "phone_e164", "addr_street", "birth_date"]
-_QUAL = f"""WITH {STD}, q0 AS (SELECT record_key, ({' + '.join(f'({c} IS NOT NULL)::INT' for c in _QC)}) / 6 AS completeness, (coalesce(email_valid::INT, 0) + coalesce(phone_valid::INT, 0)) / nullif((email_valid IS NOT NULL)::INT + (phone_valid IS NOT NULL)::INT, 0) AS validity,
-    greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - date_diff('day', updated_at_source::DATE, DATE '2025-04-01') / 365)) AS fr, updated_at_source FROM std), q1 AS (SELECT record_key, completeness, validity, CASE WHEN updated_at_source IS NOT NULL THEN fr END AS freshness FROM q0),
-    q AS (SELECT *, 100 * (completeness * 0.5::DOUBLE + coalesce(validity * 0.3::DOUBLE, 0) + coalesce(freshness * 0.2::DOUBLE, 0)) / (0.5::DOUBLE + CASE WHEN validity IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN freshness IS NULL THEN 0 ELSE 0.2::DOUBLE END) AS quality FROM q1)"""
+_QC = {"given_name": 1.0, "family_name": 1.0, "email": 2.0, "phone_e164": 1.5, "addr_street": 1.0, "birth_date": 0.5}
+_FRESH, _STALE = 30, 365
+_PRESENT = " + ".join(f"CASE WHEN {c} IS NOT NULL AND length(trim({c}::VARCHAR)) > 0 THEN {w}::DOUBLE ELSE 0::DOUBLE END" for c, w in _QC.items())
+_JUDGED, _PASSED = (" + ".join(f"CASE WHEN {v} IS NOT NULL AND {t.format(f)} THEN 1.0::DOUBLE ELSE 0::DOUBLE END" for v, f in (("email", "email_valid"), ("phone_e164", "phone_valid"))) for t in ("{} IS NOT NULL", "{}"))
+_QUAL = f"""WITH {STD}, dims AS (SELECT record_key, ({_PRESENT}) / {sum(_QC.values())}::DOUBLE AS completeness, CASE WHEN ({_JUDGED}) > 0 THEN ({_PASSED}) / ({_JUDGED}) END AS validity,
+    CASE WHEN updated_at_source IS NULL THEN NULL ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({_STALE}::DOUBLE - date_diff('day', updated_at_source, TIMESTAMP '2025-04-01')) / {_STALE - _FRESH}::DOUBLE)) END AS freshness FROM std),
+    q AS (SELECT *, 100.0::DOUBLE * (0.5::DOUBLE * completeness + coalesce(0.3::DOUBLE * validity, 0) + coalesce(0.2::DOUBLE * freshness, 0)) / (0.5::DOUBLE + CASE WHEN validity IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN freshness IS NULL THEN 0 ELSE 0.2::DOUBLE END) AS score FROM dims)"""
+_PARTS = ["completeness", "validity", "freshness", "score"]
 
 
 def _quality(spark, d):
-    return Q.record_quality(C.std(spark, d), _QC, _now())
+    return Q.record_quality(C.std(spark, d), _QC, _now(), _FRESH, _STALE)
 
 
-@query(_QUAL + " SELECT record_key, round(completeness, 6) AS completeness, round(validity, 6) AS validity, round(freshness, 6) AS freshness, round(quality, 6) AS quality FROM q")
+@query(_QUAL + " SELECT record_key, " + ", ".join(f"round({c}, 6) AS {c}" for c in _PARTS) + " FROM q")
 def record_quality(spark, d):
-    return _quality(spark, d).select("record_key", *(r6(c).alias(c) for c in ("completeness", "validity", "freshness", "quality")))
+    return _quality(spark, d).select("record_key", *(r6(c).alias(c) for c in _PARTS))
 
 
-@query(_QUAL + " SELECT count(*) FILTER (quality < 50) AS poor, count(*) FILTER (quality >= 50 AND quality < 80) AS fair, count(*) FILTER (quality >= 80) AS good FROM q")
+@query(_QUAL + """, q6 AS (SELECT * REPLACE (round(score, 6) AS score) FROM q) SELECT count(*) AS scored, round(avg(score), 4) AS mean_score, min(score) AS min_score, max(score) AS max_score, count(*) FILTER (WHERE score < 50) AS below_50, count(*) FILTER (WHERE score >= 50 AND score < 80) AS between_50_80,
+    count(*) FILTER (WHERE score >= 80) AS at_least_80, round(avg(completeness), 4) AS mean_completeness, round(avg(validity), 4) AS mean_validity, round(avg(freshness), 4) AS mean_freshness FROM q6""")
 def quality_distribution(spark, d):
-    return Q.distribution(_quality(spark, d))
+    x = Q.distribution(_quality(spark, d).withColumn("score", r6("score")))
+    return x.select(*(F.round(c, 4).alias(c) if c.startswith("mean_") else F.col(c) for c in x.columns))
 
 
-@query(_QUAL + " SELECT record_key, round(quality, 6) AS quality FROM q ORDER BY round(quality, 6), record_key LIMIT 20")
+@query(_QUAL + " SELECT record_key, round(score, 6) AS score FROM q ORDER BY round(score, 6), record_key LIMIT 20")
 def quality_worst(spark, d):
-    return _quality(spark, d).select("record_key", r6("quality").alias("quality")).orderBy("quality", "record_key").limit(20)
+    return _quality(spark, d).select("record_key", r6("score").alias("score")).orderBy("score", "record_key").limit(20)
 
 
-_JUNK = "count(*) AS records, count(*) FILTER (coalesce(email, phone_e164, addr_street) IS NULL) AS junk, count(*) FILTER (date_diff('day', updated_at_source::DATE, DATE '2025-04-01') > 365) AS stale"
+_JUNK = "count(*) AS n, count(*) FILTER (WHERE (email IS NOT NULL AND email_valid = false) OR (phone_e164 IS NOT NULL AND phone_valid = false)) AS junk, count(*) FILTER (WHERE coalesce(updated_at_source, ingested_at) < TIMESTAMP '2025-04-01' - 365 * INTERVAL '1 day') AS stale"
 
 
 @query(f"WITH {STD} SELECT {_JUNK} FROM std")
@@ -313,9 +325,13 @@ def junk_stale(spark, d):
     return Q.junk_and_stale(C.std(spark, d), _now())
 
 
-@query(f"WITH {STD}, {MEMBERS}, a AS (SELECT avg(({' + '.join(f'({c} IS NOT NULL)::INT' for c in _QC)}) / 6) AS c, {_JUNK} FROM std), b AS (SELECT count(DISTINCT entity_id) / count(*) AS d FROM mem) SELECT round(c, 6) AS completeness, round(1 - junk / records, 6) AS not_junk, round(1 - stale / records, 6) AS not_stale, round(d, 6) AS not_duplicate, round((c + 1 - junk / records + 1 - stale / records + d) / 4, 6) AS score FROM a, b")
+_GOLD = ["given_name", "family_name", "email", "phone_e164", "birth_date", "address"]
+
+
+@query(f"{_X} FROM x), g AS ({_LINES}), gold AS (SELECT entity_id, " + ", ".join(f"max(value) FILTER (attribute = '{a}') AS {a}" for a in _GOLD) + " FROM g GROUP BY 1), c AS (SELECT " + ", ".join(f"coalesce(count({a}) / nullif(count(*), 0), 0) AS c_{a}" for a in _GOLD) + f" FROM gold), j AS (SELECT {_JUNK} FROM std), s AS (SELECT coalesce(sum(k) FILTER (k > 1), 0) AS dup FROM (SELECT count(*) AS k FROM mem GROUP BY entity_id)), y AS (SELECT c.*, (" + " + ".join(f"c_{a}" for a in _GOLD) + f") / {len(_GOLD)} AS completeness, junk / n AS junk_rate, stale / n AS stale_rate, dup / n AS duplicate_rate FROM c, j, s) SELECT " + ", ".join(f"round({c}, 6) AS {c}" for c in [*(f"c_{a}" for a in _GOLD), "completeness", "junk_rate", "stale_rate", "duplicate_rate"]) + ", round((completeness + 1 - junk_rate + 1 - stale_rate + 1 - duplicate_rate) / 4, 6) AS dq_score FROM y")
 def data_quality(spark, d):
-    x = Q.data_quality(C.std(spark, d), C.membership(spark, d), _QC, _now())
+    golden = N.records(_lineage(spark, d), _GOLD)
+    x = Q.data_quality(golden, C.std(spark, d), C.membership(spark, d), _GOLD, _now())
     return x.select(*(r6(c).alias(c) for c in x.columns))
 
 
@@ -359,10 +375,37 @@ def labelled_predictions(spark, d):
     return _labelled(spark, d).select("record_key_l", "record_key_r", r6("match_probability").alias("match_probability"), "is_match", "found_by_blocking")
 
 
-@query(_LABEL + ", g AS (SELECT round(match_weight, 4) AS threshold, count(*) FILTER (is_match) AS p, count(*) FILTER (NOT is_match) AS n FROM lab GROUP BY 1), c AS (SELECT threshold, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS P1, sum(n) OVER () AS N1 FROM g WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)) SELECT threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, (N1 - fp)::BIGINT AS tn, (P1 - tp)::BIGINT AS fn, round(tp / (tp + fp), 6) AS precision, round(tp / P1, 6) AS recall, round(2 * tp / (2 * tp + fp + P1 - tp), 6) AS f1 FROM c")
+_RATES = ["p_rate", "n_rate", "tp_rate", "tn_rate", "fp_rate", "fn_rate", "precision", "recall", "specificity", "npv", "accuracy", "f1", "f2", "f0_5", "p4", "phi"]
+
+
+def _truth_sql(adjusted: bool) -> str:
+    """The truth space as the contract writes it; ``adjusted`` by the pairs never made and those blocking missed."""
+    extra = "(tl - total_pos - total_neg)" if adjusted else "0"
+    at = "CASE WHEN found_by_blocking THEN match_weight ELSE -999::DOUBLE END" if adjusted else "match_weight"
+    return f""", tt AS (SELECT {at} AS tt, is_match::INT AS pos, (NOT is_match)::INT AS neg FROM lab), g AS (SELECT tt, count(*) AS k, sum(pos) AS pos, sum(neg) AS neg FROM tt GROUP BY 1), c AS (SELECT (SELECT count(*) FROM x)::DOUBLE AS n),
+    s AS (SELECT tt, sum(pos) OVER (ORDER BY tt DESC) AS cp, sum(neg) OVER (ORDER BY tt) - neg AS cn, (SELECT sum(pos) FROM g) AS total_pos, (SELECT sum(neg) FROM g) AS total_neg, (SELECT sum(k) FROM g) AS total_labels, -k + sum(k) OVER (ORDER BY tt) AS below, sum(k) OVER (ORDER BY tt DESC) AS above, (SELECT n * (n - 1) / 2 FROM c) AS tl FROM g),
+    a AS (SELECT tt, cp, cn + {extra} AS cn, total_pos, {"tl - total_pos" if adjusted else "total_neg"} AS total_neg, {"tl" if adjusted else "total_labels"} AS total_labels, below + {extra} AS below, above FROM s),
+    f AS (SELECT tt, total_labels::DOUBLE AS t, total_pos::DOUBLE AS P, total_neg::DOUBLE AS N, (above - cp)::DOUBLE AS FP, cp::DOUBLE AS TP, (below - cn)::DOUBLE AS FN, cn::DOUBLE AS TN FROM a)
+    SELECT round(tt, 6) AS truth_threshold, P AS p, N AS n, TP AS tp, TN AS tn, FP AS fp, FN AS fn, round(P / t, 6) AS p_rate, round(N / t, 6) AS n_rate, round(TP / P, 6) AS tp_rate, round(TN / N, 6) AS tn_rate, round(FP / N, 6) AS fp_rate, round(FN / P, 6) AS fn_rate,
+    round(CASE WHEN TP + FP = 0 THEN 1 ELSE TP / (TP + FP) END, 6) AS precision, round(TP / P, 6) AS recall, round(TN / N, 6) AS specificity, round(CASE WHEN TN + FN = 0 THEN 1 ELSE TN / (TN + FN) END, 6) AS npv, round((TP + TN) / (P + N), 6) AS accuracy,
+    round(2.0 * TP / (2 * TP + FN + FP), 6) AS f1, round(5.0 * TP / (5 * TP + 4 * FN + FP), 6) AS f2, round(1.25 * TP / (1.25 * TP + 0.25 * FN + FP), 6) AS f0_5, round(4.0 * TP * TN / ((4.0 * TP * TN) + ((TP + TN) * (FP + FN))), 6) AS p4,
+    round(CASE WHEN TN + FN = 0 OR TP + FP = 0 OR P = 0 OR N = 0 THEN 0 ELSE (TP * TN - FP * FN) / sqrt((TP + FP) * P * N * (TN + FN)) END, 6) AS phi FROM f WHERE tt >= -998"""
+
+
+def _truth(x):
+    return x.select(r6("truth_threshold").alias("truth_threshold"), "p", "n", "tp", "tn", "fp", "fn", *(r6(c).alias(c) for c in _RATES))
+
+
+@query(_LABEL + _truth_sql(True))
 def truth_space(spark, d):
-    x = E.truth_space(_labelled(spark, d).withColumn("match_weight", r6("match_weight")))
-    return x.select("threshold", "tp", "fp", "tn", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
+    """From a label column: all pairs never made are negatives, those blocking missed are not found."""
+    return _truth(E.truth_space(_labelled(spark, d).withColumn("match_weight", r6("match_weight")), E.possible_pairs(C.members(spark, d))))
+
+
+@query(_LABEL + _truth_sql(False))
+def truth_space_of_labels(spark, d):
+    """From labelled pairs alone."""
+    return _truth(E.truth_space(_labelled(spark, d).withColumn("match_weight", r6("match_weight")), missed_as_zero=False))
 
 
 @query(_LABEL + " SELECT record_key_l, record_key_r, CASE WHEN is_match THEN 'FN' ELSE 'FP' END AS status FROM lab WHERE (is_match AND NOT (match_probability >= 0.9 AND found_by_blocking)) OR (NOT is_match AND match_probability >= 0.9 AND found_by_blocking)")
@@ -423,9 +466,40 @@ def corpus_digest(spark, d):
     return P.digest(table(spark, d, "int_std_records"), ["record_key", "email"])
 
 
-@query()
+_FC = [*_PC, "std_version", "addr_unit", "record_key", "addr_city"]
+_WORDS = ", ".join(f"'{w}'" for w in P.PLACEHOLDER_WORDS)
+_FLAT = "trim(regexp_replace(lower(value), '[[:space:]]+', ' ', 'g'))"
+_SHAPES = "v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::VARCHAR AS value FROM {{t}}" for c in _FC) + f""" ), g AS (SELECT "column", value, count(*) AS n FROM v GROUP BY 1, 2),
+    s AS (SELECT "column", sum(n) AS rows, coalesce(sum(n) FILTER (value IS NOT NULL), 0) AS filled, count(value) AS dist, count(DISTINCT {_FLAT}) AS norm, max(n) FILTER (value IS NOT NULL) AS mode, coalesce(sum(n) FILTER (lower(trim(value)) IN ({_WORDS})), 0) AS fake,
+        coalesce(sum(n) FILTER (regexp_full_match(value, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)')), 0) AS numbers, coalesce(sum(n) FILTER (regexp_full_match(value, '[0-9]{{{{4}}}}-[0-9]{{{{2}}}}-[0-9]{{{{2}}}}')), 0) AS dates, coalesce(sum(n) FILTER (lower(value) IN ('true', 'false')), 0) AS flags FROM g GROUP BY 1)"""
+_CODES = """SELECT "column", 'P001' AS code FROM s WHERE filled = 0 UNION ALL SELECT "column", 'P002' FROM s WHERE filled > 0 AND filled / rows < 0.5 UNION ALL SELECT "column", 'P003' FROM s WHERE mode / filled >= 0.2 UNION ALL SELECT "column", 'P004' FROM s WHERE fake / filled >= 0.01
+    UNION ALL SELECT "column", 'P005' FROM s WHERE norm < dist AND (dist - norm) / dist >= 0.1 UNION ALL SELECT "column", 'P006' FROM s WHERE greatest(numbers, dates, flags) / filled >= 0.99 UNION ALL SELECT "column", 'P007' FROM s WHERE dist = 1 AND filled > 1 UNION ALL SELECT "column", 'P008' FROM s WHERE dist < filled AND dist / filled >= 0.99"""
+
+
+@query("WITH " + _SHAPES.format(t="int_std_records") + " " + _CODES)
 def profile_findings(spark, d):
-    return P.findings(P.shape(table(spark, d, "int_std_records"), [*_PC, "std_version", "addr_unit"]))
+    return P.findings(P.shape(table(spark, d, "int_std_records"), _FC))
+
+
+_KEYS = {"given_name": ["given_name"], "email": ["email"], "family_name + birth_date": ["family_name", "birth_date"], "addr_region": ["addr_region"]}
+
+
+@query("WITH n AS (SELECT count(*)::DOUBLE AS rows FROM int_std_records), k AS (" + " UNION ALL ".join(f"SELECT '{k}' AS key, (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM int_std_records WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cs)} GROUP BY {', '.join(cs)})) AS pairs, (SELECT count(*) FROM int_std_records WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cs)})::DOUBLE AS filled" for k, cs in _KEYS.items()) + """), v AS (SELECT key, pairs, 1 - pairs / (rows * (rows - 1) / 2) >= 0.99 AND 1 - filled * (filled - 1) / (rows * (rows - 1)) <= 0.5 AS viable FROM k, n WHERE rows * (rows - 1) / 2 > 100000)
+    SELECT '' AS "column", 'P009' AS code FROM v HAVING count(*) > 0 AND NOT bool_or(viable) UNION ALL (SELECT key, 'P010' FROM v WHERE viable ORDER BY pairs, key LIMIT 1)""")
+def profile_key_findings(spark, d):
+    """Whether any candidate key blocks the table, and the most selective that does; a table of few pairs needs none."""
+    std = table(spark, d, "int_std_records")
+    return P.key_findings(E.rank_keys(std, _KEYS), std.count(), budget=100_000)
+
+
+@query("WITH a AS (SELECT * FROM int_std_records WHERE source_system = 'crm'), b AS (SELECT * REPLACE (CASE WHEN source_system = 'webforms' THEN NULL ELSE addr_unit END AS addr_unit) FROM int_std_records WHERE source_system <> 'crm'), p AS (SELECT 'x' AS x), va AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) / count(*) AS fill FROM a" for c in [*_FC, "given_name"][:-1]) + "), vb AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) / count(*) AS fill FROM b" for c in [*_FC[:-1], "family_name"]) + """)
+    SELECT "column", 'P011' AS code FROM va JOIN vb USING ("column") WHERE va.fill >= 0.2 AND vb.fill < va.fill AND 1 - vb.fill * vb.fill / (va.fill * va.fill) >= 0.1
+    UNION ALL SELECT coalesce(va."column", vb."column"), 'P012' FROM va FULL JOIN vb ON va."column" = vb."column" WHERE va."column" IS NULL OR vb."column" IS NULL""")
+def profile_drift(spark, d):
+    """Findings of a profile against the one before: here crm's rows, then the others with other columns."""
+    s = table(spark, d, "int_std_records")
+    now = s.filter("source_system <> 'crm'").withColumn("addr_unit", F.when(F.col("source_system") != "webforms", F.col("addr_unit")))
+    return P.drift_findings(P.shape(now, [*_FC[:-1], "family_name"]), P.shape(s.filter("source_system = 'crm'"), _FC))
 
 
 @query("SELECT source_system, field, count(*) AS n, count(value) AS filled FROM (SELECT source_system, unnest(json_keys(payload)) AS field, payload FROM raw_records_golden WHERE payload IS NOT NULL) s, LATERAL (SELECT nullif(json_extract_string(s.payload, '$.' || s.field), '') AS value) GROUP BY 1, 2")

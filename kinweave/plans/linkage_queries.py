@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from kinweave.operators import comparators as K
 from kinweave.operators import evaluate as E
 from kinweave.operators import graph as G
+from kinweave.operators import compile as M
 from kinweave.operators import linkage as L
 from kinweave.operators import quality as Q
 from kinweave.operators import training as T
@@ -330,6 +333,66 @@ def em_session(spark, d):
     return T.report(spark, m).withColumn("prior", F.lit(float(got["prior"])))
 
 
+# A model compiled from declared fields: a group of contacts, blanks of the given name as agreement
+_FIELDS = {"given_name": M.Field(("exact", "first_n:3"), 40.0, blank="both"), "contact": M.Field(("exact",), 35.0, attributes=("email", "phone_e164")), "birth_date": M.Field(("exact",), 25.0)}
+_DECLARED = M.compiled("record_key", [L.Rule(("family_name", "birth_date"))], _FIELDS, 0.001)
+_ANY = "(" + " OR ".join(f"coalesce(l.{a} = r.{b}, false)" for a in ("email", "phone_e164") for b in ("email", "phone_e164")) + ")"
+_SURE = "l.family_name = r.family_name AND l.birth_date = r.birth_date"
+
+
+def _bits_sql(c: L.Comparison) -> str:
+    mu = L._mu(c)
+    return f"CASE gamma_{c.column} WHEN -1 THEN 0::DOUBLE " + " ".join(f"WHEN {len(c.levels) - i} THEN {L.bits(m, u)!r}::DOUBLE" for i, (m, u) in enumerate(mu)) + " END"
+
+
+_PAIRS = f"""p AS (SELECT l.record_key AS record_key_l, r.record_key AS record_key_r, CASE WHEN l.given_name IS NULL AND r.given_name IS NULL THEN 3 WHEN l.given_name IS NULL OR r.given_name IS NULL THEN -1 WHEN l.given_name = r.given_name THEN 2 WHEN substr(l.given_name, 1, 3) = substr(r.given_name, 1, 3) THEN 1 ELSE 0 END AS gamma_given_name,
+    CASE WHEN (l.email IS NULL AND l.phone_e164 IS NULL) OR (r.email IS NULL AND r.phone_e164 IS NULL) THEN -1 WHEN {_ANY} THEN 1 ELSE 0 END AS gamma_contact, CASE WHEN l.birth_date IS NULL OR r.birth_date IS NULL THEN -1 WHEN l.birth_date = r.birth_date THEN 1 ELSE 0 END AS gamma_birth_date
+    FROM std l JOIN std r ON l.record_key < r.record_key AND (({_SURE}) OR {_ANY}))"""
+
+
+@query(f"WITH {STD}, {_PAIRS}, w AS (SELECT *, {math.log2(0.001 / 0.999)!r}::DOUBLE + " + " + ".join(_bits_sql(c) for c in _DECLARED.comparisons) + " AS mw FROM p) SELECT record_key_l, record_key_r, gamma_given_name, gamma_contact, round(mw, 6) AS match_weight FROM w")
+def predict_compiled(spark, d):
+    """Scores of a model compiled from declared weights, with a cross-field group that also makes pairs."""
+    x = L.predict(C.people(spark, d), _DECLARED)
+    return x.select(*IDS, "gamma_given_name", "gamma_contact", r6("match_weight").alias("match_weight"))
+
+
+_BARE = L.Model("record_key", (L.Rule(("email",)),), tuple(L.Comparison(c.column, tuple(L.Level(x.token) for x in c.levels)) for c in C.COMPARISONS[:3]), 0.001)
+
+
+@query(f"WITH {STD}, {C.pairs_sql(rules=['l.email = r.email'])}, w AS (SELECT *, {math.log2(0.001 / 0.999)!r}::DOUBLE + " + " + ".join(_bits_sql(c) for c in _BARE.comparisons) + " AS mw FROM pairs) SELECT record_key_l, record_key_r, round(mw, 6) AS match_weight FROM w")
+def predict_defaults(spark, d):
+    """Scores of a model nobody has trained."""
+    return L.predict(C.people(spark, d), _BARE).select(*IDS, r6("match_weight").alias("match_weight"))
+
+
+@query(_LAB.replace("l.entity_id = r.entity_id WHERE l.record_key < r.record_key", "l.entity_id = r.entity_id AND l.email = r.email WHERE l.record_key < r.record_key") + " " + " UNION ALL ".join(f"SELECT '{c}' AS comparison, gamma_{c} AS gamma, count(*) AS n, round(count(*) / (SELECT count(*) FROM p WHERE gamma_{c} >= 0), 6) AS m FROM p WHERE gamma_{c} >= 0 GROUP BY gamma_{c}" for c in C.LEVEL_SQL))
+def m_from_pair_labels(spark, d):
+    """m from labelled pairs: here records of one entity with the same mailbox."""
+    x = C.members(spark, d)
+    pairs = L.block(x.select("record_key", "entity_id", "email"), L.Model("record_key", (L.Rule(("entity_id", "email")),), ())).select(*IDS)
+    return T.m_from_pairs(x.select(*C.PEOPLE), C.PLAIN, pairs).withColumn("m", r6("m"))
+
+
+@query(f"WITH {STD}, lab AS (SELECT DISTINCT least(rec_a_key, rec_b_key) AS a, greatest(rec_a_key, rec_b_key) AS b FROM match_scores WHERE is_active AND rec_a_key <> rec_b_key), pairs AS (SELECT l.record_key AS record_key_l, r.record_key AS record_key_r, '0' AS match_key, {', '.join(f'{C.gamma_sql(c)} AS gamma_{c}' for c in C.LEVEL_SQL)} FROM lab JOIN std l ON l.record_key = a JOIN std r ON r.record_key = b), {C.weights_sql()} SELECT record_key_l, record_key_r, match_weight FROM scored")
+def labelled_pairs_scored(spark, d):
+    """A table of labelled pairs scored by the model, whichever way round they were given."""
+    lab = table(spark, d, "match_scores").filter("is_active AND rec_a_key <> rec_b_key").select(F.col("rec_b_key").alias("record_key_l"), F.col("rec_a_key").alias("record_key_r"), F.lit(1.0).alias("clerical_match_score"))
+    return E.labelled_by_table(C.people(spark, d), C.PLAIN, lab).select(*IDS, r6("match_weight").alias("match_weight"))
+
+
+@query()
+def train_model(spark, d):
+    """The trained model's levels: prior from sure rules, u from random pairs, m by two EM sessions."""
+    model, _ = T.train(C.people(spark, d), C.PLAIN, [L.Rule(("email", "birth_date"))], 0.7, [L.Rule(("email",)), L.Rule(("family_name", "birth_date"))], 1e5)
+    return T.report(spark, model).withColumn("prior", F.lit(float(model.prior))).withColumn("full_agreement", F.lit(T.full_agreement_bits(model)))
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, 'one' AS source_dataset FROM supplier")
+def concat_single(spark, d):
+    return L.concat({"one": table(spark, d, "supplier").selectExpr("s_suppkey AS id", "s_name AS name")})
+
+
 @query()
 def run_all(spark, d):
     """Deliveries to golden records in one plan."""

@@ -47,7 +47,7 @@ def standardized(raw: DataFrame) -> DataFrame:
     """Current versions of all records with their values in one writing, under the names of the standardized table."""
     cur = S.supersede(raw).withColumn("record_key", F.concat("source_system", F.lit(":"), "source_record_id"))
     x = C.contents(cur.select("record_key", "source_system", "ingested_at", "payload", "is_deleted"), ["record_key", "source_system", "ingested_at"])
-    return x.select("record_key", "source_system", F.col("ingested_at").alias("updated_at_source"), F.col("given").alias("given_name"), F.col("family").alias("family_name"), "email", F.col("phone").alias("phone_e164"), F.col("birth").try_cast("date").alias("birth_date"))
+    return x.select("record_key", "source_system", F.col("ingested_at").alias("updated_at_source"), "ingested_at", F.col("given").alias("given_name"), F.col("family").alias("family_name"), "email", F.col("phone").alias("phone_e164"), F.col("birth").try_cast("date").alias("birth_date"))
 
 
 def link(std: DataFrame, model: L.Model, threshold: float = 0.95) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators import identity as I
@@ -12,6 +14,7 @@ from kinweave.operators import standardize as S
 from kinweave.plans import common as C
 from kinweave.plans.registry import MEMBERS, STD, query
 from kinweave.session import checkpoint_root, cut, table
+from kinweave.sources import readers
 from kinweave.sources.store import Store
 from kinweave.streaming import incremental as R
 
@@ -19,104 +22,130 @@ _RAW = "raw AS (SELECT * FROM raw_records_golden)"
 _FIELD = "json_extract_string(payload, '$.{}')"
 
 
-def _crm(spark, d, *fields):
-    """Scalar text fields of crm payloads, read with their names in the base layout."""
-    raw = table(spark, d, "raw_records_golden").filter("source_system = 'crm' AND payload IS NOT NULL")
-    got = F.from_json("payload", "map<string,string>")
-    text = lambda f: F.when(~F.coalesce(F.substring(F.col("__m")[f], 1, 1), F.lit("")).isin("{", "["), F.col("__m")[f]).alias(f)
-    return raw.select("id", got.alias("__m")).select("id", *(text(f) for f in fields)).distinct()
+def _values(spark, d):
+    """(value): every scalar value of any field in the payloads of all sources, once."""
+    raw = table(spark, d, "raw_records_golden").filter("payload IS NOT NULL")
+    got = raw.select(F.explode(F.map_values(F.from_json("payload", "map<string,string>"))).alias("value"))
+    return got.filter("value IS NOT NULL AND substr(value, 1, 1) NOT IN ('{', '[')").distinct()
 
 
-def _crm_sql(*fields):
-    text = lambda f: f"CASE WHEN json_type(payload, '$.{f}') NOT IN ('OBJECT', 'ARRAY') THEN {_FIELD.format(f)} END AS {f}"
-    return "crm AS (SELECT DISTINCT id, " + ", ".join(text(f) for f in fields) + " FROM raw_records_golden WHERE source_system = 'crm' AND payload IS NOT NULL)"
+_VALUES = """vals AS (SELECT DISTINCT value FROM (SELECT json_extract_string(payload, '$."' || k || '"') AS value, json_type(payload, '$."' || k || '"') AS t FROM (SELECT payload, unnest(json_keys(payload)) AS k FROM raw_records_golden WHERE payload IS NOT NULL)) WHERE value IS NOT NULL AND substr(value, 1, 1) NOT IN ('{', '['))"""
 
 
-_LT = "nullif(lower(trim({})), '')"
+# The standardizers as the contract writes them in SQL
+def _lt(c):
+    return f"nullif(nfc_normalize(lower(trim(nfc_normalize({c})))), '')"
 
 
-@query(f"WITH {_crm_sql('first_name')} SELECT id, {_LT.format('first_name')} AS v FROM crm")
-def std_lowercase_trim(spark, d):
-    return _crm(spark, d, "first_name").select("id", S.lowercase_trim(F.col("first_name")).alias("v"))
+def _ns(c):
+    return f"CASE WHEN list_contains(['', 'null', 'n/a', '-', 'unknown'], lower(trim({c}))) THEN NULL ELSE {c} END"
 
 
-_NULLS = "('', 'null', 'n/a', '-', 'unknown')"
+@query(f"WITH {_VALUES} SELECT value, {_lt('value')} AS v FROM vals")
+def std_lowercase_trim(spark, d):
+    return _values(spark, d).select("value", S.lowercase_trim(F.col("value")).alias("v"))
 
 
-@query(f"WITH {_crm_sql('zip')} SELECT id, CASE WHEN lower(trim(zip)) NOT IN {_NULLS} THEN zip END AS v FROM crm")
+@query(f"WITH {_VALUES} SELECT value, {_ns('value')} AS v FROM vals")
 def std_null_semantics(spark, d):
-    return _crm(spark, d, "zip").select("id", S.null_semantics(F.col("zip")).alias("v"))
+    return _values(spark, d).select("value", S.null_semantics(F.col("value")).alias("v"))
+
 
+def _name_sql(c):
+    punctuated = f"regexp_replace(regexp_replace(nfc_normalize(strip_accents({_lt(c)})), '[-_]', ' ', 'g'), '[.''’,]', '', 'g')"
+    return _ns(f"nullif(trim(regexp_replace({punctuated}, '[[:space:]]+', ' ', 'g')), '')")
 
-@query(f"WITH {_crm_sql('first_name')}, n AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(trim(first_name))), '[-_]', ' ', 'g'), '[.''’,]', '', 'g'), ' +', ' ', 'g')) AS v FROM crm) SELECT id, CASE WHEN v NOT IN {_NULLS} THEN v END AS v FROM n")
+
+@query(f"WITH {_VALUES} SELECT value, {_name_sql('value')} AS v FROM vals")
 def std_name_norm(spark, d):
-    return _crm(spark, d, "first_name").select("id", S.name_norm(F.col("first_name")).alias("v"))
+    return _values(spark, d).select("value", S.name_norm(F.col("value")).alias("v"))
+
 
+_LEXICON = [("william", "bill", True), ("william", "will", True), ("robert", "bob", True), ("robert", "rob", False), ("elizabeth", "liz", True), ("elizabeth", "beth", True)]
 
-@query("""WITH lex(a, b) AS (VALUES ('william', 'bill'), ('william', 'will'), ('robert', 'bob'), ('elizabeth', 'liz'), ('elizabeth', 'beth')), s AS (SELECT a, b FROM lex UNION SELECT b, a FROM lex), n AS (SELECT DISTINCT given_name FROM int_std_records)
-    SELECT given_name, CASE WHEN given_name IS NULL THEN '' ELSE given_name || coalesce((SELECT string_agg(',' || b, '' ORDER BY b) FROM s WHERE a = given_name), '') END AS variants FROM n""")
+
+@query(f"""WITH lex(a, b, active) AS (VALUES {", ".join(f"('{a}', '{b}', {x})" for a, b, x in _LEXICON)}), s AS (SELECT a, b FROM lex WHERE active UNION ALL SELECT b, a FROM lex WHERE active), {_VALUES}, n AS (SELECT value, {_name_sql('value')} AS n FROM vals)
+    SELECT value, CASE WHEN n IS NULL THEN '' ELSE array_to_string(list_prepend(n, coalesce((SELECT list_sort(list_distinct(list(b))) FROM s WHERE a = n), [])), ',') END AS variants FROM n""")
 def std_name_variants(spark, d):
-    lex = spark.createDataFrame([("william", "bill"), ("william", "will"), ("robert", "bob"), ("elizabeth", "liz"), ("elizabeth", "beth")], "variant_a string, variant_b string")
-    n = table(spark, d, "int_std_records").select("given_name").distinct()
-    return S.name_variants(n, "given_name", lex).select("given_name", F.array_join("given_name_variants", ",").alias("variants"))
+    lex = spark.createDataFrame(_LEXICON, "variant_a string, variant_b string, active boolean")
+    return S.name_variants(_values(spark, d), "value", lex).select("value", F.array_join("value_variants", ",").alias("variants"))
 
 
-_MAIL = "regexp_full_match(s, '[a-z0-9._%+-]+@[a-z0-9-]+(\\.[a-z0-9-]+)*\\.[a-z]{2,}')"
-_FAKE = "s IN ('test@example.com', 'nobody@example.com', 'none@none.example', 'na@invalid.example', 'noreply@example.com')"
+_PLACEHOLDERS = ["test@example.com", "nobody@example.com", "noreply@example.com"]
+_FAKE = "s IN (" + ", ".join(f"'{p}'" for p in _PLACEHOLDERS) + ")"
+_MAIL = "regexp_full_match(s, '[^@[:space:]]+@[^@[:space:]]+[.][^@[:space:]]+')"
 
 
-@query(f"WITH {_crm_sql('email_address')}, n AS (SELECT id, {_LT.format('email_address')} AS s FROM crm) SELECT id, CASE WHEN NOT {_FAKE} AND {_MAIL} THEN s END AS email, CASE WHEN s IS NULL OR {_FAKE} THEN NULL ELSE {_MAIL} END AS email_valid FROM n")
+@query(f"WITH {_VALUES}, n AS (SELECT value, regexp_replace({_lt('value')}, '[+][^@]*@', '@') AS s FROM vals) SELECT value, CASE WHEN {_FAKE} OR NOT {_MAIL} THEN NULL ELSE s END AS email, CASE WHEN s IS NULL OR {_FAKE} THEN NULL ELSE {_MAIL} END AS email_valid FROM n")
 def std_email(spark, d):
-    e, ok = S.email_norm(F.col("email_address"))
-    return _crm(spark, d, "email_address").select("id", e.alias("email"), ok.alias("email_valid"))
+    e, ok = S.email_norm(F.col("value"), True, _PLACEHOLDERS)
+    return _values(spark, d).select("value", e.alias("email"), ok.alias("email_valid"))
 
 
-_E164 = "CASE WHEN starts_with(t, '+') THEN CASE WHEN regexp_full_match(g, '[1-9][0-9]{6,14}') THEN '+' || g END WHEN regexp_full_match(g, '[0-9]{10}') THEN '+1' || g WHEN regexp_full_match(g, '1[0-9]{10}') THEN '+' || g END"
+_E164 = "CASE WHEN starts_with(p, '+') THEN CASE WHEN length(g) BETWEEN 7 AND 15 AND NOT starts_with(g, '0') THEN '+' || g END WHEN length(g) = 10 THEN '+1' || g WHEN length(g) = 11 AND starts_with(g, '1') THEN '+' || g END"
 
 
-@query(f"WITH {_crm_sql('phone')}, n AS (SELECT id, trim(phone) AS t, regexp_replace(trim(phone), '[^0-9]', '', 'g') AS g FROM crm) SELECT id, {_E164} AS phone_e164, CASE WHEN t IS NOT NULL AND t <> '' THEN ({_E164}) IS NOT NULL END AS phone_valid FROM n")
+@query(f"WITH {_VALUES}, n AS (SELECT value, {_ns(_lt('value'))} AS p FROM vals), m AS (SELECT *, regexp_replace(p, '[^0-9]', '', 'g') AS g FROM n) SELECT value, {_E164} AS phone_e164, CASE WHEN p IS NULL THEN NULL ELSE ({_E164}) IS NOT NULL END AS phone_valid FROM m")
 def std_phone(spark, d):
-    p, ok = S.phone_e164(F.col("phone"))
-    return _crm(spark, d, "phone").select("id", p.alias("phone_e164"), ok.alias("phone_valid"))
+    p, ok = S.phone_e164(F.col("value"))
+    return _values(spark, d).select("value", p.alias("phone_e164"), ok.alias("phone_valid"))
 
 
-_UNIT = "[ ,]+((apt|unit|suite|ste|#)\\.? ?[0-9]+[a-z]?)$"
+def _address_sql(source, line, through=""):
+    flat = f"nullif(trim(regexp_replace(regexp_replace({_lt(line)}, '[.,]', '', 'g'), '[[:space:]]+', ' ', 'g')), '')"
+    return f"""a AS (SELECT *, {_ns(flat)} AS voc FROM {source}), b AS (SELECT *, CASE WHEN regexp_full_match(voc, '{S.PO_BOX}') THEN NULL ELSE voc END AS line FROM a),
+        c AS (SELECT *, nullif(regexp_extract(line, '{S.UNIT}', 2), '') AS unit, trim(regexp_replace(line, '{S.UNIT}', '')) AS rest FROM b),
+        e AS (SELECT *, nullif(regexp_extract(rest, '{S.HOUSE}', 1), '') AS num, nullif(trim(regexp_replace(rest, '{S.HOUSE}', '')), '') AS street FROM c)"""
 
 
-@query(f"""WITH n AS (SELECT address_id, trim(regexp_replace(lower(input), '[ \\t]+', ' ', 'g')) AS s FROM address_golden), m AS (SELECT *, regexp_extract(s, '{_UNIT}', 1) AS u, regexp_replace(s, '{_UNIT}', '') AS rest FROM n),
-    o AS (SELECT *, regexp_extract(rest, '^([0-9]+[a-z]?) +', 1) AS num, trim(regexp_replace(regexp_replace(rest, '^([0-9]+[a-z]?) +', ''), '[.,]', '', 'g')) AS st FROM m), k AS (SELECT *, s IS NOT NULL AND NOT regexp_matches(s, '^p\\.? ?o\\.? ?box') AND st <> '' AS ok FROM o)
-    SELECT address_id, CASE WHEN ok AND num <> '' THEN num END AS addr_number, CASE WHEN ok THEN st END AS addr_street, CASE WHEN ok AND u <> '' THEN u END AS addr_unit FROM k""")
+@query(f"WITH {_address_sql('address_golden', 'input')} SELECT address_id, CASE WHEN street IS NOT NULL THEN num END AS number, street, CASE WHEN street IS NOT NULL THEN unit END AS unit, {_ns(_lt('addr_city'))} AS city, {_ns(_lt('addr_region'))} AS region, {_ns(_lt('addr_postal'))} AS postal FROM e")
 def std_address(spark, d):
-    return table(spark, d, "address_golden").select("address_id", *(c.alias(n) for n, c in S.address_parse(F.col("input")).items()))
+    c = F.col
+    parts = S.address_parse(c("input"), c("addr_city"), c("addr_region"), c("addr_postal"))
+    return table(spark, d, "address_golden").select("address_id", *(x.alias(n.removeprefix("addr_")) for n, x in parts.items()))
+
 
+@query(f"WITH {_VALUES}, {_address_sql('vals', 'value')} SELECT value, CASE WHEN street IS NOT NULL THEN num END AS addr_number, street AS addr_street, CASE WHEN street IS NOT NULL THEN unit END AS addr_unit FROM e")
+def std_address_values(spark, d):
+    return _values(spark, d).select("value", *(x.alias(n) for n, x in S.address_parse(F.col("value")).items()))
 
-@query(f"WITH {_crm_sql('dob')} SELECT id, try_strptime(dob, '%Y-%m-%d')::DATE::VARCHAR AS v FROM crm")
+
+@query(f"WITH {_VALUES} SELECT value, try_strptime({_ns(_lt('value'))}, '%Y-%m-%d')::DATE::VARCHAR AS iso, try_strptime({_ns(_lt('value'))}, '%m/%d/%Y')::DATE::VARCHAR AS us, NULL::VARCHAR AS month FROM vals")
 def std_date(spark, d):
-    return _crm(spark, d, "dob").select("id", S.parse_date(F.col("dob"), "%Y-%m-%d").cast("string").alias("v"))
+    day = lambda p: S.parse_date(F.col("value"), p).cast("string")
+    return _values(spark, d).select("value", day("%Y-%m-%d").alias("iso"), day("%m/%d/%Y").alias("us"), day("%Y-%m").alias("month"))
 
 
-_MAPPED = ["crm_id", "first_name", "last_name", "email_address", "phone", "street_address", "city", "state", "zip", "dob", "last_modified"]
+_MAPPED = ["crm_id", "first_name", "last_name", "email_address", "phone", "street_address", "city", "state", "zip", "dob", "last_modified", "account_no", "fname", "lname", "billing_email", "contact_phone", "addr1", "addr_city", "addr_state", "postal_code", "birth_date", "updated_ts"]
 
 
-@query("SELECT DISTINCT id, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT unnest(json_keys(payload)) AS k) WHERE k NOT IN (" + ", ".join(f"'{m}'" for m in _MAPPED) + ")) AS extra FROM raw_records_golden WHERE source_system = 'crm' AND payload IS NOT NULL")
+@query("SELECT DISTINCT id, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT unnest(json_keys(payload)) AS k) WHERE k NOT IN (" + ", ".join(f"'{m}'" for m in _MAPPED) + ")) AS extra FROM raw_records_golden WHERE payload IS NOT NULL")
 def std_metadata(spark, d):
-    raw = table(spark, d, "raw_records_golden").filter("source_system = 'crm' AND payload IS NOT NULL").select("id", S.source_metadata(F.col("payload"), _MAPPED).alias("m")).distinct()
+    raw = table(spark, d, "raw_records_golden").filter("payload IS NOT NULL").select("id", S.source_metadata(F.col("payload"), _MAPPED).alias("m")).distinct()
     return raw.select("id", F.nullif(F.array_join(F.array_sort(F.json_object_keys("m")), ","), F.lit("")).alias("extra"))
 
 
-_CO = "trim(regexp_replace(regexp_replace(lower(n), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+_CO = f"trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(strip_accents({_lt('n')})), '[.,''’&]', '', 'g'), '[-/_]', ' ', 'g'), '[[:space:]]+', ' ', 'g'))"
+_CO_NORM = _ns(f"nullif(trim(regexp_replace({_CO}, '[[:space:]]({'|'.join(S.LEGAL_FORMS)})$', '')), '')")
+_CO_NAMES = "s_suppkey AS id, concat(s_name, CASE s_suppkey % 7 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' GmbH' WHEN 2 THEN '  Co' WHEN 3 THEN '-Wörks & Söhne AG' WHEN 4 THEN '/Nord L.L.P.' WHEN 5 THEN ' Co. Ltd' ELSE '' END) AS n"
 
 
-@query(f"WITH c AS (SELECT s_suppkey AS id, s_name || CASE s_suppkey % 4 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' GmbH' WHEN 2 THEN '  Co' ELSE '' END AS n FROM supplier) SELECT id, trim(regexp_replace(lower(trim(n)), ' +', ' ', 'g')) AS light, regexp_replace({_CO}, ' (inc|incorporated|llc|ltd|limited|corp|corporation|co|company|gmbh|ag|plc|sa|bv)$', '') AS norm FROM c")
+@query(f"WITH c AS (SELECT {_CO_NAMES} FROM supplier UNION ALL SELECT NULL, 'N/A') SELECT id, {_ns(_lt('n'))} AS light, {_CO_NORM} AS norm, CASE WHEN ({_CO_NORM}) IS NULL THEN 0 ELSE 1 END AS variants FROM c")
 def std_company(spark, d):
-    c = table(spark, d, "supplier").selectExpr("s_suppkey AS id", "concat(s_name, CASE s_suppkey % 4 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' GmbH' WHEN 2 THEN '  Co' ELSE '' END) AS n")
-    return c.select("id", S.company_name(F.col("n")).alias("light"), S.company_name_norm(F.col("n")).alias("norm"))
+    c = table(spark, d, "supplier").selectExpr(*_CO_NAMES.replace(" AS n", " AS n|").replace("AS id, ", "AS id|").split("|")[:2])
+    c = c.unionByName(spark.createDataFrame([(None, "N/A")], c.schema))
+    n = F.col("n")
+    return c.select("id", S.company_name(n).alias("light"), S.company_name_norm(n).alias("norm"), F.size(S.company_variants(n)).alias("variants"))
+
 
+_DOMAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '^https?://', ''), '^www[.]', ''), '[/?].*$', ''), '[.]+$', '')"
 
-@query("WITH c AS (SELECT DISTINCT email, 'HTTPS://WWW.' || split_part(email, '@', 2) || './p?q=1' AS u FROM int_std_records WHERE email IS NOT NULL) SELECT email, CASE WHEN v NOT IN ('', 'null', 'n/a', '-', 'unknown') THEN v END AS v FROM (SELECT email, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(u)), '^[a-z][a-z0-9+.-]*://', ''), '^www\\.', ''), '[/?#].*$', ''), '\\.+$', '') AS v FROM c)")
+
+@query(f"WITH c AS (SELECT DISTINCT email, concat(CASE length(email) % 3 WHEN 0 THEN 'HTTPS://WWW.' WHEN 1 THEN 'ftp://' ELSE '' END, split_part(email, '@', 2), './p?q=1') AS u FROM int_std_records) SELECT email, {_ns('u')} AS light, {_ns('nullif(' + _DOMAIN.format(_lt('u')) + chr(44) + chr(39) * 2 + ')')} AS v FROM c WHERE email IS NOT NULL")
 def std_domain(spark, d):
     c = table(spark, d, "int_std_records").filter("email IS NOT NULL").select("email").distinct()
-    return c.select("email", S.domain_norm(F.concat(F.lit("HTTPS://WWW."), F.split_part("email", F.lit("@"), F.lit(2)), F.lit("./p?q=1"))).alias("v"))
+    u = F.concat(F.when(F.length("email") % 3 == 0, "HTTPS://WWW.").when(F.length("email") % 3 == 1, "ftp://").otherwise(""), F.split_part("email", F.lit("@"), F.lit(2)), F.lit("./p?q=1"))
+    return c.select("email", S.null_semantics(u).alias("light"), S.domain_norm(u).alias("v"))
 
 
 @query("SELECT DISTINCT addr_street AS before, coalesce(nullif(substr(upper(replace(regexp_replace(addr_street, '[0-9]+', 'N', 'g'), 'street', 'st')), 1, 12), ''), 'NONE') AS after FROM int_std_records")
@@ -154,12 +183,13 @@ def supersession(spark, d):
     return S.supersede(table(spark, d, "raw_records_golden")).select("source_system", "source_record_id", "id", "content_hash")
 
 
-@query(f"WITH {_CUR}, a AS (SELECT 'billing' AS source, source_record_id FROM cur WHERE source_system = 'billing' AND NOT coalesce(is_deleted, false) UNION ALL SELECT 'crm', source_record_id FROM cur WHERE source_system = 'crm' AND NOT coalesce(is_deleted, false)) SELECT source, count(*) AS n FROM a GROUP BY 1")
+@query(f"WITH {_CUR} SELECT source_system AS source, source_record_id, content_hash FROM cur WHERE NOT coalesce(is_deleted, false)")
 def stg_union(spark, d):
     """Sources standardized one by one and stacked in the order of their names."""
     cur = cut(S.supersede(table(spark, d, "raw_records_golden")))
-    arms = [cur.filter(F.col("source_system") == s).select(F.lit(s).alias("source"), "source_record_id") for s in ("billing", "crm")]
-    return arms[0].unionByName(arms[1]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    names = sorted(r[0] for r in cur.select("source_system").distinct().collect() if r[0])  # one row for each source
+    arms = [cur.filter(F.col("source_system") == s).select(F.lit(s).alias("source"), "source_record_id", "content_hash") for s in names]
+    return reduce(DataFrame.unionByName, arms) if arms else cur.select(F.col("source_system").alias("source"), "source_record_id", "content_hash")
 
 
 @query(f"WITH {STD} SELECT record_key, sha256(concat_ws(chr(31), coalesce(given_name, ''), coalesce(family_name, ''), coalesce(email, ''), coalesce(birth_date::VARCHAR, ''))) AS h FROM std")
@@ -167,6 +197,27 @@ def content_hash(spark, d):
     return C.std(spark, d).select("record_key", S.content_hash(*(F.col(c) for c in ("given_name", "family_name", "email", "birth_date"))).alias("h"))
 
 
+_EXTRA = {"addr_unit": "addr_unit", "addr_city": "addr_city"}
+
+
+@query(f"WITH {STD}, h AS (SELECT *, sha256(nfc_normalize(concat_ws(chr(31), coalesce(given_name, ''), coalesce(email, '')))) AS h FROM std) SELECT record_key, sha256(concat_ws(chr(31), h, 'metadata-v1', " + " || ".join(f"sha256('{n}') || CASE WHEN {n} IS NULL THEN 'N' ELSE 'V' || sha256({n}) END" for n in sorted(_EXTRA)) + ")) AS h FROM h")
+def content_hash_metadata(spark, d):
+    """The hash extended by unmapped fields: presence and value of each, by name."""
+    return C.std(spark, d).select("record_key", S.content_hash(F.col("given_name"), F.col("email"), metadata={n: F.col(c) for n, c in _EXTRA.items()}).alias("h"))
+
+
+def _hash_text(c):
+    if c == "updated_at_source":
+        return "coalesce(CASE WHEN microsecond(updated_at_source) % 1000000 = 0 THEN strftime(updated_at_source, '%Y-%m-%dT%H:%M:%S') ELSE strftime(updated_at_source, '%Y-%m-%dT%H:%M:%S.%f') END, '')"
+    return "coalesce(array_to_string(name_variants, chr(31)), '')" if c == "name_variants" else f"coalesce({c}::VARCHAR, '')"
+
+
+@query(f"WITH {STD} SELECT record_key, sha256(nfc_normalize(concat_ws(chr(31), " + ", ".join(map(_hash_text, S.STD_HASH_COLUMNS)) + "))) AS h FROM std")
+def std_row_hash(spark, d):
+    s = C.std(spark, d)
+    return s.select("record_key", S.std_hash(s).alias("h"))
+
+
 _LASTB = "b AS (SELECT max_by(ingest_batch_id, (ingested_at, ingest_batch_id)) AS id FROM raw_records_golden WHERE source_system = 'crm')"
 _ORD = "ORDER BY ingested_at DESC NULLS LAST, ingest_batch_id DESC NULLS LAST, id DESC"
 
@@ -175,12 +226,18 @@ def _last_batch(spark, d):
     return table(spark, d, "raw_records_golden").filter("source_system = 'crm'").agg(F.max_by("ingest_batch_id", F.struct("ingested_at", "ingest_batch_id"))).first()[0]
 
 
-@query(f"""WITH {_LASTB}, mine AS (SELECT *, coalesce(is_deleted, false) AS gone FROM raw_records_golden WHERE ingest_batch_id = (SELECT id FROM b) QUALIFY row_number() OVER (PARTITION BY source_system, source_record_id {_ORD}) = 1), t AS (SELECT min(ingested_at) AS t FROM raw_records_golden WHERE ingest_batch_id = (SELECT id FROM b)),
-    old AS (SELECT *, coalesce(is_deleted, false) AS was FROM raw_records_golden WHERE ingest_batch_id <> (SELECT id FROM b) AND ingested_at < (SELECT t FROM t) QUALIFY row_number() OVER (PARTITION BY source_system, source_record_id {_ORD}) = 1)
-    SELECT count(*) FILTER (o.id IS NULL AND NOT gone) AS new, count(*) FILTER (NOT was AND NOT gone AND o.content_hash <> m.content_hash) AS changed, count(*) FILTER (NOT was AND NOT gone AND o.content_hash = m.content_hash) AS unchanged, count(*) FILTER (gone) AS tombstoned, count(*) FILTER (was AND NOT gone) AS resurrected
-    FROM mine m LEFT JOIN old o USING (source_system, source_record_id)""")
+_GONE = f"'{S.TOMBSTONE}'"
+
+
+@query(f"""WITH {_LASTB}, prior AS (SELECT source_record_id, content_hash, row_number() OVER (PARTITION BY source_record_id {_ORD}) AS rn FROM raw_records_golden WHERE source_system = 'crm' AND ingest_batch_id <> (SELECT id FROM b)),
+    p AS (SELECT source_record_id, content_hash FROM prior WHERE rn = 1), tb AS (SELECT source_record_id, content_hash FROM raw_records_golden WHERE source_system = 'crm' AND ingest_batch_id = (SELECT id FROM b))
+    SELECT count(*) FILTER (WHERE tb.content_hash <> {_GONE} AND p.source_record_id IS NULL) AS new, count(*) FILTER (WHERE tb.content_hash <> {_GONE} AND p.content_hash = {_GONE}) AS resurrected,
+        count(*) FILTER (WHERE tb.content_hash <> {_GONE} AND p.content_hash = tb.content_hash) AS unchanged,
+        count(*) FILTER (WHERE tb.content_hash <> {_GONE} AND p.source_record_id IS NOT NULL AND p.content_hash <> {_GONE} AND p.content_hash <> tb.content_hash) AS changed,
+        count(*) FILTER (WHERE tb.content_hash = {_GONE} AND p.source_record_id IS NOT NULL AND p.content_hash <> {_GONE}) AS tombstoned
+    FROM tb LEFT JOIN p ON tb.source_record_id = p.source_record_id""")
 def batch_receipt(spark, d):
-    return S.receipt(table(spark, d, "raw_records_golden"), _last_batch(spark, d))
+    return S.receipt(table(spark, d, "raw_records_golden"), _last_batch(spark, d), "crm")
 
 
 @query(f"WITH {_LASTB}, cur AS (SELECT * FROM raw_records_golden WHERE source_system = 'crm' AND ingest_batch_id <> (SELECT id FROM b) QUALIFY row_number() OVER (PARTITION BY source_record_id {_ORD}) = 1) SELECT source_record_id FROM cur WHERE NOT coalesce(is_deleted, false) AND source_record_id NOT IN (SELECT source_record_id FROM raw_records_golden WHERE source_system = 'crm' AND ingest_batch_id = (SELECT id FROM b))")
@@ -188,6 +245,33 @@ def omitted_keys(spark, d):
     return S.omitted(table(spark, d, "raw_records_golden"), "crm", _last_batch(spark, d))
 
 
+@query(f"WITH {_LASTB}, cur AS (SELECT * FROM raw_records_golden WHERE source_system = 'crm' AND ingest_batch_id <> (SELECT id FROM b) QUALIFY row_number() OVER (PARTITION BY source_record_id {_ORD}) = 1) SELECT 'crm' AS source_system, source_record_id, {_GONE} AS content_hash, true AS is_deleted, 'next' AS ingest_batch_id FROM cur WHERE NOT coalesce(is_deleted, false) AND source_record_id NOT IN (SELECT source_record_id FROM raw_records_golden WHERE source_system = 'crm' AND ingest_batch_id = (SELECT id FROM b))")
+def tombstones(spark, d):
+    """Deletions of what a full delivery leaves out."""
+    raw, last = table(spark, d, "raw_records_golden"), _last_batch(spark, d)
+    return S.tombstones(raw, "crm", last, F.lit("2025-04-01").cast("timestamp_ntz")).select("source_system", "source_record_id", "content_hash", "is_deleted", F.lit("next").alias("ingest_batch_id"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(spark, d):
+    """A table written as CSV and read again, numbers told from texts."""
+    path = f"{checkpoint_root(spark)}/kinweave/csv-{uuid.uuid4().hex}.csv"
+    readers.write_csv(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path)
+    return readers.read_any(spark, path)
+
+
+@query(f"WITH {_CUR} SELECT source_system, source_record_id, content_hash FROM cur")
+def stream_latest(spark, d):
+    """The raw table delivered as a file stream into a bucketed table: the last version of each key stays."""
+    raw = table(spark, d, "raw_records_golden").select("source_system", "source_record_id", "content_hash", "ingested_at", "ingest_batch_id", "id")
+    at = f"{checkpoint_root(spark)}/kinweave/stream-{uuid.uuid4().hex}"
+    raw.repartition(2).write.parquet(f"{at}/in")
+    s = Store(spark, f"{at}/store")
+    q = R.deliver(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), s, "raw", ["source_system", "source_record_id"], f"{at}/cp", order=("ingested_at", "ingest_batch_id", "id"))
+    q.awaitTermination()
+    return s.read("raw").select("source_system", "source_record_id", "content_hash")
+
+
 @query("SELECT 'shop' AS source_system, c_custkey::VARCHAR AS source_record_id, sha256(concat_ws(chr(31), c_name, c_mktsegment)) AS content_hash, false AS is_deleted, 'b1' AS ingest_batch_id FROM customer")
 def ingest_delivery(spark, d):
     x = S.ingest(table(spark, d, "customer"), "shop", "c_custkey", "b1", ["c_name", "c_mktsegment"], F.lit("2025-01-01").cast("timestamp_ntz"))
@@ -291,15 +375,37 @@ def score_upsert(spark, d):
     return I.merge(part("run_id <= 'run-5'", "old"), part("run_id > 'run-5'", "new"), key)
 
 
-@query("WITH g AS (SELECT rec_a_key, rec_b_key, max(match_probability) AS p FROM match_scores WHERE is_active GROUP BY 1, 2) SELECT rec_a_key, rec_b_key, 'gray_band' AS reason, p FROM g WHERE p >= 0.6 AND p < 0.95")
+_GRAY = "SELECT rec_a_key, rec_b_key, max(match_probability) AS p FROM match_scores WHERE is_active AND run_id {0} GROUP BY 1, 2 HAVING max(match_probability) >= 0.6 AND max(match_probability) < 0.95"
+
+
+@query(f"WITH old AS ({_GRAY.format("<= 'run-5'")}), new AS ({_GRAY.format("> 'run-5'")}) SELECT coalesce(n.rec_a_key, o.rec_a_key) AS rec_a_key, coalesce(n.rec_b_key, o.rec_b_key) AS rec_b_key, 'gray_band' AS reason, coalesce(n.p, o.p) AS p, CASE WHEN o.rec_a_key IS NOT NULL THEN 'resolved' ELSE 'open' END AS status FROM old o FULL JOIN new n ON o.rec_a_key = n.rec_a_key AND o.rec_b_key = n.rec_b_key")
 def review_upsert(spark, d):
-    g = table(spark, d, "match_scores").filter("is_active").groupBy("rec_a_key", "rec_b_key").agg(F.max("match_probability").alias("p")).filter("p >= 0.6 AND p < 0.95")
-    return g.select("rec_a_key", "rec_b_key", F.lit("gray_band").alias("reason"), "p")
+    """Reviews of pairs between the thresholds, merged into those there are: a pair keeps its status, its probability is renewed."""
+    m = table(spark, d, "match_scores")
+    gray = lambda c: I.gray_band(m.filter(c), 0.6, 0.95)
+    s = _store(spark)
+    s.write("reviews", gray("run_id <= 'run-5'").withColumn("status", F.lit("resolved")), bucket_by=["rec_a_key", "rec_b_key", "reason"])
+    I.upsert_reviews(s, "reviews", gray("run_id > 'run-5'"))
+    return s.read("reviews").select("rec_a_key", "rec_b_key", "reason", "p", "status")
 
 
-@query(f"WITH {STD}, {_LEDGER} SELECT model_version, count(*) AS n FROM led WHERE record_key IN (SELECT record_key FROM std) GROUP BY 1")
+@query(f"WITH {STD}, {_LEDGER} SELECT record_key, content_hash, model_version FROM led WHERE record_key IN (SELECT record_key FROM std) AND model_version = 'm2'")
 def ledger_prune(spark, d):
-    return _ledger(spark, d).join(C.std(spark, d).select("record_key"), "record_key", "left_semi").groupBy("model_version").agg(F.count(F.lit(1)).alias("n"))
+    """The ledger of what models scored, without records that are gone and models that are retired."""
+    s = _store(spark)
+    s.write("ledger", _ledger(spark, d), bucket_by=["record_key", "model_version"])
+    I.prune_ledger(s, "ledger", C.std(spark, d), ["m2"])
+    return s.read("ledger")
+
+
+@query(f"WITH {STD}, {_LEDGER} SELECT record_key, 'm2' AS model_version, content_hash FROM std UNION ALL SELECT record_key, 'm2', max(content_hash) FROM led WHERE model_version = 'm2' AND record_key NOT IN (SELECT record_key FROM std) GROUP BY 1")
+def ledger_sync(spark, d):
+    """After a scoring run each live record stands in the ledger once for the model, with its present content."""
+    s = _store(spark)
+    led = _ledger(spark, d).filter("model_version = 'm2'").groupBy("record_key", "model_version").agg(F.max("content_hash").alias("content_hash"))
+    s.write("ledger", led, bucket_by=["record_key", "model_version"])
+    R.sync_ledger(s, "ledger", C.std(spark, d), "m2")
+    return s.read("ledger").select("record_key", "model_version", "content_hash")
 
 
 # Read paths -------------------------------------------------------------------------------------

@@ -113,12 +113,15 @@ class Store:
         kept = [f for f in last["folders"] if f[1] is not None and f[1] not in hit]
         return self._commit(table, at, have, [*kept, *made], keys, last["buckets"], source)
 
-    def delete(self, table: str, condition: str) -> int:
-        """A new version without the rows the condition holds for."""
+    def replace(self, table: str, rows: DataFrame) -> int:
+        """A new version of ``rows``, which may be made of the last one, in the same buckets."""
         at, have = self._manifests(table).last()
         last = have[-1]
-        left = self.read(table).filter(~F.coalesce(F.expr(condition), F.lit(False)))
-        return self._commit(table, at, have, self._write(table, left, (), last["keys"], last["buckets"]), last["keys"], last["buckets"], left)
+        return self._commit(table, at, have, self._write(table, rows, (), last["keys"], last["buckets"]), last["keys"], last["buckets"], rows)
+
+    def delete(self, table: str, condition: str) -> int:
+        """A new version without the rows the condition holds for."""
+        return self.replace(table, self.read(table).filter(~F.coalesce(F.expr(condition), F.lit(False))))
 
     def compact(self, table: str, files: int = 1) -> int:
         """The last version as one folder, of few files unless it is bucketed."""

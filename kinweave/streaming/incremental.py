@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators import linkage as L
+from kinweave.session import cut
 from kinweave.sources.store import Store
 
 
@@ -51,3 +53,20 @@ def deliver(stream: DataFrame, store: Store, table: str, keys: list[str], checkp
             then(batch, n)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def sync_ledger(store: Store, table: str, std: DataFrame, model_version: str) -> int:
+    """Record that a model has scored the present contents: one row for each record and model."""
+    return store.merge(table, std.select("record_key", "content_hash").withColumn("model_version", F.lit(model_version)), ["record_key", "model_version"])
+
+
+def rescore(std: DataFrame, ledger: DataFrame, scores: DataFrame, model: L.Model, model_version: str, threshold: float | None = None) -> DataFrame:
+    """Scores after a delivery, in two passes: the new and changed records against all others, and against each
+    other; scores that neither touches stay."""
+    fresh = cut(delta(std, ledger, model_version))
+    rest = std.join(fresh.select(model.uid), model.uid, "left_anti")
+    new = L.predict_between(rest, fresh, model, threshold).unionByName(L.predict(fresh, model, threshold), allowMissingColumns=True)
+    a, b = F.col(f"{model.uid}_l"), F.col(f"{model.uid}_r")
+    new = new.select(F.least(a, b).alias("rec_a_key"), F.greatest(a, b).alias("rec_b_key"), "match_probability")
+    touched = fresh.select(F.col(model.uid).alias("record_key")).unionByName(departed(ledger, std.withColumnRenamed(model.uid, "record_key") if model.uid != "record_key" else std))
+    return still_valid(scores, touched).select("rec_a_key", "rec_b_key", "match_probability").unionByName(new)

@@ -269,3 +269,122 @@ def test_renames_of_a_long_chain_of_preferences(spark):
     likes = [("crm", 1, f"o{i}", f"n{i - k}", 0.99 - 0.02 * i + 0.01 * k) for i in range(1, 7) for k in (0, 1) if i > k]
     got = D.renames(spark.createDataFrame(likes, "source_system string, seq int, old_field string, new_field string, like double"))
     assert {(r.old_field, r.new_field) for r in got.collect()} == {(f"o{i}", f"n{i}") for i in range(1, 7)}
+
+
+# Compiled models and what conditions say --------------------------------------------------------
+def test_weights_to_probabilities():
+    from kinweave.operators import compile as M
+
+    for bits in (20.0, 10.0, 0.0, -3.0):
+        m, u = M.probabilities(bits)
+        assert 0 < m < 1 and 0 < u < 1 and abs(L.bits(m, u) - bits) < 1e-9
+    assert M.weights({"a": M.Field(("exact",)), "b": M.Field(("exact",))}) == {"a": 50.0, "b": 50.0}
+    for bad in ({"a": M.Field(("exact",), 50.0), "b": M.Field(("exact",))}, {"a": M.Field(("exact",), 150.0)}, {"a": M.Field(("exact",), 60.0), "b": M.Field(("exact",), 60.0)}):
+        with pytest.raises(ValueError):
+            M.weights(bad)
+
+
+def test_compiled_levels(spark):
+    from kinweave.operators import compile as M
+
+    fields = {"name": M.Field(("exact", "first_n:2"), 60.0), "mail": M.Field(("exact",), 40.0, blank="both"), }
+    model = M.compiled("id", [L.Rule(("k",))], fields)
+    name, mail = model.comparisons
+    assert [round(L.bits(x.m, x.u), 6) for x in name.levels] == [36.0, 18.0] and round(L.bits(name.m_else, name.u_else), 6) == -7.2
+    assert [x.token for x in mail.levels] == ["blank:both", "exact"] and round(L.bits(mail.levels[0].m, mail.levels[0].u), 6) == 20.0
+    df = spark.createDataFrame([(1, "k", "anna", None), (2, "k", "anne", None), (3, "k", None, "x")], "id int, k string, name string, mail string")
+    got = {(r.id_l, r.id_r): (r.gamma_name, r.gamma_mail) for r in L.predict(df, model).collect()}
+    assert got == {(1, 2): (1, 2), (1, 3): (-1, -1), (2, 3): (-1, -1)}
+    assert L.Model.from_json(model.to_json()) == model
+    with pytest.raises(ValueError):
+        M.comparison("g", M.Field(("variant_match",), attributes=("a", "b")), 50)
+    with pytest.raises(ValueError):
+        M.comparison("g", M.Field((), attributes=("a", "b")), 50)
+
+
+def test_cross_field_group(spark):
+    from kinweave.operators import compile as M
+
+    model = M.compiled("id", [], {"phone": M.Field(("exact",), attributes=("home", "mobile")), "name": M.Field(("exact",))})
+    df = spark.createDataFrame([(1, "5", None, "a"), (2, "7", "5", "a"), (3, "9", "9", "b"), (4, None, None, "a")], "id int, home string, mobile string, name string")
+    got = {(r.id_l, r.id_r): r.gamma_phone for r in L.predict(df, model).collect()}
+    assert got == {(1, 2): 1}
+
+
+def test_conditions_are_read(spark):
+    from kinweave.operators import compile as M
+
+    assert M.exact_columns(spark, "a_l = a_r AND B_l = b_R") == ["a", "b"]
+    assert M.exact_columns(spark, "a_l = b_r") is None and M.exact_columns(spark, "lower(a_l) = a_r") is None and M.exact_columns(spark, "ELSE") is None
+    assert M.equi_columns(spark, "l.a = r.a AND l.b = r.b") == ["a", "b"]
+    assert M.equi_columns(spark, "l.a = r.a AND l.c > 1") is None and M.equi_columns(spark, "l.a = r.b") is None
+    assert M.columns_used(spark, "exists(tags_l, x -> x = name_r) AND substr(name_l, 1, 2) = 'ab'") == ["tags", "name"]
+    r = M.rule(spark, "l.a = r.a AND length(l.b) > 2")
+    assert r.keys == ("a",) and r.also == "((length(b_l) > 2))"
+
+
+def test_training(spark):
+    import random as rnd
+
+    from kinweave.operators import training as T
+
+    g = rnd.Random(3)
+    rows = []
+    for i in range(300):
+        name, year, town = f"n{g.randrange(60)}", f"{g.randrange(30)}", f"t{g.randrange(8)}"
+        rows.append((f"a{i}", name, year, town))
+        rows.append((f"b{i}", name if g.random() < 0.9 else f"n{g.randrange(60)}", year if g.random() < 0.95 else "x", town))
+    df = spark.createDataFrame(rows, "id string, name string, year string, town string")
+    model = L.Model("id", (L.Rule(("name",)), L.Rule(("year",))), tuple(L.Comparison(c, (L.Level("exact"),)) for c in ("name", "year", "town")), 0.001)
+    labels = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(0, 300, 3)], "id_l string, id_r string")
+    assert T.starting_prior(model, ["name"]) > model.prior
+    got, sessions = T.train(df, model, [L.Rule(("name", "year", "town"))], 0.8, [L.Rule(("name",)), L.Rule(("year",))], labels=labels)
+    by = {c.column: c for c in got.comparisons}
+    assert len(sessions) == 2 and 0 < got.prior < 0.05
+    assert abs(by["name"].levels[0].m - 0.9) < 0.06 and by["name"].levels[0].u < 0.05 and abs(by["town"].levels[0].u - 1 / 8) < 0.05
+    assert T.full_agreement_bits(got) > 8
+
+
+# Store -------------------------------------------------------------------------------------------
+def test_two_writers_and_orphans(spark, tmp_path):
+    from kinweave.sources.manifest import Conflict
+
+    s = Store(spark, f"file://{tmp_path}")
+    s.write("t", spark.range(4), bucket_by=["id"], buckets=4)
+    at, have = s._manifests("t").last()
+    s.write("t", spark.range(4, 6), "append")
+    with pytest.raises(Conflict):  # built on a state that is gone
+        s._manifests("t").commit(at, have)
+    s._write("t", spark.range(9), (), (), 1)  # a writer that died before its commit
+    assert len(s.clean("t")) == 1 and s.read("t").count() == 6
+    before = {tuple(f) for f in s.versions("t")[-1]["folders"]}
+    s.merge("t", spark.range(1), ["id"])
+    after = {tuple(f) for f in s.versions("t")[-1]["folders"]}
+    assert before & after and s.read("t").count() == 6  # only one bucket is written again
+    s.expire("t", 1)
+    assert s.read("t").count() == 6
+
+
+def test_late_rows_replace_nothing_newer(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}")
+    at = lambda rows: spark.createDataFrame(rows, "id int, ingested_at int, v string")
+    s.merge("t", at([(1, 5, "new"), (1, 3, "mid"), (None, 1, "n")]), ["id"], ["ingested_at"])
+    s.merge("t", at([(1, 4, "late"), (2, 1, "other")]), ["id"], ["ingested_at"])
+    assert {(r.id, r.v) for r in s.read("t").collect()} == {(1, "new"), (2, "other"), (None, "n")}
+
+
+def test_standardizers_follow_the_contract(spark):
+    from kinweave.operators import standardize as S
+
+    one = lambda c, **v: spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} string" for k in v)).select(c).first()[0]
+    c = F.col("x")
+    for x in ("n/a", "-", "Unknown", " NULL "):
+        assert one(S.phone_e164(c)[1], x=x) is None
+    assert one(S.phone_e164(c)[0], x="(212) 555-0101") == "+12125550101" and one(S.phone_e164(c, "GB")[0], x="2125550101") is None
+    assert one(S.lowercase_trim(c), x="  É ") == "é" and one(S.name_norm(c), x="O’Neil-Smith\tJr.") == "oneil smith jr"
+    unit = lambda x: one(F.struct(*(v.alias(k) for k, v in S.address_parse(c).items())), x=x)
+    assert tuple(unit("12 Main St. Apartment 4B")) == ("12", "main st", "apartment 4b") and tuple(unit("12 Main St Floor 3")) == ("12", "main st", "floor 3")
+    assert tuple(unit("P.O. Box 12")) == (None, None, None) and tuple(unit("5th Ave")) == (None, "5th ave", None)
+    assert one(S.company_name_norm(c), x="Müller-Söhne & Co. LLP") == "muller sohne co" and one(S.domain_norm(c), x="https://www.a.example./x?y") == "a.example"
+    assert one(S.parse_date(c, "%-d.%-m.%Y").cast("string"), x="3.2.1980") == "1980-02-03" and one(S.parse_date(c, "%Y").cast("string"), x="1980") is None
+    assert one(S.email_norm(c, placeholders=["a@b.example"])[1], x="A@b.example") is None and one(S.email_norm(c)[1], x="a b@c") is False
