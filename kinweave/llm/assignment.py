@@ -118,7 +118,7 @@ def auction(edges: DataFrame, epsilon: float = EPSILON) -> DataFrame:
 
 def assign(pairs: DataFrame, most_edges: int = MOST_EDGES, epsilon: float = EPSILON) -> DataFrame:
     """(side, a, b): the assignment between the units a and b of each ``side`` (two sources), by ``score``."""
-    pairs = pairs.filter("a IS NOT NULL AND b IS NOT NULL AND score > 0").groupBy("side", "a", "b").agg(F.max("score").alias("score"))
+    pairs = cut(pairs.filter("a IS NOT NULL AND b IS NOT NULL AND score > 0").groupBy("side", "a", "b").agg(F.max("score").alias("score")))
     count = lambda c: pairs.groupBy("side", c).agg(F.count(F.lit(1)).alias(f"n_{c}"))
     all_edges = cut(pairs.join(count("a"), ["side", "a"]).join(count("b"), ["side", "b"]).withColumn("alone", (F.col("n_a") == 1) & (F.col("n_b") == 1)))
     alone = all_edges.filter("alone").select("side", "a", "b")

@@ -60,7 +60,7 @@ HOT = 1_000
 MOST_SLIPS = 2
 #: Contents of one bucket of a run, about; runs from which on the smaller half is merged; hashes of a batch
 #: up to which only their buckets are read.
-BUCKET_ROWS, MOST_RUNS, FEW = 500_000, 24, 1_000
+BUCKET_ROWS, MOST_RUNS, FEW = 50_000, 24, 1_000
 #: Rows of 32 bytes that are broadcast at most; loads in which a whole history is read.
 BROADCAST_ROWS, LOADS = 1_000_000, 3
 
@@ -221,19 +221,21 @@ class HistoryIndex:
         every = every.join(old.select("content", F.col("root").alias("known")), "content", "left")
         every = cut(every.select("content", "batch_no", "first", "strict", *LOOSE, "finely", "was_hot", "known", "coarse", "fine"))
         rival = every.filter("known IS NULL")
-        ask = rival.select("content", "strict", "first", F.explode("coarse").alias("h"))
-        ask_fine = rival.filter("finely").select("content", "strict", "first", "was_hot", F.explode("fine").alias("h"))
+        # keys are salted by what must agree, so a key alone finds the bucket; values follow once for each pair
+        ask = rival.select("content", F.explode("coarse").alias("h"))
+        ask_fine = rival.filter("finely").select("content", "strict", "was_hot", F.explode("fine").alias("h"))
         held_fine = cut(self._read("fine", ask_fine.filter("was_hot").select("h", "strict").distinct(), name))
-        seen = old.select("content", "strict", "root", F.explode("bands").alias("h")).unionByName(rival.filter("NOT finely").select("content", "strict", F.col("first").alias("root"), F.explode("coarse").alias("h")))
-        seen_fine = held_fine.select("content", "strict", "root", "h").unionByName(ask_fine.select("content", "strict", F.col("first").alias("root"), "h"))
-        there = lambda df: df.select(F.col("content").alias("to"), "strict", "root", "h")
-        hits = ask.join(there(seen), ["h", "strict"]).unionByName(ask_fine.drop("was_hot").join(there(seen_fine), ["h", "strict"]))
-        # only what came earlier can be repeated
-        pairs = hits.filter(F.col("root") < F.col("first")).select("content", "to", "root").distinct()
-        values = lambda df, c, v: df.select(F.col("content").alias(c), F.struct(*LOOSE).alias(v))
-        theirs = values(old, "to", "theirs").unionByName(values(held_fine, "to", "theirs")).unionByName(values(rival, "to", "theirs")).dropDuplicates(["to"])
-        mine = values(rival, "content", "mine").dropDuplicates(["content"])
-        like = cut(pairs.join(mine, "content").join(theirs, "to").filter(_alike("theirs", "mine")).select("content", "to", "root"))
+        to = F.col("content").alias("to")
+        seen = old.select(to, F.explode("bands").alias("h")).unionByName(rival.filter("NOT finely").select(to, F.explode("coarse").alias("h")))
+        seen_fine = held_fine.select(to, "h").unionByName(ask_fine.select(to, "h"))
+        pairs = ask.join(seen, "h").unionByName(ask_fine.select("content", "h").join(seen_fine, "h")).select("content", "to").distinct()
+        values = lambda df, c, v, at: df.groupBy(F.col("content").alias(c)).agg(F.min(F.col(at)).alias(f"{v}_at"), F.first("strict").alias(f"{v}_strict"), F.first(F.struct(*LOOSE)).alias(v))
+        place = lambda df, at: df.select("content", F.col(at).alias("at"), "strict", *LOOSE)
+        theirs = values(place(old, "root").unionByName(place(held_fine, "root")).unionByName(place(rival, "first")), "to", "theirs", "at")
+        # a content of several batches asks for its last, so that its own first row counts as earlier
+        mine = rival.groupBy("content").agg(F.max("first").alias("mine_at"), F.first("strict").alias("mine_strict"), F.first(F.struct(*LOOSE)).alias("mine"))
+        both = pairs.join(mine, "content").join(theirs, "to").filter("theirs_at < mine_at AND mine_strict = theirs_strict")
+        like = cut(both.filter(_alike("theirs", "mine")).select("content", "to", F.col("theirs_at").alias("root")))
         root = _earliest(like)
         there_already = held_fine.select("content").distinct().withColumn("kept", F.lit(True))
         linked = cut(rival.drop("known").join(root, "content", "left").join(there_already, "content", "left"))

@@ -231,9 +231,9 @@ def matches(raw: DataFrame, window: int = WINDOW) -> DataFrame:
     a, b = unit.select(F.col("key").alias("key_a"), F.col("unit").alias("ua")), unit.select(F.col("key").alias("key_b"), F.col("unit").alias("ub"))
     cross = pairs.filter("cross").join(a, "key_a", "left").join(b, "key_b", "left").select(F.coalesce("ua", "key_a").alias("x"), F.coalesce("ub", "key_b").alias("y"), "score")
     cross = cross.select(F.when(source("x") < source("y"), F.struct(F.col("x").alias("a"), F.col("y").alias("b"))).otherwise(F.struct(F.col("y").alias("a"), F.col("x").alias("b"))).alias("p"), "score")
-    weighed = cross.groupBy("p").agg(F.max("score").alias("score")).select(F.concat_ws("-", source("p.a"), source("p.b")).alias("side"), "p.a", "p.b", "score")
-    weighed = cut(weighed)
-    one = cut(assign(weighed).join(weighed, ["side", "a", "b"]))
+    weighed = cut(cross.select(F.concat_ws("-", source("p.a"), source("p.b")).alias("side"), "p.a", "p.b", "score"))
+    best = weighed.groupBy("side", "a", "b").agg(F.max("score").alias("score"))
+    one = cut(assign(weighed).join(best, ["side", "a", "b"]))
     one = one.unionByName(_third_side(one))
     ma, mb = unit.select(F.col("unit").alias("a"), F.col("key").alias("ka")), unit.select(F.col("unit").alias("b"), F.col("key").alias("kb"))
     full = one.join(ma, "a", "left").join(mb, "b", "left").select(F.coalesce("ka", "a").alias("x"), F.coalesce("kb", "b").alias("y"), "score")

@@ -141,15 +141,17 @@ def containers(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER,
     n = F.col("n_tokens")
     cap = F.col("capacity")
     to = targets.filter("capacity_tokens >= 1 AND target_id IS NOT NULL").select(F.col("target_id").cast("long"), F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
-    each = sized.withColumn("row", F.monotonically_increasing_id()).crossJoin(F.broadcast(to)) if to.count() <= 1000 else sized.withColumn("row", F.monotonically_increasing_id()).crossJoin(to)
+    # equal rows are told apart by their count, so nothing depends on how the table is split
+    told = sized.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("rows")).select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"))
+    each = told.crossJoin(to)  # a handful of targets
     pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(n / cap) - 1, F.lit(0)).cast("long"))))
-    pieces = pieces.select("target_id", "capacity", "doc_id", "row", "piece", (F.col("piece") * cap).alias("start_token"), F.least(cap, n - F.col("piece") * cap).alias("n_tokens"))
+    pieces = pieces.select("target_id", "capacity", "doc_id", n.alias("size"), "row", "piece", (F.col("piece") * cap).alias("start_token"), F.least(cap, n - F.col("piece") * cap).alias("n_tokens"))
     whole = pieces.filter("n_tokens = capacity").select(
-        "target_id", F.concat_ws("-", "target_id", F.lit("w"), "row", "piece").alias("container_id"), "doc_id", "piece", "start_token", "n_tokens"
+        "target_id", F.concat_ws("-", "target_id", F.lit("w"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "row", "piece").alias("container_id"), "doc_id", "piece", "start_token", "n_tokens"
     )
     rest = pieces.filter("n_tokens < capacity")
     blocks = rest.groupBy("target_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("long").alias("blocks"))
-    dealt = rest.join(blocks, "target_id").withColumn("block", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.col("blocks")))
+    dealt = rest.join(blocks, "target_id").withColumn("block", F.pmod(F.xxhash64("doc_id", "n_tokens", "row", "piece"), F.col("blocks")))
 
     def run(t: pa.Table) -> pa.Table:
         order = pc.sort_indices(t, [("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])

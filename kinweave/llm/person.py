@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from kinweave.functions.address import slips
+from kinweave.operators.contents import GAP
 
 # Given names and their short or pet forms in English.
 NICKNAMES = {
@@ -200,7 +201,8 @@ class Block:
     """Records as columns of codes, for bounds over many pairs at once."""
 
     def __init__(self, table: pa.Table) -> None:
-        self.table = table.select(COLUMNS)
+        # packed values, where there are any, are taken apart for the few rows that need it
+        self.packed = table.column("v") if "v" in table.column_names else pc.binary_join_element_wise(*(pc.fill_null(table.column(c), "") for c in COLUMNS), GAP)
         self.codes = {c: self._code(table.column(c)) for c in ("email", "phone", "postal", "number")}
         halves = {}
         for kind in ("given", "family"):
@@ -307,7 +309,7 @@ class Block:
         exact = np.zeros(0)
         if len(ask):
             rows = np.unique(np.concatenate([i[ask], j[ask]]))
-            pick = dict(zip(rows.tolist(), zip(*(c.to_pylist() for c in self.table.take(pa.array(rows)).columns))))
+            pick = {x: v.split(GAP) for x, v in zip(rows.tolist(), self.packed.take(pa.array(rows)).to_pylist())}
             exact = np.array([evidence(pick[x], pick[y]) for x, y in zip(i[ask].tolist(), j[ask].tolist())])
         out = low
         out[ask] = exact
