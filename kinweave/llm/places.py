@@ -1,16 +1,18 @@
 """Same postal address written differently (problem 7): a set-containment join on rare tokens.
 
-A line becomes a set of tokens: grams of its street's name, each bound to the house number, the unit
-and the town, so that a slip spoils a few tokens and not the set. Every address is indexed by its
+A line becomes a set of tokens: grams of its street's name, each bound to the house number, the unit,
+the direction and the town, so that a slip spoils a few tokens and not the set. Every address is indexed by its
 rarest tokens, as many (PREFIX) as two slips can spoil plus one; fuller addresses probe the index with all
 of theirs. An address without a town is indexed by tokens without one, and all probe those too, so
 lines of different towns never meet, however many towns have the street. What meets is
 verified: the shorter line's grams, weighted by their rarity, must be contained in the fuller one's
 (CONTAINED), street names must agree up to the slips, and no part may contradict: house number and unit agree
-exactly; street type, direction and town where both have them.
+exactly, and so does direction (lines of one street without a direction come several at a time beside lines
+with one, as a neighbouring street's do, so a missing direction is one of its own); street type and town where
+both have them.
 
 A part left out is filled before the last comparison: the town from the postal code (the town most
-lines of that code name), then type, direction and town from what most of the matching lines say. Lines that
+lines of that code name), then type and town from what most of the matching lines say. Lines that
 read the same are folded into one before any join, so a line that a third of all rows repeat is
 one row until the end, where the pairs of ids asked for are made.
 
@@ -45,7 +47,7 @@ CONTAINED = 0.1
 #: Names of towns in one block, some 10 MB on an executor.
 TOWN_BLOCK = 200_000
 #: Parts that a line may leave out, in the order in which they are filled.
-FILLED = ["kind", "direction", "town"]
+FILLED = ["kind", "town"]
 PARTS = ["number", "street", "kind", "direction", "unit", "town", "postal"]
 
 
@@ -155,14 +157,14 @@ def weighed(classes: DataFrame) -> DataFrame:
     total = F.lit(float(max(1, names.count())))
     df = names.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     weight = names.select("street", F.explode("g").alias("gram")).join(df, "gram").groupBy("street").agg(F.array_sort(F.collect_list(F.struct("gram", F.log(1 + total / F.col("n")).alias("weight")))).alias("grams"))
-    full = sum((F.col(p).isNotNull().cast("int") for p in ("kind", "direction", "town")), F.lit(0)) * 1000 + F.least(F.size("grams"), F.lit(999))
+    full = sum((F.col(p).isNotNull().cast("int") for p in ("kind", "town")), F.lit(0)) * 1000 + F.least(F.size("grams"), F.lit(999))
     return classes.join(weight, "street").withColumn("parts", full)
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """(a, b): classes of which b, at least as full, holds one of the rarest tokens of a."""
-    bound = lambda town: F.xxhash64("number", F.coalesce("unit", F.lit("")), town, "gram")
-    each = classes.select("c", "parts", "number", "unit", "town", F.explode("grams.gram").alias("gram"))
+    bound = lambda town: F.xxhash64("number", F.coalesce("unit", F.lit("")), F.coalesce("direction", F.lit("")), town, "gram")
+    each = classes.select("c", "parts", "number", "unit", "direction", "town", F.explode("grams.gram").alias("gram"))
     own = each.select("c", "parts", bound(F.coalesce("town", F.lit(""))).alias("token"), F.lit(True).alias("own"))
     without = each.filter("town IS NOT NULL").select("c", "parts", bound(F.lit("")).alias("token"), F.lit(False).alias("own"))
     tokens = cut(own.unionByName(without))
@@ -178,29 +180,22 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
 
 def _filled(classes: DataFrame, pairs: DataFrame, part: str) -> DataFrame:
-    """``classes`` with a missing part set to what most lines of the matching classes say. A direction is
-    part of many a street's name and left out as a rule only by mistake, so it is filled only where more lines
-    name it than do not."""
+    """``classes`` with a missing part set to what most lines of the matching classes say."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    need = classes.filter(F.col(part).isNull()).select(F.col("c").alias("a"), F.col("lines").alias("own"))
-    say = both.join(need, "a").join(classes.select(F.col("c").alias("b"), F.col(part).alias("p"), "lines"), "b")
-    votes = say.groupBy("a", "p").agg(F.sum("lines").alias("n"), F.max("own").alias("own"))
-    most = votes.groupBy("a").agg(F.min(F.when(F.col("p").isNotNull(), F.struct((-F.col("n")).alias("n"), "p"))).alias("x"), (F.max("own") + F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("n"))), F.lit(0))).alias("none"))
-    most = most.filter("x IS NOT NULL" + (" AND -x.n > none" if part == "direction" else "")).select("a", F.col("x.p").alias("p"))
+    need = classes.filter(F.col(part).isNull()).select(F.col("c").alias("a"))
+    say = both.join(need, "a", "left_semi").join(classes.filter(F.col(part).isNotNull()).select(F.col("c").alias("b"), F.col(part).alias("p"), "lines"), "b")
+    most = say.groupBy("a", "p").agg(F.sum("lines").alias("n")).groupBy("a").agg(F.min(F.struct(-F.col("n"), "p"))["p"].alias("p"))
     return classes.join(most.select(F.col("a").alias("c"), "p"), "c", "left").withColumn(part, F.coalesce(part, "p")).drop("p")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, contained: float | None = None, exactly: bool = False) -> DataFrame:
-    """Pairs without a contradiction; with ``contained`` also that share of the weight of a's grams in b;
-    ``exactly``: a direction that is still missing, once all are filled, is no direction."""
+def _verified(pairs: DataFrame, classes: DataFrame, contained: float | None = None) -> DataFrame:
+    """Pairs without a contradiction; with ``contained`` also that share of the weight of a's grams in b."""
     cols = [*PARTS[:-1], *(["grams"] if contained is not None else [])]
     x = pairs.join(classes.select(F.col("c").alias("a"), *(F.col(p).alias(f"a_{p}") for p in cols)), "a")
     x = x.join(classes.select(F.col("c").alias("b"), *(F.col(p).alias(f"b_{p}") for p in cols)), "b")
-    x = x.filter(F.col("a_number").eqNullSafe(F.col("b_number")) & F.col("a_unit").eqNullSafe(F.col("b_unit")))
-    if exactly:
-        x = x.filter(F.col("a_direction").eqNullSafe(F.col("b_direction")))
-    for p in ("kind", "direction"):
-        x = x.filter(F.col(f"a_{p}").isNull() | F.col(f"b_{p}").isNull() | (F.col(f"a_{p}") == F.col(f"b_{p}")))
+    for p in ("number", "unit", "direction"):
+        x = x.filter(F.col(f"a_{p}").eqNullSafe(F.col(f"b_{p}")))
+    x = x.filter(F.col("a_kind").isNull() | F.col("b_kind").isNull() | (F.col("a_kind") == F.col("b_kind")))
     if contained is not None:
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, g: s + g["weight"])
         held = F.filter("a_grams", lambda g: F.array_contains(F.col("b_grams.gram"), g["gram"]))
@@ -219,7 +214,7 @@ def same_door(lines: DataFrame) -> DataFrame:
     full = classes.drop("grams")
     for part in FILLED:
         full = _filled(full, pairs, part)
-    pairs = _verified(pairs, cut(full), exactly=True)
+    pairs = _verified(pairs, cut(full))
     ids = d.select("address_id", "c")
     within = pairs.unionByName(classes.filter("lines > 1").select(F.col("c").alias("a"), F.col("c").alias("b")))
     out = within.join(ids.select(F.col("address_id").alias("x"), F.col("c").alias("a")), "a").join(ids.select(F.col("address_id").alias("y"), F.col("c").alias("b")), "b")
