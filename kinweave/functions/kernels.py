@@ -133,3 +133,61 @@ def shingles(word_hash: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray
         for i in range(k):
             h = mix(h * _U(31) + word_hash[at + i])
     return h, at
+
+
+def _padded(data: np.ndarray, off: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    """(rows, width) bytes of some rows, zeros behind their ends."""
+    out = np.zeros((len(rows), width), np.uint8)
+    n = np.diff(off)[rows]
+    at = np.arange(width) < n[:, None]
+    out[at] = data[np.repeat(off[:-1][rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+    return out
+
+
+#: Longest string, in bytes, whose positions fit into one machine word.
+_WORD_BITS = 63
+
+
+def jaro_winkler(a: pa.Array, b: pa.Array, one_by_one, chunk: int = 20_000) -> np.ndarray:
+    """Jaro-Winkler similarity of pairs of strings by their bytes; a null counts as empty. Positions already
+    matched are bits of a word for each pair, so all pairs of a chunk take a step together; pairs with a string
+    of more than 63 bytes go through ``one_by_one`` (two bytes objects to a number)."""
+    (da, oa), (db, ob) = buffers(a), buffers(b)
+    na, nb = np.diff(oa), np.diff(ob)
+    out = np.zeros(len(na))
+    for i in np.flatnonzero((np.maximum(na, nb) > _WORD_BITS) & (np.minimum(na, nb) > 0)):
+        out[i] = one_by_one(da[oa[i] : oa[i + 1]].tobytes(), db[ob[i] : ob[i + 1]].tobytes())
+    short = np.flatnonzero((np.maximum(na, nb) <= _WORD_BITS) & (np.minimum(na, nb) > 0))
+    short = short[np.argsort(np.maximum(na, nb)[short], kind="stable")]  # pairs of like length share a chunk
+    for c in range(0, len(short), chunk):
+        rows = short[c : c + chunk]
+        la, lb = na[rows], nb[rows]
+        x, y = _padded(da, oa, rows, int(la.max())), _padded(db, ob, rows, int(lb.max()))
+        reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+        used, hit = np.zeros(len(rows), _U), np.zeros(x.shape, bool)
+        one = _U(1)
+        for i in range(x.shape[1]):
+            same = np.zeros(len(rows), _U)
+            for j in range(max(0, i - int(reach.max())), min(y.shape[1], i + int(reach.max()) + 1)):
+                same |= (x[:, i] == y[:, j]).astype(_U) << _U(j)
+            low = np.clip(i - reach, 0, _WORD_BITS).astype(_U)
+            high = np.clip(np.minimum(lb, i + reach + 1), 0, _WORD_BITS).astype(_U)
+            free = same & ~used & ((one << high) - one) & ~((one << low) - one)
+            free[la <= i] = 0
+            first = free & (~free + one)
+            used |= first
+            hit[:, i] = first != 0
+        m = hit.sum(axis=1)
+        taken = ((used[:, None] >> np.arange(y.shape[1], dtype=_U)) & one).astype(bool)
+        width = int(m.max(initial=0))
+        left, right = np.zeros((len(rows), width), np.uint8), np.zeros((len(rows), width), np.uint8)
+        for into, which, text in ((left, hit, x), (right, taken, y)):
+            r, k = np.nonzero(which)
+            into[r, (np.cumsum(which, axis=1) - 1)[r, k]] = text[r, k]
+        half = (left != right).sum(axis=1) // 2
+        jaro = np.where(m > 0, (m / la + m / lb + (m - half) / np.maximum(m, 1)) / 3, 0.0)
+        k = min(4, x.shape[1], y.shape[1])
+        agree = (x[:, :k] == y[:, :k]) & (np.arange(k) < np.minimum(la, lb)[:, None])
+        prefix = np.cumprod(agree, axis=1).sum(axis=1)
+        out[rows] = np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
+    return out

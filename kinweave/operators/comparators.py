@@ -7,22 +7,23 @@ comparators are added with ``register``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+
+from kinweave.functions import kernels as K
 
 Predicate = Callable[[Column, Column], Column]
 EARTH_KM = 6371.0088
 
 
-def jaro_winkler(a: str, b: str) -> float:
+def jaro_winkler(a: str | bytes, b: str | bytes) -> float:
     """Similarity of two strings by their UTF-8 bytes; 0 if either is empty."""
-    s, t = a.encode(), b.encode()
+    s, t = (x.encode() if isinstance(x, str) else x for x in (a, b))
     if not s or not t:
         return 0.0
     if s == t:
@@ -48,22 +49,18 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro
 
 
-@pandas_udf(T.DoubleType())
-def jaro_winkler_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Arrow-batched; each distinct pair of values is worked out once for a batch sequence."""
-    seen: dict[tuple, float] = {}
-    for a, b in pairs:
-        out = np.full(len(a), np.nan)
-        for i, key in enumerate(zip(a, b)):
-            if key[0] is None or key[1] is None:
-                continue
-            v = seen.get(key)
-            if v is None:
-                v = jaro_winkler(*key)
-                if len(seen) < 200_000:
-                    seen[key] = v
-            out[i] = v
-        yield pd.Series(out, dtype="Float64").where(~np.isnan(out), pd.NA)
+@F.arrow_udf(T.DoubleType())
+def jaro_winkler_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Null with a null on either side."""
+    got = pa.array(K.jaro_winkler(a, b, jaro_winkler))
+    return pc.if_else(pc.and_(pc.is_valid(a), pc.is_valid(b)), got, pa.scalar(None, pa.float64()))
+
+
+def _levenshtein_bytes(a: Column, b: Column) -> Column:
+    """Edit distance over the UTF-8 bytes: each byte becomes one character first. ASCII texts are their bytes."""
+    plain = lambda c: ~c.rlike(r"[^\x00-\x7f]")
+    each = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    return F.when(plain(a) & plain(b), F.levenshtein(a, b)).otherwise(F.levenshtein(each(a), each(b)))
 
 
 def _number(c: Column) -> Column:
@@ -105,7 +102,7 @@ _PLAIN: dict[str, Predicate] = {
 }
 _WITH: dict[str, Callable[[str], Predicate]] = {
     "jaro_winkler": lambda t: lambda a, b: jaro_winkler_similarity(a, b) >= float(t),
-    "levenshtein": lambda n: lambda a, b: F.levenshtein(a, b) <= int(n),
+    "levenshtein": lambda n: lambda a, b: _levenshtein_bytes(a, b) <= int(n),
     "first_n": lambda n: lambda a, b: F.substring(a, 1, int(n)) == F.substring(b, 1, int(n)),
     "date_within_days": lambda n: lambda a, b: F.abs(F.datediff(a, b)) <= int(n),
     "numeric_within": lambda x: lambda a, b: F.abs(_number(a) - _number(b)) <= float(x),

@@ -1,11 +1,12 @@
 """Schemas that drift between files (problem 2).
 
 Tagged-union inference: every delivered file is reduced to a schema in which each path keeps all
-the types it was seen with and how often (``file_schemas``). Such schemas fuse by adding their
-counts, so they can be built per file, in parallel, and merged in any order (``fuse``). A path with
+the types it was seen with and how often (``file_schemas``, and with the inside of objects and lists
+``path_schemas``). Such schemas fuse by adding their counts, so they can be built per file, in parallel,
+and merged in any order (``fuse``; ``tagged_union`` is the fused schema of each source). A path with
 more than one type becomes a struct of typed branches beside its canonical conversion
-(``unified``); types that appear later are reported (``alternatives``), and so is each field added,
-removed, renamed or retyped from one batch to the next (``changes``).
+(``unified``, which also follows the renames found); types that appear later are reported
+(``alternatives``), and so is each field added, removed, renamed or retyped from one batch to the next (``changes``).
 
 Defined results: an empty table gives empty results; rows with a null or unreadable payload and
 deleted rows count for nothing; a field that is null wherever it is present has no type, so it is
@@ -15,12 +16,15 @@ as often as they occur; further columns of the input are ignored, whatever their
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.functions import text as X
 from kinweave.operators import records as R
+from kinweave.session import cut
 
 TYPE_ORDER = ["string", "number", "boolean", "array", "object"]
 #: A removed and an added field are one renamed field from this likeness of content on.
@@ -36,20 +40,58 @@ def _tag(v: Column) -> Column:
     )
 
 
+def _exploded(rows: DataFrame, v: str, *keep: str) -> DataFrame:
+    """``keep`` with the key (null in a list) and value of each entry of the variant column ``v``."""
+    spark = rows.sparkSession
+    name = f"__kinweave_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    try:
+        return spark.sql(f"SELECT {', '.join(f'p.{k}' for k in keep)}, e.key AS key, e.value AS value FROM {name} p, LATERAL variant_explode(p.{v}) AS e")
+    finally:
+        spark.catalog.dropTempView(name)
+
+
 def entries(raw: DataFrame) -> DataFrame:
     """(source_system, ingest_batch_id, field, tag, leaf): each field of each non-deleted row.
 
     leaf: the value without its wrapping, as text.
     """
     rows = R.live(raw).select("source_system", "ingest_batch_id", F.try_parse_json("payload").alias("v")).filter(F.col("v").isNotNull())
-    rows.createOrReplaceTempView("__kinweave_payloads")
-    flat = rows.sparkSession.sql("SELECT p.source_system, p.ingest_batch_id, e.key AS field, e.value AS value FROM __kinweave_payloads p, LATERAL variant_explode(p.v) AS e")
+    flat = _exploded(rows, "v", "source_system", "ingest_batch_id").withColumnRenamed("key", "field").filter("field IS NOT NULL")
     tag = _tag(F.col("value"))
     inner = F.coalesce(*(F.try_variant_get("value", f"$.{k}", "string") for k in R.INNER_KEYS))
     leaf = F.when(tag == "object", inner).when(tag == "array", F.try_variant_get("value", "$[0]", "string")).otherwise(F.try_variant_get("value", "$", "string"))
     return flat.select("source_system", "ingest_batch_id", "field", tag.alias("tag"), leaf.alias("leaf"))
 
 
+def path_schemas(raw: DataFrame) -> DataFrame:
+    """The tagged-union schema of each (source, batch) down to the leaves: ``field`` is a path, ``a.b`` for a key of
+    an object and ``a[]`` for the elements of a list, with the rows and the count of each type. One pass for each level of nesting."""
+    keep = ["source_system", "ingest_batch_id"]
+    level = R.live(raw).select(*keep, F.lit("").alias("path"), F.try_parse_json("payload").alias("v")).filter("v IS NOT NULL")
+    out = None
+    while True:
+        here = _exploded(level, "v", *keep, "path")
+        path = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
+        here = cut(here.select(*keep, path.alias("path"), _tag(F.col("value")).alias("tag"), F.to_json("value").alias("text")))
+        counts = [F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in [*TYPE_ORDER, "null"]]
+        told = here.groupBy(*keep, F.col("path").alias("field")).agg(F.count(F.lit(1)).alias("rows"), *counts)
+        out = told if out is None else out.unionByName(told)
+        inside = here.filter(F.col("tag").isin("object", "array"))
+        if inside.isEmpty():
+            return out
+        level = inside.select(*keep, "path", F.try_parse_json("text").alias("v"))
+
+
+def tagged_union(raw: DataFrame) -> DataFrame:
+    """(source_system, field, type, n_values, alternatives): the fused schema of each source, a row for each
+    type a path was seen with, and how many types it has."""
+    fused = fuse(path_schemas(raw), "source_system")
+    types = F.filter(F.array(*(F.struct(F.lit(t).alias("type"), F.col(f"n_{t}").alias("n")) for t in TYPE_ORDER)), lambda x: x["n"] > 0)
+    each = fused.select("source_system", "field", types.alias("x"))
+    return each.select("source_system", "field", F.size("x").alias("alternatives"), F.explode("x").alias("t")).select("source_system", "field", "t.type", F.col("t.n").alias("n_values"), "alternatives")
+
+
 SHAPE = ["has_at", "len", "digits", "letters", "spaces", "marks", "starts_digit"]
 
 
@@ -74,7 +116,8 @@ def file_schemas(raw: DataFrame) -> DataFrame:
 def fuse(schemas: DataFrame, *keys: str) -> DataFrame:
     """Schemas of many files as one for each value of ``keys``: counts and sketches add up."""
     sums = [F.sum(c).alias(c) for c in schemas.columns if c.startswith(("n_", "s_")) or c in ("rows", "filled")]
-    return schemas.groupBy(*keys, "field").agg(*sums, F.hll_union_agg("values").alias("values"))
+    sketches = [F.hll_union_agg("values").alias("values")] if "values" in schemas.columns else []
+    return schemas.groupBy(*keys, "field").agg(*sums, *sketches)
 
 
 def _main_type() -> Column:
@@ -120,8 +163,6 @@ def likeness() -> Column:
 def renames(pairs: DataFrame) -> DataFrame:
     """(source_system, seq, old_field, new_field): of ``pairs`` with their likeness those that are each other's
     best, then the best among what is left, until nothing is left. Ties go to the smaller name, so each round takes a pair."""
-    from kinweave.session import cut
-
     renamed, rest = None, cut(pairs)
     while not rest.isEmpty():
         a = Window.partitionBy("source_system", "seq", "old_field").orderBy(F.desc("like"), "new_field")
@@ -140,8 +181,6 @@ def changes(raw: DataFrame, profile_runs: DataFrame, likeness_at: float = RENAME
     """(source_system, ingest_batch_id, change_kind, old_field, new_field) of each batch against the
     one before it of the same source. A rename takes the removed and the added field most alike in
     content, each at most once; the rest are removals and additions."""
-    from kinweave.session import cut
-
     have = cut(batch_fields(raw, profile_runs, file_schemas(raw)))  # a few rows for each batch: later steps are small
     batches = have.select("source_system", "ingest_batch_id", "seq").distinct()
     before = batches.select("source_system", (F.col("seq") + 1).alias("seq"))
@@ -179,25 +218,51 @@ def alternatives(raw: DataFrame, profile_runs: DataFrame) -> DataFrame:
     )
 
 
-def unified(raw: DataFrame) -> DataFrame:
+def followed(raw: DataFrame, profile_runs: DataFrame) -> dict[str, list[tuple[str, str]]]:
+    """Attributes of fields whose names don't tell them, by (source, field): a field that was renamed from or to
+    one of a known attribute has that attribute. Only renames come to the driver, a few for each batch."""
+    told = changes(raw, profile_runs).filter("change_kind = 'renamed'").select("source_system", "old_field", "new_field").distinct().collect()
+    known: dict[tuple[str, str], str] = {}
+    more = True
+    while more:
+        more = False
+        for s, old, new in sorted(told):
+            for a, b in ((old, new), (new, old)):
+                got = R.attribute_of(a) or known.get((s, a))
+                if got and not R.attribute_of(b) and (s, b) not in known:
+                    known[s, b] = got
+                    more = True
+    out: dict[str, list[tuple[str, str]]] = {}
+    for (s, f), a in sorted(known.items()):
+        out.setdefault(a, []).append((s, f))
+    return out
+
+
+def unified(raw: DataFrame, profile_runs: DataFrame | None = None) -> DataFrame:
     """All batches as one table: id, source_system, source_record_id, ingest_batch_id, is_deleted, and for each attribute
     its canonical text and, where payloads disagree on the type, the typed branches it came in
-    (``<attribute>_as``: string, number, boolean, array, object; exactly one is filled). Fields
+    (``<attribute>_as``: string, number, boolean, array, object; exactly one is filled). With ``profile_runs``
+    fields that were renamed to or from one of the attribute count for it, whatever they are called. Fields
     without an attribute stay in ``rest`` as JSON text by name. Deleted rows keep their row with
     null attributes."""
     rows = raw.select("id", "source_system", "source_record_id", "ingest_batch_id", F.coalesce("is_deleted", F.lit(False)).alias("is_deleted"), F.try_parse_json("payload").alias("v"), F.from_json("payload", "map<string,string>").alias("m"))
-    fields: dict[str, list[str]] = {a: [] for a in R.ATTRIBUTES}
-    other = []
+    fields: dict[str, list[tuple[str | None, str]]] = {a: [] for a in R.ATTRIBUTES}
     for f in R.payload_fields(R.live(raw)):
-        a = R.attribute_of(f)
-        fields[a].append(f) if a else other.append(f)
+        fields[R.attribute_of(f)].append((None, f))  # type: ignore[index]
+    for a, more in (followed(raw, profile_runs) if profile_runs is not None else {}).items():
+        fields[a] += more
     out = [F.col(c) for c in ("id", "source_system", "source_record_id", "ingest_batch_id", "is_deleted")]
     for a, fs in fields.items():
-        at = lambda f, kind: F.try_variant_get("v", f"$['{f}']", kind)
-        text = F.coalesce(*(X.present(R.unwrapped(F.col("m")[f])) for f in fs)) if fs else F.lit(None).cast("string")
-        tag = F.coalesce(*(F.when(F.col("m")[f].isNotNull(), _tag(at(f, "variant"))) for f in fs)) if fs else F.lit(None).cast("string")
-        whole = F.coalesce(*(F.col("m")[f] for f in fs)) if fs else F.lit(None).cast("string")
+        its = lambda sf, c: c if sf[0] is None else F.when(F.col("source_system") == sf[0], c)
+        value = lambda sf: its(sf, F.col("m")[sf[1]])
+        tagged = lambda sf: F.when(value(sf).isNotNull(), _tag(F.try_variant_get("v", f"$['{sf[1]}']", "variant")))
+        none = F.lit(None).cast("string")
+        text = F.coalesce(*(X.present(R.unwrapped(value(sf))) for sf in fs)) if fs else none
+        tag = F.coalesce(*(tagged(sf) for sf in fs)) if fs else none
+        whole = F.coalesce(*(value(sf) for sf in fs)) if fs else none
         branches = F.struct(*(F.when(tag == t, whole).alias(t) for t in TYPE_ORDER))
         out += [text.alias(a), branches.alias(f"{a}_as")]
-    extra = F.map_filter("m", lambda k, _: k.isin(other)) if other else F.create_map().cast(T.MapType(T.StringType(), T.StringType()))
-    return rows.select(*out, extra.alias("rest"))
+    everywhere = [f for fs in fields.values() for s, f in fs if s is None]
+    here = [F.concat(F.lit(s), F.lit("\x1f"), F.lit(f)) for fs in fields.values() for s, f in fs if s is not None]
+    mine = lambda k: k.isin(everywhere) | (F.concat(F.col("source_system"), F.lit("\x1f"), k).isin(*here) if here else F.lit(False))
+    return rows.select(*out, F.map_filter("m", lambda k, _: ~F.coalesce(mine(k), F.lit(False))).alias("rest"))

@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from kinweave.functions import text as X
 
@@ -56,11 +58,17 @@ def attribute_of(field: str) -> str | None:
 
 
 def payload_fields(raw: DataFrame) -> list[str]:
-    """Distinct keys of all payloads. They are a schema, not data: more than MOST_FIELDS is an error."""
-    keys = raw.select(F.explode(F.json_object_keys("payload")).alias("k")).distinct().limit(MOST_FIELDS + 1)
+    """Distinct keys of all payloads that stand for an attribute. They are a schema, not data; keys that stand
+    for none, of which there may be any number, are not brought to the driver."""
+
+    @pandas_udf("boolean")
+    def known(k: pd.Series) -> pd.Series:
+        return k.map(lambda x: x is not None and attribute_of(x) is not None).astype(bool)
+
+    keys = raw.select(F.explode(F.json_object_keys("payload")).alias("k")).distinct().filter(known("k")).limit(MOST_FIELDS + 1)
     got = sorted(r.k for r in keys.collect())
     if len(got) > MOST_FIELDS:
-        raise ValueError(f"more than {MOST_FIELDS} different payload fields")
+        raise ValueError(f"more than {MOST_FIELDS} names of fields for {len(ATTRIBUTES)} attributes")
     return got
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,12 +28,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where only the driver's path names it."""
+    """Give the package to the Python workers: on a cluster as an archive that Spark hands out, in one
+    machine by its path."""
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    env = spark.sparkContext.environment
-    paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if home not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        paths = [p for p in (sc.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+        if home not in paths:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([home, *paths])
+    elif _SHIPPED.get("to") != sc.applicationId:
+        # made on the driver, read there by Spark's file server
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="kinweave-"), "kinweave"), "zip", home, "kinweave"))
+        _SHIPPED["to"] = sc.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

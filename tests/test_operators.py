@@ -93,6 +93,28 @@ def test_minwise_estimates_jaccard():
         assert abs((sig[i] == sig[i + 1]).mean() - len(x & y) / len(x | y)) < 0.12
 
 
+def test_jaro_winkler_of_many():
+    import random as rnd
+
+    import pyarrow as pa
+
+    from kinweave.functions import kernels as K
+
+    g = rnd.Random(4)
+    word = lambda n: "".join(g.choice("abcdeé") for _ in range(n))
+    pairs = [(word(g.randrange(14)), word(g.randrange(14))) for _ in range(3000)] + [(word(g.randrange(55, 90)), word(g.randrange(55, 90))) for _ in range(60)]
+    pairs += [(w, w[: len(w) // 2] + w[len(w) // 2 :][::-1]) for w, _ in pairs[:300]]
+    got = K.jaro_winkler(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), C.jaro_winkler, 500)
+    assert all(abs(x - C.jaro_winkler(a, b)) < 1e-12 for x, (a, b) in zip(got, pairs))
+    assert len(K.jaro_winkler(pa.array([], pa.string()), pa.array([], pa.string()), C.jaro_winkler)) == 0
+
+
+def test_levenshtein_counts_bytes(spark):
+    df = spark.createDataFrame([("é", "e"), ("cat", "cut"), (None, "x")], "a string, b string")
+    got = df.select(C.predicate("levenshtein:1")(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [False, True, None]
+
+
 def test_jaro_winkler():
     assert C.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert C.jaro_winkler("", "a") == 0 and C.jaro_winkler("abc", "abc") == 1
@@ -219,6 +241,16 @@ def test_drift(spark):
     assert alt["zip", "string"] == 4 and alt["zip", "number"] == 4 and ("n", "string") not in alt
 
 
+def test_nested_schemas_and_followed_names(spark):
+    rows = [("b1", f'{{"first_name": "Ann{i}", "tel": {{"kind": "home", "no": {i}}}, "tags": ["a", 1]}}', False) for i in range(6)]
+    rows += [("b2", f'{{"zz9": "Ann{i}", "tel": {{"kind": "home", "no": "{i}"}}, "tags": []}}', False) for i in range(6)]
+    runs = spark.createDataFrame([("raw", "b1", 1, "q"), ("raw", "b2", 2, "q")], RUNS)
+    got = {(r.field, r.type): (r.n_values, r.alternatives) for r in D.tagged_union(raw(spark, rows)).collect()}
+    assert got[("tel.no", "number")] == (6, 2) and got[("tel.no", "string")] == (6, 2) and got[("tags[]", "string")] == (6, 2) and got[("tags", "array")] == (12, 1)
+    u = {r.id: r for r in D.unified(raw(spark, rows), runs).collect()}
+    assert u["0"].given == u["6"].given == "Ann0" and "zz9" not in u["6"].rest and D.unified(raw(spark, rows)).filter("given IS NULL").count() == 6
+
+
 def test_drift_empty(spark):
     runs = spark.createDataFrame([], RUNS)
     assert D.changes(raw(spark, []), runs).count() == 0 and D.unified(raw(spark, [])).count() == 0 and D.alternatives(raw(spark, []), runs).count() == 0
