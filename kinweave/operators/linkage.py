@@ -268,6 +268,17 @@ def predict_chunked(df: DataFrame, model: Model, chunks: int, threshold: float |
     return score(reduce(DataFrame.unionByName, parts), model, threshold)
 
 
+def predict_to_store(df: DataFrame, model: Model, chunks: int, store, table: str, threshold: float | None = None) -> int:
+    """``predict`` in passes over hash chunks of the right side, each appended to a table of the store, so no more
+    than a pass is in flight; the table as a whole equals ``predict``. Gives the last version's number."""
+    pairs = block(with_frequencies(df, model), model)
+    version = 0
+    for i in range(chunks):
+        part = score(pairs.filter(F.pmod(F.xxhash64(f"{model.uid}_r"), F.lit(chunks)) == i), model, threshold)
+        version = store.write(table, part, "append" if i else "replace")
+    return version
+
+
 def predict_between(old: DataFrame, new: DataFrame, model: Model, threshold: float | None = None) -> DataFrame:
     """Pairs of an existing and a new record, with the frequencies of the existing ones."""
     frozen = {c.column: term_frequencies(old, c.column) for c in model.comparisons if any(x.tf for x in c.levels)}

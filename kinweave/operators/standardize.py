@@ -184,6 +184,24 @@ def domain_norm(c: Column) -> Column:
     return null_semantics(F.regexp_replace(F.regexp_replace(s, "[/?].*$", ""), "[.]+$", ""))
 
 
+def account(df: DataFrame, id_field: str, mapped: Mapping[str, str], region: str = "US") -> DataFrame:
+    """Standardized rows of organisations: record_key, source_system, and of each mapped attribute (company_name,
+    domain, phone_e164, address_line, city, region, postal) its normalized columns. ``mapped``: attribute -> column."""
+    col = {a: F.col(c) for a, c in mapped.items()}
+    out: dict[str, Column] = {}
+    if "company_name" in col:
+        c = col["company_name"]
+        out |= {"company_name": company_name(c), "company_name_norm": company_name_norm(c), "company_variants": company_variants(c)}
+    if "domain" in col:
+        out |= {"domain": domain(col["domain"]), "domain_norm": domain_norm(col["domain"])}
+    if "phone_e164" in col:
+        out["phone_e164"], out["phone_valid"] = phone_e164(col["phone_e164"], region)
+    if "address_line" in col:
+        out |= address_parse(col["address_line"], col.get("city"), col.get("region"), col.get("postal"))
+    key = F.concat("source_system", F.lit(":"), F.col(id_field).cast("string")).alias("record_key")
+    return df.select(key, "source_system", F.lit(None).cast("timestamp_ntz").alias("updated_at_source"), F.lit(None).cast("timestamp_ntz").alias("ingested_at"), *(c.alias(n) for n, c in out.items()))
+
+
 def transform(c: Column, steps: Sequence[tuple]) -> Column:
     """Field transforms in order: (lower), (upper), (trim), (replace, a, b), (regex_replace, p, r), (strip, chars),
     (substring, from, length), (default, value), (dictionary, map), (words, map), (ignore, words)."""

@@ -34,3 +34,9 @@ def read_any(spark: SparkSession, path: str, store=None) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
+
+
+def register_table(df: DataFrame, name: str) -> DataFrame:
+    """Any relation under a name that SQL can use in this session."""
+    df.createOrReplaceTempView(name)
+    return df.sparkSession.table(name)
