@@ -359,6 +359,17 @@ def scores_still_valid(spark, d):
     return R.still_valid(table(spark, d, "match_scores"), delta).select("id", "rec_a_key", "rec_b_key")
 
 
+_FRESH = "fresh AS (SELECT record_key FROM std WHERE NOT EXISTS (SELECT 1 FROM led WHERE led.record_key = std.record_key AND led.content_hash = std.content_hash AND model_version = 'm2')), touched AS (SELECT record_key FROM fresh UNION SELECT record_key FROM led WHERE record_key NOT IN (SELECT record_key FROM std))"
+
+
+@query(f"WITH {STD}, {_LEDGER}, {_FRESH}, {C.pairs_sql()}, {C.weights_sql()} SELECT rec_a_key, rec_b_key, round(match_probability, 6) AS p FROM match_scores WHERE rec_a_key NOT IN (SELECT record_key FROM touched) AND rec_b_key NOT IN (SELECT record_key FROM touched) UNION ALL SELECT record_key_l, record_key_r, match_probability FROM scored WHERE record_key_l IN (SELECT record_key FROM fresh) OR record_key_r IN (SELECT record_key FROM fresh)")
+def rescored(spark, d):
+    """Scores after a delivery: new and changed records against all others and each other, the rest as they were."""
+    s = C.std(spark, d).select(*C.PEOPLE, "content_hash")
+    x = R.rescore(s, _ledger(spark, d), table(spark, d, "match_scores"), C.PLAIN, "m2")
+    return x.select("rec_a_key", "rec_b_key", F.round("match_probability", 6).alias("p"))
+
+
 @query("SELECT model_version, is_active AND model_version = 'm2' AS active, count(*) AS n FROM match_scores GROUP BY 1, 2")
 def models_retired(spark, d):
     return R.retired_models(table(spark, d, "match_scores"), "m2").groupBy("model_version", F.col("is_active").alias("active")).agg(F.count(F.lit(1)).alias("n"))
