@@ -37,6 +37,9 @@ _TAIL_REGION_LOOSE = re.compile(r"\s([a-z]{2})[\s.]*$")
 _TOKEN = re.compile(r"[a-z0-9']+")
 _POBOX = re.compile(r"\b(?:p\.?\s*o\.?\s*box|post\s*office\s*box|postbox|po\s*bx|locked bag|pmb)\b")
 
+#: What a line must hold for _POBOX to be worth a try; most lines hold none.
+_BOXES = ("box", "bx", "bag", "pmb")
+
 
 class Address(NamedTuple):
     number: str | None
@@ -82,13 +85,14 @@ def parse(line: str | None, towns: Towns | None = None) -> Address:
     towns: names of towns that may end a line without a comma before them.
     """
     s = plain(line)
-    if not s or _POBOX.search(s):
+    if not s or any(w in s for w in _BOXES) and _POBOX.search(s):
         return NOTHING
-    s = _CARE.sub(" ", s)
+    if s.lstrip()[:1] in ("c", "a", "z"):
+        s = _CARE.sub(" ", s)
     unit = town = region = postal = number = None
-    if m := _SLASH.match(s):
+    if "/" in s and (m := _SLASH.match(s)):
         unit, s = _unit(m[1]), s[m.start(2):]
-    if m := _TAIL_POSTAL.search(s):
+    if s.rstrip(" .\t\n\r\x0b\x0c")[-1:].isdigit() and (m := _TAIL_POSTAL.search(s)):
         before = s[: m.start()]
         if re.search(r"[a-z]", before) and re.search(r"\d", before):
             postal, s = m[1], before

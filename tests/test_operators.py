@@ -36,7 +36,7 @@ from kinweave.sources.store import Store
     ],
 )
 def test_address(line, want):
-    a = A.parse(line, {"eastry"})
+    a = A.parse(line, A.Towns({"eastry"}))
     assert (a.number, a.street, a.kind, a.direction, a.unit) == want
 
 
