@@ -123,8 +123,11 @@ def assign(pairs: DataFrame, most_edges: int = MOST_EDGES, epsilon: float = EPSI
     all_edges = cut(pairs.join(count("a"), ["side", "a"]).join(count("b"), ["side", "b"]).withColumn("alone", (F.col("n_a") == 1) & (F.col("n_b") == 1)))
     alone = all_edges.filter("alone").select("side", "a", "b")
     rest = all_edges.filter("NOT alone").select("side", "a", "b", "score", F.concat_ws("|", "side", F.lit("a"), "a").alias("va"), F.concat_ws("|", "side", F.lit("b"), "b").alias("vb"))
-    if rest.isEmpty():
+    n = rest.count()
+    if not n:
         return alone
+    if n <= most_edges:  # no more than one part may have
+        return alone.unionByName(rest.select(F.col("side").alias("part"), "side", "a", "b", "score").coalesce(1).sortWithinPartitions("part", "a", "b").mapInArrow(_parts, "side string, a string, b string"))
     part = components(rest, "va", "vb").select(F.col("vertex").alias("va"), F.col("group").alias("part"))
     placed = cut(rest.join(part, "va").select("part", "side", "a", "b", "score"))
     large = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_edges).select("part")

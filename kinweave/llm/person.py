@@ -166,28 +166,31 @@ def _unlike_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _POP[x & 0x1FFF] + _POP[x >> 13]
 
 
+@lru_cache(maxsize=400_000)
+def _half(name: str | None, given: bool) -> tuple:
+    """What the bounds need to know of a given or family name, in the order of _Half.KINDS."""
+    ts = tokens(name)
+    words = [t for t in ts if len(t) > 1] or ts
+    one = words[0] if words else ""
+    full = canon_given(name) if given else " ".join(ts) or None
+    pet = one in _FULL and len(one) >= 5
+    initial = ord(one[0]) if one else 0
+    return full, len(words) > 1, len(ts) > 1, len(ts) > MOST_WORDS, one in _FULL or one in NICKNAMES, pet, pet and one == full, len(one), _letters(one), _letters(full), initial
+
+
 class _Half:
-    """What the bounds need to know of each distinct given or family name, worked out once a name."""
+    """The given or the family names of a block as arrays, a place for each distinct name."""
+
+    #: many: any of the words may fit; two: may be a whole name; pet: a pet form that a slip of its full name fits,
+    #: for given names only where it stands for several (unsure).
+    KINDS = {"many": bool, "two": bool, "huge": bool, "known": bool, "pet": bool, "unsure": bool, "size": np.int32, "letters": np.int32, "full": np.int32, "initial": np.int32}
 
     def __init__(self, names: list[str | None], given: bool) -> None:
-        flags = lambda xs: np.array(list(xs), dtype=bool)
-        told = [tokens(s) for s in names]
-        words = [[t for t in ts if len(t) > 1] or ts for ts in told]
-        one = [w[0] if w else "" for w in words]
-        full = [canon_given(s) if given else " ".join(ts) or None for s, ts in zip(names, told)]
+        fulls, *rest = zip(*(_half(s, given) for s in names))
         number = {None: -1}
-        self.code = np.array([number.setdefault(f, len(number)) for f in full], dtype=np.int64)
-        self.many = flags(len(w) > 1 for w in words)  # any of the words may fit
-        self.two = flags(len(ts) > 1 for ts in told)  # may be a whole name
-        self.huge = flags(len(ts) > MOST_WORDS for ts in told)
-        self.known = flags(w in _FULL or w in NICKNAMES for w in one)
-        # a pet form that a slip of its full name fits; for given names only where it stands for several
-        self.pet = flags(w in _FULL and len(w) >= 5 for w in one)
-        self.unsure = self.pet & flags(w == f for w, f in zip(one, full))
-        self.size = np.array([len(w) for w in one], dtype=np.int32)
-        self.letters = np.array([_letters(w) for w in one], dtype=np.int32)
-        self.full = np.array([_letters(f) for f in full], dtype=np.int32)
-        self.initial = np.array([ord(w[0]) if w else 0 for w in one], dtype=np.int32)
+        self.code = np.array([number.setdefault(f, len(number)) for f in fulls], dtype=np.int64)
+        for (kind, dtype), values in zip(self.KINDS.items(), rest):
+            setattr(self, kind, np.array(values, dtype=dtype))
 
 
 def _distinct(col: pa.ChunkedArray) -> tuple[list[str | None], np.ndarray]:

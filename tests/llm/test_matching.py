@@ -44,8 +44,10 @@ def test_assign(spark):
     weight = {r[:3]: r[3] for r in reversed(rows)}
     exact = [tuple(r) for r in assignment.assign(df).collect()]
     assert abs(sum(weight[r] for r in exact) - best) < 1e-6
+    parts = [tuple(r) for r in assignment.assign(df, most_edges=20).collect()]  # part by part
+    assert abs(sum(weight[r] for r in parts) - best) < 1e-6
     near = [tuple(r) for r in assignment.assign(df, most_edges=0, epsilon=0.5).collect()]  # all parts by auction
-    for got in (exact, near):
+    for got in (exact, parts, near):
         assert len({r[1] for r in got}) == len({r[2] for r in got}) == len(got)
     assert best - 0.5 * len({a for _, a, _ in near}) - 1e-6 <= sum(weight[r] for r in near) <= best + 1e-6
     assert assignment.assign(spark.createDataFrame([], EDGES)).count() == 0
