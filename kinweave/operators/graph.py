@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.reads import edge_ids
 from kinweave.session import cut
 
 
@@ -117,22 +120,114 @@ def _bridges(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, str]]:
     return out
 
 
-def bridges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): edges whose loss would part a cluster. Leaves are peeled first by joins (every edge of a
-    node of degree one is a bridge), so only the cyclic cores reach the per-component search."""
-    e = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found, core = None, e
-    while True:
-        ends = _both(core).groupBy("a").agg(F.count(F.lit(1)).alias("d")).filter("d = 1").select("a")
-        leaf = core.join(ends, "a", "left_semi").unionByName(core.join(ends.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")).distinct()
-        leaf = cut(leaf)
-        if leaf.isEmpty():
-            break
-        found = leaf if found is None else found.unionByName(leaf)
-        core = cut(core.join(leaf, ["a", "b"], "left_anti"))
-    grouped = core.join(clusters.select(F.col("node").alias("a"), "cluster"), "a").select("cluster", "a", "b").groupBy("cluster")
-    rest = grouped.applyInPandas(lambda p: pd.DataFrame(_bridges(list(p.a), list(p.b)), columns=["a", "b"]), "a string, b string")
-    return rest if found is None else found.unionByName(rest)
+#: Edges of a cluster that one task searches for bridges; larger clusters are searched by joins.
+MOST_EDGES = 200_000
+_EDGE = "a string, b string"
+
+
+def _cluster_bridges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bridges of whole clusters; rows come sorted by cluster."""
+    cluster, held = None, ([], [])
+
+    def out() -> pa.RecordBatch:
+        got = _bridges(*held)
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in got], pa.string()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for c, x, y in zip(*(col.to_pylist() for col in batch.columns)):
+            if c != cluster:
+                yield out()
+                cluster, held = c, ([], [])
+            held[0].append(x)
+            held[1].append(y)
+    yield out()
+
+
+def bridges(edges: DataFrame, clusters: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
+    """(a, b): edges whose loss would part a cluster. Clusters of up to ``most_edges`` edges are searched whole, many
+    to a task; larger ones, which nothing bounds, by ``bridges_by_tour``."""
+    e = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = cut(e.join(clusters.select(F.col("node").alias("a"), "cluster"), "a").select("cluster", "a", "b"))
+    large = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_edges).select("cluster")
+    spark = edges.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    small = placed.join(large, "cluster", "left_anti").repartition(tasks, "cluster").sortWithinPartitions("cluster", "a", "b").mapInArrow(_cluster_bridges, _EDGE)
+    big = cut(placed.join(large, "cluster", "left_semi"))
+    return small if big.isEmpty() else small.unionByName(bridges_by_tour(big))
+
+
+def spanning_forest(edges: DataFrame, seed: int = 0) -> DataFrame:
+    """(a, b): edges that join each component without a circle. Each round every vertex whose least neighbour, by fresh
+    hash order, is least among its own neighbours too merges into it by an edge between them."""
+    cur, tree, n = cut(edges.select("a", "b", F.struct("a", "b").alias("o"))), None, 0
+    while not cur.isEmpty():
+        n += 1
+        rank = lambda c: F.struct(F.xxhash64(F.lit(seed * 1000 + n), c).alias("h"), c.alias("v"))
+        ends = cur.select(F.col("a").alias("v"), F.col("b").alias("w"), "o").unionByName(cur.select(F.col("b").alias("v"), F.col("a").alias("w"), "o"))
+        best = cut(ends.groupBy("v").agg(F.min(F.struct(rank(F.col("w")).alias("r"), "o")).alias("m")).select("v", F.col("m.r.v").alias("w"), "m.o", (rank(F.col("v")) < F.col("m.r")).alias("root")))
+        hooks = cut(best.filter("NOT root").join(best.filter("root").select(F.col("v").alias("w")), "w", "left_semi").select("v", F.col("w").alias("to"), "o"))
+        got = hooks.select("o.a", "o.b")
+        tree = got if tree is None else tree.unionByName(got)
+        at = lambda c: hooks.select(F.col("v").alias(c), F.col("to").alias(f"{c}_to"))
+        moved = cur.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y"), "o")
+        left = moved.filter("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("o").alias("o"))
+        cur = cut(left)
+    return tree if tree is not None else edges.select("a", "b").limit(0)
+
+
+def _xor_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, x, y, part, pos): running exclusive or of x and of y within a sorted partition."""
+    part, last, at = TaskContext.get().partitionId(), [np.int64(0), np.int64(0)], 0
+    for b in batches:
+        cols = []
+        for i in (0, 1):
+            run = np.bitwise_xor.accumulate(np.concatenate([[last[i]], b.column(i + 1).to_numpy(zero_copy_only=False)]))[1:]
+            last[i] = run[-1] if len(run) else last[i]
+            cols.append(pa.array(run, pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([part] * len(b), pa.int32()), pa.array(range(at, at + len(b)), pa.int64())], ["id", "x", "y", "part", "pos"])
+        at += len(b)
+
+
+def bridges_by_tour(edges: DataFrame) -> DataFrame:
+    """(a, b) of ``edges`` (cluster, a, b) whose loss would part a cluster, by joins alone.
+
+    Edges outside a spanning forest get random labels; a vertex has the exclusive or of its own. An edge of the
+    forest is a bridge if the vertices behind it cancel out: no outer edge leads from there to the rest (wrongly so
+    with a chance of 2^-128). Behind an edge lies what an Euler tour of the tree visits between its two passes; the
+    tour is ranked by doubling, in as many rounds as the logarithm of its length.
+    """
+    e = cut(edges.select("cluster", "a", "b"))
+    tree = cut(spanning_forest(e).join(e, ["a", "b"]).select("cluster", "a", "b"))
+    outer = e.join(tree.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b", F.lit(1)).alias("x"), F.xxhash64("a", "b", F.lit(2)).alias("y"))
+    mark = outer.select(F.col("a").alias("v"), "x", "y").unionByName(outer.select(F.col("b").alias("v"), "x", "y")).groupBy("v").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    both = tree.select("cluster", F.col("a").alias("u"), F.col("b").alias("v")).unionByName(tree.select("cluster", F.col("b").alias("u"), F.col("a").alias("v")))
+    arcs = cut(edge_ids(both, "u", "v").withColumnRenamed("edge_id", "id"))
+    # behind an arc the tour goes on with the next arc, in the order of their numbers, out of the vertex it came to
+    following = arcs.select((F.col("id") - 1).alias("id"), F.col("u").alias("nu"))
+    first = arcs.groupBy("u").agg(F.min("id").alias("least"))
+    after = arcs.join(following, "id", "left").join(first, "u").select("u", "v", F.when(F.col("nu") == F.col("u"), F.col("id") + 1).otherwise(F.col("least")).alias("nxt"))
+    toured = arcs.join(after.select(F.col("u").alias("v"), F.col("v").alias("u"), "nxt"), ["u", "v"])
+    start = arcs.groupBy("cluster").agg(F.min("id").alias("start"))
+    opened = toured.join(start, "cluster").select("id", F.when(F.col("nxt") != F.col("start"), F.col("nxt")).alias("nxt"))
+    rank = cut(opened.withColumn("d", F.col("nxt").isNotNull().cast("long")))
+    while not rank.filter("nxt IS NOT NULL").isEmpty():
+        far = rank.select(F.col("id").alias("nxt"), F.col("nxt").alias("next"), F.col("d").alias("more"))
+        rank = cut(rank.join(far, "nxt", "left").select("id", F.col("next").alias("nxt"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")))
+    ranked = cut(arcs.join(rank.select("id", "d"), "id"))
+    back = ranked.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("d").alias("other"), F.col("id").alias("back"))
+    # the pass that comes first enters a vertex; its mark counts there
+    passes = ranked.join(back, ["u", "v"]).withColumn("down", F.col("d") > F.col("other")).join(mark.withColumnRenamed("v", "at"), F.col("v") == F.col("at"), "left")
+    own = lambda c: F.when(F.col("down"), F.coalesce(c, F.lit(0))).otherwise(0).alias(c)
+    passes = cut(passes.select("cluster", "id", "back", "d", "u", "v", "down", own("x"), own("y")))
+    ordered = passes.repartitionByRange(F.col("cluster"), F.desc("d")).sortWithinPartitions("cluster", F.desc("d")).select("id", "x", "y")
+    scan = cut(ordered.mapInArrow(_xor_scan, "id long, x long, y long, part int, pos long"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    parts = scan.groupBy("part").agg(F.max_by(F.struct("x", "y"), "pos").alias("t")).select("part", *(F.coalesce(F.bit_xor(f"t.{c}").over(before), F.lit(0)).alias(f"b{c}") for c in "xy"))
+    summed = cut(scan.join(parts, "part").select("id", *(F.col(c).bitwiseXOR(F.col(f"b{c}")).alias(c) for c in "xy")))
+    one, two = summed.select("id", F.col("x").alias("x1"), F.col("y").alias("y1")), summed.select(F.col("id").alias("back"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    inside = passes.filter("down").join(one, "id").join(two, "back")
+    alone = [F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2")).bitwiseXOR(F.col(c)) == 0 for c in "xy"]
+    return inside.filter(alone[0] & alone[1]).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
 
 def threshold_summary(edges: DataFrame, nodes: DataFrame, thresholds: Sequence[float]) -> DataFrame:

@@ -151,6 +151,23 @@ def test_components_against_union_find(spark):
     assert G.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def test_bridges_by_tour_and_by_search(spark):
+    import random as rnd
+
+    g = rnd.Random(12)
+    edges = {(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)}  # a chain
+    edges |= {tuple(sorted((f"r{g.randrange(40)}", f"r{g.randrange(40)}"))) for _ in range(45)} | {("hub", f"s{i}") for i in range(30)} | {("s1", "s2"), ("c010", "c020")}
+    edges = sorted(e for e in edges if e[0] != e[1])
+    df = spark.createDataFrame(edges + edges[:5], "a string, b string")
+    cl = G.components(df)
+    want = set(G._bridges([a for a, _ in edges], [b for _, b in edges]))
+    assert len(want) > 60
+    assert {tuple(r) for r in G.bridges(df, cl).collect()} == want
+    assert {tuple(r) for r in G.bridges(df, cl, most_edges=3).collect()} == want
+    none = spark.createDataFrame([], "a string, b string")
+    assert G.bridges(none, G.components(none)).count() == 0
+
+
 def test_bridges(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "d")], "a string, b string")
     assert {tuple(r) for r in G.bridges(e, G.components(e)).collect()} == {("c", "d")}
