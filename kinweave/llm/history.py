@@ -137,8 +137,9 @@ class HistoryIndex:
     """Contents of all batches added so far, on files of the shared store at ``path``.
 
     Each batch is a run: a table bucketed and sorted by the hash of the values that must agree, in a number
-    of buckets that grows with the run, so a batch is brought to the index's buckets and the index itself is
-    never shuffled; a batch of up to FEW such hashes reads only their buckets and row groups. Numbered manifests
+    of buckets that grows with the run. A batch is brought to the buckets of a run that has as many as the session
+    has shuffle partitions, so a run of any size to speak of is never shuffled (smaller ones Spark exchanges); a batch
+    of up to FEW such hashes reads only their buckets and row groups. Numbered manifests
     list the runs. When there are more than MOST_RUNS, the smaller half is merged into one, so a content is
     written again a logarithmic number of times. One writer at a time: a second one's commit fails and may
     be repeated. The session's catalog names the runs while the index is open; ``close`` takes the names back.
@@ -164,16 +165,18 @@ class HistoryIndex:
         self.named = set()
 
     def _read(self, kind: str, asked: DataFrame, leave: str) -> DataFrame:
-        """Rows of one kind (coarse, fine) with one of the (h, strict) asked for, but not those of the batch ``leave``."""
+        """Rows of one kind (coarse, fine) placed by one of the hashes ``h`` asked for, but not those of the load ``leave``.
+        The join is on the bucket's column alone: only then the index's side needs no exchange."""
         runs = [r for r in self.manifests.last()[1] if r["kind"] == kind and r["name"] != leave]
         out = self.spark.createDataFrame([], _ROW)
         if not runs:
             return out
-        few = [r.h for r in asked.select("h").limit(FEW + 1).collect()]
+        asked = asked.select("h").distinct()
+        few = [r.h for r in asked.limit(FEW + 1).collect()]
         for r in runs:
             rows = self._run(r)
             rows = rows.filter(F.col("h").isin(few)) if len(few) <= FEW else rows
-            out = out.unionByName(rows.join(asked, ["h", "strict"], "left_semi").select(*_ROW.names))
+            out = out.unionByName(rows.join(asked, "h", "left_semi").select(*_ROW.names))
         return out
 
     def _write(self, name: str, kind: str, rows: DataFrame, n: int) -> list[dict]:
@@ -206,7 +209,7 @@ class HistoryIndex:
         batch, or several when a history is first read; ``classes`` is a written table."""
         asked = classes.groupBy(F.col("strict.a").alias("h"), "strict").agg(F.count(F.lit(1)).alias("here"))
         asked = cut(asked)
-        held = cut(self._read("coarse", asked.select("h", "strict"), name))
+        held = cut(self._read("coarse", asked, name))
         had = held.groupBy("strict").agg(F.count_if(F.col("content").isNotNull()).alias("had"), F.max(F.col("content").isNull()).alias("was_hot"))
         # only where several contents agree in what must agree is there anything to compare
         several = cut(asked.join(had, "strict", "left").filter("here > 1 OR had IS NOT NULL").select("strict", (F.coalesce("had", F.lit(0)) + F.col("here")).alias("rivals"), F.coalesce("was_hot", F.lit(False)).alias("was_hot")))
@@ -223,8 +226,8 @@ class HistoryIndex:
         rival = every.filter("known IS NULL")
         # keys are salted by what must agree, so a key alone finds the bucket; values follow once for each pair
         ask = rival.select("content", F.explode("coarse").alias("h"))
-        ask_fine = rival.filter("finely").select("content", "strict", "was_hot", F.explode("fine").alias("h"))
-        held_fine = cut(self._read("fine", ask_fine.filter("was_hot").select("h", "strict").distinct(), name))
+        ask_fine = rival.filter("finely").select("content", "was_hot", F.explode("fine").alias("h"))
+        held_fine = cut(self._read("fine", ask_fine.filter("was_hot"), name))
         to = F.col("content").alias("to")
         seen = old.select(to, F.explode("bands").alias("h")).unionByName(rival.filter("NOT finely").select(to, F.explode("coarse").alias("h")))
         seen_fine = held_fine.select(to, "h").unionByName(ask_fine.select(to, "h"))

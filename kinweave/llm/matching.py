@@ -32,7 +32,7 @@ from kinweave.llm.assignment import assign
 from kinweave.llm.components import components
 from kinweave.operators import contents as C
 from kinweave.operators import records as R
-from kinweave.session import cut
+from kinweave.session import cut, reclaim
 
 WINDOW = 8
 #: Rows apart up to which records of one mailbox, phone or door are compared.
@@ -209,7 +209,9 @@ def window_pairs(rows: DataFrame, window: int = WINDOW, wide: int = WIDE) -> Dat
     both = F.when((F.col("at") % EDGE_BLOCK < wide - 1) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
     blocked = numbered.withColumn("block", F.explode(both)).repartition(tasks, "block").sortWithinPartitions("block", "at")
     found = pairs.unionByName(blocked.mapInArrow(_across(window, wide), _PAIR))
-    return found.groupBy("key_a", "key_b").agg(F.first("cross").alias("cross"), F.max("score").alias("score"))
+    best = cut(found.groupBy("key_a", "key_b").agg(F.first("cross").alias("cross"), F.max("score").alias("score")))
+    reclaim(out)
+    return best
 
 
 def _third_side(one: DataFrame) -> DataFrame:
@@ -225,7 +227,9 @@ def _third_side(one: DataFrame) -> DataFrame:
 
 def matches(raw: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rec_a_key, rec_b_key, confidence): records of different sources that are one person."""
-    pairs = cut(window_pairs(cut(versions(raw)), window))
+    rows = cut(versions(raw))
+    pairs = window_pairs(rows, window)
+    reclaim(rows)
     unit = cut(components(pairs.filter("NOT cross"), "key_a", "key_b").select(F.col("vertex").alias("key"), F.col("group").alias("unit")))
     source = lambda c: F.split_part(c, F.lit(":"), F.lit(1))
     a, b = unit.select(F.col("key").alias("key_a"), F.col("unit").alias("ua")), unit.select(F.col("key").alias("key_b"), F.col("unit").alias("ub"))

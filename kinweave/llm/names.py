@@ -32,7 +32,7 @@ from kinweave.functions import kernels as K
 from kinweave.llm import person as P
 from kinweave.operators import contents as C
 from kinweave.operators import records as R
-from kinweave.session import cut
+from kinweave.session import cut, reclaim
 
 SOURCES = ["crm", "billing"]
 Q = 2
@@ -161,7 +161,9 @@ def star_clusters(pairs: DataFrame) -> DataFrame:
         stars = got if stars is None else stars.unionByName(got)
         covered = got.select(F.col("key").alias("v"))
         # a vertex whose neighbours are all covered is a star of its own and pairs with none
-        left = cut(left.join(covered, "v", "left_anti").join(covered.select(F.col("v").alias("w")), "w", "left_anti"))
+        rest = cut(left.join(covered, "v", "left_anti").join(covered.select(F.col("v").alias("w")), "w", "left_anti"))
+        reclaim(left)
+        left = rest
     return stars if stars is not None else left.select(F.col("v").alias("key"), F.col("w").alias("star"))
 
 
@@ -170,6 +172,7 @@ def variants(raw: DataFrame, profile_runs: DataFrame) -> DataFrame:
     rows = cut(people(raw, R.batch_order(profile_runs)))
     pairs = cut(person_pairs(rows))
     stars = cut(star_clusters(pairs))
+    reclaim(pairs)
     a, b = stars.select(F.col("key").alias("x"), "star"), stars.select(F.col("key").alias("y"), "star")
     both = a.join(b, "star").filter("x < y").select(F.col("x").alias("key_a"), F.col("y").alias("key_b"))
     names = rows.select("key", "name").distinct()

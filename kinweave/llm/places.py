@@ -36,7 +36,7 @@ from pyspark.sql.functions import pandas_udf
 
 from kinweave.functions import address as A
 from kinweave.functions import values as V
-from kinweave.session import cut
+from kinweave.session import cut, reclaim
 
 MOST_SLIPS = 2
 GRAM = 3
@@ -176,7 +176,9 @@ def _candidates(classes: DataFrame) -> DataFrame:
     index = rare.select(F.col("c").alias("a"), F.col("parts").alias("pa"), F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(0), PREFIX - (F.col("all") - F.size("t"))).cast("int"))).alias("x"))
     probe = shared.select(F.col("c").alias("b"), F.col("parts").alias("pb"), "token")
     hit = index.select("a", "pa", F.col("x.token").alias("token")).join(probe, "token").filter("pb > pa OR (pb = pa AND a < b)")
-    return hit.select("a", "b").distinct()
+    found = cut(hit.select("a", "b").distinct())
+    reclaim(tokens)
+    return found
 
 
 def _filled(classes: DataFrame, pairs: DataFrame, part: str) -> DataFrame:
@@ -210,7 +212,9 @@ def same_door(lines: DataFrame) -> DataFrame:
     key = F.xxhash64(*(F.coalesce(p, F.lit("")) for p in parts))
     d = d.withColumn("c", key)
     classes = cut(weighed(d.groupBy("c").agg(F.count(F.lit(1)).alias("lines"), *(F.first(p).alias(p) for p in parts))))
-    pairs = cut(_verified(_candidates(classes), classes, CONTAINED))
+    near = _candidates(classes)
+    pairs = cut(_verified(near, classes, CONTAINED))
+    reclaim(near)
     full = classes.drop("grams")
     for part in FILLED:
         full = _filled(full, pairs, part)

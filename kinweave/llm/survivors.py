@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as X
-from kinweave.session import cut
+from kinweave.session import cut, reclaim
 
 ATTRIBUTES = ["given_name", "family_name", "email", "phone_e164", "address", "birth_date"]
 ADDRESS = ["addr_number", "addr_street", "addr_unit", "addr_city", "addr_region", "addr_postal"]
@@ -190,6 +190,8 @@ def judged(made: DataFrame, most_patterns: int = MOST_PATTERNS) -> DataFrame:
         model = fit_where_it_lies(patterns)
     known = _chances(patterns, model).select("attribute", "seen", "p_true")
     values = cut(stated.join(known, ["attribute", "seen"]).select("entity_id", "attribute", "value", "records", "p_true"))
+    reclaim(stated)
+    reclaim(patterns)
     best = values.groupBy("entity_id", "attribute").agg(F.max(F.struct("p_true", "records", F.col("value").alias("v")))["v"].alias("best"))
     return values.join(best, ["entity_id", "attribute"]).select("entity_id", "attribute", "value", "records", "p_true", ((F.col("p_true") >= 0.5) | (F.col("value") == F.col("best"))).alias("kept"))
 
