@@ -144,24 +144,30 @@ def reconcile_overlap(spark, d):
     return old.join(new, "record_key").groupBy("entity_id", "group").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{_OLDNEW}, {_SHARED}, now AS (SELECT record_key, entity_id FROM new JOIN plan USING (grp)), mv AS (SELECT record_key, old.entity_id AS b, now.entity_id AS a FROM old FULL JOIN now USING (record_key)),
+_EVENTS = f"""{_OLDNEW}, {_SHARED}, now AS (SELECT record_key, entity_id FROM new JOIN plan USING (grp)), mv AS (SELECT record_key, old.entity_id AS b, now.entity_id AS a FROM old FULL JOIN now USING (record_key)),
     be AS (SELECT DISTINCT entity_id AS x FROM old), ne AS (SELECT DISTINCT entity_id AS x FROM now), gone AS (SELECT x FROM be ANTI JOIN ne USING (x)), merged AS (SELECT DISTINCT b AS x FROM mv WHERE a IS NOT NULL AND b IN (SELECT x FROM gone))
     SELECT 'created' AS event_type, x AS entity_id, NULL::VARCHAR AS record_key FROM ne ANTI JOIN be USING (x) UNION ALL SELECT 'merged', x, NULL FROM merged UNION ALL SELECT 'retired', x, NULL FROM gone ANTI JOIN merged USING (x)
-    UNION ALL SELECT 'split', b, NULL FROM (SELECT DISTINCT b FROM mv WHERE a <> b AND b IN (SELECT x FROM ne)) UNION ALL SELECT 'member_added', a, record_key FROM mv WHERE a IS NOT NULL AND a IS DISTINCT FROM b UNION ALL SELECT 'member_removed', b, record_key FROM mv WHERE b IS NOT NULL AND a IS DISTINCT FROM b""")
+    UNION ALL SELECT 'split', b, NULL FROM (SELECT DISTINCT b FROM mv WHERE a <> b AND b IN (SELECT x FROM ne)) UNION ALL SELECT 'member_added', a, record_key FROM mv WHERE a IS NOT NULL AND a IS DISTINCT FROM b UNION ALL SELECT 'member_removed', b, record_key FROM mv WHERE b IS NOT NULL AND a IS DISTINCT FROM b"""
+_HEAD, _, _TAIL = _EVENTS.partition("SELECT 'created'")
+
+
+@query(_EVENTS)
 def reconcile_events(spark, d):
     old, new = _old_new(spark, d)
     plan = cut(I.reconcile(old, new))
     return I.events(old, new.join(plan, "group").select("record_key", "entity_id"))
 
 
-@query(f"WITH {MEMBERS} SELECT DISTINCT entity_id FROM golden_lineage WHERE entity_id NOT IN (SELECT entity_id FROM mem WHERE entity_id IS NOT NULL)")
+@query(f"WITH {MEMBERS} SELECT DISTINCT entity_id FROM (SELECT entity_id FROM golden_lineage UNION ALL SELECT entity_id FROM entity_membership UNION ALL SELECT 'never a member') WHERE entity_id NOT IN (SELECT entity_id FROM mem WHERE entity_id IS NOT NULL)")
 def orphaned_entities(spark, d):
-    return table(spark, d, "golden_lineage").select("entity_id").distinct().join(C.membership(spark, d).select("entity_id"), "entity_id", "left_anti")
+    """Entities that are known, from lineage or an earlier assignment, and have no member now."""
+    known = table(spark, d, "golden_lineage").select("entity_id").unionByName(table(spark, d, "entity_membership").select("entity_id")).unionByName(spark.createDataFrame([("never a member",)], "entity_id string"))
+    return known.filter("entity_id IS NOT NULL").distinct().join(C.membership(spark, d).select("entity_id"), "entity_id", "left_anti")
 
 
-@query("WITH RECURSIVE r AS (SELECT o_orderkey AS entity_id, o_orderkey // 2 AS merged_into FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey > 0), w AS (SELECT entity_id, merged_into AS t FROM r UNION SELECT w.entity_id, r.merged_into FROM w JOIN r ON r.entity_id = w.t) SELECT entity_id, min(t) AS target FROM w GROUP BY 1")
+@query("WITH RECURSIVE r AS (SELECT o_orderkey AS entity_id, o_orderkey // 2 AS merged_into FROM orders WHERE o_orderkey > 0), w AS (SELECT entity_id, merged_into AS t FROM r UNION SELECT w.entity_id, r.merged_into FROM w JOIN r ON r.entity_id = w.t) SELECT entity_id, min(t) AS target FROM w GROUP BY 1")
 def redirects_resolved(spark, d):
-    return I.resolved(table(spark, d, "orders").filter("o_orderkey % 7 = 0 AND o_orderkey > 0").selectExpr("o_orderkey AS entity_id", "o_orderkey div 2 AS merged_into"))
+    return I.resolved(table(spark, d, "orders").filter("o_orderkey > 0").selectExpr("o_orderkey AS entity_id", "o_orderkey div 2 AS merged_into"))
 
 
 @query("SELECT record_key, max_by(entity_id, (assigned_at, id)) AS entity_id FROM entity_membership WHERE record_key IS NOT NULL GROUP BY 1")
@@ -340,9 +346,10 @@ def screening(spark, d):
     return Q.screening(C.std(spark, d), table(spark, d, "match_scores"))
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query(f"{_HEAD.rstrip()}, ev AS (SELECT 'created'{_TAIL}) SELECT 'run-1' AS run_id, event_type, count(*) AS n FROM ev GROUP BY 2")
 def event_counts(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """A run's events by type: here those of the reconciliation."""
+    return reconcile_events(spark, d).groupBy(F.lit("run-1").alias("run_id"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {MEMBERS} SELECT entity_id, count(*) AS members, min(record_key) AS first_member FROM mem GROUP BY 1 HAVING count(*) >= 3 AND entity_id > '4' ORDER BY entity_id LIMIT 50")
