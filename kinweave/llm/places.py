@@ -163,10 +163,15 @@ def weighed(classes: DataFrame) -> DataFrame:
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """(a, b): classes of which b, at least as full, holds one of the rarest tokens of a."""
-    bound = lambda town: F.xxhash64("number", F.coalesce("unit", F.lit("")), F.coalesce("direction", F.lit("")), town, "gram")
-    each = classes.select("c", "parts", "number", "unit", "direction", "town", F.explode("grams.gram").alias("gram"))
-    own = each.select("c", "parts", bound(F.coalesce("town", F.lit(""))).alias("token"), F.lit(True).alias("own"))
-    without = each.filter("town IS NOT NULL").select("c", "parts", bound(F.lit("")).alias("token"), F.lit(False).alias("own"))
+    # only classes that share house number, unit, direction and town (or have none) with another can meet it
+    door = F.xxhash64("number", F.coalesce("unit", F.lit("")), F.coalesce("direction", F.lit("")))
+    every = classes.select("c", "parts", "town", F.coalesce("town", F.lit("")).alias("t"), door.alias("door"), "grams")
+    by_door = every.groupBy("door").agg(F.count(F.lit(1)).alias("same"), F.count_if(F.col("town").isNull()).alias("bare")).filter("same > 1")
+    by_town = every.groupBy("door", "t").agg(F.count(F.lit(1)).alias("here"))
+    each = every.join(by_door, "door").join(by_town, ["door", "t"]).filter("town IS NULL OR here > 1 OR bare > 0")
+    each = each.select("c", "parts", "town", "t", "door", "here", "bare", F.explode("grams.gram").alias("gram"))
+    own = each.filter("town IS NULL OR here > 1").select("c", "parts", F.xxhash64("door", "t", "gram").alias("token"), F.lit(True).alias("own"))
+    without = each.filter("town IS NOT NULL AND bare > 0").select("c", "parts", F.xxhash64("door", F.lit(""), "gram").alias("token"), F.lit(False).alias("own"))
     tokens = cut(own.unionByName(without))
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("indexed")).filter("n > 1 AND indexed > 0")
     shared = tokens.join(df.select("token", "n"), "token")
@@ -174,8 +179,9 @@ def _candidates(classes: DataFrame) -> DataFrame:
     size = tokens.filter("own").groupBy("c").agg(F.count(F.lit(1)).alias("all"))
     rare = shared.filter("own").groupBy("c", "parts").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")).join(size, "c")
     index = rare.select(F.col("c").alias("a"), F.col("parts").alias("pa"), F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(0), PREFIX - (F.col("all") - F.size("t"))).cast("int"))).alias("x"))
-    probe = shared.select(F.col("c").alias("b"), F.col("parts").alias("pb"), "token")
-    hit = index.select("a", "pa", F.col("x.token").alias("token")).join(probe, "token").filter("pb > pa OR (pb = pa AND a < b)")
+    probe = shared.select(F.col("c").alias("b"), F.col("parts").alias("pb"), "token", "own")
+    # with a town is fuller than without one, whatever else is missing
+    hit = index.select("a", "pa", F.col("x.token").alias("token")).join(probe, "token").filter("NOT own OR pb > pa OR (pb = pa AND a < b)")
     found = cut(hit.select("a", "b").distinct())
     reclaim(tokens)
     return found
