@@ -56,11 +56,16 @@ def jaro_winkler_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pc.if_else(pc.and_(pc.is_valid(a), pc.is_valid(b)), got, pa.scalar(None, pa.float64()))
 
 
-def _levenshtein_bytes(a: Column, b: Column) -> Column:
-    """Edit distance over the UTF-8 bytes: each byte becomes one character first. ASCII texts are their bytes."""
-    plain = lambda c: ~c.rlike(r"[^\x00-\x7f]")
-    each = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
-    return F.when(plain(a) & plain(b), F.levenshtein(a, b)).otherwise(F.levenshtein(each(a), each(b)))
+def _within_edits(n: int) -> Predicate:
+    """At most n edits between the UTF-8 bytes: of texts that aren't their bytes each byte becomes one character first.
+    The distance is worked out no further than n."""
+
+    def near(a: Column, b: Column) -> Column:
+        plain = (F.length(a) == F.octet_length(a)) & (F.length(b) == F.octet_length(b))
+        each = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+        return F.when(plain, F.levenshtein(a, b, n)).otherwise(F.levenshtein(each(a), each(b), n)) >= 0
+
+    return near
 
 
 def _number(c: Column) -> Column:
@@ -102,7 +107,7 @@ _PLAIN: dict[str, Predicate] = {
 }
 _WITH: dict[str, Callable[[str], Predicate]] = {
     "jaro_winkler": lambda t: lambda a, b: jaro_winkler_similarity(a, b) >= float(t),
-    "levenshtein": lambda n: lambda a, b: _levenshtein_bytes(a, b) <= int(n),
+    "levenshtein": lambda n: _within_edits(int(n)),
     "first_n": lambda n: lambda a, b: F.substring(a, 1, int(n)) == F.substring(b, 1, int(n)),
     "date_within_days": lambda n: lambda a, b: F.abs(F.datediff(a, b)) <= int(n),
     "numeric_within": lambda x: lambda a, b: F.abs(_number(a) - _number(b)) <= float(x),
