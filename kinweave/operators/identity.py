@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.operators.graph import components
-from kinweave.session import cut
+from kinweave.session import cut, reclaim
 
 
 def contradictions(assertions: DataFrame) -> DataFrame:
@@ -109,17 +109,47 @@ def events(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def resolved(redirects: DataFrame, hops: int = 32) -> DataFrame:
-    """(entity_id, target): where merged entities (entity_id, merged_into) end, by doubling; an entity on
-    a circle, or further than 2^hops, ends nowhere (null)."""
-    cur = cut(redirects.filter("merged_into IS NOT NULL").select("entity_id", F.col("merged_into").alias("to")))
-    links = cur.select("entity_id").distinct()
-    for _ in range(hops):
-        nxt = cut(cur.join(cur.select(F.col("entity_id").alias("to"), F.col("to").alias("next")), "to", "left").select("entity_id", F.coalesce("next", "to").alias("to")))
-        if nxt.exceptAll(cur).isEmpty():
+    """(entity_id, target): where merged entities (entity_id, merged_into) end; an entity on a circle, or
+    further than 2^hops, ends nowhere (null). Of several redirects of an entity the least counts.
+
+    By doubling, and as long as that halves them only of the entities that others lead to: the rest wait, a level
+    each round, for the end of what they lead to. All joins are merges, as a table's files say too little of its
+    rows: 9 million numbered in a row are under Spark's limit for a broadcast and more than a driver holds.
+    """
+    cur = redirects.filter("merged_into IS NOT NULL").groupBy("entity_id").agg(F.min("merged_into").alias("to"))
+    cur = cut(_asked(cur))
+    n, asked = cur.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    rounds, levels = n.bit_length(), []
+    halves = rounds <= hops
+    for r in range(min(rounds, hops)):
+        if halves and r:
+            cur, last = cut(_asked(cur)), cur
+            n, asked = cur.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+            reclaim(last)
+        halves = halves and 2 * asked <= n
+        if halves:
+            levels.append(cur)
+        last, cur = cur, cur.filter("asked") if halves else cur
+        ahead = cur.select(F.col("entity_id").alias("to"), F.col("to").alias("next")).hint("merge")
+        cur = cut(cur.join(ahead, "to", "left").select("entity_id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        if not halves:
+            reclaim(last)
+        if cur.filter("moved").isEmpty():
+            out = cur.select("entity_id", F.col("to").alias("target"))
             break
-        cur = nxt
-    back = cur.join(links.select(F.col("entity_id").alias("to"), F.lit(True).alias("on")), "to", "left")
-    return back.select("entity_id", F.when(F.col("on").isNull(), F.col("to")).alias("target"))
+    else:
+        on = cur.select(F.col("entity_id").alias("to"), F.lit(True).alias("on")).hint("merge")
+        out = cur.join(on, "to", "left").select("entity_id", F.when(F.col("on").isNull(), F.col("to")).alias("target"))
+    for level in reversed(levels):
+        ends = out.select(F.col("entity_id").alias("to"), "target", F.lit(True).alias("on")).hint("merge")
+        out = level.join(ends, "to", "left").select("entity_id", F.when(F.col("on"), F.col("target")).otherwise(F.col("to")).alias("target"))
+    return out
+
+
+def _asked(links: DataFrame) -> DataFrame:
+    """Links (entity_id, to) told whether one of them leads to their entity."""
+    to = links.select(F.col("to").alias("entity_id")).distinct().withColumn("on", F.lit(True)).hint("merge")
+    return links.join(to, "entity_id", "left").select("entity_id", "to", F.col("on").isNotNull().alias("asked"))
 
 
 def merge(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

@@ -184,6 +184,33 @@ def test_redirect_circle(spark):
     assert {tuple(x) for x in I.resolved(r).collect()} == {("a", "c"), ("b", "c"), ("x", None), ("y", None)}
 
 
+@pytest.mark.parametrize("hops", [2, 32])
+def test_redirects_against_walks(spark, hops):
+    """Trees, chains and circles, redirects told twice; an end 2^hops away is found, one further on isn't."""
+    rng = random.Random(5)
+    to = {i: rng.randrange(400) for i in range(300)} | {i: i // 2 for i in range(1000, 1200)} | {i: i + 1 for i in range(2000, 2040)} | {3000: 3001, 3001: 3002, 3002: 3000, 3003: 3001}
+    want = {}
+    for e in to:
+        at, n = to[e], 1
+        while at in to and n < 2 ** min(hops, 12):
+            at, n = to[at], n + 1
+        want[e] = None if at in to else at
+    df = spark.createDataFrame([*to.items(), *to.items(), (5000, None)], "entity_id long, merged_into long")
+    assert sorted(tuple(r) for r in I.resolved(df, hops).collect()) == sorted(want.items())
+
+
+def test_redirects_are_not_broadcast(spark):
+    """The files of rows numbered in order are small beside the rows: none may go through the driver whole."""
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "64k")
+    try:
+        got = I.resolved(spark.range(1, 20_001).selectExpr("id AS entity_id", "id div 2 AS merged_into"))
+        assert got.agg(F.count("entity_id"), F.max("target")).first() == (20_000, 0)
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_em_finds_the_two_classes():
     rng = np.random.default_rng(1)
     m, u, lam = [0.95, 0.9, 0.85], [0.1, 0.05, 0.2], 0.2
